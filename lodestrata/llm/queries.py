@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, line_dedup
+from . import bin_packing, line_dedup, minhash_join, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), min_docs=10, least_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -26,9 +33,21 @@ def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(_table(spark, sf_dir, "documents"), words=5, similarity=0.75)
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocabulary("word_bpe_49k.json")
+    size = token_store.vocabulary_size(path)
+    return token_store.store_and_read(_table(spark, sf_dir, "documents"), path, size, end_id=2, by_word=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op8_bin_packing": op8_bin_packing,
+    "op9_minhash_join": op9_minhash_join,
+    "op10_token_store": op10_token_store,
 }
 
 LINES_SQL = r"""
@@ -45,4 +64,20 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL}
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE
+         list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN both_ways e ON e.a = r.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) c ON c.id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL, "op9_minhash_join": NEAR_SQL}
