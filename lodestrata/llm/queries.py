@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, line_dedup, minhash_join, token_store
+from . import bin_packing, grid_order_join, line_dedup, minhash_join, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_order_join.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), min_docs=10, least_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,6 +48,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_grid_order_join": op1_grid_order_join,
     "op6_line_dedup": op6_line_dedup,
     "op8_bin_packing": op8_bin_packing,
     "op9_minhash_join": op9_minhash_join,
@@ -80,4 +85,20 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, d.doc_i
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) c ON c.id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL, "op9_minhash_join": NEAR_SQL}
+VECTORS_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (
+  SELECT vec_id, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+  AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, v.vec_id = c.root AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_grid_order_join": VECTORS_SQL, "op6_line_dedup": LINES_SQL, "op9_minhash_join": NEAR_SQL}
