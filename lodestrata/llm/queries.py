@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, grid_order_join, line_dedup, minhash_join, token_store
+from . import bin_packing, grid_order_join, line_dedup, minhash_join, seed_decontamination, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_order_join.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op2_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), min_docs=10, least_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,13 +46,12 @@ def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _vocabulary("word_bpe_49k.json")
-    size = token_store.vocabulary_size(path)
-    return token_store.store_and_read(_table(spark, sf_dir, "documents"), path, size, end_id=2, by_word=True)
+    return token_store.store_and_read(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, by_word=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grid_order_join": op1_grid_order_join,
+    "op2_seed_decontamination": op2_seed_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op8_bin_packing": op8_bin_packing,
     "op9_minhash_join": op9_minhash_join,
@@ -101,4 +104,32 @@ SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, v.vec_id =
 FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_grid_order_join": VECTORS_SQL, "op6_line_dedup": LINES_SQL, "op9_minhash_join": NEAR_SQL}
+SEEDS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS h FROM documents),
+t AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS g FROM benchmark),
+m(mask, span, places) AS (VALUES (0, 11, [1,2,4,5,7,8,10,11]), (1, 12, [1,2,4,5,6,8,9,10,12]),
+  (2, 12, [1,2,4,5,6,7,9,10,11,12]), (3, 12, [1,3,4,5,8,9,10,12])),
+a AS (SELECT doc_id, mask, unnest(range(len(h) - span + 1)) AS p, h, places FROM w, m),
+s AS (SELECT doc_id, mask, p, array_to_string(list_transform(places, lambda i: h[p + i]), ' ') AS seed FROM a),
+b AS (SELECT item_id, mask, span, unnest(range(len(g) - span + 1)) AS q, g, places FROM t, m),
+u AS (SELECT item_id, mask, span, q, array_to_string(list_transform(places, lambda i: g[q + i]), ' ') AS seed FROM b),
+hits AS (SELECT DISTINCT doc_id, item_id, p - q AS shift, q, span FROM s JOIN u USING (mask, seed)),
+r AS (
+  SELECT doc_id, item_id, shift, h, g, least(20, len(g)) AS n_words,
+         greatest(0, q - (least(20, len(g)) - span), -shift) AS low,
+         least(len(g), q + span + least(20, len(g)) - span, len(h) - shift) AS high
+  FROM hits JOIN w USING (doc_id) JOIN t USING (item_id)),
+e AS (
+  SELECT doc_id, item_id, n_words, list_transform(range(low, high), lambda k: CAST(g[k + 1] = h[k + shift + 1] AS INT)) AS same
+  FROM r WHERE high - low >= n_words),
+x AS (
+  SELECT doc_id, item_id, n_words,
+         list_max(list_transform(range(0, len(same) - n_words + 1), lambda k: list_sum(same[k + 1 : k + n_words]))) AS n_equal FROM e)
+SELECT doc_id, item_id, n_words, CAST(max(n_equal) AS BIGINT) AS n_equal FROM x WHERE 100 * n_equal >= 75 * n_words GROUP BY ALL
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_seed_decontamination": SEEDS_SQL, "op1_grid_order_join": VECTORS_SQL, "op6_line_dedup": LINES_SQL, "op9_minhash_join": NEAR_SQL}
