@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, grid_order_join, line_dedup, minhash_join, seed_decontamination, token_store
+from . import bin_packing, grid_order_join, license_scan, line_dedup, minhash_join, seed_decontamination, token_store, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,22 @@ def op2_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: The rules of the pages contract.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the same number: bad if toxic or of quality 0."""
+    labels = _table(spark, sf_dir, "labels")
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
+    outcomes = labels.where("toxic is not null or quality is not null").select(F.col("doc_id").alias("id"), bad.alias("bad"))
+    return url_reputation.judge(_table(spark, sf_dir, "pages"), outcomes, RULES)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.templates(spark))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), min_docs=10, least_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -52,6 +68,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grid_order_join": op1_grid_order_join,
     "op2_seed_decontamination": op2_seed_decontamination,
+    "op3_url_reputation": op3_url_reputation,
+    "op4_license_scan": op4_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op8_bin_packing": op8_bin_packing,
     "op9_minhash_join": op9_minhash_join,
@@ -132,4 +150,60 @@ x AS (
 SELECT doc_id, item_id, n_words, CAST(max(n_equal) AS BIGINT) AS n_equal FROM x WHERE 100 * n_equal >= 75 * n_words GROUP BY ALL
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_seed_decontamination": SEEDS_SQL, "op1_grid_order_join": VECTORS_SQL, "op6_line_dedup": LINES_SQL, "op9_minhash_join": NEAR_SQL}
+RULES_SQL = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+k AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels
+      WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(host, '.') AS l
+      FROM s LEFT JOIN k ON k.doc_id = page_id GROUP BY host),
+d AS (SELECT *, len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AS two FROM h),
+t AS (SELECT host, n, bad, array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') AS domain,
+      CASE WHEN two THEN array_to_string(l[-2:], '.') WHEN len(l) > 1 THEN l[-1] ELSE '' END AS suffix FROM d),
+m AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS c FROM t),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(c) AS c FROM t, m GROUP BY suffix),
+s1 AS (SELECT 1 / greatest(0.001, least(0.5, coalesce(sum((bad - n * c) ** 2 - n * c * (1 - c)) / nullif(sum(n * (n - 1) * c * (1 - c)), 0), 0.001))) - 1 AS w FROM s0),
+s2 AS (SELECT suffix, (bad + w * c) / (n + w) AS c FROM s0, s1),
+d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(c) AS c FROM t JOIN s2 USING (suffix) GROUP BY domain, suffix),
+d1 AS (SELECT 1 / greatest(0.001, least(0.5, coalesce(sum((bad - n * c) ** 2 - n * c * (1 - c)) / nullif(sum(n * (n - 1) * c * (1 - c)), 0), 0.001))) - 1 AS w FROM d0),
+d2 AS (SELECT domain, (bad + w * c) / (n + w) AS c FROM d0, d1),
+h0 AS (SELECT host, n, bad, c FROM t JOIN d2 USING (domain)),
+h1 AS (SELECT 1 / greatest(0.001, least(0.5, coalesce(sum((bad - n * c) ** 2 - n * c * (1 - c)) / nullif(sum(n * (n - 1) * c * (1 - c)), 0), 0.001))) - 1 AS w FROM h0),
+h2 AS (SELECT host, (bad + w * c) / (n + w) AS mean, n + w AS w FROM h0, h1),
+rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+f AS (
+  SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM s JOIN rules
+  ON (host = string_split(rule, '/')[1] OR ends_with(host, '.' || string_split(rule, '/')[1])) AND starts_with(path, substr(rule, strpos(rule, '/'))))
+SELECT s.page_id, s.host, path, f.rule,
+       coalesce(f.verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       round(mean, 6) AS bad_rate
+FROM s JOIN h2 USING (host) LEFT JOIN f ON f.page_id = s.page_id AND f.k = 1
+"""
+
+
+def _license_sql() -> str:
+    """Every window of every template's length is compared exactly, without bands."""
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_scan.TEMPLATES.items())
+    split = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+    grams = "list_transform(range(1, len({0}) - 3), lambda i: array_to_string({0}[i:i+4], ' '))"
+    return f"""
+WITH l(license, body) AS (VALUES {rows}),
+lw AS (SELECT license, {split.format("body")} AS g FROM l),
+t AS (SELECT license, len(g) AS len, list_distinct({grams.format("g")}) AS t, greatest(1, (len(g) - 4) // 8) AS stride FROM lw),
+dw AS (SELECT doc_id, {split.format("text")} AS h FROM documents),
+ds AS (SELECT doc_id, len(h) AS n, unnest(range(len(h) - 4)) AS p, unnest({grams.format("h")}) AS s FROM dw WHERE len(h) >= 5),
+hits AS (SELECT doc_id, n, license, len, stride, p, s, len(t) AS n_shingles FROM ds JOIN (SELECT *, unnest(t) AS s FROM t) USING (s)),
+w AS (
+  SELECT DISTINCT doc_id, license, unnest(range(greatest(0, CAST(ceil((p - (len - 5)) / stride) AS BIGINT)), greatest(greatest(0, CAST(ceil((p - (len - 5)) / stride) AS BIGINT)), p // stride) + 1)) AS w
+  FROM hits),
+c AS (
+  SELECT doc_id, license, w, n_shingles, count(DISTINCT s) AS n_matched FROM w JOIN hits USING (doc_id, license)
+  WHERE p >= greatest(0, (w - 1) * stride) AND p + 5 <= least(n, (w + 1) * stride + len) GROUP BY ALL)
+SELECT doc_id, license, n_shingles, max(n_matched) AS n_matched FROM c WHERE 100 * n_matched >= 75 * n_shingles GROUP BY ALL
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_url_reputation": RULES_SQL, "op4_license_scan": _license_sql(), "op2_seed_decontamination": SEEDS_SQL, "op1_grid_order_join": VECTORS_SQL, "op6_line_dedup": LINES_SQL, "op9_minhash_join": NEAR_SQL}
