@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, grid_order_join, license_scan, line_dedup, minhash_join, seed_decontamination, token_store, url_reputation
+from . import bin_packing, grid_order_join, language_id, license_scan, line_dedup, minhash_join, seed_decontamination, token_store, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.templates(spark))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third of the ids whose crc32 leaves the remainder 1 is held out of the fit."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(fold != 1))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), min_docs=10, least_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_seed_decontamination": op2_seed_decontamination,
     "op3_url_reputation": op3_url_reputation,
     "op4_license_scan": op4_license_scan,
+    "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op8_bin_packing": op8_bin_packing,
     "op9_minhash_join": op9_minhash_join,
