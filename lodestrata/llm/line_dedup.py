@@ -20,13 +20,20 @@ BROADCAST_ROWS = 1_000_000
 
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at both ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
+    return _lower(F.btrim(line, F.lit(SPACES)))
+
+
+def _lower(x: Column) -> Column:
+    """A-Z lower-cased; plain ASCII takes the faster function."""
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER))
 
 
 def _hashes(lines: Column, least_chars: int) -> Column:
     """128-bit hashes of the lines' keys, null for those that are too short to count."""
+    trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(SPACES)))
+    keys = F.transform(trimmed, _lower)
     one = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit("line")).alias("h2"))
-    return F.transform(lines, lambda x: F.when(F.char_length(line_key(x)) >= least_chars, one(line_key(x))))
+    return F.transform(keys, lambda x: F.when(F.char_length(x) >= least_chars, one(x)))
 
 
 def repeated_lines(docs: DataFrame, text: str, min_docs: int, least_chars: int = 1) -> DataFrame:
@@ -36,7 +43,7 @@ def repeated_lines(docs: DataFrame, text: str, min_docs: int, least_chars: int =
     counts are combined on the map side, so a line of a third of all documents is no hot key.
     """
     own = F.array_distinct(_hashes(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), least_chars))
-    found = docs.select(F.explode(own).alias("h")).where("h is not null")
+    found = docs.select(F.explode_outer(own).alias("h")).where("h is not null")
     counted = found.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).agg(F.count("*").alias("n"))
     return counted.where(F.col("n") >= min_docs).select("h1", "h2")
 
@@ -57,7 +64,7 @@ def drop_repeated_lines(
     frequent = materialise(repeated_lines(rows, "t", min_docs, least_chars), "lines")
     if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
-    exploded = keyed.select("id", "key", F.posexplode(_hashes(F.col("lines"), least_chars)).alias("pos", "h"))
+    exploded = keyed.select("id", "key", F.posexplode_outer(_hashes(F.col("lines"), least_chars)).alias("pos", "h"))
     exploded = exploded.select("id", "key", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
     gone = exploded.join(frequent, ["h1", "h2"], "left_semi").groupBy("id", "key").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), "gone")
