@@ -6,9 +6,11 @@ so only these prefixes are joined, rarest first, and a posting that one set alon
 but its own search. Collisions are then counted on the signatures, and links are confirmed on the
 full sets.
 
-A posting list is never paired with itself. First each of its members meets the list's least id;
-members that the confirmed links have brought together are skipped, and lists whose members are
-all together are done. The rest of a list is compared in blocks of bounded size.
+A posting list is never paired with itself. First each of its members meets the list's least id.
+Lists of one least id are then taken together; those whose members the confirmed links have all
+brought together are skipped. The rest are compared in blocks of bounded size, each pair of blocks
+in a task that counts collisions, skips pairs that are together already, confirms the others on
+their full sets, and gives the links that join components, never all links.
 """
 
 from __future__ import annotations
@@ -21,40 +23,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import bounded_batches, materialise
-from .words import shingle_sets, signatures, slices
+from .storage import BROADCAST_IDS, bounded_batches, materialise, without_ids
+from .words import by_bytes, shingle_sets, signatures
 
 #: Coordinates of a signature, and those that must agree. A pair of similarity 0.75 agrees in fewer with probability 3e-7.
 K, MATCHES = 32, 11
+#: Coordinates of the sketch that is compared before the full sets, 8 bits each, and those that must
+#: agree; a pair of similarity 0.75 agrees in fewer with probability 1e-7.
+SKETCH, SKETCH_MATCHES = 256, 156
 #: Members of a posting list in a block.
-BLOCK = 1024
-#: Ids are broadcast up to this many (8 MB); beyond it, they are shuffled.
-BROADCAST_IDS = 1_000_000
+BLOCK = 512
 
 
 def _sets(words: int, signed: bool):
-    """Batches of (id, text) to (id, n, set_key and coordinates) or (id, n, shingles)."""
+    """Batches of (id, text) to (id, n, set_key, coords), or to (id, n, shingles, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo, hi in slices(whole.column(1)):
-                batch = whole.slice(lo, hi - lo)
-                flat, at = shingle_sets(batch.column(1), words)
-                n = np.diff(at)
-                held = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                if not signed:
-                    shingles = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), shingles], ["id", "n", "shingles"])
-                    continue
-                import xxhash
-
-                keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in held]
-                packed = signatures(flat, at, K) | (np.arange(K, dtype=np.int64) << 32)
-                ends = np.concatenate(([0], np.cumsum(np.where(n > 0, K, 0))))
-                coords = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(packed.reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), pa.array(keys, pa.binary()), coords], ["id", "n", "set_key", "coords"]
-                )
+        for batch in by_bytes(batches):
+            flat, at = shingle_sets(batch.column(1), words)
+            n = np.diff(at)
+            held = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            if not signed:
+                shingles = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
+                sketch = np.zeros((len(n), SKETCH), np.uint8)
+                sketch[n > 0] = signatures(flat, at, SKETCH) & 255
+                raw = pa.array([x.tobytes() for x in sketch])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), shingles, raw], ["id", "n", "shingles", "sketch"])
+                continue
+            import xxhash
+
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in held]
+            packed = signatures(flat, at, K) | (np.arange(K, dtype=np.int64) << 32)
+            ends = np.concatenate(([0], np.cumsum(np.where(n > 0, K, 0))))
+            coords = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(packed.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), pa.array(keys, pa.binary()), coords], ["id", "n", "set_key", "coords"]
+            )
 
     return run
 
@@ -68,21 +72,21 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     return materialise(own.select("id", F.col("p.key").alias("key")), "prefixes")
 
 
-def _agreeing(a: str, b: str):
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z))
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets have the similarity."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+def _full_sets(prefixes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, n, shingles, sketch) of the texts that have postings to share."""
+    wanted = materialise(prefixes.select("id").distinct(), "wanted")
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets(words, False), "id long, n long, shingles array<long>"), "sets")
+    return materialise(texts.mapInArrow(_sets(words, False), "id long, n long, shingles array<long>, sketch binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full shingle sets have the similarity."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    percent = round(similarity * 100)
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    both = pairs.join(left, "a").join(right, "b").where(alike).withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
@@ -93,79 +97,89 @@ def _labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _across_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one part (key, i, j) that agree in MATCHES coordinates and are of two components.
+def _across_blocks(percent: int):
+    """Rows of parts (lead, i, j) to links (a, b) that join components within a part.
 
-    Rows come sorted by part, with side 0 for block i and 1 for block j; a part has at most a few
-    blocks of rows. Within a part, of the pairs that join the same two components only the one
-    with the most agreeing coordinates goes on to be confirmed in this round.
+    Rows come sorted by part, with side 0 for block i and 1 for block j.
     """
 
-    def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        coords = rows["coords"]
+    def links(rows: dict[str, np.ndarray], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         left = np.flatnonzero(rows["side"] == 0)
         right = left if rows["i"][0] == rows["j"][0] else np.flatnonzero(rows["side"] == 1)
-        agree = np.zeros((len(left), len(right)), np.int16)
-        for k in range(K):
-            agree += coords[left, k][:, None] == coords[right, k][None, :]
-        comp, ids = rows["component"], rows["id"]
-        n = rows["n"]
+        n, comp = rows["n"], rows["component"]
         small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-        ok = (agree >= MATCHES) & (comp[left][:, None] != comp[right][None, :]) & (100 * small >= rows["percent"][0] * large)
-        x, y = np.nonzero(ok)
-        a, b = ids[left[x]], ids[right[y]]
-        ca, cb = comp[left[x]], comp[right[y]]
-        order = np.lexsort((np.maximum(a, b), np.minimum(a, b), -agree[x, y], np.maximum(ca, cb), np.minimum(ca, cb)))
-        lo, hi = np.minimum(ca, cb)[order], np.maximum(ca, cb)[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        kept = order if len(order) <= BLOCK else order[first]
-        return np.minimum(a, b)[kept], np.maximum(a, b)[kept]
+        apart = (comp[left][:, None] != comp[right][None, :]) & (100 * small >= percent * large)
+        if not apart.any():
+            return
+        agree = np.zeros((len(left), len(right)), np.int16)
+        for k in range(SKETCH):
+            agree += rows["sketch"][left, k][:, None] == rows["sketch"][right, k][None, :]
+        x, y = np.nonzero(apart & (agree >= SKETCH_MATCHES))
+        order = np.argsort(-agree[x, y], kind="stable")
+        root = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for p, q in zip(left[x[order]].tolist(), right[y[order]].tolist(), strict=True):
+            one, two = find(int(comp[p])), find(int(comp[q]))
+            if one == two:
+                continue
+            common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            if 100 * common >= percent * (len(sets[p]) + len(sets[q]) - common):
+                root[max(one, two)] = min(one, two)
+                yield int(rows["id"][p]), int(rows["id"][q])
 
     def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "side", "id", "component", "n", "percent")}
-        cols["coords"] = table.column("coords").combine_chunks().flatten().to_numpy().reshape(-1, K)
-        change = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
-        found = [pairs({c: v[s:e] for c, v in cols.items()}) for s, e in zip([0, *change], [*change, table.num_rows], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["a", "b"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-        same = np.all(keys == keys[:, -1:], axis=0)
-        start = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-        ends_held = held and [held[-1].column(c)[0].as_py() for c in ("key", "i", "j")] != keys[:, -1].tolist()
-        if start or ends_held:
-            yield from whole(pa.Table.from_batches([*held, batch.slice(0, start)]))
-            held = []
-        held.append(batch.slice(start))
-    if held:
-        yield from whole(pa.Table.from_batches(held))
-
-
-def _candidates(prefixes: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Untested pairs of posting lists that hold more than one component."""
-    posts = prefixes.join(labels, "id")
-    several = posts.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
-    several = materialise(several.where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "several")
-    rows = posts.join(several, "key").join(reps.select("id", "n", "coords"), "id")
+        cols = {c: table.column(c).to_numpy() for c in ("lead", "i", "j", "side", "id", "component", "n")}
+        cols["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        lists = table.column("shingles").combine_chunks()
+        flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        change = np.flatnonzero(np.any([np.diff(cols[c]) != 0 for c in ("lead", "i", "j")], axis=0)) + 1
+        found: list[tuple[int, int]] = []
+        for s, e in zip([0, *change], [*change, table.num_rows], strict=True):
+            sets = [flat[a:b] for a, b in zip(at[s:e], at[s + 1 : e + 1], strict=True)]
+            found += links({c: v[s:e] for c, v in cols.items()}, sets)
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("lead", "i", "j")])
+            same = np.all(keys == keys[:, -1:], axis=0)
+            start = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+            ends_held = held and [held[-1].column(c)[0].as_py() for c in ("lead", "i", "j")] != keys[:, -1].tolist()
+            if start or ends_held:
+                yield from whole(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                held = []
+            held.append(batch.slice(start))
+        if held:
+            yield from whole(pa.Table.from_batches(held))
+
+    return run
+
+
+def _remaining(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members of each list that holds more than one."""
+    leads = stars.select(F.col("a").alias("lead")).distinct()
+    lists = stars.select(F.col("a").alias("lead"), F.col("b").alias("id")).unionByName(leads.withColumn("id", F.col("lead")))
+    posts = materialise(lists.join(labels, "id"), "lists")
+    several = posts.groupBy("lead").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
+    several = materialise(several.where("x <> y").select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "several")
+    rows = posts.join(several, "lead").join(sets, "id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "key",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "id",
-        "component",
-        "n",
-        F.lit(percent).alias("percent"),
-        "coords",
-    )
-    parts = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return parts.mapInArrow(_across_blocks, "a long, b long").distinct()
+    side = (F.col("own") > F.col("other")).cast("int").alias("side")
+    part = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    rows = rows.select("lead", *part, side, "id", "component", "n", "shingles", "sketch")
+    dealt = rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    return dealt.mapInArrow(_across_blocks(percent), "a long, b long")
 
 
 def near_duplicates(
@@ -194,21 +208,12 @@ def near_duplicates(
     leaders = materialise(leaders.select("key", "lead"), "leaders")
     stars = prefixes.join(leaders, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     stars = materialise(stars, "stars")
-    sides = reps.select("id", "n", "coords")
-    tested = stars.join(sides.toDF("a", "na", "ca"), "a").join(sides.toDF("b", "nb", "cb"), "b")
-    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    tested = materialise(tested.where(alike & (_agreeing("ca", "cb") >= MATCHES)).select("a", "b"), "tested")
     named = docs.where("id is not null")
-    ids = prefixes.select("id").distinct()
-    links = materialise(_confirmed(tested, named, words, similarity), "links")
-    while True:
-        labels = materialise(_labelled(ids, links), "labels")
-        pairs = _candidates(prefixes, reps, labels, percent).join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if not pairs.limit(1).count():
-            break
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(materialise(_confirmed(pairs, named, words, similarity), "links"))
+    sets = _full_sets(prefixes, named, words)
+    links = materialise(_confirmed(stars, sets, percent), "links")
+    labels = materialise(_labelled(sets.select("id"), links), "labels")
+    links = links.unionByName(materialise(_remaining(stars, sets, labels, percent), "links"))
+    labels = _labelled(sets.select("id"), links)
     groups = reps.select("set_key", "id").join(labels.withColumnRenamed("id", "rep"), F.col("id") == F.col("rep"), "left")
     groups = materialise(groups.select("set_key", F.coalesce("component", "id").alias("component")), "groups")
     keyed = signs.select("id", "n", F.coalesce("set_key", F.unhex(F.lit("00"))).alias("set_key"))
@@ -220,3 +225,10 @@ def near_duplicates(
         component.alias("component_id"),
         component.eqNullSafe(F.col("id")).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.75) -> DataFrame:
+    """docs with all their columns, one document of each component: the one of the least id, and all without links."""
+    found = near_duplicates(docs, id_col, text, words, similarity)
+    gone = materialise(found.where("not kept").select(id_col).distinct(), "gone")
+    return without_ids(docs, gone, id_col, id_col)

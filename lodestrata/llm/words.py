@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +12,31 @@ import xxhash
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about most_bytes of text each, and one row at least, so that memory is bounded."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > most_bytes:
-            yield start, i
-            start, held = i, 0
-        held += int(n)
-    if len(sizes) > start:
-        yield start, len(sizes)
+def by_bytes(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about most_bytes of text (column 1) each, and one row at least.
+
+    Memory stays bounded for very long texts, and short ones are handled many at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def together() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > most_bytes:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield together()
+                held, size, start = [], 0, i
+            size += n
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        yield together()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
