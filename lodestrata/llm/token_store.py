@@ -8,9 +8,11 @@ document's row and a 32-bit fingerprint of the key, which turns away nearly all
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,15 +25,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, materialise, new_path
-from .words import mix, slices
+from .words import by_bytes, mix
 
 MAGIC = b"LSTOK\x00\x00\x01"
 #: magic, bytes of an id, documents, documents with a null key, distinct keys, ids, buckets
 HEADER = struct.Struct("<8sIQQQQQ")
-#: A worker's memo of words is emptied when it has this many.
-MEMO_WORDS = 400_000
-#: Ids of a shard, on average, and at most this many documents in one file.
-SHARD_IDS, SHARD_DOCS = 4_000_000, 50_000
+#: Words that a worker keeps with their ids, about 200 bytes each.
+MEMO_WORDS = 800_000
+#: Documents of a shard, on average, and ids at which a file ends whatever their number.
+SHARD_DOCS, SHARD_IDS = 4096, 16_000_000
+#: Marks at a word's end that a vocabulary may split off.
+MARKS = ".,;:!?"
 _KEY, _MARK = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -39,7 +43,9 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     by_word: for vocabularies that drop white space and never join across it, the ids of a text are
-    those of its words in turn, and each word is encoded once. Otherwise texts are encoded as they are.
+    those of its words in turn, and a word is encoded once for as long as a worker remembers it.
+    Where the vocabulary also splits off marks at a word's end and folds A-Z, which is tried first,
+    `Word,` is looked up as `word` and `,`. Otherwise texts are encoded as they are.
     """
 
     def __init__(self, path: str, by_word: bool) -> None:
@@ -47,49 +53,66 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._encoder, self._by_word = Tokenizer.from_file(path), by_word
-        self._memo: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self._encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        one = lambda x: self._encode([x])[0]
+        self._folds = all(one(f"Ab{m}") == one("ab") + one(m) for m in [*MARKS, MARKS])
+        self._forget()
+
+    def _forget(self) -> None:
+        self._at: dict[str, int] = {}
+        self._ids, self._bounds = array("I"), array("q", [0])
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _put(self, words: list[str], ids: list[list[int]]) -> None:
+        for w, x in zip(words, ids, strict=True):
+            self._at[w] = len(self._bounds) - 1
+            self._ids.extend(x)
+            self._bounds.append(len(self._ids))
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers words that are not known yet."""
+        parts: dict[str, tuple[str, str]] = {}
+        for w in words if self._folds else ():
+            core = w.rstrip(MARKS)
+            low = core.lower()
+            if core.isascii() and core.isalnum() and low != w:
+                parts[w] = (low, w[len(core) :])
+        plain = dict.fromkeys(w for w in words if w not in parts)
+        plain.update(dict.fromkeys(x for pair in parts.values() for x in pair if x))
+        fresh = [w for w in plain if w not in self._at]
+        self._put(fresh, self._encode(fresh))
+        known = lambda w: self._ids[self._bounds[self._at[w]] : self._bounds[self._at[w] + 1]]
+        self._put(list(parts), [(known(a) if a else array("I")) + (known(b) if b else array("I")) for a, b in parts.values()])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
         if not self._by_word:
-            return self._encode(texts.to_pylist())
+            return [np.array(x, np.uint32) for x in self._encode(texts.to_pylist())]
         lists = pc.ascii_split_whitespace(texts)
         at = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self._memo) > MEMO_WORDS:
-            self._memo.clear()
-        fresh = [w for w in words if w not in self._memo]
-        self._memo.update(zip(fresh, self._encode(fresh), strict=True))
-        known = [self._memo[w] for w in words]
-        if not known:
+        if not words:
             return [np.zeros(0, np.uint32)] * len(texts)
-        sizes = np.array([len(k) for k in known], np.int64)
-        table, starts = np.concatenate(known), np.concatenate(([0], np.cumsum(sizes)))
+        if len(self._at) > MEMO_WORDS:
+            self._forget()
+        self._learn([w for w in words if w not in self._at])
+        rows = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
+        bounds = np.array(self._bounds, np.int64)
+        first, sizes = bounds[rows], bounds[rows + 1] - bounds[rows]
         which = coded.indices.to_numpy(zero_copy_only=False)
         ends = np.concatenate(([0], np.cumsum(sizes[which])))
-        ids = table[np.repeat(starts[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
-        bounds = ends[at - at[0]]
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
+        table = np.array(self._ids, np.uint32)
+        ids = table[np.repeat(first[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
+        cuts = ends[at - at[0]]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-def encoded(docs: DataFrame, path: str, end_id: int, by_word: bool, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, ids): the ids of each whole text and end_id, as little-endian unsigned 32-bit integers. Null texts are empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, by_word)
-        for whole in batches:
-            for lo, hi in slices(whole.column(1)):
-                batch = whole.slice(lo, hi - lo)
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder(batch.column(1))]
-                n = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([x.astype("<u4").tobytes() for x in ids])], ["id", "n", "ids"])
-
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, ids binary")
+@functools.cache
+def _encoder(path: str, by_word: bool) -> Encoder:
+    """A worker's encoder outlives its tasks."""
+    return Encoder(path, by_word)
 
 
 def _hashed(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -149,7 +172,7 @@ def _prints(keys: np.ndarray) -> np.ndarray:
     return (_hashed(keys, _MARK) >> np.uint64(32)).astype(np.uint32)
 
 
-def shard_bytes(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
+def shard_bytes(keys: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
     """The file of documents in ascending key order, nulls first. Rows may repeat a key: the index leads to the first."""
     nulls = sum(k is None for k in keys)
     real = np.array([k for k in keys if k is not None], np.int64)
@@ -158,8 +181,8 @@ def shard_bytes(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
     at = index.slot(distinct)
     prints, lead = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.uint32)
     prints[at], lead[at] = _prints(distinct), rows + nulls
-    payload = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}")
-    starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype("<u8")
+    payload = np.concatenate(ids).astype(f"<u{width}") if ids else np.zeros(0, f"<u{width}")
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype("<u8")
     stored = np.concatenate((np.zeros(nulls, np.int64), real)).astype("<i8")
     head = HEADER.pack(MAGIC, width, len(keys), nulls, len(distinct), len(payload), len(index.displacements))
     return b"".join([head, *(x.tobytes() for x in (starts, stored, index.displacements.astype("<i8"), prints, lead, payload))])
@@ -191,48 +214,51 @@ class Shard:
         return self._ids[int(self.starts[row]) : int(self.starts[row + 1])].astype("<u4")
 
 
-def write(tokens: DataFrame, vocabulary: int, path: str | None = None) -> DataFrame:
-    """Writes (id, n, ids) as shard files in ascending id order; returns one row for each file, in order.
+def write(
+    docs: DataFrame, vocabulary: str, end_id: int, by_word: bool, id_col: str = "doc_id", text: str = "text", path: str | None = None
+) -> DataFrame:
+    """Encodes whole texts, each followed by end_id, and writes them as shard files in ascending id order.
 
-    Each attempt of a task writes files of its own, and only those of the attempt that succeeded are
-    in the returned table, so lost executors and repeated tasks do no harm.
+    Returns one row for each file, in order. Each attempt of a task writes files of its own, and
+    only those of the attempt that succeeded are in the returned table, so lost executors and
+    repeated tasks do no harm.
     """
-    spark = tokens.sparkSession
-    path, width = path or new_path(spark, "shards"), 2 if vocabulary <= 1 << 16 else 4
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    path, width = path or new_path(spark, "shards"), 2 if max(vocabulary_size(vocabulary), end_id + 1) <= 1 << 16 else 4
+    fields = [("partition", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, part = TaskContext.get(), 0
+        task, part, held, encoder = TaskContext.get(), 0, 0, _encoder(vocabulary, by_word)
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
         keys: list[int | None] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             name = f"shard-{task.partitionId():06d}-{part:04d}-{task.taskAttemptId()}.bin"
             with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(shard_bytes(keys, ids, width))
-            row = {"partition": task.partitionId(), "part": part, "file": f"{path}/{name}", "n_docs": len(keys), "n_ids": sum(map(len, ids)) // 4}
             real = [k for k in keys if k is not None]
-            return pa.RecordBatch.from_pylist([row | {"first": min(real, default=None), "last": max(real, default=None)}], schema)
+            row = [task.partitionId(), part, f"{path}/{name}", len(keys), sum(map(len, ids)), min(real, default=None), max(real, default=None)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(row, fields, strict=True)], [n for n, _ in fields])
 
-        schema = pa.schema([("partition", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-        held = 0
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if keys and k != keys[-1] and (held > 16 * SHARD_IDS or len(keys) >= SHARD_DOCS):
+        for batch in by_bytes(batches, 16 << 20):
+            for k, x in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
+                if keys and k != keys[-1] and (held >= SHARD_IDS or len(keys) >= 4 * SHARD_DOCS):
                     yield flush()
                     part, held = part + 1, 0
                     keys.clear()
                     ids.clear()
                 keys.append(k)
-                ids.append(x)
-                held += len(x)
+                ids.append(np.append(x, np.uint32(end_id)).astype(f"<u{width}"))
+                held += len(x) + 1
         if keys:
             yield flush()
 
-    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(1, -(-total // SHARD_IDS))
-    ordered = tokens.repartitionByRange(parts, "id").sortWithinPartitions("id", "ids")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    parts = max(1, -(-rows.count() // SHARD_DOCS))
+    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
     schema = "partition int, part int, file string, n_docs long, n_ids long, first long, last long"
     files = materialise(ordered.mapInArrow(put, schema), "files")
     before = Window.orderBy("partition", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -297,15 +323,14 @@ def lookup(files: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return joined.select("file", "id").repartition("file").sortWithinPartitions("file").mapInArrow(run, "id long, ids array<long>")
 
 
-def store_and_read(docs: DataFrame, path: str, vocabulary: int, end_id: int, by_word: bool) -> DataFrame:
+def store_and_read(docs: DataFrame, vocabulary: str, end_id: int, by_word: bool) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of docs after encoding, writing and reading them.
 
     Null and empty texts have the end id alone. Documents are stored in ascending doc_id order,
-    null ids first; rows that repeat an id are stored one after another, by their ids. An empty
+    null ids first; rows that repeat an id are stored one after another, by their texts. An empty
     table gives no rows; other columns are ignored.
     """
-    tokens = materialise(encoded(docs, path, end_id, by_word), "tokens")
-    files = write(tokens, vocabulary)
+    files = write(docs, vocabulary, end_id, by_word)
     return read(files, files.count()).withColumnRenamed("id", "doc_id")
 
 
