@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches
-from .words import slices
+from .words import by_bytes
 
 #: Hash buckets, embedding size, and lengths of the n-grams in bytes.
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (2, 3, 4)
@@ -81,17 +81,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, buckets, weights): the distinct n-grams of each text and their shares."""
-    for whole in batches:
-        for lo, hi in slices(whole.column(1)):
-            batch = whole.slice(lo, hi - lo)
-            starts, sizes, grams = _grams(batch.column(1))
-            rows = []
-            for lang, s, n in zip(batch.column(0).to_pylist(), starts, sizes, strict=True):
-                found, times = np.unique(np.concatenate([g[s : s + n] for g in grams]), return_counts=True)
-                inside = found < BUCKETS
-                rows.append((lang, found[inside], times[inside] / max(1, times[inside].sum())))
-            lists = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.list_(pa.int32())), (2, pa.list_(pa.float32())))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *lists], ["lang", "buckets", "weights"])
+    for batch in by_bytes(batches):
+        starts, sizes, grams = _grams(batch.column(1))
+        rows = []
+        for lang, s, n in zip(batch.column(0).to_pylist(), starts, sizes, strict=True):
+            found, times = np.unique(np.concatenate([g[s : s + n] for g in grams]), return_counts=True)
+            inside = found < BUCKETS
+            rows.append((lang, found[inside], times[inside] / max(1, times[inside].sum())))
+        lists = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.list_(pa.int32())), (2, pa.list_(pa.float32())))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *lists], ["lang", "buckets", "weights"])
 
 
 def _descend(rows: list, languages: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -166,20 +164,33 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
-        for whole in batches:
-            for lo, hi in slices(whole.column(1)):
-                batch = whole.slice(lo, hi - lo)
-                known = batch.column(2).to_numpy(zero_copy_only=False) & bool(model.languages)
-                if model.languages:
-                    scores = model.scores(batch.column(1))
-                    best, top = scores.argmax(1), scores.max(1)
-                else:
-                    best, top = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-                best, top = np.where(known, best, len(model.languages)), np.where(known, top, 0.0)
-                columns = [batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(top), pa.array(known & (top >= model.accept))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "accepted"])
+        for batch in by_bytes(batches):
+            known = batch.column(2).to_numpy(zero_copy_only=False) & bool(model.languages)
+            if model.languages:
+                scores = model.scores(batch.column(1))
+                best, top = scores.argmax(1), scores.max(1)
+            else:
+                best, top = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
+            best, top = np.where(known, best, len(model.languages)), np.where(known, top, 0.0)
+            columns = [batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(top), pa.array(known & (top >= model.accept))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "accepted"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, accepted boolean")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language `predict` accepts."""
+    bounded_batches(docs.sparkSession)
+    letters = "letters_" + "_".join(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, known = batch.column(text), batch.column(letters).to_numpy(zero_copy_only=False)
+            top = model.scores(texts).max(1) if model.languages else np.full(batch.num_rows, -1.0)
+            yield batch.drop_columns([letters]).filter(pa.array(known & (top >= model.accept)))
+
+    found = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letters)
+    return docs.select("*", found).mapInArrow(run, docs.schema)

@@ -59,11 +59,27 @@ def drop_repeated_lines(
     rows are matched by their text. An empty table gives no rows; other columns are ignored. When
     all lines of a text are dropped, kept_text is empty.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    keyed = rows.select("id", F.xxhash64("id", "t").alias("key"), F.split("t", "\n", -1).alias("lines"))
+    out = _reassembled(docs, id_col, text, min_docs, least_chars)
+    return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", "kept_text")
+
+
+def without_repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = 10, least_chars: int = 1
+) -> DataFrame:
+    """docs with all their columns, text replaced by what `drop_repeated_lines` keeps of it."""
+    out = _reassembled(docs, id_col, text, min_docs, least_chars)
+    names = [(c, F.col("kept_text") if c == text else F.col("row").getField(c)) for c in docs.columns]
+    return out.select(*(x.alias(c) for c, x in names))
+
+
+def _reassembled(docs: DataFrame, id_col: str, text: str, min_docs: int, least_chars: int) -> DataFrame:
+    others = [F.col(c) for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    keyed = rows.select("row", "id", F.xxhash64("id", "t").alias("key"), F.split("t", "\n", -1).alias("lines"))
     frequent = materialise(repeated_lines(rows, "t", min_docs, least_chars), "lines")
     if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
+    # an inner explode would have the hashes computed once more for a filter
     exploded = keyed.select("id", "key", F.posexplode_outer(_hashes(F.col("lines"), least_chars)).alias("pos", "h"))
     exploded = exploded.select("id", "key", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
     gone = exploded.join(frequent, ["h1", "h2"], "left_semi").groupBy("id", "key").agg(F.collect_set("pos").alias("gone"))
@@ -72,7 +88,8 @@ def drop_repeated_lines(
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.transform(left, lambda i: F.get(F.col("lines"), i))
     return keyed.join(gone, same, "left").select(
-        F.col("id").alias(id_col),
+        "row",
+        "id",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n").alias("kept_text"),

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, grid_order_join, language_id, license_scan, line_dedup, minhash_join, seed_decontamination, token_store, url_reputation
+from . import bin_packing, grid_order_join, language_id, license_scan, line_dedup, minhash_join, seed_decontamination, sentencepiece_codec, token_store, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file on every machine."""
     import public_tokenizers
 
@@ -59,6 +59,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bin_packing.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=40)
     return out.select(
@@ -71,7 +75,7 @@ def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.store_and_read(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, by_word=True)
+    return token_store.store_and_read(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, by_word=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
+    "op7_sentencepiece_codec": op7_sentencepiece_codec,
     "op8_bin_packing": op8_bin_packing,
     "op9_minhash_join": op9_minhash_join,
     "op10_token_store": op10_token_store,

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, SparkSession] = {}
 _OWN: list[str] = []
@@ -50,6 +51,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast to take rows out of a table (8 MB); beyond it, they are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, df_id: str, ids_id: str) -> DataFrame:
+    """The rows of df whose id is not among ids, a written table with one column; null ids are equal here."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    there = ids.select(F.col(ids_id).alias("id_to_leave_out"))
+    there = F.broadcast(there) if small else there
+    return df.join(there, df[df_id].eqNullSafe(there["id_to_leave_out"]), "left_anti")
+
+
 def release(spark: SparkSession) -> None:
     """Deletes every intermediate table that this process has written."""
     for root in [r for r, s in _ROOTS.items() if s is spark]:
