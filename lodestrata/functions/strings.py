@@ -14,7 +14,7 @@ def digits(text: Column) -> Column:
 
 def luhn(text: Column) -> Column:
     """Luhn check of the digits of a text; false without any (M3)."""
-    return F.coalesce((digits(text) != "") & F.luhn_check(digits(text)), F.lit(False))
+    return F.coalesce((digits(text) != "") & F.call_function("luhn_check", digits(text)), F.lit(False))
 
 
 def entropy(text: Column) -> Column:

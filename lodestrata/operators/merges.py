@@ -78,8 +78,9 @@ def merged_findings(df: DataFrame, keys: Sequence[str], file: str, rank: str, la
     Occurrences, distinct files, the highest rank; file and snippet of the lowest layer, the first
     of equal ones; the first subtype; details merged in order, later values winning.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(details).alias("d"))))
-    merged = F.aggregate(ordered, F.create_map().cast("map<string,string>"), lambda a, x: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(x["d"], k)), x["d"]))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.map_entries(details).alias("d"))))
+    later = lambda a, x: F.map_concat(F.map_filter(a, lambda k, _: ~F.exists(x["d"], lambda e: e["key"] == k)), F.map_from_entries(x["d"]))
+    merged = F.aggregate(ordered, F.create_map().cast("map<string,string>"), later)
     best = F.min_by(F.struct(F.col(file).alias("file"), F.col(snippet).alias("snippet")), F.struct(layer, pos))
     out = df.groupBy(*keys).agg(
         F.count("*").alias("occurrences"),

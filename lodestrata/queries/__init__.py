@@ -1,4 +1,6 @@
 """Queries over the shared tables, with the SQL that each is checked against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import columns, linkage, summaries, texts, vulnerabilities
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "columns", "linkage", "summaries", "texts", "vulnerabilities"]
