@@ -24,10 +24,12 @@ from .words import by_bytes
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (2, 3, 4)
 #: Labelled rows that a model is fitted on, at most, shared evenly between the languages.
 SAMPLE_ROWS = 2000
-EPOCHS, RATE, HELD_BACK = 6, 0.5, 0.25
+EPOCHS, RATE, HELD_BACK = 6, 0.05, 0.25
 #: Share of the correctly named held-back texts that the rejection score may turn away.
 REJECTED = 0.002
 UNKNOWN = "und"
+#: Bytes of text that a worker holds the n-grams of at once, in about forty times the memory.
+BATCH_BYTES = 2 << 20
 _SPACE = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 
 
@@ -81,7 +83,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, buckets, weights): the distinct n-grams of each text and their shares."""
-    for batch in by_bytes(batches):
+    for batch in by_bytes(batches, BATCH_BYTES):
         starts, sizes, grams = _grams(batch.column(1))
         rows = []
         for lang, s, n in zip(batch.column(0).to_pylist(), starts, sizes, strict=True):
@@ -128,8 +130,9 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     picked = [r for x in languages for r in ids.where(F.col("lang") == x).orderBy(order).limit(each).collect()]
     sample = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], ids.schema)
     texts = rows.join(F.broadcast(sample), ["key", "lang"], "left_semi").select("lang", "text").limit(SAMPLE_ROWS + len(languages))
-    counted = texts.mapInArrow(_counted, "lang string, buckets array<int>, weights array<float>").collect()
-    data = [(r[0], np.array(r[1], np.int64), np.array(r[2])) for r in counted if r[1]]
+    counted = texts.mapInArrow(_counted, "lang string, buckets array<int>, weights array<float>").toArrow()
+    columns = (counted.column(c).combine_chunks() for c in ("lang", "buckets", "weights"))
+    data = [(x.as_py(), b.values.to_numpy().astype(np.int64), w.values.to_numpy()) for x, b, w in zip(*columns, strict=True) if len(b)]
     data.sort(key=lambda r: (r[0], len(r[1]), r[1].tolist()[:50], r[2].tolist()[:50]))
     rng = np.random.default_rng(7)
     mixed = [data[i] for i in rng.permutation(len(data))]
@@ -143,7 +146,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
         doubt = 1 / (len(held) + 2)
         target = np.full(logits.shape, doubt / len(languages))
         target[np.arange(len(held)), truth] += 1 - doubt
-        losses = {t: -(target * np.log(_softmax(logits * t) + 1e-12)).sum(1).mean() for t in np.geomspace(0.1, 10, 41)}
+        losses = {t: -(target * np.log(_softmax(logits * t) + 1e-12)).sum(1).mean() for t in np.geomspace(0.0001, 10, 101)}
         model.sharpness = float(min(losses, key=losses.get))
         scored = _softmax(logits * model.sharpness)
         right = scored.max(1)[scored.argmax(1) == truth]
@@ -164,7 +167,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, BATCH_BYTES):
             known = batch.column(2).to_numpy(zero_copy_only=False) & bool(model.languages)
             if model.languages:
                 scores = model.scores(batch.column(1))

@@ -39,7 +39,7 @@ def _sets(words: int, signed: bool):
     """Batches of (id, text) to (id, n, set_key, coords), or to (id, n, shingles, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, 4 << 20):
             flat, at = shingle_sets(batch.column(1), words)
             n = np.diff(at)
             held = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]

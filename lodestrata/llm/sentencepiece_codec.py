@@ -33,7 +33,7 @@ SPACE = "▁"
 #: What a character without a piece costs below the least score.
 UNKNOWN_PENALTY = 10.0
 #: Parts that a worker keeps with their ids, about 200 bytes each.
-MEMO_PARTS = 600_000
+MEMO_PARTS = 300_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for batch in by_bytes(batches, 16 << 20):
+        for batch in by_bytes(batches):
             ids = codec.encode(batch.column(1))
             sizes = np.array([len(x) for x in ids], np.int64)
             flat = np.concatenate([*ids, np.zeros(0, np.int32)])

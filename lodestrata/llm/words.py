@@ -37,6 +37,8 @@ def by_bytes(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> It
             held.append(batch.slice(start))
     if held:
         yield together()
+    held.clear()
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def mix(x: np.ndarray) -> np.ndarray:
