@@ -23,7 +23,7 @@ def _toward_minimum(edges: DataFrame, larger_only: bool) -> DataFrame:
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the least id that links reach from each node which has a link.
+    """(node, component): the least id that links reach, for each node from which they reach a lesser one.
 
     Nulls and links of a node with itself are ignored; repeated links change nothing; no links give
     no rows. Each round is a fixed number of joins and aggregations over the links, and the number

@@ -8,6 +8,7 @@ or by `release`.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         _OWN[:] = _OWN or ["file://" + tempfile.mkdtemp(prefix="lodestrata-")]
         at = _OWN[0]
-    return at.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)  # other readers do not know the cluster's default store
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
