@@ -27,22 +27,28 @@ def version_key(text: Column) -> Column:
     trailing zeros, pre-release, post-release, development release, local label.
     """
     low = F.lower(text)
-    part = lambda i: F.regexp_extract(low, _VERSION, i)
+    fields = F.split(F.regexp_replace(low, _VERSION, "\u0001".join(f"${i}" for i in range(1, 11))), "\u0001", -1)
     number = lambda x: F.when(x == "", 0).otherwise(x.try_cast("long"))
-    release = F.transform(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\."), lambda x: x.try_cast("long"))
-    stage = (
-        F.when(part(3).isin("a", "alpha"), 0).when(part(3).isin("b", "beta"), 1).when(part(3) != "", 2)
-        .when((part(5) == "") & (part(6) == "") & (part(8) != ""), -1).otherwise(3)
-    )
-    post = F.when(part(5) != "", part(5).try_cast("long")).when(part(6) != "", number(part(7))).otherwise(-1)
-    dev = F.when(part(8) != "", number(part(9))).otherwise(_LAST)
-    labels = F.filter(F.split(part(10), "[-_.]"), lambda x: x != "")
-    local = F.transform(labels, lambda x: F.struct(F.coalesce(x.try_cast("long"), F.lit(-1)).alias("n"), x.alias("s")))
-    key = F.struct(
-        number(part(1)).alias("epoch"), release.alias("release"), stage.alias("stage"), number(part(4)).alias("pre"),
-        post.alias("post"), dev.alias("dev"), local.alias("local"),
-    )
-    return F.when(low.rlike(_VERSION) & ~F.exists(release, lambda x: x.isNull()), key)
+
+    def key(p: Column) -> Column:
+        part = lambda i: F.get(p, F.lit(i - 1))
+        release = F.transform(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\."), lambda x: x.try_cast("long"))
+        stage = (
+            F.when(part(3).isin("a", "alpha"), 0).when(part(3).isin("b", "beta"), 1).when(part(3) != "", 2)
+            .when((part(5) == "") & (part(6) == "") & (part(8) != ""), -1).otherwise(3)
+        )
+        post = F.when(part(5) != "", part(5).try_cast("long")).when(part(6) != "", number(part(7))).otherwise(-1)
+        dev = F.when(part(8) != "", number(part(9))).otherwise(_LAST)
+        labels = F.filter(F.split(part(10), "[-_.]"), lambda x: x != "")
+        local = F.transform(labels, lambda x: F.struct(F.coalesce(x.try_cast("long"), F.lit(-1)).alias("n"), x.alias("s")))
+        whole = F.struct(
+            number(part(1)).alias("epoch"), release.alias("release"), stage.alias("stage"), number(part(4)).alias("pre"),
+            post.alias("post"), dev.alias("dev"), local.alias("local"),
+        )
+        return F.when(~F.exists(release, lambda x: x.isNull()), whole)
+
+    # one element, so that the expression is matched once and not once for each field
+    return F.when(low.rlike(_VERSION), F.get(F.transform(F.array(fields), key), F.lit(0)))
 
 
 def has_bound(ranges: Column) -> Column:
@@ -50,19 +56,35 @@ def has_bound(ranges: Column) -> Column:
     return F.exists(ranges, lambda r: F.coalesce(*(r[b] for b in BOUNDS)).isNotNull())
 
 
-def in_any_range(version: Column, ranges: Column) -> Column:
-    """Whether a version lies in one of the ranges.
+def keyed_ranges(ranges: Column) -> Column:
+    """Ranges with the keys of their bounds, and `good`: whether there is a bound and all are readable."""
+
+    def keyed(r: Column) -> Column:
+        keys = {b: version_key(r[b]) for b in BOUNDS}
+        readable = F.coalesce(*(r[b] for b in BOUNDS)).isNotNull()
+        for b in BOUNDS:
+            readable = readable & (r[b].isNull() | keys[b].isNotNull())
+        return F.struct(*(k.alias(b) for b, k in keys.items()), readable.alias("good"))
+
+    return F.transform(ranges, keyed)
 
-    A range without bounds holds nothing, and one with an unreadable bound neither.
-    """
-    key = version_key(version)
+
+def key_in_any(key: Column, ranges: Column) -> Column:
+    """Whether a version's key lies in one of the keyed ranges."""
 
     def holds(r: Column) -> Column:
-        some = F.coalesce(*(r[b] for b in BOUNDS)).isNotNull()
-        each = [F.when(r[b].isNull(), F.lit(True)).otherwise(F.coalesce(fits(key, version_key(r[b])), F.lit(False))) for b, fits in BOUNDS.items()]
-        out = some
-        for e in each:
-            out = out & e
+        out = r["good"]
+        for b, fits in BOUNDS.items():
+            out = out & (r[b].isNull() | F.coalesce(fits(key, r[b]), F.lit(False)))
         return out
 
     return F.coalesce(key.isNotNull() & F.exists(ranges, holds), F.lit(False))
+
+
+def in_any_range(version: Column, ranges: Column) -> Column:
+    """Whether a version lies in one of the ranges.
+
+    A range without bounds holds nothing, and one with an unreadable bound neither. Where many
+    versions meet the same ranges, keep the keys of both as columns and use `key_in_any`.
+    """
+    return key_in_any(version_key(version), keyed_ranges(ranges))

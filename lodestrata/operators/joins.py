@@ -125,10 +125,16 @@ def _in_ranges(df: DataFrame, column: str, known: DataFrame, order: list[Column]
     return _bring_back(df, column, best.drop("_n", "_low", "_high", "_size", "_block"))
 
 
-def token_candidates(items: DataFrame, item: str, tokens: str, products: DataFrame, product: str, keys: Sequence[str]) -> DataFrame:
-    """Pairs of items and product rows that share a token, once for each item and keys."""
+def token_candidates(
+    items: DataFrame, item: str, tokens: str, products: DataFrame, product: str, keys: Sequence[str], residual: Column | None = None
+) -> DataFrame:
+    """Pairs of items and product rows that share a token, once for each item and keys.
+
+    residual: a further condition, which thins the pairs out before they are made distinct.
+    """
     spread = items.withColumn("_token", F.explode(tokens))
-    return spread.join(products, spread["_token"] == products[product]).drop("_token").dropDuplicates([item, *keys])
+    on = spread["_token"] == products[product]
+    return spread.join(products, on if residual is None else on & residual).drop("_token").dropDuplicates([item, *keys])
 
 
 def expanded_aliases(items: DataFrame, column: str, tokens: str, aliases: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import search_tokens
-from ..functions.versions import has_bound, in_any_range, version_key
+from ..functions.versions import has_bound, key_in_any, keyed_ranges, version_key
 from ..operators.joins import expanded_aliases, token_candidates
 from ..operators.merges import first_seen
 
@@ -27,18 +27,22 @@ ALIASES = {
 
 def with_tokens(sdks: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
     """sdks with `tokens` of the identifier and the name, aliases among them."""
-    out = sdks.withColumn("tokens", search_tokens(F.col("sdk_identifier"), F.col("sdk_name")))
+    names = sdks.select("sdk_identifier", "sdk_name").distinct()
+    each = names.withColumn("tokens", search_tokens(F.col("sdk_identifier"), F.col("sdk_name")))
     table = sdks.sparkSession.createDataFrame(sorted(aliases.items()), "starts string, also array<string>")
-    return expanded_aliases(out, "sdk_identifier", "tokens", table)
+    each = expanded_aliases(each, "sdk_identifier", "tokens", table).toDF("_identifier", "_name", "tokens")
+    same = sdks["sdk_identifier"].eqNullSafe(each["_identifier"]) & sdks["sdk_name"].eqNullSafe(each["_name"])
+    return sdks.join(each, same).drop("_identifier", "_name")
 
 
 def matches(sdks: DataFrame, cves: DataFrame) -> DataFrame:
     """(sample_id, sdk_identifier, sdk_name, sdk_version, cve_id, vendor, product, severity, score, published): one row for each
     sample, identifier and entry (J9, J10, A40). Of several products, the first by name counts."""
-    known = sdks.where(version_key(F.col("sdk_version")).isNotNull()).withColumn("item", F.xxhash64("sample_id", "sdk_identifier", "sdk_name", "sdk_version"))
-    bounded = cves.where(F.col("product").isNotNull() & has_bound(F.col("version_ranges")))
-    pairs = token_candidates(known, "item", "tokens", bounded, "product", ["cve_id", "vendor", "product"])
-    hit = pairs.where(in_any_range(F.col("sdk_version"), F.col("version_ranges")))
+    keys = sdks.select("sdk_version").distinct().withColumn("version_key", version_key(F.col("sdk_version"))).where("version_key is not null")
+    known = sdks.join(keys, "sdk_version").withColumn("item", F.xxhash64("sample_id", "sdk_identifier", "sdk_name", "sdk_version"))
+    bounded = cves.where(F.col("product").isNotNull() & has_bound(F.col("version_ranges"))).withColumn("ranges", keyed_ranges(F.col("version_ranges")))
+    fits = key_in_any(F.col("version_key"), F.col("ranges"))
+    hit = token_candidates(known, "item", "tokens", bounded, "product", ["cve_id", "vendor", "product"], fits)
     first = first_seen(hit, ["sample_id", "sdk_identifier", "cve_id"], ["product", "vendor", "sdk_name", "sdk_version"])
     return first.select("sample_id", "sdk_identifier", "sdk_name", "sdk_version", "cve_id", "vendor", "product", "severity", "score", "published")
 

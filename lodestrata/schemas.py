@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def struct(ddl: str) -> T.StructType:
+def schema_of(ddl: str) -> T.StructType:
     """The schema; Spark parses it, so a session must be there."""
     return T.StructType.fromDDL(ddl)
 
@@ -33,7 +33,7 @@ def conform(df: DataFrame, schema: str, keep_null: tuple[str, ...] = ()) -> Data
     Booleans, arrays, maps and structs stay null, as do the columns of keep_null.
     """
     out = []
-    for f in struct(schema):
+    for f in schema_of(schema):
         kind = f.dataType.simpleString()
         value = F.col(f.name).try_cast(f.dataType) if f.name in df.columns and f.dataType.typeName() not in ("array", "map", "struct") else F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)
         default = _EMPTY.get(kind)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.net import event_domain, event_type, is_quic
-from ..schemas import EVENTS, struct
+from ..schemas import EVENTS, schema_of
 
 ETHERNET, RAW = 1, (12, 14, 101, 228)
 
@@ -206,4 +206,4 @@ def packets(spark: SparkSession, path: str) -> DataFrame:
     ports = (F.col("src_port"), F.col("dst_port"))
     out = raw.withColumn("domain", event_domain(F.col("tls_sni"), F.col("http_host"), F.col("dns_query")))
     out = out.withColumn("event_type", event_type(F.col("protocol"), *ports, F.col("tls_sni"), F.col("http_host")))
-    return out.select(*struct(EVENTS).fieldNames(), is_quic(F.col("protocol"), *ports).alias("is_quic"))
+    return out.select(*schema_of(EVENTS).fieldNames(), is_quic(F.col("protocol"), *ports).alias("is_quic"))

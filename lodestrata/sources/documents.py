@@ -102,11 +102,12 @@ def manifests(files: DataFrame) -> DataFrame:
 
 def components(parsed: DataFrame) -> DataFrame:
     """One row per declared component (manifest_components): kind, position, name, attributes, filters and meta-data."""
-    each = [
-        F.transform(F.coalesce(F.col(f"m.application.`{k}`"), F.array().cast(_COMPONENT)), lambda c, i, k=k: F.struct(F.lit(k).alias("kind"), i.alias("pos"), c.alias("c")))
-        for k in KINDS
-    ]
-    spread = parsed.where("readable").select("sample_id", F.col("m._package").alias("package"), F.col("m.`uses-sdk`.`_android:targetSdkVersion`").try_cast("int").alias("target"), F.explode(F.concat(*each)).alias("x"))
+
+    def of_kind(k: str) -> Column:
+        own = F.coalesce(F.col(f"m.application.`{k}`"), F.array().cast(_COMPONENT))
+        return F.transform(own, lambda c, i: F.struct(F.lit(k).alias("kind"), i.alias("pos"), c.alias("c")))
+
+    spread = parsed.where("readable").select("sample_id", F.col("m._package").alias("package"), F.col("m.`uses-sdk`.`_android:targetSdkVersion`").try_cast("int").alias("target"), F.explode(F.concat(*map(of_kind, KINDS))).alias("x"))
     names = lambda xs: F.transform(F.coalesce(xs, F.array()), lambda a: a["_android:name"])
     filters = F.transform(
         F.coalesce(F.col("x.c.`intent-filter`"), F.array()),
@@ -125,8 +126,12 @@ def components(parsed: DataFrame) -> DataFrame:
 def permissions(parsed: DataFrame) -> DataFrame:
     """(sample_id, record, name): requested and declared permissions (manifest_permissions)."""
     kinds = {"uses-permission": "requested", "uses-permission-sdk-23": "requested_sdk_23", "permission": "declared"}
-    each = [F.transform(F.coalesce(F.col(f"m.`{k}`"), F.array().cast(_NAMED)), lambda p, r=r: F.struct(F.lit(r).alias("record"), p["_android:name"].alias("name"))) for k, r in kinds.items()]
-    return parsed.where("readable").select("sample_id", F.explode(F.concat(*each)).alias("p")).select("sample_id", "p.record", "p.name")
+
+    def of_kind(k: str) -> Column:
+        own = F.coalesce(F.col(f"m.`{k}`"), F.array().cast(_NAMED))
+        return F.transform(own, lambda p: F.struct(F.lit(kinds[k]).alias("record"), p["_android:name"].alias("name")))
+
+    return parsed.where("readable").select("sample_id", F.explode(F.concat(*map(of_kind, kinds))).alias("p")).select("sample_id", "p.record", "p.name")
 
 
 def evidence(parsed: DataFrame) -> DataFrame:

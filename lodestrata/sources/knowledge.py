@@ -72,7 +72,7 @@ def tracker_signatures(files: DataFrame, text: str = "text", signature: str = "n
 
 def blocked_domains(spark: SparkSession, path: str) -> DataFrame:
     """(domain, version): whole-domain rules `||domain^` of a filter list; others are passed over."""
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     version = F.coalesce(F.nullif(F.regexp_extract("value", r"(?m)^!\s*Version:\s*(\S+)", 1), F.lit("")), F.lit("unknown"))
     found = F.regexp_extract_all("value", F.lit(r"(?m)^\|\|([a-z0-9.-]+)\^(?:\$third-party)?\s*$"), F.lit(1))
     return rows.select(version.alias("version"), F.explode(found).alias("domain")).select("domain", "version").distinct()
@@ -90,7 +90,7 @@ def stamp_parts(stamp: Column) -> Column:
 
 def resolver_list(spark: SparkSession, path: str) -> DataFrame:
     """(resolver_name, protocol, address) of Markdown lists: a `## name` heading and the stamps below it."""
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     sections = rows.select(F.explode(F.split("value", r"(?m)^## ")).alias("s"))
     stamps = F.regexp_extract_all("s", F.lit(r"(?m)^(sdns://[A-Za-z0-9_-]+)"), F.lit(1))
     named = sections.select(F.trim(F.regexp_extract("s", r"^([^\r\n]*)", 1)).alias("resolver_name"), F.explode(stamps).alias("stamp"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.ids import region_of
 from ..operators.checks import rejected
-from ..schemas import struct
+from ..schemas import schema_of
 
 
 def csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (), null_if_blank: Sequence[str] = ()) -> DataFrame:
@@ -35,7 +35,7 @@ def csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (
             return text.try_cast(f.dataType).alias(f.name)
         return (F.nullif(text, F.lit("")) if f.name in null_if_blank else text).alias(f.name)
 
-    return raw.select(*map(column, struct(schema)))
+    return raw.select(*map(column, schema_of(schema)))
 
 
 def sample_index(spark: SparkSession, path: str, schema: str, regions: dict[str, list[str]]) -> DataFrame:
