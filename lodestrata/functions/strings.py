@@ -100,3 +100,9 @@ def plausible_secret(text: Column) -> Column:
 def plausible_version(text: Column) -> Column:
     """Dotted digits, neither zero nor a file name or resource reference."""
     return F.coalesce(text.rlike(r"^\d+(\.\d+)+([-+.][0-9A-Za-z.-]+)?$") & ~text.rlike(r"^[0.]+$|\.(xml|json|txt|so|dex)$|^@"), F.lit(False))
+
+
+def plain_confidence(text: Column) -> Column:
+    """high, medium or low."""
+    up = F.upper(text)
+    return F.when(up.isin("VERY_HIGH", "HIGH"), "high").when(up == "MEDIUM", "medium").otherwise("low")

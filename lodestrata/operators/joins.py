@@ -19,6 +19,15 @@ from ..functions.versions import in_any_range
 RANGE_BLOCK = 1 << 16
 
 
+#: Rule tables that have to meet every value are broadcast up to this many rows; beyond it, Spark picks another join.
+BROADCAST_RULES = 100_000
+
+
+def small(rules: DataFrame) -> DataFrame:
+    """rules, marked for broadcast if they are few."""
+    return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
+
+
 def _best(found: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
@@ -90,7 +99,7 @@ def best_contained(df: DataFrame, column: str, rules: DataFrame, pattern: str, p
     Every distinct value meets every rule, so rules must be a small table.
     """
     probes = df.select(F.col(column).alias("_probe")).where(F.col(column).isNotNull()).distinct()
-    found = probes.join(F.broadcast(rules), F.contains(F.lower("_probe"), F.lower(pattern)))
+    found = probes.join(small(rules), F.contains(F.lower("_probe"), F.lower(pattern)))
     return _bring_back(df, column, _best(found, ["_probe"], [F.desc(F.length(pattern)), F.col(pos)]))
 
 
@@ -139,7 +148,7 @@ def token_candidates(
 
 def expanded_aliases(items: DataFrame, column: str, tokens: str, aliases: DataFrame) -> DataFrame:
     """items whose tokens are joined by those of every alias row whose `starts` begins the column (J11); aliases is a small table."""
-    extra = items.select(F.col(column).alias("_probe")).distinct().join(F.broadcast(aliases), F.startswith("_probe", "starts"))
+    extra = items.select(F.col(column).alias("_probe")).distinct().join(small(aliases), F.startswith("_probe", "starts"))
     extra = extra.groupBy("_probe").agg(F.flatten(F.collect_list("also")).alias("_also"))
     joined = _bring_back(items, column, extra)
     merged = F.array_sort(F.array_union(tokens, F.coalesce("_also", F.array().cast("array<string>"))))
@@ -210,7 +219,7 @@ def cascade(df: DataFrame, levels: Sequence[tuple[str, DataFrame]], keyword_on:
         found.append(F.col(f"_c{i}"))
     if keywords is not None:
         probes = df.select(F.col(keyword_on).alias("_probe")).distinct()
-        met = probes.join(F.broadcast(keywords), F.expr("lower(_probe) rlike pattern")).groupBy("_probe")
+        met = probes.join(small(keywords), F.expr("lower(_probe) rlike pattern")).groupBy("_probe")
         agreed = met.agg(F.min("category").alias("_ck"), F.count_distinct("category").alias("_n")).where("_n = 1").drop("_n")
         out = _bring_back(out, keyword_on, agreed)
         found.append(F.col("_ck"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.net import plausible_domain, plausible_endpoint
-from ..functions.strings import is_email, is_uuid, luhn, plausible_secret, within
+from ..functions.strings import is_email, is_uuid, luhn, plausible_secret, plausible_version, within
 from ..functions.values import PII_PATTERNS
+from .joins import small
 
 #: Checks of matched text by name.
 VALIDATORS = {
@@ -110,7 +111,7 @@ def secrets(df: DataFrame, key: Sequence[str], text: str, rules: DataFrame) -> D
 
     `high_entropy_token` matches must look like secrets as well (F8). rules is a small table.
     """
-    known = F.broadcast(rules.where("supported and lower(severity) <> 'low'"))
+    known = small(rules.where("supported and lower(severity) <> 'low'"))
     met = df.select(*key, F.col(text).alias("_t")).join(known, F.expr("_t rlike regex"))
     found = met.select(*key, "pattern_id", F.lower("severity").alias("confidence"), F.explode(F.expr("regexp_extract_all(_t, regex, 0)")).alias("value"))
     return found.where((F.col("pattern_id") != "high_entropy_token") | plausible_secret(F.col("value"))).distinct()
@@ -126,7 +127,7 @@ def rule_patterns(df: DataFrame, key: Sequence[str], text: str, rules: DataFrame
     method = F.concat(F.lit("(?i)(?:"), quoted("class_name"), F.lit("[.;>/-]*)?"), quoted("method_name"), F.lit("\\b"))
     constant = F.concat(F.lit("(?i)\\b"), quoted("class_name"), F.lit("\\b"))
     known = rules.withColumn("_regex", F.when(F.coalesce(F.col("method_name"), F.lit("")) == "", constant).otherwise(method))
-    met = df.select(*key, F.col(text).alias("_t")).join(F.broadcast(known), F.expr("_t rlike _regex"))
+    met = df.select(*key, F.col(text).alias("_t")).join(small(known), F.expr("_t rlike _regex"))
     return met.select(*key, "rule_id", F.explode(F.expr("regexp_extract_all(_t, _regex, 0)")).alias("value")).distinct()
 
 
@@ -164,3 +165,44 @@ def geo_category(class_name: Column, method: Column, include: Sequence[tuple[str
     both = F.lower(F.concat_ws(".", class_name, method))
     out = F.coalesce(*(F.when(F.contains(both, F.lit(k)), c) for k, c in include))
     return F.when(~contains_keywords(both, exclude), out) if exclude else out
+
+
+def code_text(text: Column) -> Column:
+    """Disassembled calls `Class;->method` as `Class.method`, the form of keyword rules."""
+    return F.replace(text, F.lit(";->"), F.lit("."))
+
+
+def api_tokens(apis: DataFrame) -> DataFrame:
+    """(token, category, subcategory) rules of APIs: `Class.method`, or `Class` for constructors."""
+    token = F.when(F.col("method_name").isin("<init>", ""), F.col("class_name")).otherwise(F.concat_ws(".", "class_name", "method_name"))
+    known = apis.where(~F.coalesce(F.lower("category"), F.lit("")).isin("", "unknown"))
+    return known.select(token.alias("token"), "category", F.coalesce("subcategory", F.lit("")).alias("subcategory")).distinct()
+
+
+_NUMBER = r"(\d+(?:\.\d+)+[0-9A-Za-z.+-]*)"
+#: Where a version may stand, from the most to the least trusted: (source, file kinds, pattern of one group).
+VERSION_PLACES = [
+    ("pom", ("pom",), rf"(?:<version>|(?m:^)version=)\s*{_NUMBER}"),
+    ("buildconfig", ("smali",), rf'VERSION\w*:Ljava/lang/String; = "{_NUMBER}"'),
+    ("const", ("smali",), r'const-string(?:/jumbo)? ([vp]\d+), "VALUE"(?:(?!const-string)[\s\S]){0,200}?sput-object \1, L[^;]+;->\w*VERSION'.replace("VALUE", _NUMBER)),
+    ("resource", ("res_values",), rf'name="[^"]*version[^"]*"[^>]*>\s*{_NUMBER}'),
+    ("metadata", ("metadata",), rf"(?m:^)(?:version\s*=\s*)?{_NUMBER}\s*$"),
+]
+
+
+def version_candidates(files: DataFrame, text: str = "text") -> DataFrame:
+    """(sample_id, path, source, place, version) of files (sample_id, path, kind, text).
+
+    A string constant counts if its register is then stored in a field named for a version. place
+    orders the sources by trust, for `merges.best_candidate`.
+    """
+
+    def found(place: int, source: str, kinds: Sequence[str], pattern: str) -> Column:
+        group = 2 if source == "const" else 1
+        values = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(group))
+        each = F.transform(values, lambda v: F.struct(F.lit(source).alias("source"), F.lit(place).alias("place"), v.alias("version")))
+        return F.when(F.col("kind").isin(*kinds), each).otherwise(F.slice(each, 1, 0))
+
+    every = F.concat(*(found(i, *p) for i, p in enumerate(VERSION_PLACES)))
+    spread = files.select("sample_id", "path", F.explode(every).alias("c")).select("sample_id", "path", "c.source", "c.place", "c.version")
+    return spread.where(plausible_version(F.col("version"))).distinct()

@@ -97,3 +97,24 @@ def test_empty_tables(spark):
     assert joins.longest_prefix(empty, "host", rules, "suffix").count() == 0
     assert joins.compared(empty, empty, ["host"]).count() == 0
     assert merges.top_shares(empty.withColumn("k", F.lit("x")), ["host"], "k", 3).count() == 0
+
+
+def test_version_candidates(spark):
+    smali = 'const-string v0, "4.12.0"\n\n    sput-object v0, Lokhttp3/OkHttp;->VERSION:Ljava/lang/String;\nconst-string v1, "9.9.9"\nconst-string v2, "x"\nsput-object v1, La;->VERSION'
+    data = [
+        ("s", "a.smali", "smali", smali), ("s", "B.smali", "smali", '.field public static final VERSION_NAME:Ljava/lang/String; = "1.2.3"'), ("s", "pom.xml", "pom", "<version>2.0.1</version>"),
+        ("s", "v.xml", "res_values", '<string name="lib_version">3.4</string>'), ("s", "x.version", "metadata", "1.6.1\n"), ("s", "zero", "metadata", "0.0"), ("s", "none", "smali", None),
+    ]
+    df = spark.createDataFrame(data, "sample_id string, path string, kind string, text string")
+    found = matching.version_candidates(df)
+    assert {(r.source, r.version) for r in found.collect()} == {("const", "4.12.0"), ("buildconfig", "1.2.3"), ("pom", "2.0.1"), ("resource", "3.4"), ("metadata", "1.6.1")}
+    best = merges.best_candidate(found, ["sample_id"], "version", F.lit(True), [F.col("place"), F.col("path")])
+    assert best.first().version == "2.0.1"
+
+
+def test_api_rules(spark):
+    apis = spark.createDataFrame([("Build", "<init>", "Device", None), ("L", "get", "Location", "GPS"), ("X", "y", "unknown", "")], "class_name string, method_name string, category string, subcategory string")
+    rules = matching.api_tokens(apis)
+    assert {r.token for r in rules.collect()} == {"Build", "L.get"}
+    code = spark.createDataFrame([(1, "invoke Landroid/L;->get()")], "id int, t string").withColumn("t", matching.code_text(F.col("t")))
+    assert [r.token for r in matching.keyword_search(code, "id", "t", rules).collect()] == ["L.get"]
