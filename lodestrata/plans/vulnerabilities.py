@@ -39,10 +39,14 @@ def matches(sdks: DataFrame, cves: DataFrame) -> DataFrame:
     """(sample_id, sdk_identifier, sdk_name, sdk_version, cve_id, vendor, product, severity, score, published): one row for each
     sample, identifier and entry (J9, J10, A40). Of several products, the first by name counts."""
     keys = sdks.select("sdk_version").distinct().withColumn("version_key", version_key(F.col("sdk_version"))).where("version_key is not null")
-    known = sdks.join(keys, "sdk_version").withColumn("item", F.xxhash64("sample_id", "sdk_identifier", "sdk_name", "sdk_version"))
+    spread = sdks.join(keys, "sdk_version").withColumn("token", F.explode("tokens"))
     bounded = cves.where(F.col("product").isNotNull() & has_bound(F.col("version_ranges"))).withColumn("ranges", keyed_ranges(F.col("version_ranges")))
+    # ranges are tried once for each product and version, however many apps have them
+    tried = spread.select(F.struct("token", "sdk_version").alias("asked"), "token", "version_key").distinct()
     fits = key_in_any(F.col("version_key"), F.col("ranges"))
-    hit = token_candidates(known, "item", "tokens", bounded, "product", ["cve_id", "vendor", "product"], fits)
+    held = token_candidates(tried.withColumn("tokens", F.array("token")), "asked", "tokens", bounded, "product", ["cve_id", "vendor", "product"], fits)
+    held = held.select("asked.sdk_version", "token", "cve_id", "vendor", "product", "severity", "score", "published")
+    hit = spread.drop("version_key").join(held, ["token", "sdk_version"])
     first = first_seen(hit, ["sample_id", "sdk_identifier", "cve_id"], ["product", "vendor", "sdk_name", "sdk_version"])
     return first.select("sample_id", "sdk_identifier", "sdk_name", "sdk_version", "cve_id", "vendor", "product", "severity", "score", "published")
 

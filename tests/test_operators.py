@@ -118,3 +118,31 @@ def test_api_rules(spark):
     assert {r.token for r in rules.collect()} == {"Build", "L.get"}
     code = spark.createDataFrame([(1, "invoke Landroid/L;->get()")], "id int, t string").withColumn("t", matching.code_text(F.col("t")))
     assert [r.token for r in matching.keyword_search(code, "id", "t", rules).collect()] == ["L.get"]
+
+
+def test_lookups_against_plain_loops(spark):
+    """Random names, prefixes and addresses against the shortest spec that says the same."""
+    import ipaddress
+    import random
+
+    rng = random.Random(12)
+    label = lambda: rng.choice(["a", "b", "c", "ad", "x1"])
+    names = sorted({".".join(label() for _ in range(rng.randrange(1, 6))) for _ in range(300)})
+    suffixes = sorted({".".join(label() for _ in range(rng.randrange(1, 4))) for _ in range(25)})
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    rules = spark.createDataFrame([(s,) for s in suffixes], "s string")
+    got = {r.v: r.s for r in joins.longest_suffix(df, "v", rules, "s").collect()}
+    assert got == {n: max((s for s in suffixes if n == s or n.endswith("." + s)), key=len, default=None) for n in names}
+    got = {r.v: r.s for r in joins.longest_prefix(df, "v", rules, "s").collect()}
+    assert got == {n: max((s for s in suffixes if n.startswith(s)), key=len, default=None) for n in names}
+    ips = sorted({str(ipaddress.IPv4Address(rng.randrange(1 << 24, 1 << 27))) for _ in range(300)} | {"200.1.2.3"})
+    blocks = [(str(ipaddress.ip_network((rng.randrange(1 << 24, 1 << 27) >> (32 - b) << (32 - b), b))), i) for i, b in enumerate(rng.choices(range(4, 31), k=40))]
+    blocks += [(ips[3], 100), (ips[3], 101)]
+    nets = [(ipaddress.ip_network(b), b, i) for b, i in blocks]
+    df = spark.createDataFrame([(x,) for x in ips], "ip string")
+    got = {r.ip: r.pos for r in joins.cidr_lookup(df, "ip", spark.createDataFrame(blocks, "block string, pos int"), "block", "pos").collect()}
+    want = {}
+    for x in ips:
+        held = [(n.prefixlen < 32, i) for n, _, i in nets if ipaddress.ip_address(x) in n]
+        want[x] = min(held)[1] if held else None
+    assert got == want
