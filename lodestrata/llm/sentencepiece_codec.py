@@ -78,8 +78,8 @@ class Codec:
         self.search = self.search_merges if is_merge_model(model.serialized_model_proto()) else self.search_sums
         self._bytes, self._unknown, least = [-1] * 256, model.unk_id(), 0.0
         raw: list[bytes] = []
-        for i in range(n):
-            piece = model.id_to_piece(i)
+        self._names = [model.id_to_piece(i) for i in range(n)]
+        for i, piece in enumerate(self._names):
             if model.is_byte(i):
                 self._bytes[int(piece[3:5], 16)] = i
                 raw.append(bytes([int(piece[3:5], 16)]))
@@ -98,10 +98,10 @@ class Codec:
         self._ends = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
         if any(SPACE in p.lstrip(SPACE) for p in self._automaton.keys()):  # noqa: SIM118
             raise ValueError("a piece holds a space after another character")
-        self._follows: dict[tuple[str, str], bool] = {}
-        self._forget()
+        self._follows: dict[int, bool] = {}
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self._at: dict[str, int] = {}
         self._ids, self._bounds = array("i"), array("q", [0])
         if len(self._follows) > MEMO_PARTS:
@@ -117,29 +117,40 @@ class Codec:
             i = min(pairs)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _may_follow(self, before: str, piece: str) -> bool:
-        key = (before, piece)
+    def _may_follow(self, before: int, piece: int) -> bool:
+        """Whether merging leaves the two side by side; before is a piece, a character beyond the pieces, or -1 for none."""
+        key = before * (len(self._raw) + 1) + piece
         if key not in self._follows:
-            self._follows[key] = self._merged(before + piece) == [x for x in key if x]
+            pair = [self._name(x) for x in (before, piece) if x != -1]
+            self._follows[key] = self._merged("".join(pair)) == pair
         return self._follows[key]
 
+    def _name(self, piece: int) -> str:
+        return self._names[piece] if piece < len(self._raw) else chr(piece - len(self._raw))
+
     def search_merges(self, part: str) -> list[int]:
         """Ids of the segmentation by merge priority."""
-        last, ids, done = [""] * (len(part) + 1), [-1] * (len(part) + 1), 0
+        n, known, width = len(self._raw), self._follows.get, len(self._raw) + 1
+        last, sizes, done = [-1] * (len(part) + 1), [1] * (len(part) + 1), 0
         for end, (piece, size, _) in self._automaton.iter(part):
             while done < end:  # a character that no piece ends with stands alone
                 done += 1
-                last[done] = last[done] or part[done - 1]
-            if not last[end + 1]:
-                text = part[end + 1 - size : end + 1]
-                if self._may_follow(last[end + 1 - size], text):
-                    last[end + 1], ids[end + 1] = text, piece
+                if last[done] < 0:
+                    last[done] = n + ord(part[done - 1])
+            if last[end + 1] < 0:
+                before = last[end + 1 - size]
+                fits = known(before * width + piece)
+                if fits or fits is None and self._may_follow(before, piece):
+                    last[end + 1], sizes[end + 1] = piece, size
         out: list[int] = []
-        n = len(part)
-        while n:
-            text = last[n] or part[n - 1]
-            out.extend([ids[n]] if ids[n] >= 0 else reversed(self._bytes_of(text)))
-            n -= len(text)
+        at = len(part)
+        while at:
+            piece = last[at]
+            if 0 <= piece < n:
+                out.append(piece)
+            else:
+                out.extend(reversed(self._bytes_of(part[at - 1])))
+            at -= sizes[at]
         return out[::-1]
 
     def _bytes_of(self, char: str) -> list[int]:
@@ -188,7 +199,7 @@ class Codec:
         """Ids of whole texts; none for null and empty ones."""
         texts = pc.fill_null(texts, "")
         if len(self._at) > MEMO_PARTS:
-            self._forget()
+            self.forget()
         # spaces in a row, a space in front and the mark itself change where a text falls apart
         odd = pc.or_(pc.starts_with(texts, " "), pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE))).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
@@ -249,6 +260,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
             raw = pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist()
             same = pa.array([codec.decode_bytes(x) == r for x, r in zip(ids, raw, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists, same], ["id", "n_tokens", "ids", "round_trip"])
+        codec.forget()  # a worker does other work as well
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
