@@ -169,12 +169,16 @@ def _remaining(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent: in
     """Links between components among the members of each list that holds more than one."""
     leads = stars.select(F.col("a").alias("lead")).distinct()
     lists = stars.select(F.col("a").alias("lead"), F.col("b").alias("id")).unionByName(leads.withColumn("id", F.col("lead")))
-    posts = materialise(lists.join(labels, "id"), "lists")
-    several = posts.groupBy("lead").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
-    several = materialise(several.where("x <> y").select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "several")
+    of_lead = labels.select(F.col("id").alias("lead"), F.col("component").alias("main"))
+    posts = materialise(lists.join(labels, "id").join(of_lead, "lead").withColumn("rest", F.col("component") != F.col("main")), "lists")
+    several = posts.groupBy("lead").agg(F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("m")).where("r > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    several = materialise(several.select("lead", blocks("r").alias("rests"), blocks("m").alias("mains")), "several")
     rows = posts.join(several, "lead").join(sets, "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # blocks of the rest come first; those of the least id's own component are together already and never meet each other
+    own = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("rests"))).otherwise(F.col("rests") + F.pmod(F.xxhash64("id"), F.col("mains")))
+    last = F.when(F.col("rest"), F.col("rests") + F.col("mains") - 1).otherwise(F.col("rests") - 1)
+    rows = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     side = (F.col("own") > F.col("other")).cast("int").alias("side")
     part = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
     rows = rows.select("lead", *part, side, "id", "component", "n", "shingles", "sketch")
