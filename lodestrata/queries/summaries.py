@@ -242,11 +242,20 @@ def _streamed(spark: SparkSession, sf_dir: str, transform) -> DataFrame:  # noqa
     return spark.read.parquet(path)
 
 
-@query()
+def _plain_times(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("""
+SELECT date_trunc('day', ts) AS window_start, user_id, event_type, count(*) AS packets, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL""")
 def stream_flow_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda e: stream_flows(e.withColumn("size", F.round(F.col("value") * 100).cast("long")), ["user_id", "event_type"], "ts", "size", "1 day"))
+    out = _streamed(spark, sf_dir, lambda e: stream_flows(e.withColumn("size", F.round(F.col("value") * 100).cast("long")), ["user_id", "event_type"], "ts", "size", "1 day"))
+    return _plain_times(out, "window_start", "first_seen", "last_seen")
 
 
-@query()
+@query("""
+WITH s AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS s FROM events),
+b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM s)
+SELECT user_id, count(*) AS events, min(ts) AS first_seen, max(ts) AS last_seen FROM b GROUP BY user_id, burst""")
 def stream_gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda e: stream_bursts(e, ["user_id"], "ts"))
+    return _plain_times(_streamed(spark, sf_dir, lambda e: stream_bursts(e, ["user_id"], "ts")), "first_seen", "last_seen")
