@@ -33,7 +33,7 @@ SPACE = "▁"
 #: What a character without a piece costs below the least score.
 UNKNOWN_PENALTY = 10.0
 #: Parts that a worker keeps with their ids, about 200 bytes each.
-MEMO_PARTS = 300_000
+MEMO_PARTS = 150_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -104,7 +104,7 @@ class Codec:
     def forget(self) -> None:
         self._at: dict[str, int] = {}
         self._ids, self._bounds = array("i"), array("q", [0])
-        if len(self._follows) > MEMO_PARTS:
+        if len(self._follows) > 2 * MEMO_PARTS:
             self._follows.clear()
 
     def _merged(self, text: str) -> list[str]:
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, 2 << 20):
             ids = codec.encode(batch.column(1))
             sizes = np.array([len(x) for x in ids], np.int64)
             flat = np.concatenate([*ids, np.zeros(0, np.int32)])
