@@ -27,6 +27,8 @@ SAMPLE_ROWS = 2000
 EPOCHS, RATE, HELD_BACK = 6, 0.05, 0.25
 #: Share of the correctly named held-back texts that the rejection score may turn away.
 REJECTED = 0.002
+#: A score of this many times an even guess is accepted: a text in two languages is no reason to reject it.
+GUESS = 1.25
 UNKNOWN = "und"
 #: Bytes of text that a worker holds the n-grams of at once, in about forty times the memory.
 BATCH_BYTES = 2 << 20
@@ -150,8 +152,8 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
         model.sharpness = float(min(losses, key=losses.get))
         scored = _softmax(logits * model.sharpness)
         right = scored.max(1)[scored.argmax(1) == truth]
-        # texts under an even chance between two languages are turned away at most
-        model.accept = float(min(0.5, np.quantile(right, REJECTED))) if len(right) else 0.0
+        # at most those texts are turned away whose languages are hardly more than a guess
+        model.accept = float(min(0.5, GUESS / len(languages), np.quantile(right, REJECTED))) if len(right) else 0.0
     return model
 
 
