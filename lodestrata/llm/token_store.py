@@ -9,6 +9,8 @@ document's row and a 32-bit fingerprint of the key, which turns away nearly all
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import struct
 import zlib
@@ -31,7 +33,7 @@ MAGIC = b"LSTOK\x00\x00\x01"
 #: magic, bytes of an id, documents, documents with a null key, distinct keys, ids, buckets
 HEADER = struct.Struct("<8sIQQQQQ")
 #: Words that a worker keeps with their ids, about 200 bytes each.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 1_200_000
 #: Documents of a shard, on average, and ids at which a file ends whatever their number.
 SHARD_DOCS, SHARD_IDS = 4096, 16_000_000
 #: Marks at a word's end that a vocabulary may split off.
@@ -55,35 +57,61 @@ class Encoder:
         self._encoder, self._by_word = Tokenizer.from_file(path), by_word
         one = lambda x: self._encode([x])[0]
         self._folds = all(one(f"Ab{m}") == one("ab") + one(m) for m in [*MARKS, MARKS])
+        mark = json.loads(self._encoder.to_str())["model"].get("end_of_word_suffix")
+        names = self._encoder.get_vocab(with_added_tokens=True)
+        self._last = np.zeros(max(names.values()) + 1, bool)
+        self._last[[i for x, i in names.items() if mark and x.endswith(mark)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self._at: dict[str, int] = {}
-        self._ids, self._bounds = array("I"), array("q", [0])
+        self._at: dict[str, int] = {"": 0}
+        self._ids, self._bounds = array("I"), array("q", [0, 0])
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _put(self, words: list[str], ids: list[list[int]]) -> None:
-        for w, x in zip(words, ids, strict=True):
-            self._at[w] = len(self._bounds) - 1
-            self._ids.extend(x)
-            self._bounds.append(len(self._ids))
+    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        start = len(self._bounds) - 1
+        self._at.update(zip(words, range(start, start + len(words)), strict=True))
+        self._bounds.frombytes((self._bounds[-1] + np.cumsum(sizes, dtype=np.int64)).tobytes())
+        self._ids.frombytes(ids.astype(np.uint32).tobytes())
+
+    def _put_each(self, words: list[str]) -> None:
+        ids = self._encode(words)
+        self._put(words, np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def _put_joined(self, words: list[str]) -> None:
+        """Words of letters, many to a text: where the vocabulary marks the last id of a word, the ids fall apart again."""
+        for i in range(0, len(words), 20_000):
+            parts = [words[k : k + 500] for k in range(i, min(i + 20_000, len(words)), 500)]
+            for part, e in zip(parts, self._encoder.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self._last[ids]) + 1
+                if len(ends) == len(part) and ends[-1] == len(ids):
+                    self._put(part, ids, np.diff(ends, prepend=0))
+                else:
+                    self._put_each(part)
 
     def _learn(self, words: list[str]) -> None:
         """Remembers words that are not known yet."""
         parts: dict[str, tuple[str, str]] = {}
-        for w in words if self._folds else ():
-            core = w.rstrip(MARKS)
+        plain: dict[str, None] = {}
+        for w in words:
+            core = w.rstrip(MARKS) if self._folds else ""
             low = core.lower()
-            if core.isascii() and core.isalnum() and low != w:
+            if low != w and core.isascii() and core.isalnum():
                 parts[w] = (low, w[len(core) :])
-        plain = dict.fromkeys(w for w in words if w not in parts)
-        plain.update(dict.fromkeys(x for pair in parts.values() for x in pair if x))
+                plain[low] = None
+                plain[w[len(core) :]] = None
+            else:
+                plain[w] = None
         fresh = [w for w in plain if w not in self._at]
-        self._put(fresh, self._encode(fresh))
-        known = lambda w: self._ids[self._bounds[self._at[w]] : self._bounds[self._at[w] + 1]]
-        self._put(list(parts), [(known(a) if a else array("I")) + (known(b) if b else array("I")) for a, b in parts.values()])
+        letters = [w for w in fresh if w.isalpha()]
+        self._put_joined(letters)
+        self._put_each([w for w in fresh if not w.isalpha()])
+        known = lambda w: self._ids[self._bounds[self._at[w]] : self._bounds[self._at[w] + 1]] if w else array("I")
+        joined = [known(a) + known(b) for a, b in parts.values()]
+        self._put(list(parts), np.frombuffer(b"".join(joined), np.uint32), np.array([len(x) for x in joined], np.int64))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
@@ -243,7 +271,7 @@ def write(
             row = [task.partitionId(), part, f"{path}/{name}", len(keys), sum(map(len, ids)), min(real, default=None), max(real, default=None)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(row, fields, strict=True)], [n for n, _ in fields])
 
-        for batch in by_bytes(batches, 16 << 20):
+        for batch in by_bytes(batches, 12 << 20):
             for k, x in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
                 if keys and k != keys[-1] and (held >= SHARD_IDS or len(keys) >= 4 * SHARD_DOCS):
                     yield flush()
