@@ -11,9 +11,9 @@ from ..plans import vulnerabilities as plan
 from .base import query, table
 
 
-def _sdks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of apps: every tenth line item ships a part; its version is size.line, missing or unreadable at times."""
-    l, p = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0"), table(spark, sf_dir, "part")
+def _sdks(spark: SparkSession, sf_dir: str, cut: bool) -> DataFrame:
+    """Components of apps: a line item (if cut, one of every tenth order) ships a part; its version is size.line, missing or unreadable at times."""
+    l, p = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0" if cut else "true"), table(spark, sf_dir, "part")
     version = F.when(F.col("p_partkey") % 11 == 0, "").when(F.col("p_partkey") % 13 == 0, "not-a-version").otherwise(F.concat_ws(".", F.col("p_size").cast("string"), F.col("l_linenumber").cast("string")))
     return l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat(F.lit("app"), F.col("l_orderkey").cast("string")).alias("sample_id"), F.concat(F.lit("pkg."), F.translate(F.lower("p_name"), " ", ".")).alias("sdk_identifier"),
@@ -21,9 +21,9 @@ def _sdks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _cves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth part's last name word is a vulnerable product, from its size on and five versions up."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 20 = 1")
+def _cves(spark: SparkSession, sf_dir: str, cut: bool) -> DataFrame:
+    """A part's (if cut, every twentieth part's) last name word is a vulnerable product, from its size on and five versions up."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 20 = 1" if cut else "true")
     none = F.lit(None).cast("string")
     span = F.struct(F.col("p_size").cast("string").alias("start_including"), none.alias("start_excluding"), none.alias("end_including"), (F.col("p_size") + 5).cast("string").alias("end_excluding"))
     low = F.struct(none.alias("start_including"), F.lit("0").alias("start_excluding"), F.lit("1.3").alias("end_including"), none.alias("end_excluding"))
@@ -45,10 +45,13 @@ m AS (
   SELECT DISTINCT sample_id, s.sdk_identifier, cve_id, score FROM s JOIN t ON t.sdk_identifier = s.sdk_identifier JOIN c ON c.product = w
   WHERE ok AND ((major >= low AND major < low + 5) OR (two AND (major > 0 OR (major = 0 AND minor > 0)) AND (major < 1 OR (major = 1 AND minor <= 3)))))"""
 
+#: The same over all line items and all parts.
+_WHOLE_SQL = _SQL.replace(" WHERE l_orderkey % 10 = 0", "").replace(" WHERE p_partkey % 20 = 1", "")
 
-def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sdks = plan.with_tokens(_sdks(spark, sf_dir))
-    return sdks, plan.matches(sdks, _cves(spark, sf_dir))
+
+def _found(spark: SparkSession, sf_dir: str, cut: bool = True) -> tuple[DataFrame, DataFrame]:
+    sdks = plan.with_tokens(_sdks(spark, sf_dir, cut))
+    return sdks, plan.matches(sdks, _cves(spark, sf_dir, cut))
 
 
 @query(f"WITH {_SQL} SELECT sample_id, sdk_identifier, cve_id FROM m")
@@ -77,6 +80,32 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.outcomes(sdks, found).agg(F.count("*").alias("rows"), *count_where({k: F.col("outcome") == k for k in kinds}))
 
 
+@query(f"WITH {_WHOLE_SQL} SELECT sample_id, sdk_identifier, cve_id FROM m")
+def whole_version_range_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, cut=False)[1].select("sample_id", "sdk_identifier", "cve_id")
+
+
+@query(f"WITH {_WHOLE_SQL} SELECT sample_id, count(*) AS matches, count(DISTINCT cve_id) AS cves, count(DISTINCT sdk_identifier) AS components, max(score) AS worst_score FROM m GROUP BY 1")
+def whole_cve_app_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.app_summary(_found(spark, sf_dir, cut=False)[1])
+
+
+@query(f"""WITH {_WHOLE_SQL} SELECT s.sample_id, s.sdk_identifier, s.sdk_version, CASE WHEN sdk_version = '' THEN 'no_version' WHEN NOT ok THEN 'parse_error' WHEN h.sample_id IS NOT NULL THEN 'matched' ELSE 'no_nvd_entry' END AS outcome
+FROM s LEFT JOIN (SELECT DISTINCT sample_id, sdk_identifier FROM m) h ON h.sample_id = s.sample_id AND h.sdk_identifier = s.sdk_identifier""")
+def whole_cve_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sdks, found = _found(spark, sf_dir, cut=False)
+    return plan.outcomes(sdks, found).select("sample_id", "sdk_identifier", "sdk_version", "outcome")
+
+
+@query(f"""WITH {_WHOLE_SQL}, o AS (SELECT CASE WHEN sdk_version = '' THEN 'no_version' WHEN NOT ok THEN 'parse_error' WHEN h.sample_id IS NOT NULL THEN 'matched' ELSE 'no_nvd_entry' END AS outcome
+FROM s LEFT JOIN (SELECT DISTINCT sample_id, sdk_identifier FROM m) h ON h.sample_id = s.sample_id AND h.sdk_identifier = s.sdk_identifier)
+SELECT count(*) AS rows, count(*) FILTER (WHERE outcome = 'matched') AS matched, count(*) FILTER (WHERE outcome = 'no_version') AS no_version, count(*) FILTER (WHERE outcome = 'parse_error') AS parse_error, count(*) FILTER (WHERE outcome = 'no_nvd_entry') AS no_nvd_entry FROM o""")
+def whole_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sdks, found = _found(spark, sf_dir, cut=False)
+    kinds = ["matched", "no_version", "parse_error", "no_nvd_entry"]
+    return plan.outcomes(sdks, found).agg(F.count("*").alias("rows"), *count_where({k: F.col("outcome") == k for k in kinds}))
+
+
 @query("""
 WITH v AS (SELECT p_partkey, p_brand, p_size AS a, p_partkey % 7 AS b, p_size || '.' || (p_partkey % 7) || CASE WHEN p_partkey % 2 = 0 THEN '.0' ELSE '' END AS v FROM part)
 SELECT p_brand, p_partkey, v FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY a DESC, b DESC, p_partkey) AS n FROM v) WHERE n = 1""")
