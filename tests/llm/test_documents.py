@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -164,6 +165,41 @@ def test_decontamination_against_brute_force(spark):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
+def test_decontamination_misses_no_overlap(spark):
+    """On all diagonals, without masks: every item length, as many differing words as an overlap may have, and one more."""
+    rng = random.Random(8)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(5, 25)}
+    rows, want = [], {}
+    for n, g in items.items():
+        width = min(20, n)
+        for more in [0] * 25 + [1] * 5:
+            first = rng.randrange(0, n - width + 1)
+            gone = set(rng.sample(range(first, first + width), width // 4 + more)) | set(range(first)) | set(range(first + width, n))
+            h = [f"x{rng.randrange(40)}" for _ in range(rng.randrange(0, 9))]
+            h += ["other" if k in gone else w for k, w in enumerate(g)] + ["end"] * rng.randrange(0, 9)
+            rows.append((len(rows), " ".join(h)))
+            best = 0
+            for shift in range(-n, len(h)):
+                same = [0 <= k + shift < len(h) and g[k] == h[k + shift] for k in range(n)]
+                starts = [s for s in range(n - width + 1) if 0 <= s + shift and s + shift + width <= len(h)]
+                best = max([best, *(sum(same[s : s + width]) for s in starts)])
+            if 100 * best >= 75 * width:
+                want[rows[-1][0], n] = best
+    bench = spark.createDataFrame([(n, " ".join(g)) for n, g in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_equal for r in seed_decontamination.overlaps(documents(spark, rows), bench).collect()}
+    assert len(want) == 500 and got == want
+    long = bench.where("item_id >= 12")
+    got = {(r.doc_id, r.item_id): r.n_equal for r in seed_decontamination.overlaps(documents(spark, rows), long).collect()}
+    assert got == {k: b for k, b in want.items() if k[1] >= 12}
+
+
+@pytest.mark.parametrize("n", range(5, 21))
+def test_masks_hold_a_seed_for_every_choice_of_differing_words(n):
+    masks = seed_decontamination.MASKS if n >= seed_decontamination.LONG else seed_decontamination.SHORT_MASKS
+    laid = [{s + i for i, b in enumerate(m) if b == "1"} for m in masks for s in range(n - len(m) + 1)]
+    assert all(any(seed.isdisjoint(gone) for seed in laid) for gone in itertools.combinations(range(n), n // 4))
+
+
 def test_licenses(spark):
     known = license_scan.templates(spark)
     mit, apache = license_scan.TEMPLATES["mit"], license_scan.TEMPLATES["apache-2.0"]
