@@ -4,8 +4,9 @@ Distinct unit vectors are turned onto their principal axes and sorted by the gri
 epsilon, of their leading coordinates. The sorted sequence is cut into blocks, and intervals of
 blocks are joined recursively: of each pair of intervals whose bounding boxes lie within epsilon,
 the pairs of their parts go on, down to pairs of blocks; provably distant ones are skipped with all
-that they hold. Pairs of blocks are compared in double precision, and give counts and a spanning
-forest of their links, never the links one by one.
+that they hold. The near pairs are dealt out in tiles of TILE by TILE blocks, so that a block is
+shipped once for each tile and not for each pair. Pairs are compared in double precision, and give
+counts and a spanning forest of their links, never the links one by one.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .storage import materialise
 
-#: Vectors of a block, leading principal axes of the grid, and parts of an interval.
-BLOCK, AXES, PARTS = 2048, 8, 8
+#: Vectors of a block and bytes of them, leading principal axes of the grid, parts of an interval, and blocks on a tile's side.
+BLOCK, BLOCK_BYTES, AXES, PARTS, TILE = 2048, 1 << 20, 8, 8, 8
 #: The axes are those of this many vectors; any axes give the same links, and others only skip less.
 AXES_SAMPLE = 4096
 #: Pairs nearer to the threshold than this are computed again one by one, in the plainest order.
@@ -34,7 +35,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _axes(reps: DataFrame, d: int) -> np.ndarray:
-    sample = reps.orderBy(F.xxhash64("rep")).limit(AXES_SAMPLE).select("vec").toPandas()["vec"]
+    sample = reps.orderBy(F.xxhash64("vec"), "node").limit(AXES_SAMPLE).select("vec").toPandas()["vec"]
     if not len(sample):
         return np.eye(d)
     unit = _unit(np.stack(sample.to_list()).astype(float))
@@ -45,6 +46,7 @@ def _blocks(reps: DataFrame, d: int, n: int, epsilon: float) -> DataFrame:
     """One row for each block of the grid order: its place, members, weights, vectors and bounding box."""
     axes = _axes(reps, d)
     lead = min(AXES, d)
+    most = max(1, min(BLOCK, BLOCK_BYTES // (8 * d)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,34 +59,34 @@ def _blocks(reps: DataFrame, d: int, n: int, epsilon: float) -> DataFrame:
             cells = [pa.array(c) for c in np.floor(y[:, :lead] / epsilon).astype(np.int32).T]
             raw = pa.array([v.tobytes() for v in vectors.astype("<f8")])
             box = pa.FixedSizeListArray.from_arrays(pa.array(at.reshape(-1)), lead + 1).cast(pa.list_(pa.float64()))
-            names = ["rep", "copies", "raw", "at", *(f"c{i}" for i in range(lead))]
+            names = ["node", "copies", "raw", "at", *(f"c{i}" for i in range(lead))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, box, *cells], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, chunk, held = TaskContext.get().partitionId(), 0, []
-        names = ["part", "chunk", "n", "reps", "copies", "raw", "lo", "hi"]
+        names = ["part", "chunk", "nodes", "copies", "raw", "lo", "hi"]
 
         def block(t: pa.Table) -> pa.RecordBatch:
             at = t.column("at").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            ids, copies = (t.column(c).to_numpy().astype("<i8").tobytes() for c in ("rep", "copies"))
-            row = [task, chunk, t.num_rows, ids, copies, b"".join(t.column("raw").to_pylist()), at.min(0).tolist(), at.max(0).tolist()]
+            ids, copies = (t.column(c).to_numpy().astype("<i8").tobytes() for c in ("node", "copies"))
+            row = [task, chunk, ids, copies, b"".join(t.column("raw").to_pylist()), at.min(0).tolist(), at.max(0).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
         for batch in batches:
-            held.append(batch.select(["rep", "copies", "raw", "at"]))
-            while sum(b.num_rows for b in held) >= BLOCK:
+            held.append(batch.select(["node", "copies", "raw", "at"]))
+            while sum(b.num_rows for b in held) >= most:
                 table = pa.Table.from_batches(held)
-                yield block(table.slice(0, BLOCK))
-                chunk, held = chunk + 1, table.slice(BLOCK).to_batches()
+                yield block(table.slice(0, most))
+                chunk, held = chunk + 1, table.slice(most).to_batches()
         if sum(b.num_rows for b in held):
             yield block(pa.Table.from_batches(held))
 
     cells = [f"c{i}" for i in range(lead)]
-    placed = reps.mapInArrow(place, "rep long, copies long, raw binary, at array<double>, " + ", ".join(f"{c} int" for c in cells))
-    parts = max(1, min(-(-n // BLOCK), reps.sparkSession.sparkContext.defaultParallelism * 4), -(-n // (64 * BLOCK)))
-    ordered = materialise(placed, "placed").repartitionByRange(parts, *cells, "rep").sortWithinPartitions(*cells, "rep")
-    schema = "part int, chunk int, n int, reps binary, copies binary, raw binary, lo array<double>, hi array<double>"
+    placed = reps.mapInArrow(place, "node long, copies long, raw binary, at array<double>, " + ", ".join(f"{c} int" for c in cells))
+    parts = max(1, min(-(-n // most), reps.sparkSession.sparkContext.defaultParallelism * 4), -(-n // (64 * most)))
+    ordered = materialise(placed, "placed").repartitionByRange(parts, *cells, "node").sortWithinPartitions(*cells, "node")
+    schema = "part int, chunk int, nodes binary, copies binary, raw binary, lo array<double>, hi array<double>"
     return materialise(ordered.mapInArrow(cut, schema), "blocks")
 
 
@@ -124,44 +126,80 @@ def _compared(d: int, threshold: float):
                 return a, b
             a, b = to_a, to_b
 
+    def linked(one: dict, other: dict) -> np.ndarray:
+        cosine = one["unit"] @ other["unit"].T
+        out = cosine >= threshold
+        for x, y in zip(*np.nonzero(np.abs(cosine - threshold) < CLOSE), strict=True):
+            p, q = one["vectors"][x], other["vectors"][y]
+            out[x, y] = (p * q).sum() / np.sqrt((p * p).sum() * (q * q).sum()) >= threshold
+        if one is other:
+            np.fill_diagonal(out, False)
+        return out
+
+    def tile(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Links of each node within the tile, with itself as root, and the links that join components, counted 0."""
+        blocks = {}
+        for row in rows:
+            vectors = np.frombuffer(row["raw"], "<f8").reshape(-1, d)
+            nodes, copies = (np.frombuffer(row[c], "<i8") for c in ("nodes", "copies"))
+            blocks[row["block"]] = {"vectors": vectors, "unit": _unit(vectors), "nodes": nodes, "copies": copies, "links": np.zeros(len(nodes), np.int64)}
+        for row in rows:
+            one = blocks[row["block"]]
+            for k in row["others"]:
+                other = blocks[k]
+                met = linked(one, other)
+                at, to = np.flatnonzero(met.any(1)), np.flatnonzero(met.any(0))
+                if not len(at):
+                    continue
+                part = met[np.ix_(at, to)]
+                one["links"][at] += part @ other["copies"][to]
+                if one is not other:
+                    other["links"][to] += one["copies"][at] @ part
+                roots = forest(part, one["nodes"][at], other["nodes"][to])
+                nodes, roots = np.concatenate([one["nodes"][at], other["nodes"][to]]), np.concatenate(roots)
+                joins = nodes != roots
+                yield _rows(nodes[joins], np.zeros(joins.sum(), np.int64), roots[joins])
+        for own in blocks.values():
+            some = own["links"] > 0
+            yield _rows(own["nodes"][some], own["links"][some], own["nodes"][some])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                own = row["i"] == row["j"]
-                ids, copies, v = zip(*((np.frombuffer(row[f"{s}_reps"], "<i8"), np.frombuffer(row[f"{s}_copies"], "<i8"), np.frombuffer(row[f"{s}_raw"], "<f8").reshape(-1, d)) for s in "ab"), strict=True)
-                cosine = _unit(v[0]) @ _unit(v[1]).T
-                linked = cosine >= threshold
-                for x, y in zip(*np.nonzero(np.abs(cosine - threshold) < CLOSE), strict=True):
-                    p, q = v[0][x], v[1][y]
-                    linked[x, y] = (p * q).sum() / np.sqrt((p * p).sum() * (q * q).sum()) >= threshold
-                if own:
-                    np.fill_diagonal(linked, False)
-                if not linked.any():
-                    continue
-                rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-                part = linked[np.ix_(rows, cols)]
-                a, b = forest(part, ids[0][rows], ids[1][cols])
-                out = [(ids[0][rows], part @ copies[1][cols], a)] + ([] if own else [(ids[1][cols], copies[0][rows] @ part, b)])
-                columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "links", "root"])
+                if held and (held[-1]["i"], held[-1]["j"]) != (row["i"], row["j"]):
+                    yield from tile(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from tile(held)
 
     return run
 
 
+def _rows(nodes: np.ndarray, links: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (nodes, links, roots)], ["node", "links", "root"])
+
+
 def _joined(reps: DataFrame, d: int, n: int, threshold: float) -> DataFrame:
-    """(node, links, root): links of each distinct vector of d components with others, by pair of blocks."""
+    """(node, links, root): links of each distinct vector of d components with others, by tile, and links that join components."""
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     blocks = _blocks(reps, d, n, epsilon)
     most = (blocks.agg(F.max("chunk")).first()[0] or 0) + 1
     blocks = blocks.withColumn("block", F.col("part").cast("long") * most + F.col("chunk"))
     pairs = _near_blocks(blocks, min(AXES, d), epsilon)
-    side = lambda s, k: blocks.select(F.col("block").alias(k), *(F.col(c).alias(f"{s}_{c}") for c in ("reps", "copies", "raw")))
-    both = pairs.join(side("a", "i"), "i").join(side("b", "j"), "j")
+    # each block of a tile once, with those at or after it in the order that it meets there
+    at = [F.floor(F.col(c) / TILE).alias(f"t{c}") for c in "ij"]
+    sides = F.array(F.struct(F.col("i").alias("block"), F.col("j").alias("other")), F.struct(F.col("j").alias("block"), F.lit(None).cast("long").alias("other")))
+    wanted = pairs.select(*at, F.explode(sides).alias("s")).groupBy(F.col("ti").alias("i"), F.col("tj").alias("j"), "s.block")
+    wanted = materialise(wanted.agg(F.array_sort(F.collect_set("s.other")).alias("others")), "tiles")
+    dealt = wanted.join(blocks.select("block", "nodes", "copies", "raw"), "block")
+    dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j", "block")
     spark = reps.sparkSession
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds two blocks
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds a block
     try:
-        return materialise(both.mapInArrow(_compared(d, threshold), "node long, links long, root long"), "compared")
+        return materialise(dealt.mapInArrow(_compared(d, threshold), "node long, links long, root long"), "compared")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
@@ -174,31 +212,34 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     that links reach. Vectors that are null, empty or zero, or hold null or non-finite components,
     link with nothing, and vectors of different lengths do not link with each other. Rows with a
     null id link with nothing, and are returned with a null component and kept. Rows that repeat an
-    id are rows of their own. An empty table gives no rows; other columns are ignored.
+    id are rows of their own, with their own links. An empty table gives no rows; other columns are
+    ignored.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     fit = (F.size("vec") > 0) & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0) & F.col("id").isNotNull()
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
-    key = [F.when(F.col("fit"), F.xxhash64("vec", F.lit(k))).alias(f"k{k}") for k in (1, 2)]
+    # the constant stands first: behind the vector, the second hash would follow from the first
+    key = [F.when(F.col("fit"), F.xxhash64(F.lit(k), "vec")).alias(f"k{k}") for k in (1, 2)]
     keyed = rows.select("id", "fit", "vec", *key)
     distinct = keyed.where("fit").groupBy("k1", "k2")
     reps = distinct.agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
-    reps = materialise(reps, "distinct")
+    # numbers in place of ids, as rows of different vectors may have one id; they are written, and so stay as they are
+    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()), "distinct")
     found = None
     for d, n in sorted(tuple(r) for r in reps.groupBy(F.size("vec")).count().collect()):
-        own = reps.where(F.size("vec") == d).select("rep", "copies", "vec")
+        own = reps.where(F.size("vec") == d).select("node", "copies", "vec")
         links = _joined(own, d, n, threshold)
         found = links if found is None else found.unionByName(links)
     if found is None:
         found = df.sparkSession.createDataFrame([], "node long, links long, root long")
     roots = connected_components(found, "node", "root")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = reps.select("k1", "k2", "rep", "copies").join(counted, F.col("rep") == F.col("node"), "left").drop("node")
-    groups = groups.join(roots, F.col("rep") == F.col("node"), "left")
-    groups = materialise(
-        groups.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("root")), "groups"
-    )
+    groups = reps.select("k1", "k2", "node", "rep", "copies").join(counted, "node", "left").join(roots, "node", "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    groups = materialise(groups.select("k1", "k2", "rep", links.alias("links"), F.coalesce("component", "node").alias("component")), "groups")
+    least = materialise(groups.groupBy("component").agg(F.min("rep").alias("root")), "roots")
+    groups = materialise(groups.join(least, "component").select("k1", "k2", "links", "root"), "rooted")
     out = keyed.select("id", "k1", "k2").join(groups, ["k1", "k2"], "left")
     component = F.coalesce("root", "id")
     return out.select(

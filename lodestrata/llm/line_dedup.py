@@ -1,7 +1,7 @@
 """Dropping of lines that many documents share.
 
-Lines are exploded, normalised and hashed; documents are counted per hash; the lines whose hash
-reaches the threshold are found again by a join, and each text is put together by position.
+Lines are exploded, normalised and hashed; distinct documents are counted per hash; the places of
+lines whose hash reaches the threshold are found by a join, and each text is put together by position.
 """
 
 from __future__ import annotations
@@ -29,23 +29,32 @@ def _lower(x: Column) -> Column:
 
 
 def _hashes(lines: Column, least_chars: int) -> Column:
-    """128-bit hashes of the lines' keys, null for those that are too short to count."""
+    """128-bit hashes of the lines' keys, null for those that are too short to count.
+
+    Spark takes the hash of one argument as the seed of the next, so the constant stands first:
+    with it behind the line, the second half would follow from the first.
+    """
     trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(SPACES)))
     keys = F.transform(trimmed, _lower)
-    one = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit("line")).alias("h2"))
+    one = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"))
     return F.transform(keys, lambda x: F.when(F.char_length(x) >= least_chars, one(x)))
 
 
-def repeated_lines(docs: DataFrame, text: str, min_docs: int, least_chars: int = 1) -> DataFrame:
-    """(h1, h2) of every line key that is found in at least min_docs rows.
+def _often_repeated(rows: DataFrame, lines: str, min_docs: int, least_chars: int) -> DataFrame:
+    """(h1, h2, no_id) of every line key that is found in at least min_docs rows, no_id of them without an id.
 
-    A key counts once for each row; repeated lines of one text are folded before the shuffle, and
-    counts are combined on the map side, so a line of a third of all documents is no hot key.
+    Repeated lines of one text are folded before the shuffle, and counts are combined on the map
+    side, so a line of a third of all documents is no hot key. A document may have several rows,
+    so there are no fewer of these keys than of those of min_docs documents.
     """
-    own = F.array_distinct(_hashes(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), least_chars))
-    found = docs.select(F.explode_outer(own).alias("h")).where("h is not null")
-    counted = found.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= min_docs).select("h1", "h2")
+    own = F.array_distinct(_hashes(F.col(lines), least_chars))
+    found = rows.select("id", F.explode_outer(own).alias("h")).where("h is not null")
+    counted = found.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("no_id"))
+    return counted.where(F.col("n") >= min_docs).select("h1", "h2", "no_id")
+
+
+def _joinable(hashes: DataFrame) -> DataFrame:
+    return F.broadcast(hashes) if hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hashes
 
 
 def drop_repeated_lines(
@@ -53,11 +62,11 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """One row for each row of docs: (id_col, n_lines, n_dropped, kept_text).
 
-    docs: id_col says which texts belong to one document; rows that repeat an id with the same text
-    each count as a document and get the same result. A null or empty text is one empty line. Lines
-    shorter than least_chars code points after normalisation always stay. Ids may be null: such
-    rows are matched by their text. An empty table gives no rows; other columns are ignored. When
-    all lines of a text are dropped, kept_text is empty.
+    docs: rows of one id are one document, however many they are and whatever their texts, and each
+    gets a result of its own; a row with a null id is a document of its own. A null or empty text is
+    one empty line. Lines shorter than least_chars code points after normalisation always stay. An
+    empty table gives no rows; other columns are ignored. When all lines of a text are dropped,
+    kept_text is empty.
     """
     out = _reassembled(docs, id_col, text, min_docs, least_chars)
     return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", "kept_text")
@@ -76,13 +85,17 @@ def _reassembled(docs: DataFrame, id_col: str, text: str, min_docs: int, least_c
     others = [F.col(c) for c in docs.columns if c != text]
     rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     keyed = rows.select("row", "id", F.xxhash64("id", "t").alias("key"), F.split("t", "\n", -1).alias("lines"))
-    frequent = materialise(repeated_lines(rows, "t", min_docs, least_chars), "lines")
-    if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        frequent = F.broadcast(frequent)
+    often = _joinable(materialise(_often_repeated(keyed, "lines", min_docs, least_chars), "lines"))
     # an inner explode would have the hashes computed once more for a filter
     exploded = keyed.select("id", "key", F.posexplode_outer(_hashes(F.col("lines"), least_chars)).alias("pos", "h"))
     exploded = exploded.select("id", "key", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
-    gone = exploded.join(frequent, ["h1", "h2"], "left_semi").groupBy("id", "key").agg(F.collect_set("pos").alias("gone"))
+    places = materialise(exploded.join(often, ["h1", "h2"]), "places")
+    # distinct documents in two steps, so that the documents of one line are counted by many tasks
+    pairs = places.groupBy("h1", "h2", "id").agg(F.max("no_id").alias("no_id"))
+    documents = F.count("id") + F.max("no_id")
+    frequent = pairs.groupBy("h1", "h2").agg(documents.alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+    frequent = _joinable(materialise(frequent, "frequent"))
+    gone = places.join(frequent, ["h1", "h2"], "left_semi").groupBy("id", "key").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), "gone")
     same = (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

@@ -137,6 +137,8 @@ SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, v.vec_id =
 FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
+#: Without seeds: every word that text and item have in common counts on its diagonal, and every window is summed up.
+#: A window of most equal words may begin at an equal word, or ends with the diagonal, where the frame is cut short.
 SEEDS_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -144,25 +146,15 @@ WITH w AS (
 t AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS g FROM benchmark),
-m(mask, span, places) AS (VALUES (0, 11, [1,2,4,5,7,8,10,11]), (1, 12, [1,2,4,5,6,8,9,10,12]),
-  (2, 12, [1,2,4,5,6,7,9,10,11,12]), (3, 12, [1,3,4,5,8,9,10,12])),
-a AS (SELECT doc_id, mask, unnest(range(len(h) - span + 1)) AS p, h, places FROM w, m),
-s AS (SELECT doc_id, mask, p, array_to_string(list_transform(places, lambda i: h[p + i]), ' ') AS seed FROM a),
-b AS (SELECT item_id, mask, span, unnest(range(len(g) - span + 1)) AS q, g, places FROM t, m),
-u AS (SELECT item_id, mask, span, q, array_to_string(list_transform(places, lambda i: g[q + i]), ' ') AS seed FROM b),
-hits AS (SELECT DISTINCT doc_id, item_id, p - q AS shift, q, span FROM s JOIN u USING (mask, seed)),
-r AS (
-  SELECT doc_id, item_id, shift, h, g, least(20, len(g)) AS n_words,
-         greatest(0, q - (least(20, len(g)) - span), -shift) AS low,
-         least(len(g), q + span + least(20, len(g)) - span, len(h) - shift) AS high
-  FROM hits JOIN w USING (doc_id) JOIN t USING (item_id)),
-e AS (
-  SELECT doc_id, item_id, n_words, list_transform(range(low, high), lambda k: CAST(g[k + 1] = h[k + shift + 1] AS INT)) AS same
-  FROM r WHERE high - low >= n_words),
+a AS (SELECT doc_id, len(h) AS nh, unnest(h) AS word, generate_subscripts(h, 1) AS p FROM w),
+b AS (SELECT item_id, len(g) AS ng, least(20, len(g)) AS n_words, unnest(g) AS word, generate_subscripts(g, 1) AS q FROM t),
+e AS (SELECT doc_id, item_id, n_words, p - q AS shift, q FROM a JOIN b USING (word) WHERE least(ng, nh - (p - q)) - greatest(0, q - p) >= n_words),
+d AS (SELECT doc_id, item_id, shift FROM e GROUP BY ALL HAVING 100 * count(*) >= 75 * max(n_words)),
 x AS (
-  SELECT doc_id, item_id, n_words,
-         list_max(list_transform(range(0, len(same) - n_words + 1), lambda k: list_sum(same[k + 1 : k + n_words]))) AS n_equal FROM e)
-SELECT doc_id, item_id, n_words, CAST(max(n_equal) AS BIGINT) AS n_equal FROM x WHERE 100 * n_equal >= 75 * n_words GROUP BY ALL
+  SELECT doc_id, item_id, n_words, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND (n_words - 1) FOLLOWING) AS n_equal
+  FROM e SEMI JOIN d USING (doc_id, item_id, shift))
+SELECT doc_id, item_id, n_words, max(n_equal) AS n_equal FROM x
+WHERE 100 * n_equal >= CASE WHEN n_words < 5 THEN 100 ELSE 75 END * n_words GROUP BY ALL
 """
 
 RULES_SQL = r"""

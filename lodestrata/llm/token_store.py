@@ -34,8 +34,12 @@ MAGIC = b"LSTOK\x00\x00\x01"
 HEADER = struct.Struct("<8sIQQQQQ")
 #: Words that a worker keeps with their ids, about 200 bytes each.
 MEMO_WORDS = 1_200_000
-#: Documents of a shard, on average, and ids at which a file ends whatever their number.
-SHARD_DOCS, SHARD_IDS = 4096, 16_000_000
+#: Bytes of text that a task writes, and ids and documents at which a file ends whatever their keys.
+TASK_BYTES, SHARD_IDS, SHARD_DOCS = 256 << 20, 8_000_000, 1_000_000
+#: While all of it is less than a full load of every core, tasks are smaller, down to this many bytes.
+LEAST_BYTES = 8 << 20
+#: Files whose key ranges one search holds (about 150 bytes each with their names); more are searched in turns.
+SEARCHED_FILES = 200_000
 #: Marks at a word's end that a vocabulary may split off.
 MARKS = ".,;:!?"
 _KEY, _MARK = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -151,6 +155,11 @@ def _slots(hashes: np.ndarray, displaced: np.ndarray, n: int) -> np.ndarray:
     return mix(hashes ^ mix(displaced.astype(np.uint64))) % np.uint64(max(n, 1))
 
 
+def _slot_of(hashes: np.ndarray, displacements: np.ndarray, n: int) -> np.ndarray:
+    d = displacements.astype(np.int64)
+    return np.where(d < 0, -1 - d, _slots(hashes, np.maximum(d, 0), n).astype(np.int64))
+
+
 @dataclass
 class PerfectHash:
     """Distinct keys to 0 .. n-1. A bucket of one key stores its slot itself, as a negative displacement."""
@@ -192,8 +201,7 @@ class PerfectHash:
         if not self.n:
             return np.full(len(keys), -1, np.int64)
         hashes = _hashed(keys, _KEY)
-        d = self.displacements[(hashes % np.uint64(len(self.displacements))).astype(np.int64)]
-        return np.where(d < 0, -1 - d, _slots(hashes, np.maximum(d, 0), self.n).astype(np.int64))
+        return _slot_of(hashes, self.displacements[(hashes % np.uint64(len(self.displacements))).astype(np.int64)], self.n)
 
 
 def _prints(keys: np.ndarray) -> np.ndarray:
@@ -201,7 +209,11 @@ def _prints(keys: np.ndarray) -> np.ndarray:
 
 
 def shard_bytes(keys: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
-    """The file of documents in ascending key order, nulls first. Rows may repeat a key: the index leads to the first."""
+    """The file of documents in ascending key order, nulls first. Rows may repeat a key: the index leads to the first.
+
+    After the header, in this order: where each row's ids start (and the last end), each row's key,
+    the displacement of each bucket, the fingerprint and the row of each slot, and the ids.
+    """
     nulls = sum(k is None for k in keys)
     real = np.array([k for k in keys if k is not None], np.int64)
     distinct, rows = np.unique(real, return_index=True)
@@ -217,29 +229,58 @@ def shard_bytes(keys: list[int | None], ids: list[np.ndarray], width: int) -> by
 
 
 class Shard:
-    """A shard file in memory."""
+    """A shard file, of which only what is asked for is read."""
 
-    def __init__(self, raw: bytes) -> None:
-        magic, width, n, self.nulls, distinct, total, buckets = HEADER.unpack_from(raw)
+    def __init__(self, source) -> None:
+        """source: a seekable file."""
+        self._source = source
+        self.bytes_read = 0
+        magic, self._width, self.n, self.nulls, self.distinct, self.total, self._buckets = HEADER.unpack(self._part(0, HEADER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = HEADER.size
-        out = []
-        for kind, size in (("<u8", n + 1), ("<i8", n), ("<i8", buckets), ("<u4", distinct), ("<u4", distinct), (f"<u{width}", total)):
-            out.append(np.frombuffer(raw, kind, size, at))
-            at += out[-1].nbytes
-        self.starts, self.keys, displacements, self._prints, self._rows, self._ids = out
-        self._index = PerfectHash(displacements, distinct)
-
-    def rows(self, keys: np.ndarray) -> np.ndarray:
-        """The first row of each key, by the index alone; -1 where the fingerprint differs."""
-        at = self._index.slot(keys)
-        if not self._index.n:
-            return at
-        return np.where(self._prints[at] == _prints(keys), self._rows[at].astype(np.int64), -1)
-
-    def ids(self, row: int) -> np.ndarray:
-        return self._ids[int(self.starts[row]) : int(self.starts[row + 1])].astype("<u4")
+        self._at = list(itertools.accumulate((HEADER.size, 8 * (self.n + 1), 8 * self.n, 8 * self._buckets, 4 * self.distinct, 4 * self.distinct)))
+
+    def _part(self, at: int, size: int) -> bytes:
+        self.bytes_read += size
+        self._source.seek(at)
+        return self._source.read(size)
+
+    def _section(self, k: int, kind: str, first: int, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self._part(self._at[k] + first * size, n * size), kind)
+
+    def find(self, key: int) -> np.ndarray | None:
+        """The ids of a key's first row, by the index: the same few reads however large the file is."""
+        if not self.distinct:
+            return None
+        one = np.array([key], np.int64)
+        bucket = int(_hashed(one, _KEY)[0] % np.uint64(self._buckets))
+        slot = int(_slot_of(_hashed(one, _KEY), self._section(2, "<i8", bucket, 1), self.distinct)[0])
+        if self._section(3, "<u4", slot, 1)[0] != _prints(one)[0]:
+            return None
+        row = int(self._section(4, "<u4", slot, 1)[0])
+        return self.ids(row, 1)[1] if self._section(1, "<i8", row, 1)[0] == key else None
+
+    def rows_in_key_order(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and their keys: the null ones, then each distinct key's rows from the one that the index leads to."""
+        stored = self._section(1, "<i8", 0, self.n)
+        keys, times = np.unique(stored[self.nulls :], return_counts=True)
+        index = PerfectHash(self._section(2, "<i8", 0, self._buckets), self.distinct)
+        at = index.slot(keys)
+        prints, lead = (self._section(k, "<u4", 0, self.distinct)[at] for k in (3, 4))
+        if (prints != _prints(keys)).any():
+            raise ValueError("the index does not know its keys")
+        ends = np.cumsum(times)
+        rows = np.repeat(lead.astype(np.int64) - (ends - times), times) + np.arange(len(stored) - self.nulls)
+        return np.concatenate([np.arange(self.nulls), rows]), np.concatenate([stored[: self.nulls], np.repeat(keys, times)])
+
+    def starts(self) -> np.ndarray:
+        return self._section(0, "<u8", 0, self.n + 1).astype(np.int64)
+
+    def ids(self, row: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, and ids, of n rows."""
+        starts = self._section(0, "<u8", row, n + 1).astype(np.int64)
+        return starts, self._section(5, f"<u{self._width}", int(starts[0]), int(starts[-1] - starts[0])).astype("<u4")
 
 
 def write(
@@ -249,7 +290,8 @@ def write(
 
     Returns one row for each file, in order. Each attempt of a task writes files of its own, and
     only those of the attempt that succeeded are in the returned table, so lost executors and
-    repeated tasks do no harm.
+    repeated tasks do no harm. Rows of one id, null too, are dealt to as many tasks and files as
+    they need: they lie in the order of their texts' hashes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -273,7 +315,7 @@ def write(
 
         for batch in by_bytes(batches, 12 << 20):
             for k, x in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
-                if keys and k != keys[-1] and (held >= SHARD_IDS or len(keys) >= 4 * SHARD_DOCS):
+                if keys and (held >= SHARD_IDS or len(keys) >= SHARD_DOCS):
                     yield flush()
                     part, held = part + 1, 0
                     keys.clear()
@@ -285,42 +327,51 @@ def write(
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    parts = max(1, -(-rows.count() // SHARD_DOCS))
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    # the last key tells copies of one row apart, so that no id or text is too much for one task
+    order = ["id", "mark", "copy"]
+    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("copy", F.monotonically_increasing_id())
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0] or 0
+    parts = max(1, -(-size // TASK_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
     schema = "partition int, part int, file string, n_docs long, n_ids long, first long, last long"
     files = materialise(ordered.mapInArrow(put, schema), "files")
-    before = Window.orderBy("partition", "part").rowsBetween(Window.unboundedPreceding, -1)
-    return materialise(files.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest")
+    return materialise(_with_starts(files), "manifest")
 
 
-def _read(file: str) -> Shard:
+def _with_starts(files: DataFrame) -> DataFrame:
+    """files with `before`, the ids of all files before, summed in two levels: within a thousand partitions, and over the thousands."""
+    grouped = files.withColumn("thousand", F.floor(F.col("partition") / 1000))
+    within = Window.partitionBy("thousand").orderBy("partition", "part").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("thousand").rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy("thousand").agg(F.sum("n_ids").alias("n")).select("thousand", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    inner = grouped.withColumn("inner", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
+    return inner.join(sums, "thousand").withColumn("before", F.col("inner") + F.col("base")).drop("thousand", "inner", "base")
+
+
+def open_shard(file: str) -> Shard:
     store, at = fs.FileSystem.from_uri(file)
-    with store.open_input_stream(at) as source:
-        return Shard(source.read())
+    return Shard(store.open_input_file(at))
 
 
 def read(files: DataFrame, shards: int) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, read from the files.
+    """(id, start, n_tokens, ids_crc32) of every document, read from the files by way of their indexes.
 
-    Each key is looked up through its file's index, and its ids must lie where its row says. Rows
-    that repeat a key follow the first.
+    Each distinct key's row is the one that the index leads to. Rows that repeat a key follow the
+    first, and rows with a null key, which no index holds, are the first of a file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = _read(file)
-                keys = shard.keys[shard.nulls :]
-                found = shard.rows(keys) - shard.nulls
-                if len(keys) and ((found < 0).any() or (shard.keys[shard.nulls :][found] != keys).any()):
-                    raise ValueError(f"the index of {file} does not lead to its documents")
-                n = np.diff(shard.starts.astype(np.int64))
-                sums = [zlib.crc32(shard.ids(r).tobytes()) for r in range(len(shard.keys))]
-                null = np.arange(len(shard.keys)) < shard.nulls
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.keys.astype(np.int64), mask=null), pa.array(shard.starts[:-1].astype(np.int64) + before), pa.array(n), pa.array(sums, pa.int64())],
-                    ["id", "start", "n_tokens", "ids_crc32"],
-                )
+                shard = open_shard(file)
+                rows, keys = shard.rows_in_key_order()
+                starts, ids = shard.ids(0, shard.n)
+                first, n = starts[rows], starts[rows + 1] - starts[rows]
+                sums = [zlib.crc32(ids[a : a + k]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+                null = np.arange(len(keys)) < shard.nulls
+                columns = [pa.array(keys, mask=null), pa.array(first + before), pa.array(n), pa.array(sums, pa.int64())]
+                for k in range(0, len(keys), 65_536):
+                    yield pa.RecordBatch.from_arrays([c.slice(k, 65_536) for c in columns], ["id", "start", "n_tokens", "ids_crc32"])
 
     dealt = files.select("file", "before").repartition(max(1, shards), "file")
     return dealt.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
@@ -329,34 +380,55 @@ def read(files: DataFrame, shards: int) -> DataFrame:
 def lookup(files: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """(id, ids) of the keys that are stored, by way of the index of the file whose key range holds them.
 
-    The file table has one row for some millions of ids; it is broadcast only while it is small.
+    The file of a key is found by a search in the files' sorted key ranges, SEARCHED_FILES at a time, and of the file only the header, the key's index entry and its ids are read.
     Null keys and absent ones give no rows; a key that is asked twice or stored twice gives its first ids for each asking.
     """
+    asked = keys.select(F.col(key).cast("long").alias("id")).where("id is not null")
+    # a key's rows may run over several files; ranges whose last key is that of a range before hold nothing new
+    ranges = files.where("last is not null").groupBy("last").agg(F.min(F.struct("partition", "part", "file")).alias("f"), F.min("first").alias("first"))
+    ranges = materialise(ranges.select("first", "last", "f.partition", "f.part", "f.file"), "ranges")
+    found = None
+    for turn in range(max(1, -(-ranges.count() // SEARCHED_FILES))):
+        mine = ranges.orderBy("last").offset(turn * SEARCHED_FILES).limit(SEARCHED_FILES)
+        each = _found(asked, mine)
+        found = each if found is None else found.unionByName(each)
+    return found
+
+
+def _found(asked: DataFrame, ranges: DataFrame) -> DataFrame:
+    bounds = ranges.select("first", "last", "file").toArrow().sort_by("last").combine_chunks()
+    first, last = (bounds.column(c).to_numpy() for c in ("first", "last"))
+    held = asked.sparkSession.sparkContext.broadcast((first, last, bounds.column("file").combine_chunks()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, highs, names = held.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            at = np.searchsorted(highs, ids)
+            inside = np.flatnonzero(at < len(highs))
+            inside = inside[lows[at[inside]] <= ids[inside]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[inside]), names.take(pa.array(at[inside]))], ["id", "file"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, None
         for batch in batches:
-            for file, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if file != at:
-                    at, shard = file, _read(file)
-                row = int(shard.rows(np.array([k], np.int64))[0])
-                if row >= 0 and shard.keys[row] == k:
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([shard.ids(row).astype(np.int64)])], ["id", "ids"])
+                    at, shard = file, open_shard(file)
+                ids = shard.find(k)
+                if ids is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([ids.astype(np.int64)])], ["id", "ids"])
 
-    asked = keys.select(F.col(key).cast("long").alias("id")).where("id is not null")
-    ranges = files.select("file", "first", "last").where("first is not null")
-    if ranges.limit(100_001).count() <= 100_000:
-        ranges = F.broadcast(ranges)
-    joined = asked.join(ranges, (F.col("id") >= F.col("first")) & (F.col("id") <= F.col("last")))
-    return joined.select("file", "id").repartition("file").sortWithinPartitions("file").mapInArrow(run, "id long, ids array<long>")
+    placed = asked.mapInArrow(place, "id long, file string")
+    return placed.repartition("file").sortWithinPartitions("file").mapInArrow(take, "id long, ids array<long>")
 
 
 def store_and_read(docs: DataFrame, vocabulary: str, end_id: int, by_word: bool) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of docs after encoding, writing and reading them.
 
     Null and empty texts have the end id alone. Documents are stored in ascending doc_id order,
-    null ids first; rows that repeat an id are stored one after another, by their texts. An empty
-    table gives no rows; other columns are ignored.
+    null ids first; rows that repeat an id are stored one after another, in the order of their texts'
+    hashes. An empty table gives no rows; other columns are ignored.
     """
     files = write(docs, vocabulary, end_id, by_word)
     return read(files, files.count()).withColumnRenamed("id", "doc_id")

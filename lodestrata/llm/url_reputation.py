@@ -27,7 +27,7 @@ SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host and path, empty if the url is null or has no `://`."""
     at = F.locate("://", url)
-    rest = F.when(at > 0, F.expr("substring(url, locate('://', url) + 3)")).otherwise("")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER)
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))

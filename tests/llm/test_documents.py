@@ -112,32 +112,44 @@ def test_lines_against_brute_force(spark):
     out = line_dedup.without_repeated_lines(documents(spark, rows))
     assert out.columns == documents(spark, rows).columns and {r.doc_id: r.text for r in out.collect()} == {i: w[2] for i, w in want.items()}
     assert line_dedup.drop_repeated_lines(documents(spark, [])).count() == 0
-    twice = line_dedup.drop_repeated_lines(documents(spark, [(1, "a\nb")] * 10 + [(None, "a")])).collect()
-    assert sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept_text) for r in twice) == [(0, 1, 1, "")] + [(1, 2, 2, "")] * 10
+
+
+def test_lines_count_distinct_documents(spark):
+    """Ten rows of one document are one document; rows without an id are documents of their own."""
+    one = lambda rows: sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.drop_repeated_lines(documents(spark, rows)).collect())
+    assert one([(1, "a\nb")] * 10 + [(None, "a")]) == [(0, 1, 0, "a")] + [(1, 2, 0, "a\nb")] * 10
+    assert one([(1, "a\nb"), (1, "a\nc")] + [(None, "a")] * 9) == [(0, 1, 1, "")] * 9 + [(1, 2, 1, "b"), (1, 2, 1, "c")]
+    assert one([(1, "a"), (1, "a\na")] + [(i, "a") for i in range(2, 10)]) == [(1, 1, 0, "a"), (1, 2, 0, "a\na")] + [(i, 1, 0, "a") for i in range(2, 10)]
+
+
+def test_hash_halves_are_independent(spark):
+    """The second half is not the hash of the constant seeded by the first."""
+    lines = spark.createDataFrame([(x,) for x in ("a", "b", "some line")], "x string")
+    h = line_dedup._hashes(F.array("x"), 1)[0]
+    rows = lines.select("x", h["h1"].alias("h1"), h["h2"].alias("h2"), F.xxhash64("x", F.lit("line")).alias("follows")).collect()
+    assert all(r.h2 != r.follows and r.h1 != r.h2 for r in rows) and len({r.h2 for r in rows}) == 3
 
 
 def brute_overlap(doc, item):
-    """Best overlap by every seed of every mask."""
+    """Best overlap on all diagonals, without seeds; 0 if it is none."""
     h, g = words_of(doc), words_of(item)
-    masks = [*seed_decontamination.MASKS] + (["1" * len(g)] if 5 <= len(g) < 12 else [])
-    width, best = min(20, len(g)), 0
-    for m in masks:
-        at = [i for i, b in enumerate(m) if b == "1"]
-        for p in range(len(h) - len(m) + 1):
-            for q in range(len(g) - len(m) + 1):
-                if any(h[p + i] != g[q + i] for i in at):
-                    continue
-                low, high = max(0, q - (width - len(m)), q - p), min(len(g), q + width, len(h) - p + q)
-                for s in range(low, high - width + 1):
-                    best = max(best, sum(g[s + k] == h[s + k + p - q] for k in range(width)))
-    return best if len(g) >= 5 and 100 * best >= 75 * width else 0
+    n, best = min(20, len(g)), 0
+    spots = {}
+    for p, w in enumerate(h):
+        spots.setdefault(w, []).append(p)
+    shifts = {p - q for q, w in enumerate(g) for p in spots.get(w, ())}
+    for shift in shifts:
+        same = [0 <= k + shift < len(h) and g[k] == h[k + shift] for k in range(len(g))]
+        starts = [s for s in range(len(g) - n + 1) if 0 <= s + shift and s + shift + n <= len(h)]
+        best = max([best, *(sum(same[s : s + n]) for s in starts)])
+    return best if n and 100 * best >= (75 if n >= 5 else 100) * n else 0
 
 
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(60)]
     text = lambda k: [rng.choice(vocab) for _ in range(k)]
-    items = [(i, " ".join(text(rng.randrange(12, 45)))) for i in range(6)] + [(50, "six words that are quite short"), (51, "too few"), (52, None), (53, "")]
+    items = [(i, " ".join(text(rng.randrange(12, 45)))) for i in range(6)] + [(50, "six words that are quite short"), (51, "too few"), (52, None), (53, ""), (54, "v7 v8 v9"), (55, "v3"), (56, "v1 v2 v3 v4")]
     rows = []
     for i in range(30):
         w, item = text(rng.randrange(0, 40)), words_of(items[i % 7][1])
@@ -146,19 +158,18 @@ def test_decontamination_against_brute_force(spark):
             cut = rng.randrange(0, len(item) // 2) if i % 3 == 0 else 0
             w[len(w) // 2 : len(w) // 2] = item[cut:]
         rows.append((i, " ".join(w)))
-    rows += [(100, None), (101, ""), (102, "too few"), (103, items[0][1].upper()), (104, "zz " * 20_000 + items[1][1])]
-    want = {(d, i): b for d, t in rows for i, x in items if d != 104 and (b := brute_overlap(t, x))}
+    rows += [(100, None), (101, ""), (102, "too few"), (103, items[0][1].upper()), (104, "zz " * 20_000 + items[1][1]), (105, "v1 v2 v3 other v7 v8 v9"), (107, " ".join(words_of(items[0][1])[-9:])), (108, " ".join(words_of(items[2][1])[:6] + ["z"])), (106, "v1 v2 V3 v4")]
+    want = {(d, i): b for d, t in rows for i, x in items if (b := brute_overlap(t, x))}
+    assert {(102, 51), (105, 54), (105, 55), (106, 56)} <= set(want) and (105, 56) not in want
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("g", F.lit(1))
     for size in (seed_decontamination.BROADCAST_SEEDS, 40):  # in one piece, and in slices
         seed_decontamination.BROADCAST_SEEDS, kept = size, seed_decontamination.BROADCAST_SEEDS
         got = {(r.doc_id, r.item_id): r.n_equal for r in seed_decontamination.overlaps(documents(spark, rows), bench).collect()}
         seed_decontamination.BROADCAST_SEEDS = kept
-        assert got.pop((104, 1)) == min(20, len(words_of(items[1][1])))
-        got.pop((104, 50), None)
-        assert got == want
+        assert got == want and got[104, 1] == min(20, len(words_of(items[1][1])))
     left = seed_decontamination.without_overlaps(documents(spark, rows), bench)
     assert left.columns == documents(spark, rows).columns
-    assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in want} - {104}
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in want}
     assert seed_decontamination.overlaps(documents(spark, []), bench).count() == 0
     assert seed_decontamination.overlaps(documents(spark, rows), bench.limit(0)).count() == 0
     plan = seed_decontamination.overlaps(documents(spark, rows), bench)._jdf.queryExecution().executedPlan().toString()
@@ -168,34 +179,30 @@ def test_decontamination_against_brute_force(spark):
 def test_decontamination_misses_no_overlap(spark):
     """On all diagonals, without masks: every item length, as many differing words as an overlap may have, and one more."""
     rng = random.Random(8)
-    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(5, 25)}
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 25)}
     rows, want = [], {}
     for n, g in items.items():
         width = min(20, n)
+        most = width // 4 if n >= 5 else 0
         for more in [0] * 25 + [1] * 5:
             first = rng.randrange(0, n - width + 1)
-            gone = set(rng.sample(range(first, first + width), width // 4 + more)) | set(range(first)) | set(range(first + width, n))
+            gone = set(rng.sample(range(first, first + width), most + more)) | set(range(first)) | set(range(first + width, n))
             h = [f"x{rng.randrange(40)}" for _ in range(rng.randrange(0, 9))]
             h += ["other" if k in gone else w for k, w in enumerate(g)] + ["end"] * rng.randrange(0, 9)
             rows.append((len(rows), " ".join(h)))
-            best = 0
-            for shift in range(-n, len(h)):
-                same = [0 <= k + shift < len(h) and g[k] == h[k + shift] for k in range(n)]
-                starts = [s for s in range(n - width + 1) if 0 <= s + shift and s + shift + width <= len(h)]
-                best = max([best, *(sum(same[s : s + width]) for s in starts)])
-            if 100 * best >= 75 * width:
+            best = brute_overlap(rows[-1][1], " ".join(g))
+            if best:
                 want[rows[-1][0], n] = best
     bench = spark.createDataFrame([(n, " ".join(g)) for n, g in items.items()], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.n_equal for r in seed_decontamination.overlaps(documents(spark, rows), bench).collect()}
-    assert len(want) == 500 and got == want
-    long = bench.where("item_id >= 12")
-    got = {(r.doc_id, r.item_id): r.n_equal for r in seed_decontamination.overlaps(documents(spark, rows), long).collect()}
-    assert got == {k: b for k, b in want.items() if k[1] >= 12}
+    for least in (1, 5, 12):  # with and without the masks of shorter items
+        own = bench.where(f"item_id >= {least}")
+        got = {(r.doc_id, r.item_id): r.n_equal for r in seed_decontamination.overlaps(documents(spark, rows), own).collect()}
+        assert len(want) == 600 and got == {k: b for k, b in want.items() if k[1] >= least}
 
 
 @pytest.mark.parametrize("n", range(5, 21))
 def test_masks_hold_a_seed_for_every_choice_of_differing_words(n):
-    masks = seed_decontamination.MASKS if n >= seed_decontamination.LONG else seed_decontamination.SHORT_MASKS
+    masks = seed_decontamination.MASKS[(5, 11) if n < 12 else (12, None)]
     laid = [{s + i for i, b in enumerate(m) if b == "1"} for m in masks for s in range(n - len(m) + 1)]
     assert all(any(seed.isdisjoint(gone) for seed in laid) for gone in itertools.combinations(range(n), n // 4))
 
@@ -291,6 +298,35 @@ def test_reputations(spark):
     assert url_reputation.judge(df, known.limit(0), rules).where("verdict = 'block'").count() == 2
 
 
+def test_split_takes_any_column(spark):
+    row = spark.createDataFrame([("http://A.b/c?d", "https://Other.org/x")], "address string, url string")
+    host, path = url_reputation.split_url(F.col("address"))
+    assert tuple(row.select(host, path).first()) == ("a.b", "/c")
+
+
+def brute_verdict(url, rules):
+    """(host, path, rule, verdict) by trying every rule."""
+    rest = url.partition("://")[2] if url and "://" in url else ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    fits = [(len(r), r, v) for v, r in rules for at, _, p in [r.partition("/")] if (host == at or host.endswith("." + at)) and path.startswith("/" + p)]
+    return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def test_rules_against_brute_force(spark):
+    rng = random.Random(12)
+    hosts = ["com", "a.com", "b.a.com", "A.com", "xa.com", "a.com.", "a..com", "", "net", "www.net", "a.com:80"]
+    paths = ["", "/", "/en", "/en/", "/en/x", "/EN/", "/fr/?q=/en/", "#/en/", "/en/#x", "//en/"]
+    urls = [f"{s}{h}{p}" for s in ("http://", "https://", "//", "") for h in hosts for p in paths] + [None, "://", "a://b://c/d"]
+    rules = [(v, f"{h}/{p}") for h in ("com", "a.com", "b.a.com", "net") for p in ("", "en/", "fr/") for v in ("allow", "block") if rng.random() < 0.6]
+    rules += [("allow", "net/en/"), ("block", "net/en/")]  # of equal text: the one that blocks
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 as rule", "'v' as verdict")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_reputation.judge(pages, spark.createDataFrame([], "id long, bad int"), rules).collect()}
+    for i, url in enumerate(urls):
+        want = brute_verdict(url, rules)
+        assert got[i] == (*want[:3], want[3] or "allow"), url
+
+
 SF = "/root/testdata/sf0.001"
 
 

@@ -105,6 +105,45 @@ def test_store(spark, monkeypatch, vocabulary):
     assert token_store.store_and_read(df.limit(0), vocabulary, 2, by_word).count() == 0
 
 
+def test_store_splits_hot_keys(spark, monkeypatch):
+    """A third of all rows without an id and a third of one id: many files, and each row once."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "SHARD_DOCS", 5)
+    monkeypatch.setattr(token_store, "LEAST_BYTES", 200)
+    monkeypatch.setattr(token_store, "SEARCHED_FILES", 3)
+    lib = Tokenizer.from_file(WORDS)
+    rows = [(None, "same")] * 20 + [(None, f"text {i}") for i in range(20)] + [(7, f"seven {i % 9}") for i in range(40)] + [(i, f"own {i}") for i in range(10, 50)]
+    files = token_store.write(documents(spark, rows).repartition(3), WORDS, 2, True)
+    assert files.where("first is null").count() >= 4 and files.where("first = 7 and last = 7").count() >= 4 and files.agg(F.max("n_docs")).first()[0] <= 5
+    got = sorted(token_store.read(files, 4).collect(), key=lambda r: r.start)
+    want = sorted((i is not None, i or 0, zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows)
+    assert sorted((r.id is not None, r.id or 0, r.ids_crc32) for r in got) == want
+    assert [(r.id is not None, r.id or 0) for r in got] == [w[:2] for w in want]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    asked = spark.createDataFrame([(i,) for i in (-1, 7, 7, 8, 10, 29, 49, 50)], "id long")
+    found = token_store.lookup(files, asked).collect()
+    first = next(r for r in got if r.id == 7)
+    assert sorted(r.id for r in found) == [7, 7, 10, 29, 49]
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == first.ids_crc32 for r in found if r.id == 7)
+
+
+def test_key_access_reads_as_much_of_any_file():
+    """The bytes read for one key do not grow with the file."""
+    import io
+
+    read = set()
+    for n in (10, 1000, 40_000):
+        keys = [None, *range(0, 3 * n, 3)]
+        raw = token_store.shard_bytes(keys, [np.array([i % 1000, 2], np.uint16) for i in range(len(keys))], 2)
+        for k in (0, 3 * (n // 2), 3 * n - 3):
+            shard = token_store.Shard(io.BytesIO(raw))
+            assert shard.find(k).tolist() == [(k // 3 + 1) % 1000, 2]
+            read.add(shard.bytes_read)
+        assert token_store.Shard(io.BytesIO(raw)).find(1) is None and token_store.Shard(io.BytesIO(raw)).find(3 * n) is None
+    assert len(read) == 1
+
+
 def languages(spark, n=300):
     """Three made-up languages of different letters, some rows without a label or a text."""
     rng = random.Random(2)

@@ -48,6 +48,9 @@ def test_edges(spark):
     one = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in grid_order_join.near_duplicates(one).collect()}
     assert got == {1: (1, 1, True), 2: (1, 1, False), None: (0, None, True)}
+    twice = spark.createDataFrame([(1, [1.0, 0.0])] * 3 + [(2, [0.0, 1.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in grid_order_join.near_duplicates(twice).collect())
+    assert got == [(1, 3, 1, True)] * 3 + [(2, 0, 2, True), (2, 3, 1, False)]
 
 
 def test_skips_distant_blocks(spark, monkeypatch):
