@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
+from .storage import bounded_batches, materialise
 
 #: Vectors of a block and bytes of them, leading principal axes of the grid, parts of an interval, and blocks on a tile's side.
 BLOCK, BLOCK_BYTES, AXES, PARTS, TILE = 2048, 1 << 20, 8, 8, 8
@@ -195,13 +195,7 @@ def _joined(reps: DataFrame, d: int, n: int, threshold: float) -> DataFrame:
     wanted = materialise(wanted.agg(F.array_sort(F.collect_set("s.other")).alias("others")), "tiles")
     dealt = wanted.join(blocks.select("block", "nodes", "copies", "raw"), "block")
     dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j", "block")
-    spark = reps.sparkSession
-    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds a block
-    try:
-        return materialise(dealt.mapInArrow(_compared(d, threshold), "node long, links long, root long"), "compared")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    return materialise(dealt.mapInArrow(_compared(d, threshold), "node long, links long, root long"), "compared")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -215,6 +209,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     id are rows of their own, with their own links. An empty table gives no rows; other columns are
     ignored.
     """
+    bounded_batches(df.sparkSession)  # a row may hold a block
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     fit = (F.size("vec") > 0) & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0) & F.col("id").isNotNull()

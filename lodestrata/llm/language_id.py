@@ -2,8 +2,10 @@
 
 A text's vector is the mean of the embeddings of its hashed byte n-grams, and a linear layer with a
 softmax names the language. Embeddings and layer are trained together by stochastic gradient
-descent in numpy, on a bounded sample of labelled rows. Part of the sample is held back: it sets the
-temperature that calibrates the scores and the score under which a text is rejected.
+descent in numpy, on a bounded sample of labelled rows, and on texts in no language that are made
+from them: with their letters shuffled, or exchanged for others. These have an outlet of their own,
+so what looks like no learned language leaves little for any. Part of the sample is held back: it
+sets the temperature that calibrates the scores and the score under which a text is rejected.
 """
 
 from __future__ import annotations
@@ -18,17 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches
-from .words import by_bytes
+from .words import by_bytes, release_memory
 
 #: Hash buckets, embedding size, and lengths of the n-grams in bytes.
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (2, 3, 4)
-#: Labelled rows that a model is fitted on, at most, shared evenly between the languages.
-SAMPLE_ROWS = 2000
+#: Labelled rows that a model is fitted on, at most, and of one language, at most.
+SAMPLE_ROWS, LANGUAGE_ROWS = 2000, 500
+#: Texts in no language that are made for each labelled one, on average.
+STRANGE = 0.5
 EPOCHS, RATE, HELD_BACK = 6, 0.05, 0.25
-#: Share of the correctly named held-back texts that the rejection score may turn away.
-REJECTED = 0.002
-#: A score of this many times an even guess is accepted: a text in two languages is no reason to reject it.
-GUESS = 1.25
+#: Share of the correctly named held-back texts that the rejection score may turn away, and share of the strange ones that it shall.
+REJECTED, CAUGHT = 0.002, 0.99
 UNKNOWN = "und"
 #: Bytes of text that a worker holds the n-grams of at once, in about forty times the memory.
 BATCH_BYTES = 2 << 20
@@ -59,7 +61,7 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 
 @dataclass
 class Model:
-    """languages, a row of logits for each bucket and a last row of zeros, the layer's offsets, 1 / temperature, and the least score to accept."""
+    """languages; a row of logits for each bucket, one for no language after those of the languages, and a last row of zeros; the layer's offsets; 1 / temperature; the least score to accept."""
 
     languages: list[str]
     table: np.ndarray
@@ -68,14 +70,14 @@ class Model:
     accept: float = 0.0
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """Calibrated probabilities, one row for each text."""
+        """Calibrated probabilities of the languages, one row for each text; what is left to 1 is that of no language."""
         starts, sizes, grams = _grams(texts)
-        total, count = np.zeros((len(starts), len(self.languages))), np.zeros(len(starts))
+        total, count = np.zeros((len(starts), len(self.languages) + 1)), np.zeros(len(starts))
         for n, code in zip(GRAMS, grams, strict=True):
-            for j in range(len(self.languages)):
+            for j in range(total.shape[1]):
                 total[:, j] += np.add.reduceat(self.table[:, j][code], starts)
             count += np.maximum(sizes - n + 1, 0)
-        return _softmax((total / np.maximum(count, 1)[:, None] + self.offsets) * self.sharpness)
+        return _softmax((total / np.maximum(count, 1)[:, None] + self.offsets) * self.sharpness)[:, :-1]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -83,31 +85,54 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+#: First letters of the blocks that letters are exchanged for: Latin, Greek, Cyrillic, Hebrew, Devanagari, CJK.
+_BLOCKS = (0x61, 0x3B1, 0x430, 0x5D0, 0x915, 0x4E00)
+
+
+def _strange(text: str, seed: int) -> str:
+    """The text with its letters shuffled, or each letter exchanged for another one of some block."""
+    rng = np.random.default_rng(seed)
+    points = np.array([ord(c) for c in text.lower()], np.int64)
+    letters = np.flatnonzero([c.isalpha() for c in text.lower()])
+    if rng.random() < 0.5:
+        points[letters] = rng.permutation(points[letters])
+    elif len(letters):
+        known, which = np.unique(points[letters], return_inverse=True)
+        base = int(rng.choice(_BLOCKS))
+        points[letters] = (base + rng.permutation(max(24, len(known)))[: len(known)] % (26 if base == 0x61 else 4096))[which]
+    return "".join(map(chr, points))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, buckets, weights): the distinct n-grams of each text and their shares."""
+    """(lang, text, mark) to (lang, mark, strange, buckets, weights): the distinct n-grams of each text and their shares."""
     for batch in by_bytes(batches, BATCH_BYTES):
-        starts, sizes, grams = _grams(batch.column(1))
-        rows = []
-        for lang, s, n in zip(batch.column(0).to_pylist(), starts, sizes, strict=True):
+        langs, texts, marks = (batch.column(c).to_pylist() for c in range(3))
+        rows = [(x, m, False, t) for x, t, m in zip(langs, texts, marks, strict=True)]
+        rows += [(x, m, True, _strange(t, m % (1 << 63))) for x, m, _, t in rows if m % 1000 < 1000 * STRANGE]
+        starts, sizes, grams = _grams(pa.array([r[3] for r in rows], pa.string()))
+        out = []
+        for s, n in zip(starts, sizes, strict=True):
             found, times = np.unique(np.concatenate([g[s : s + n] for g in grams]), return_counts=True)
             inside = found < BUCKETS
-            rows.append((lang, found[inside], times[inside] / max(1, times[inside].sum())))
-        lists = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.list_(pa.int32())), (2, pa.list_(pa.float32())))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *lists], ["lang", "buckets", "weights"])
+            out.append((found[inside], times[inside] / max(1, times[inside].sum())))
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+        columns = [[r[i] for r in rows] for i in range(3)] + [[x[i] for x in out] for i in range(2)]
+        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, ["lang", "mark", "strange", "buckets", "weights"])
 
 
-def _descend(rows: list, languages: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings and layer by stochastic gradient descent; returned as logits for each bucket."""
+def _descend(rows: list[tuple[int, np.ndarray, np.ndarray]], outlets: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings and layer by stochastic gradient descent over (outlet, buckets, weights); returned as logits for each bucket."""
     embeddings = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
-    layer, offsets = np.zeros((DIM, len(languages))), np.zeros(len(languages))
+    layer, offsets = np.zeros((DIM, outlets)), np.zeros(outlets)
     steps, done = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            lang, at, share = rows[i]
+            truth, at, share = rows[i]
             rate, done = RATE * (1 - done / steps), done + 1
             vector = share @ embeddings[at]
             error = _softmax(vector @ layer + offsets)
-            error[languages.index(lang)] -= 1
+            error[truth] -= 1
             back = layer @ error
             layer -= rate * 20 * np.outer(vector, error)
             offsets -= rate * 0.1 * error
@@ -115,48 +140,73 @@ def _descend(rows: list, languages: list[str], rng: np.random.Generator) -> tupl
     return embeddings @ layer, offsets
 
 
+def _sample(rows: DataFrame) -> DataFrame:
+    """(lang, text, mark) of at most LANGUAGE_ROWS rows of each language and SAMPLE_ROWS in all, whichever machine reads them.
+
+    Each language's rows fall into LANGUAGE_ROWS strata by a hash of key and text, and the least
+    hash of a stratum is taken, so copies of a row count once. Where there are more languages than
+    the sample has room for, the strata are filled in turn.
+    """
+    marked = rows.select("lang", "text", F.xxhash64(F.lit("sample"), "key", "text").alias("mark"))
+    stratum = F.pmod(F.xxhash64("mark"), F.lit(LANGUAGE_ROWS)).alias("stratum")
+    least = marked.groupBy("lang", stratum).agg(F.min("mark").alias("mark"))
+    picked = [(r.lang, r.mark) for r in least.orderBy("stratum", "lang").limit(SAMPLE_ROWS).collect()]
+    wanted = rows.sparkSession.createDataFrame(picked, "lang string, mark long")
+    return marked.join(F.broadcast(wanted), ["lang", "mark"], "left_semi").select("lang", "text", "mark").dropDuplicates(["lang", "mark"])
+
+
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
     """A model of the languages of docs' labelled rows, fitted on whole texts of at most SAMPLE_ROWS of them.
 
-    Rows are picked by the hash of key, as many for each language, whatever their number; null
-    languages and null texts are passed over. Without labelled rows the model knows no language.
+    Rows are picked by the hash of key and text, as many for each language, whatever their number
+    and order; null languages and null texts are passed over. Without labelled rows the model knows
+    no language.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    schema = "lang string, mark long, strange boolean, buckets array<int>, weights array<float>"
+    counted = _sample(rows).mapInArrow(_counted, schema).toArrow().sort_by([(c, "ascending") for c in ("lang", "mark", "strange")])
+    languages = sorted(pc.unique(counted.column("lang")).to_pylist())
     if not languages:
-        return Model([], np.zeros((BUCKETS + 1, 0)), np.zeros(0))
-    ids = rows.select("key", "lang")
-    each = max(1, SAMPLE_ROWS // len(languages))
-    order = F.xxhash64(F.col("key"), F.lit("sample"))
-    picked = [r for x in languages for r in ids.where(F.col("lang") == x).orderBy(order).limit(each).collect()]
-    sample = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], ids.schema)
-    texts = rows.join(F.broadcast(sample), ["key", "lang"], "left_semi").select("lang", "text").limit(SAMPLE_ROWS + len(languages))
-    counted = texts.mapInArrow(_counted, "lang string, buckets array<int>, weights array<float>").toArrow()
-    columns = (counted.column(c).combine_chunks() for c in ("lang", "buckets", "weights"))
-    data = [(x.as_py(), b.values.to_numpy().astype(np.int64), w.values.to_numpy()) for x, b, w in zip(*columns, strict=True) if len(b)]
-    data.sort(key=lambda r: (r[0], len(r[1]), r[1].tolist()[:50], r[2].tolist()[:50]))
+        return Model([], np.zeros((BUCKETS + 1, 1)), np.zeros(1))
+    columns = (counted.column(c).combine_chunks() for c in ("lang", "strange", "buckets", "weights"))
+    data = []
+    for x, strange, b, w in zip(*columns, strict=True):
+        if len(b):
+            truth = len(languages) if strange.as_py() else languages.index(x.as_py())
+            data.append((truth, b.values.to_numpy(), w.values.to_numpy()))
     rng = np.random.default_rng(7)
     mixed = [data[i] for i in rng.permutation(len(data))]
     held = mixed[: int(len(mixed) * HELD_BACK)]
-    table, offsets = _descend(mixed[len(held) :], languages, rng)
-    model = Model(languages, np.vstack([table, np.zeros(len(languages))]), offsets)
+    table, offsets = _descend(mixed[len(held) :], len(languages) + 1, rng)
+    model = Model(languages, np.vstack([table, np.zeros(len(languages) + 1)]), offsets)
     if held:
         logits = np.stack([share @ table[at] + offsets for _, at, share in held])
-        truth = np.array([languages.index(r[0]) for r in held])
-        # one more error than was seen, so that a faultless sample does not make every score 1
-        doubt = 1 / (len(held) + 2)
-        target = np.full(logits.shape, doubt / len(languages))
-        target[np.arange(len(held)), truth] += 1 - doubt
-        losses = {t: -(target * np.log(_softmax(logits * t) + 1e-12)).sum(1).mean() for t in np.geomspace(0.0001, 10, 101)}
-        model.sharpness = float(min(losses, key=losses.get))
-        scored = _softmax(logits * model.sharpness)
-        right = scored.max(1)[scored.argmax(1) == truth]
-        # at most those texts are turned away whose languages are hardly more than a guess
-        model.accept = float(min(0.5, GUESS / len(languages), np.quantile(right, REJECTED))) if len(right) else 0.0
+        _calibrate(model, logits, np.array([r[0] for r in held]))
+    del counted, data, mixed, held
+    release_memory()
     return model
 
 
+def _calibrate(model: Model, logits: np.ndarray, truth: np.ndarray) -> None:
+    """Sets the temperature and the rejection score by held-back texts."""
+    # one more error than was seen, so that a faultless sample does not make every score 1
+    doubt = 1 / (len(truth) + 2)
+    target = np.full(logits.shape, doubt / logits.shape[1])
+    target[np.arange(len(truth)), truth] += 1 - doubt
+    losses = {t: -(target * np.log(_softmax(logits * t) + 1e-12)).sum(1).mean() for t in np.geomspace(0.0001, 10, 101)}
+    model.sharpness = float(min(losses, key=losses.get))
+    scored = _softmax(logits * model.sharpness)[:, :-1]
+    real = truth < len(model.languages)
+    right, strange = scored[real & (scored.argmax(1) == truth)].max(1), scored[~real].max(1)
+    if not len(right):
+        return
+    # between what strange texts reach and what texts of the languages fall to, on the scale of logits
+    low, high = np.quantile(strange, CAUGHT) if len(strange) else 0.0, np.quantile(right, REJECTED)
+    logit = lambda p: np.log(max(p, 1e-9) / max(1 - p, 1e-9))
+    model.accept = float(high if low >= high else 1 / (1 + np.exp(-(logit(low) + logit(high)) / 2)))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, accepted) of every whole text.
 
@@ -192,7 +242,7 @@ def keep_accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     letters = "letters_" + "_".join(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, BATCH_BYTES, text):
             texts, known = batch.column(text), batch.column(letters).to_numpy(zero_copy_only=False)
             top = model.scores(texts).max(1) if model.languages else np.full(batch.num_rows, -1.0)
             yield batch.drop_columns([letters]).filter(pa.array(known & (top >= model.accept)))

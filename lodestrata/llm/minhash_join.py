@@ -72,9 +72,9 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     return materialise(own.select("id", F.col("p.key").alias("key")), "prefixes")
 
 
-def _full_sets(prefixes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _full_sets(prefixes: DataFrame, docs: DataFrame, words: int, most: int) -> DataFrame:
     """(id, n, shingles, sketch) of the texts that have postings to share."""
-    wanted = materialise(prefixes.select("id").distinct(), "wanted")
+    wanted = materialise(prefixes.select("id").distinct(), "wanted", most)
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "id", "left_semi")
@@ -165,15 +165,15 @@ def _across_blocks(percent: int):
     return run
 
 
-def _remaining(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _remaining(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, most: int) -> DataFrame:
     """Links between components among the members of each list that holds more than one."""
     leads = stars.select(F.col("a").alias("lead")).distinct()
     lists = stars.select(F.col("a").alias("lead"), F.col("b").alias("id")).unionByName(leads.withColumn("id", F.col("lead")))
     of_lead = labels.select(F.col("id").alias("lead"), F.col("component").alias("main"))
-    posts = materialise(lists.join(labels, "id").join(of_lead, "lead").withColumn("rest", F.col("component") != F.col("main")), "lists")
+    posts = materialise(lists.join(labels, "id").join(of_lead, "lead").withColumn("rest", F.col("component") != F.col("main")), "lists", most)
     several = posts.groupBy("lead").agg(F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("m")).where("r > 0")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    several = materialise(several.select("lead", blocks("r").alias("rests"), blocks("m").alias("mains")), "several")
+    several = materialise(several.select("lead", blocks("r").alias("rests"), blocks("m").alias("mains")), "several", most)
     rows = posts.join(several, "lead").join(sets, "id")
     # blocks of the rest come first; those of the least id's own component are together already and never meet each other
     own = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("rests"))).otherwise(F.col("rests") + F.pmod(F.xxhash64("id"), F.col("mains")))
@@ -209,14 +209,15 @@ def near_duplicates(
     reps = materialise(reps, "reps")
     prefixes = _prefixes(reps)
     leaders = prefixes.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    leaders = materialise(leaders.select("key", "lead"), "leaders")
+    most = prefixes.count()  # of all tables of ids from here on
+    leaders = materialise(leaders.select("key", "lead"), "leaders", most)
     stars = prefixes.join(leaders, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    stars = materialise(stars, "stars")
+    stars = materialise(stars, "stars", most)
     named = docs.where("id is not null")
-    sets = _full_sets(prefixes, named, words)
+    sets = _full_sets(prefixes, named, words, most)
     links = materialise(_confirmed(stars, sets, percent), "links")
-    labels = materialise(_labelled(sets.select("id"), links), "labels")
-    links = links.unionByName(materialise(_remaining(stars, sets, labels, percent), "links"))
+    labels = materialise(_labelled(sets.select("id"), links), "labels", most)
+    links = links.unionByName(materialise(_remaining(stars, sets, labels, percent, 2 * most), "links"))
     labels = _labelled(sets.select("id"), links)
     groups = reps.select("set_key", "id").join(labels.withColumnRenamed("id", "rep"), F.col("id") == F.col("rep"), "left")
     groups = materialise(groups.select("set_key", F.coalesce("component", "id").alias("component")), "groups")

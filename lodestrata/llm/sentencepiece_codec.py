@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding by a Viterbi search over an Aho-Corasick automaton.
 
 The automaton holds all pieces. One pass over the characters follows its output links, and each
-piece that ends at a position may become the last piece of the best segmentation up to there. What
-is best is what SentencePiece defines for the kind of model. For a unigram model a piece relaxes the
-sum of scores. The scores of a merge (BPE) model are merge priorities, and their sum means nothing:
-there, a piece follows the best segmentation before it if merging the two pieces' characters by
-priority gives just these two pieces, which holds for exactly one piece at each position.
-Characters that no piece covers become their UTF-8 bytes.
+piece that ends at a position relaxes the best score of a segmentation up to there. The score is
+what SentencePiece defines for the kind of model. For a unigram model it is the sum of the pieces'
+scores. The scores of a merge (BPE) model are merge priorities, and their sum means nothing: there,
+the score is minus the number of seams that merging would not leave, where a seam between two
+pieces is left if merging their characters by priority gives just these two. The segmentation that
+merging itself gives is the only one of score 0. Characters that no piece covers become their
+UTF-8 bytes.
 
 No piece holds a space mark after another character, so a text falls apart before each run of space
 marks, and each distinct part is searched once for as long as a worker remembers it.
@@ -32,8 +33,8 @@ from .words import by_bytes
 SPACE = "▁"
 #: What a character without a piece costs below the least score.
 UNKNOWN_PENALTY = 10.0
-#: Parts that a worker keeps with their ids, about 200 bytes each.
-MEMO_PARTS = 150_000
+#: Parts that a worker keeps with their ids, about 200 bytes each, and seams, about 100 each.
+MEMO_PARTS, MEMO_SEAMS = 500_000, 300_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -104,7 +105,7 @@ class Codec:
     def forget(self) -> None:
         self._at: dict[str, int] = {}
         self._ids, self._bounds = array("i"), array("q", [0])
-        if len(self._follows) > 2 * MEMO_PARTS:
+        if len(self._follows) > MEMO_SEAMS:
             self._follows.clear()
 
     def _merged(self, text: str) -> list[str]:
@@ -129,19 +130,28 @@ class Codec:
         return self._names[piece] if piece < len(self._raw) else chr(piece - len(self._raw))
 
     def search_merges(self, part: str) -> list[int]:
-        """Ids of the segmentation by merge priority."""
+        """Ids of the segmentation of the best score: minus the number of its seams that merging would not leave.
+
+        Each piece that ends at a position relaxes its score. No score is above 0, so a position that
+        has reached it is settled; merging itself leaves all its seams, and no other segmentation does.
+        """
         n, known, width = len(self._raw), self._follows.get, len(self._raw) + 1
-        last, sizes, done = [-1] * (len(part) + 1), [1] * (len(part) + 1), 0
+        best, last, sizes, done = [0] + [-len(part) - 1] * len(part), [-1] * (len(part) + 1), [1] * (len(part) + 1), 0
         for end, (piece, size, _) in self._automaton.iter(part):
-            while done < end:  # a character that no piece ends with stands alone
+            while done < end:  # a character that no piece settles stands alone
                 done += 1
-                if last[done] < 0:
-                    last[done] = n + ord(part[done - 1])
-            if last[end + 1] < 0:
-                before = last[end + 1 - size]
-                fits = known(before * width + piece)
-                if fits or fits is None and self._may_follow(before, piece):
-                    last[end + 1], sizes[end + 1] = piece, size
+                if best[done] < best[done - 1]:
+                    best[done], last[done], sizes[done] = best[done - 1], n + ord(part[done - 1]), 1
+            at = end + 1
+            if best[at] == 0:
+                continue
+            before = last[at - size]
+            fits = known(before * width + piece)
+            if fits is None:
+                fits = self._may_follow(before, piece)
+            score = best[at - size] if fits else best[at - size] - 1
+            if score > best[at]:
+                best[at], last[at], sizes[at] = score, piece, size
         out: list[int] = []
         at = len(part)
         while at:

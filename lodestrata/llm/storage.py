@@ -30,13 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub("^file:/+", "file:///", whole)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hands Python workers fewer rows at once than Spark's default, as texts can be very long.
+#: Rows and bytes that a Python worker is handed at once, and one row at least.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
-    A value that the user has set stays.
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hands Python workers fewer rows and bytes at once than Spark's defaults, as texts can be very long.
+
+    Values that the user has set stay.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, default, ours in (("Records", "10000", BATCH_ROWS), ("Bytes", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.max{name}PerBatch") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.max{name}PerBatch", str(ours))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -46,10 +51,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again with the same columns and types."""
+#: Rows of narrow tables that a task handles at least, once each core has two tasks.
+ROWS_PER_TASK = 100_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again with the same columns and types.
+
+    rows: no fewer than df has, where that is known; a small table is then written by fewer tasks
+    than the session has shuffle partitions, which spares the driver their bookkeeping.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        tasks = max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+        df = df.coalesce(tasks) if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,8 +13,8 @@ import xxhash
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def by_bytes(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about most_bytes of text (column 1) each, and one row at least.
+def by_bytes(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, text: int | str = 1) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about most_bytes of text each, and one row at least.
 
     Memory stays bounded for very long texts, and short ones are handled many at a time.
     """
@@ -25,7 +25,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> It
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start = 0
         for i, n in enumerate(sizes.tolist()):
             if size and size + n > most_bytes:
@@ -39,10 +39,10 @@ def by_bytes(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> It
     if held:
         yield together()
     held.clear()
-    _give_back()
+    release_memory()
 
 
-def _give_back() -> None:
+def release_memory() -> None:
     """Returns what this process no longer uses to the machine, as workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
