@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import BROWSABLE, KNOWN_SCHEMES, LAUNCHER, MAIN_ACTION
+from .values import BROWSABLE, DANGEROUS_PERMISSIONS, KNOWN_SCHEMES, LAUNCHER, MAIN_ACTION, PERMISSION_FAMILIES, SANDBOX_PERMISSIONS
 
 
 def tri_state(plain: Column, qualified: Column) -> Column:
@@ -47,9 +47,8 @@ def qualified_name(name: Column, package: Column) -> Column:
 
 
 def scheme_kind(scheme: Column) -> Column:
-    """http, https, market, known or custom."""
-    low = F.lower(scheme)
-    return F.when(low.isin("http", "https", "market"), low).when(low.isin(KNOWN_SCHEMES), "known").otherwise("custom")
+    """http, https, market, known (schemes of the system) or custom."""
+    return F.when(scheme.isin("http", "https", "market"), scheme).when(scheme.isin(KNOWN_SCHEMES), "known").otherwise("custom")
 
 
 def filter_flags(filters: Column) -> Column:
@@ -62,12 +61,27 @@ def filter_flags(filters: Column) -> Column:
     )
 
 
-def permission_space(name: Column) -> Column:
-    """The kind of a permission's namespace: standard, privacy_sandbox or custom."""
-    return (
-        F.when(F.startswith(name, F.lit("android.permission.ACCESS_ADSERVICES")), "privacy_sandbox")
-        .when(F.startswith(name, F.lit("android.permission.")) | F.startswith(name, F.lit("com.android.")), "standard")
-        .otherwise("custom")
+def permission_family(name: Column) -> Column:
+    """The family of a permission, perm_other for those of none."""
+    out = F.coalesce(*(F.when(name.isin([f"android.permission.{x}" for x in xs]), family) for family, xs in PERMISSION_FAMILIES.items()))
+    return F.coalesce(out, F.lit("perm_other"))
+
+
+def is_dangerous(name: Column) -> Column:
+    """Whether users are asked for a permission."""
+    return name.isin([f"android.permission.{x}" for x in DANGEROUS_PERMISSIONS])
+
+
+def permission_facts(name: Column) -> Column:
+    """struct(family, namespace, standard, custom, sandbox, dangerous) of a permission's name."""
+    standard = F.startswith(name, F.lit("android.permission."))
+    return F.struct(
+        permission_family(name).alias("family"),
+        F.when(F.startswith(name, F.lit("android.")), "android").otherwise("custom").alias("namespace"),
+        standard.alias("standard"),
+        (~standard).alias("custom"),
+        name.isin(list(SANDBOX_PERMISSIONS)).alias("sandbox"),
+        is_dangerous(name).alias("dangerous"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import DOH_NAMES, PROBE_NAMES, RESOLVERS, SECOND_LEVEL_SUFFIXES, SYSTEM_PREFIXES, TEXT_TLDS, USUAL_PORTS
+from .values import CODE_WORDS, DOH_NAMES, KNOWN_ADDRESSES, PROBE_NAMES, RESOLVERS, SECOND_LEVEL_SUFFIXES, SYSTEM_PREFIXES, TEXT_TLDS, USUAL_PORTS
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
@@ -131,24 +131,36 @@ def query_type(answers: Column) -> Column:
     return F.when(F.exists(answers, lambda x: F.contains(x, F.lit(":"))), "AAAA").otherwise("A")
 
 
-def plausible_domain(text: Column) -> Column:
-    """Whether a dotted word of a text may be a domain."""
-    low = F.lower(text)
+def plausible_domain(text: Column, tlds: list[str] = TEXT_TLDS) -> Column:
+    """Whether a dotted word of a text may be a domain.
+
+    It ends in one of tlds, has a letter before that, labels of letters, digits, `-` and `_` without
+    `-` at an end, and neither a package's or system's prefix nor a word of code in it.
+    """
+    low = F.lower(F.trim(text))
     labels = F.split(low, r"\.")
     system = F.lit(False)
     for p in SYSTEM_PREFIXES:
         system = system | F.startswith(low, F.lit(p))
+    before = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0)))
     return F.coalesce(
         F.contains(low, F.lit("."))
         & ~system
-        & F.element_at(labels, -1).isin(TEXT_TLDS)
-        & F.forall(labels, lambda x: x.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?$"))
-        & F.exists(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x.rlike("[a-z]")),
+        & ~low.rlike("|".join(CODE_WORDS))
+        & F.element_at(labels, -1).isin(tlds)
+        & F.forall(labels, lambda x: x.rlike("^[a-z0-9_-]+$") & ~x.rlike("^-|-$"))
+        & F.exists(before, lambda x: x.rlike("[a-z]")),
         F.lit(False),
     )
 
 
 def plausible_endpoint(ip: Column, explicit: Column) -> Column:
-    """Addresses with a protocol or port are endpoints; bare ones only if well known or of a private network."""
-    private = ip.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)")
-    return F.coalesce(ip.rlike(IPV4) & (explicit | is_resolver(ip) | private), F.lit(False))
+    """Addresses with a protocol or port are endpoints; bare ones only if well known or of a private network.
+
+    Numbers may have leading zeros, as long as they are no more than 255.
+    """
+    parts = F.transform(F.split(ip, r"\."), lambda x: F.when(x.rlike(r"^\d{1,9}$"), x).try_cast("int"))
+    whole = (F.size(parts) == 4) & F.forall(parts, lambda x: x.isNotNull() & (x <= 255))
+    one, two = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    private = (one == 10) | ((one == 192) & (two == 168)) | ((one == 172) & two.between(16, 31))
+    return F.coalesce(whole & (explicit | ip.isin(KNOWN_ADDRESSES) | private), F.lit(False))

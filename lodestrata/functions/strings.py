@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import TOKEN_PREFIXES, TOKEN_STOPWORDS
+from .values import (
+    BUILD_NAMES,
+    CONSTANT_STARTS,
+    METHOD_STARTS,
+    NAME_ENDS,
+    NAME_STARTS,
+    NO_SECRETS,
+    RESOURCE_STARTS,
+    RUNS_OF_SIGNS,
+    SECRET_TIERS,
+    SENSITIVE_NAMES,
+    TOKEN_PREFIXES,
+    TOKEN_STOPWORDS,
+    WEBSOCKET_GUID,
+)
 
 
 def digits(text: Column) -> Column:
@@ -18,17 +32,23 @@ def luhn(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for null and empty texts (M2)."""
-    chars = F.split(text, "")
-    n = F.size(chars)
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-    bits = F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(bits)
+    """Shannon entropy of the characters in bits; 0 for null and empty texts (M2).
+
+    The sorted characters are gone over once; a run that ends adds its share.
+    """
+    chars = F.array_sort(F.split(text, ""))
+    n = F.size(chars).cast("double")
+    bits = lambda run: F.when(run > 0, run / n * F.log2(run / n)).otherwise(0.0)
+    state = lambda sum_, last, run: F.struct(sum_.alias("sum"), last.alias("last"), run.alias("run"))
+    start = state(F.lit(0.0), F.lit(""), F.lit(0.0))
+    step = lambda a, c: F.when(a["last"] == c, state(a["sum"], a["last"], a["run"] + 1)).otherwise(state(a["sum"] - bits(a["run"]), c, F.lit(1.0)))
+    total = F.aggregate(chars, start, step, lambda a: a["sum"] - bits(a["run"]))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(total)
 
 
 def is_e164(text: Column) -> Column:
-    """`+` and 7 to 15 digits, the first not 0, white space aside (M4)."""
-    return F.regexp_replace(text, r"\s", "").rlike(r"^\+[1-9]\d{6,14}$")
+    """`+` and 6 to 15 digits, white space, hyphens and brackets aside (M4)."""
+    return F.regexp_replace(text, r"[\s\-()]", "").rlike(r"^\+\d{6,15}$")
 
 
 def is_email(text: Column) -> Column:
@@ -90,11 +110,50 @@ def duration(seconds: Column) -> Column:
     )
 
 
-def plausible_secret(text: Column) -> Column:
-    """Whether a high-entropy token may be a secret (F8): long enough, no path, URL or identifier, mixed characters, entropy of 3.8 bits."""
-    classes = sum((text.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
-    shaped = ~text.rlike(r"^(https?://|/|\.)|\s|^[a-z]+(\.[a-z0-9]+)+$|^(.)\2+$|(?i)example|placeholder|your_|test_key")
-    return F.coalesce((F.length(text) >= 16) & shaped & text.rlike("[0-9]") & (classes >= 3) & (entropy(text) >= 3.8), F.lit(False))
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def plausible_secret(text: Column, high_entropy: Column | bool = True) -> Column:
+    """Whether a matched text may be a secret (F8).
+
+    Words for nothing, ids and runs of signs, keys that are public, constants and resources of apps
+    and names of code are none. A match for its entropy alone (high_entropy) also needs a digit,
+    three kinds of characters, 3.8 bits a character, and few separators.
+    """
+    v = F.trim(text)
+    low, up = F.lower(v), F.upper(v)
+    has = lambda c, x: F.contains(c, F.lit(x))
+    starts = lambda c, xs: _any([F.startswith(c, F.lit(x)) for x in xs])
+    count = lambda pattern: F.regexp_count(v, F.lit(pattern))
+    alphabet = _any([has(low if x[0].isalpha() else v, x) for x in RUNS_OF_SIGNS])
+    public = has(v, "-----BEGIN ") | up.rlike("BEGIN (CERTIFICATE|PUBLIC KEY|RSA PRIVATE KEY)")
+    constant = starts(up, CONSTANT_STARTS) | has(up, "ACTION_") | has(up, "PERMISSION") | has(low, "android.intent") | starts(low, ["action.", "android.permission"]) | up.isin(BUILD_NAMES)
+    resource = starts(v, ["R.", "@"]) | has(low, "res/") | starts(low, NAME_STARTS + RESOURCE_STARTS) | v.rlike("^u[0-9a-fA-F]{4}")
+    name = has(v, "__") | (count("_") >= 3) | _any([F.endswith(low, F.lit(x)) for x in NAME_ENDS]) | F.endswith(v, F.lit("_"))
+    method = starts(low, METHOD_STARTS) & v.rlike(r"\p{Lu}") & (count(r"\p{Nd}") < 3)
+    uuid = v.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$") | (up == WEBSOCKET_GUID)
+    none = (v == "") | low.isin(NO_SECRETS) | uuid | alphabet | public | constant | resource | name | method
+    kinds = sum((v.rlike(p).cast("int") for p in (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[^\p{L}\p{N}]")), F.lit(0))
+    separated = (count(r"\.") > 1) | (count("/") > 1) | v.rlike("[;$]")
+    mixed = v.rlike(r"\p{Nd}") & (kinds >= 3) & ~v.rlike("^[A-Z0-9_]+$") & ~separated & (entropy(v) >= 3.8)
+    only_mixed = F.lit(high_entropy) if isinstance(high_entropy, bool) else high_entropy
+    return F.coalesce(~none & (~only_mixed | mixed), F.lit(False))
+
+
+def secret_tier(name: Column, value: Column) -> Column:
+    """struct(tier, label) of a value of manifest meta-data, null for one that is no secret.
+
+    The first pattern that fits says which; else a value of 16 characters or more under a name that
+    credentials have is a possible credential.
+    """
+    kind = lambda tier, label: F.struct(F.lit(tier).alias("tier"), F.lit(label).alias("label"))
+    fits = [F.when(value.rlike(p), kind(tier, label)) for tier, p, label in SECRET_TIERS]
+    named = _any([F.contains(F.lower(name), F.lit(x)) for x in SENSITIVE_NAMES]) & (F.length(value) >= 16)
+    return F.coalesce(*fits, F.when(named, kind("possible_credential", "sensitive_meta_key")))
 
 
 def plausible_version(text: Column) -> Column:

@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 
 from ..functions.net import block_bounds, clean_name, ip_number, is_private
 from ..functions.versions import in_any_range
+from .grams import containing, starting
 
 #: Addresses and ranges meet within blocks of this many addresses.
 RANGE_BLOCK = 1 << 16
 
+#: Patterns that one expression holds at most.
+MOST_PATTERNS = 10_000
 
-#: Rule tables that have to meet every value are broadcast up to this many rows; beyond it, Spark picks another join.
-BROADCAST_RULES = 100_000
 
-
-def small(rules: DataFrame) -> DataFrame:
-    """rules, marked for broadcast if they are few."""
-    return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
+def as_literals(rules: DataFrame, *columns: str) -> list[tuple]:
+    """The distinct rows of a table of patterns, which become parts of an expression; raises ValueError beyond MOST_PATTERNS."""
+    rows = sorted(map(tuple, rules.select(*columns).distinct().limit(MOST_PATTERNS + 1).collect()), key=repr)
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    return rows
 
 
 def _best(found: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -51,12 +54,12 @@ def longest_suffix(df: DataFrame, column: str, rules: DataFrame, suffix: str) ->
     return _bring_back(df, column, best.drop("_at", "_key", "_suffix"))
 
 
-def two_tier(df: DataFrame, column: str, primary: DataFrame, secondary: DataFrame, suffix: str, fields: Sequence[str]) -> DataFrame:
-    """Longest-suffix matches of two rule tables: the primary's non-blank fields win, one by one."""
+def two_tier(df: DataFrame, column: str, primary: DataFrame, secondary: DataFrame, suffix: str, fields: Sequence[str], always: Sequence[str] = ()) -> DataFrame:
+    """Longest-suffix matches of two rule tables: the primary's non-blank fields win, one by one; always: fields of the secondary alone."""
     first = primary.select(suffix, *(F.col(f).alias(f"_p_{f}") for f in fields)).withColumn("_p", F.lit(True))
-    second = secondary.select(suffix, *(F.col(f).alias(f"_s_{f}") for f in fields)).withColumn("_s", F.lit(True))
+    second = secondary.select(suffix, *(F.col(f).alias(f"_s_{f}") for f in (*fields, *always))).withColumn("_s", F.lit(True))
     both = longest_suffix(longest_suffix(df, column, first, suffix).drop(suffix), column, second, suffix).drop(suffix)
-    merged = [F.coalesce(F.nullif(F.col(f"_p_{f}"), F.lit("")), F.col(f"_s_{f}")).alias(f) for f in fields]
+    merged = [F.coalesce(F.nullif(F.col(f"_p_{f}"), F.lit("")), F.col(f"_s_{f}")).alias(f) for f in fields] + [F.col(f"_s_{f}").alias(f) for f in always]
     return both.select(*df.columns, (F.col("_p").isNotNull() | F.col("_s").isNotNull()).alias("matched"), *merged)
 
 
@@ -65,18 +68,14 @@ def longest_prefix(df: DataFrame, column: str, rules: DataFrame, prefix: str, bo
 
     boundary: the prefix must end the value or be followed by `.` or `/`.
     """
-    known = rules.withColumn("_prefix", F.lower(prefix)).where("_prefix <> ''").withColumn("_len", F.length("_prefix"))
-    lengths = sorted(r[0] for r in known.select("_len").distinct().collect())  # a few, whatever the number of rules
-    probes = df.select(F.col(column).alias("_probe")).where(F.col(column).isNotNull()).distinct()
-    value = F.lower("_probe")
-    cuts = F.array(*map(F.lit, lengths)).cast("array<int>")
-    spread = probes.select("_probe", F.explode(cuts).alias("_cut")).where(F.col("_cut") <= F.length("_probe"))
+    known = rules.withColumn("_prefix", F.lower(prefix))
+    probes = df.select(F.col(column).alias("_probe")).where(F.col(column).isNotNull()).distinct().withColumn("_low", F.lower("_probe"))
+    found = starting(probes, "_low", known, "_prefix")
     if boundary:
-        spread = spread.where((F.col("_cut") == F.length("_probe")) | F.substring(value, F.col("_cut") + 1, F.lit(1)).isin(".", "/"))
-    keyed = spread.withColumn("_key", F.substring(value, F.lit(1), F.col("_cut")))
-    found = keyed.join(known, F.col("_key") == F.col("_prefix"))
-    best = _best(found, ["_probe"], [F.desc("_len"), F.col("_prefix")])
-    return _bring_back(df, column, best.drop("_cut", "_key", "_prefix", "_len"))
+        after = F.length("_prefix") + 1
+        found = found.where((F.length("_low") < after) | F.substring(F.col("_low"), after, F.lit(1)).isin(".", "/"))
+    best = _best(found, ["_probe"], [F.desc(F.length("_prefix")), F.col("_prefix")])
+    return _bring_back(df, column, best.drop("_low", "_prefix"))
 
 
 def resolve_name(df: DataFrame, column: str, names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -94,12 +93,9 @@ def resolve_name(df: DataFrame, column: str, names: DataFrame, aliases: DataFram
 
 
 def best_contained(df: DataFrame, column: str, rules: DataFrame, pattern: str, pos: str) -> DataFrame:
-    """df with the rule whose pattern the value contains: the longest, then the first by pos.
-
-    Every distinct value meets every rule, so rules must be a small table.
-    """
-    probes = df.select(F.col(column).alias("_probe")).where(F.col(column).isNotNull()).distinct()
-    found = probes.join(small(rules), F.contains(F.lower("_probe"), F.lower(pattern)))
+    """df with the rule whose pattern the value contains, whatever the case: the longest, then the first by pos."""
+    probes = df.select(F.col(column).alias("_probe")).where(F.col(column).isNotNull()).distinct().withColumn("_low", F.lower("_probe"))
+    found = containing(probes, "_low", rules.withColumn("_pattern", F.lower(pattern)), "_pattern").drop("_low", "_pattern")
     return _bring_back(df, column, _best(found, ["_probe"], [F.desc(F.length(pattern)), F.col(pos)]))
 
 
@@ -147,8 +143,8 @@ def token_candidates(
 
 
 def expanded_aliases(items: DataFrame, column: str, tokens: str, aliases: DataFrame) -> DataFrame:
-    """items whose tokens are joined by those of every alias row whose `starts` begins the column (J11); aliases is a small table."""
-    extra = items.select(F.col(column).alias("_probe")).distinct().join(small(aliases), F.startswith("_probe", "starts"))
+    """items whose tokens are joined by those of every alias row whose `starts` begins the column."""
+    extra = starting(items.select(F.col(column).alias("_probe")).distinct(), "_probe", aliases, "starts")
     extra = extra.groupBy("_probe").agg(F.flatten(F.collect_list("also")).alias("_also"))
     joined = _bring_back(items, column, extra)
     merged = F.array_sort(F.array_union(tokens, F.coalesce("_also", F.array().cast("array<string>"))))
@@ -218,10 +214,9 @@ def cascade(df: DataFrame, levels: Sequence[tuple[str, DataFrame]], keyword_on:
         out = out.join(agreed, out[column] == agreed[f"_k{i}"], "left")
         found.append(F.col(f"_c{i}"))
     if keywords is not None:
-        probes = df.select(F.col(keyword_on).alias("_probe")).distinct()
-        met = probes.join(small(keywords), F.expr("lower(_probe) rlike pattern")).groupBy("_probe")
-        agreed = met.agg(F.min("category").alias("_ck"), F.count_distinct("category").alias("_n")).where("_n = 1").drop("_n")
-        out = _bring_back(out, keyword_on, agreed)
+        low = F.lower(keyword_on)
+        met = F.array_distinct(F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(c)) for p, c in as_literals(keywords, "pattern", "category")))))
+        out = out.withColumn("_ck", F.when(F.size(met) == 1, F.get(met, F.lit(0))))
         found.append(F.col("_ck"))
     return out.select(*df.columns, F.coalesce(*found, F.lit("unknown")).alias("category"))
 

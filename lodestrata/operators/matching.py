@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.net import plausible_domain, plausible_endpoint
-from ..functions.strings import is_email, is_uuid, luhn, plausible_secret, plausible_version, within
-from ..functions.values import PII_PATTERNS
-from .joins import small
+from ..functions.net import IPV4, plausible_domain, plausible_endpoint
+from ..functions.strings import is_e164, is_email, is_uuid, luhn, plausible_secret, plausible_version, within
+from ..functions.values import PII_HINTS, PII_PATTERNS
+from .grams import containing
+from .joins import as_literals
 
 #: Checks of matched text by name.
 VALIDATORS = {
     "luhn": luhn,
     "email": is_email,
-    "ipv4": lambda x: F.lit(True),
+    "ipv4": lambda x: x.rlike(IPV4),
+    "e164": is_e164,
     "latitude": lambda x: within(x, 90.0),
     "longitude": lambda x: within(x, 180.0),
     "uuid": is_uuid,
@@ -30,34 +30,14 @@ VALIDATORS = {
 def keyword_search(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """(key, token, category, subcategory, first_at, last_at) of each rule token that a text contains, whatever its case.
 
-    rules (token, category, subcategory). One automaton for all tokens goes over each text once;
+    rules (token, category, subcategory). Texts and tokens meet by pieces of a few characters;
     positions are those of the first occurrence, counted from 0, the last one inclusive.
     """
-    known = sorted(tuple(r) for r in rules.select("token", "category", "subcategory").distinct().collect())
-    kind = df.schema[key].dataType
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        by_token: dict[str, list[tuple[str, str, str]]] = {}
-        for token, category, sub in known:
-            by_token.setdefault(token.lower(), []).append((token, category, sub))
-        for token in by_token:
-            automaton.add_word(token, token)
-        if by_token:
-            automaton.make_automaton()
-        for batch in batches:
-            rows = []
-            for k, value in zip(batch["k"], batch["t"], strict=True):
-                first: dict[str, int] = {}
-                for end, token in automaton.iter(value.lower()) if value and by_token else ():
-                    first.setdefault(token, end)
-                rows += [(k, *rule, end - len(token) + 1, end) for token, end in first.items() for rule in by_token[token]]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    schema = T.StructType().add(key, kind).add("token", "string").add("category", "string").add("subcategory", "string").add("first_at", "long").add("last_at", "long")
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
+    known = rules.select("token", "category", "subcategory").distinct().withColumn("_token", F.lower("token"))
+    texts = df.select(F.col(key).alias("_key"), F.lower(text).alias("_text"))
+    first = F.instr(F.col("_text"), F.col("_token")).cast("long") - 1
+    met = containing(texts, "_text", known, "_token").withColumn("first_at", first)
+    return met.select(F.col("_key").alias(key), "token", "category", "subcategory", "first_at", (F.col("first_at") + F.length("_token") - 1).cast("long").alias("last_at"))
 
 
 def contains_keywords(text: Column, keywords: Sequence[str]) -> Column:
@@ -65,11 +45,12 @@ def contains_keywords(text: Column, keywords: Sequence[str]) -> Column:
     return F.coalesce(text.rlike("(?i)" + "|".join(re.escape(k) for k in keywords)), F.lit(False))
 
 
-def personal_data(text: Column, patterns: Sequence[tuple[str, str, str, str | None]] = PII_PATTERNS) -> Column:
+def personal_data(text: Column, patterns: Sequence[tuple[str, str, str, str | None]] = PII_PATTERNS, hints: str = PII_HINTS) -> Column:
     """array<struct(pattern_name, category, value)> of the personal data in a text.
 
     All patterns make one expression. At each place the first pattern that fits wins, matches do
-    not overlap, and a match that its validator turns down is not tried with later patterns.
+    not overlap, and a match that its validator turns down is not tried with later patterns. hints:
+    an expression that every text with a match fits, blank for none.
     """
     master = "(?i)" + "|".join(f"(?:{p})" for _, _, p, _ in patterns)
 
@@ -81,8 +62,10 @@ def personal_data(text: Column, patterns: Sequence[tuple[str, str, str, str | No
             out = F.when(value.rlike(f"(?i)^(?:{pattern})$"), good).otherwise(out)
         return out
 
-    matches = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(master), F.lit(0))
-    return F.filter(F.transform(matches, classify), lambda m: m.isNotNull())
+    # a text without any of these holds none of the patterns, and most texts are none the slower for them
+    may = F.coalesce(text, F.lit("")).rlike(hints) if hints else F.lit(True)
+    matches = F.when(may, F.regexp_extract_all(text, F.lit(master), F.lit(0)))
+    return F.coalesce(F.filter(F.transform(matches, classify), lambda m: m.isNotNull()), F.array().cast("array<struct<pattern_name:string,category:string,value:string>>"))
 
 
 def personal_data_in_fields(df: DataFrame, key: Sequence[str], fields: dict[str, str]) -> DataFrame:
@@ -109,12 +92,26 @@ def supported_patterns(rules: Sequence[tuple[str, str, str]], spark: SparkSessio
 def secrets(df: DataFrame, key: Sequence[str], text: str, rules: DataFrame) -> DataFrame:
     """(key, pattern_id, confidence, value): all matches of all supported patterns; low confidence is left out.
 
-    `high_entropy_token` matches must look like secrets as well (F8). rules is a small table.
+    All matches have to look like secrets, those of `high_entropy_token` the more so (F8). rules is a small table.
     """
-    known = small(rules.where("supported and lower(severity) <> 'low'"))
-    met = df.select(*key, F.col(text).alias("_t")).join(known, F.expr("_t rlike regex"))
-    found = met.select(*key, "pattern_id", F.lower("severity").alias("confidence"), F.explode(F.expr("regexp_extract_all(_t, regex, 0)")).alias("value"))
-    return found.where((F.col("pattern_id") != "high_entropy_token") | plausible_secret(F.col("value"))).distinct()
+    known = as_literals(rules.where("supported and lower(severity) <> 'low'"), "pattern_id", "regex", "severity")
+    found = _all_matches(df, key, text, [(ident, regex, F.lit(severity.lower())) for ident, regex, severity in known])
+    found = found.select(*key, F.col("id").alias("pattern_id"), F.col("extra").alias("confidence"), "value")
+    return found.where(plausible_secret(F.col("value"), F.col("pattern_id") == "high_entropy_token")).distinct()
+
+
+def _all_matches(df: DataFrame, key: Sequence[str], text: str, patterns: list[tuple[str, str, Column]]) -> DataFrame:
+    """(key, id, extra, value): all matches of patterns (id, expression, extra), each a literal that is compiled once."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    kind = "array<struct<id:string,extra:string,value:string>>"
+
+    def of(ident: str, pattern: str, extra: Column) -> Column:
+        found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda v: F.struct(F.lit(ident).alias("id"), extra.alias("extra"), v.alias("value")))
+
+    each = [of(*p) for p in patterns]
+    every = F.flatten(F.array(*each)) if each else F.array().cast(kind)
+    return df.select(*key, F.explode(every).alias("m")).select(*key, "m.id", "m.extra", "m.value")
 
 
 def rule_patterns(df: DataFrame, key: Sequence[str], text: str, rules: DataFrame) -> DataFrame:
@@ -123,12 +120,12 @@ def rule_patterns(df: DataFrame, key: Sequence[str], text: str, rules: DataFrame
     rules (rule_id, class_name, method_name); an upper-case name without a method is a constant. A
     small table.
     """
-    quoted = lambda c: F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))
-    method = F.concat(F.lit("(?i)(?:"), quoted("class_name"), F.lit("[.;>/-]*)?"), quoted("method_name"), F.lit("\\b"))
-    constant = F.concat(F.lit("(?i)\\b"), quoted("class_name"), F.lit("\\b"))
-    known = rules.withColumn("_regex", F.when(F.coalesce(F.col("method_name"), F.lit("")) == "", constant).otherwise(method))
-    met = df.select(*key, F.col(text).alias("_t")).join(small(known), F.expr("_t rlike _regex"))
-    return met.select(*key, "rule_id", F.explode(F.expr("regexp_extract_all(_t, _regex, 0)")).alias("value")).distinct()
+    patterns = []
+    for ident, name, method in as_literals(rules, "rule_id", "class_name", "method_name"):
+        pattern = rf"(?i)(?:{re.escape(name)}[.;>/-]*)?{re.escape(method)}\b" if method else rf"(?i)\b{re.escape(name)}\b"
+        patterns.append((ident, pattern, F.lit(None).cast("string")))
+    found = _all_matches(df, key, text, patterns)
+    return found.select(*key, F.col("id").alias("rule_id"), "value").distinct()
 
 
 _URL = r"""(?i)\b(?:https?|wss?|ftp)://[^\s"'<>\\)\]]+"""

@@ -29,9 +29,14 @@ def last_by_priority(df: DataFrame, keys: Sequence[str], priority: Sequence[str]
     return first_seen(df, keys, [F.desc(p) for p in priority])
 
 
-def distinct_where(conditions: dict[str, Column], value: str) -> list[Column]:
-    """Aggregates: distinct non-blank values under each condition."""
-    return [F.count_distinct(F.when(c & (F.col(value) != ""), F.col(value))).alias(n) for n, c in conditions.items()]
+def distinct_counts(df: DataFrame, group: Sequence[str], conditions: dict[str, Column], value: str) -> DataFrame:
+    """(group, a count for each condition): distinct non-blank values with a row under it.
+
+    Each value is one row of flags first, so any number of conditions shuffles each value once.
+    """
+    flags = [F.bool_or(F.coalesce(c & (F.col(value) != ""), F.lit(False))).alias(n) for n, c in conditions.items()]
+    each = df.groupBy(*group, F.col(value).alias("_value")).agg(*flags)
+    return each.groupBy(*group).agg(*(F.count_if(n).alias(n) for n in conditions))
 
 
 def sum_where(conditions: dict[str, Column], value: str) -> list[Column]:
@@ -72,15 +77,19 @@ def fan_out(df: DataFrame, group: Sequence[str], name: str, answers: str) -> Dat
     return each.groupBy(*group).agg(F.avg("_n").alias("avg_answers"), F.max("_n").alias("max_answers"))
 
 
+#: Characters that are kept of a snippet.
+SNIPPET = 500
+
+
 def merged_findings(df: DataFrame, keys: Sequence[str], file: str, rank: str, layer: str, pos: str, details: str, subtype: str, snippet: str) -> DataFrame:
     """Findings of one key as one row.
 
-    Occurrences, distinct files, the highest rank; file and snippet of the lowest layer, the first
-    of equal ones; the first subtype; details merged in order, later values winning.
+    Occurrences, distinct files, the highest rank; file and the start of the snippet of the lowest
+    layer, the first of equal ones; the first subtype; details merged, the last value of each winning.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.map_entries(details).alias("d"))))
-    later = lambda a, x: F.map_concat(F.map_filter(a, lambda k, _: ~F.exists(x["d"], lambda e: e["key"] == k)), F.map_from_entries(x["d"]))
-    merged = F.aggregate(ordered, F.create_map().cast("map<string,string>"), later)
+    entries = df.select(*keys, F.col(pos).alias("_pos"), F.explode(details).alias("_k", "_v"))
+    entries = entries.groupBy(*keys, "_k").agg(F.max_by("_v", F.struct("_pos", "_v")).alias("_v"))  # combines before the shuffle
+    merged = entries.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("details"))
     best = F.min_by(F.struct(F.col(file).alias("file"), F.col(snippet).alias("snippet")), F.struct(layer, pos))
     out = df.groupBy(*keys).agg(
         F.count("*").alias("occurrences"),
@@ -88,9 +97,18 @@ def merged_findings(df: DataFrame, keys: Sequence[str], file: str, rank: str, la
         F.max(rank).alias("rank"),
         best.alias("_best"),
         F.min_by(subtype, pos).alias("subtype"),
-        merged.alias("details"),
     )
-    return out.select(*keys, "occurrences", "files", "rank", "_best.file", "_best.snippet", "subtype", "details")
+    out = _with(out, merged, keys).withColumn("details", F.coalesce("details", F.create_map().cast("map<string,string>")))
+    return out.select(*keys, "occurrences", "files", "rank", "_best.file", F.substring("_best.snippet", 1, SNIPPET).alias("snippet"), "subtype", "details")
+
+
+def _with(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with the other columns of right, which has a row for a key at most; null keys are equal."""
+    named = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, same, "left").drop(*(f"_r_{k}" for k in keys))
 
 
 def merged_components(df: DataFrame, keys: Sequence[str], flags: Sequence[str], counts: Sequence[str], version: str, source: str, pos: str) -> DataFrame:
@@ -113,13 +131,16 @@ def united(df: DataFrame, keys: Sequence[str], sets: Sequence[str], category: st
     """Rows of one key: sorted unions of arrays, the first known category, the span of levels, a confidence by sources."""
     known = F.when(~F.coalesce(F.col(category), F.lit("")).isin("", "unknown"), F.col(pos))
     out = df.groupBy(*keys).agg(
-        *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(s)))).alias(s) for s in sets),
         F.coalesce(F.min_by(category, known), F.lit("unknown")).alias(category),
         F.min(low).alias(low),
         F.max(high).alias(high),
     )
+    for s in sets:  # members are made distinct before they are gathered, so a row holds a set and never all lists
+        members = df.select(*keys, F.explode(s).alias("_m")).where("_m is not null").distinct()
+        out = _with(out, members.groupBy(*keys).agg(F.array_sort(F.collect_list("_m")).alias(s)), keys)
+        out = out.withColumn(s, F.coalesce(s, F.array().cast(df.schema[s].dataType)))
     n = F.size(sets[0])
-    return out.withColumn("confidence", F.when(n >= 3, "VERY_HIGH").when(n == 2, "HIGH").otherwise("MEDIUM"))
+    return out.select(*keys, *sets, category, low, high).withColumn("confidence", F.when(n >= 3, "VERY_HIGH").when(n == 2, "HIGH").otherwise("MEDIUM"))
 
 
 def version_span(df: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
@@ -139,6 +160,39 @@ def conflict_merge(df: DataFrame, key: str, fields: Sequence[str], dataset: str,
     )
 
 
+def component_evidence(df: DataFrame, keys: Sequence[str], flags: Sequence[str], file: str, identifier: str, version: str, good: Column, trust: str, pos: str) -> DataFrame:
+    """Evidence of one component as one row.
+
+    Flags or-ed, distinct files, the first non-blank identifier, and the good version of the most
+    trusted source, the first of equal ones; `primary` is manifest if any evidence is from there.
+    """
+    filled = lambda c, order: F.when(F.coalesce(F.col(c), F.lit("")) != "", order)
+    return df.groupBy(*keys).agg(
+        *(F.bool_or(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags),
+        F.count_distinct(F.nullif(F.col(file), F.lit(""))).alias("files"),
+        F.min_by(identifier, filled(identifier, F.col(pos))).alias(identifier),
+        F.max_by(version, F.when(good, F.struct(F.col(trust), -F.col(pos)))).alias(version),
+        F.when(F.bool_or(F.coalesce(F.col(flags[0]), F.lit(False))), "manifest").otherwise("code").alias("primary"),
+    )
+
+
+def provider_stats(df: DataFrame, provider: str, ident: str, verified: Column) -> DataFrame:
+    """(provider, detectors, patterns, verified) of pattern rules named `detector_n`, the providers of most patterns first."""
+    detector = F.regexp_replace(ident, "_[^_]*$", "")
+    out = df.groupBy(provider).agg(F.count_distinct(detector).alias("detectors"), F.count("*").alias("patterns"), F.count_if(verified).alias("verified"))
+    return out.orderBy(F.desc("patterns"), provider)
+
+
+def profile(df: DataFrame, group: Sequence[str], columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(group, rows, distinct values of each column, rows without a key part, repeated keys): what was imported, by artifact."""
+    blank = F.lit(False)
+    for k in keys:
+        blank = blank | (F.coalesce(F.col(k).cast("string"), F.lit("")) == "")
+    rows = df.groupBy(*group).agg(F.count("*").alias("rows"), *(F.count_distinct(c).alias(f"distinct_{c}") for c in columns), F.count_if(blank).alias("blank_keys"))
+    again = df.groupBy(*group, *keys).agg(F.count("*").alias("_n")).groupBy(*group).agg(F.count_if(F.col("_n") > 1).alias("repeated_keys"))
+    return _with(rows, again, group)
+
+
 def joined_set(column: str, separator: str = ";") -> Column:
     """Aggregate: sorted distinct texts in one."""
     return F.array_join(F.array_sort(F.collect_set(column)), separator)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.net import is_doh, is_probe, is_resolver, is_unusual_port, query_type, resolver_of, suffix_parts
 from ..functions.values import CLOUD_OWNERS, NO_LOCATION
 from ..operators.joins import cidr_lookup, longest_suffix, range_lookup
-from ..operators.merges import as_map, distinct_where, distribution, fan_out, first_seen, flows, sum_where, top_shares
+from ..operators.merges import as_map, distinct_counts, distribution, fan_out, first_seen, flows, sum_where, top_shares
 
 APP = ["sample_id", "session_id"]
 FLOW = [*APP, "domain", "dst_ip", "dst_port", "protocol"]
@@ -26,9 +26,12 @@ class Rules:
 
 
 def dns_records(events: DataFrame, rules: Rules) -> DataFrame:
-    """One row per DNS packet with its resolver and what is known of it."""
+    """One row per DNS packet with its resolver and what is known of it.
+
+    Of several blocks that hold an address the first by the rules' `pos` counts, as `tabular.positioned` gives it, else by text.
+    """
     dns = events.where("event_type = 'dns'").withColumn("resolver_ip", resolver_of(F.col("dst_port"), F.col("dst_ip"), F.col("src_ip")))
-    known = rules.resolvers.select(F.col("ip_address").alias("rule_ip"), "canonical_provider", F.monotonically_increasing_id().alias("rule_pos"))
+    known = rules.resolvers.select(F.col("ip_address").alias("rule_ip"), "canonical_provider", (F.col("pos") if "pos" in rules.resolvers.columns else F.col("ip_address")).alias("rule_pos"))
     out = cidr_lookup(dns, "resolver_ip", known, "rule_ip", "rule_pos")
     return out.select(
         *APP, "time", F.col("dns_query").alias("query_name"), "resolver_ip", F.col("dns_answers").alias("response_ips"),
@@ -60,27 +63,40 @@ def domain_places(found: DataFrame) -> DataFrame:
     return first_seen(named, ["sample_id", "domain", "dst_ip"], ["first_seen", "dst_port", "protocol"]).select("sample_id", "domain", "dst_ip", "country_code", "continent", "asn", "organization")
 
 
-def app_summary(found: DataFrame, dns: DataFrame) -> DataFrame:
-    """One wide row per app session."""
+def personal_data_counts(facts: DataFrame) -> DataFrame:
+    """(APP, pii_matches, pii_categories, pii_patterns and how many of each): of facts (APP, connection, location, pattern_name, category, value), each counted once."""
+    once = facts.dropDuplicates([*APP, "connection", "location", "pattern_name", "value"])
+    total = once.groupBy(*APP).agg(F.count("*").alias("pii_matches"))
+    for column, name in (("category", "pii_categories"), ("pattern_name", "pii_patterns")):
+        total = total.join(as_map(distribution(once, APP, column), APP, column, name), APP)
+    return total
+
+
+def app_summary(found: DataFrame, dns: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """One wide row per app session (A4-A13), with counts of personal data where its facts are given."""
     named, tracker = F.col("domain") != "", F.col("tracker_matched")
     volume = found.groupBy(*APP).agg(
         F.count("*").alias("connections"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         (F.max("last_seen") - F.min("first_seen")).alias("duration"),
-        *distinct_where({"domains": named, "tracker_domains": tracker, "first_party_domains": ~tracker, "tls_domains": F.col("is_tls"), "http_domains": F.col("is_http")}, "domain"),
         *sum_where({"tracker_packets": tracker, "quic_packets": F.col("is_quic"), "unusual_port_packets": F.col("is_nonstandard_port"), "cleartext_packets": F.col("is_http") & ~F.col("is_quic")}, "packets"),
-        *distinct_where({f"{k}_domains": F.lower("organization").rlike("|".join(v)) for k, v in CLOUD_OWNERS.items()}, "domain"),
         F.bool_or("is_hardcoded_dns").alias("uses_hardcoded_dns"), F.bool_or("is_anti_analysis_probe").alias("probes"),
     )
-    placed = found.where(~F.upper(F.coalesce("country_code", F.lit(""))).isin(NO_LOCATION))
+    kinds = {"domains": named, "tracker_domains": tracker, "first_party_domains": ~tracker, "tls_domains": F.col("is_tls"), "http_domains": F.col("is_http")}
+    kinds |= {f"{k}_domains": F.lower("organization").rlike("|".join(v)) for k, v in CLOUD_OWNERS.items()}
+    real = lambda c: found.where(named & ~F.upper(F.coalesce(F.col(c).cast("string"), F.lit(""))).isin(NO_LOCATION))
+    placed = real("country_code")
     parts = [
+        distinct_counts(found, APP, kinds, "domain"),
         as_map(distribution(placed, APP, "country_code", "domain"), APP, "country_code", "countries"),
-        as_map(distribution(found, APP, "asn", "domain"), APP, "asn", "asns"),
+        as_map(distribution(real("asn"), APP, "asn", "domain"), APP, "asn", "asns"),
         as_map(distribution(found.where(tracker), APP, "canonical_vendor", "domain"), APP, "canonical_vendor", "vendors"),
         as_map(distribution(found.where(tracker), APP, "tracker_category", weight="packets"), APP, "tracker_category", "categories"),
-        top_shares(distribution(found, APP, "organization", "domain"), APP, "organization", 5).groupBy(*APP).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "organization"))), lambda x: x["organization"]).alias("top_organizations")),
+        top_shares(distribution(real("organization"), APP, "organization", "domain"), APP, "organization", 5).groupBy(*APP).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "organization"))), lambda x: x["organization"]).alias("top_organizations")),
         fan_out(dns.where("query_name <> ''"), APP, "query_name", "response_ips"),
         dns.groupBy(*APP).agg(F.count("*").alias("dns_packets"), F.bool_or("is_doh_resolver").alias("uses_doh")),
     ]
+    if facts is not None:
+        parts.append(personal_data_counts(facts))
     for p in parts:
         volume = volume.join(p, APP, "left")
     return volume

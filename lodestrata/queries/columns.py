@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.android import effective_backup, effective_cleartext, effective_export, name_form, permission_space, qualified_name, scheme_kind
+from ..functions.android import effective_backup, effective_cleartext, effective_export, name_form, permission_facts, qualified_name, scheme_kind
 from ..functions.feeds import best_score, product_of
 from ..functions.ids import region_of, short_id, uuid5
 from ..functions.net import event_type, is_doh, is_private, is_probe, is_quic, is_resolver, is_unusual_port, suffix_parts, url_host
@@ -71,15 +71,16 @@ def effective_default_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT p_partkey, CASE WHEN left(n, 1) = '.' THEN 'relative' WHEN n NOT LIKE '%.%' THEN 'simple' ELSE 'fully_qualified' END AS form,
        CASE WHEN left(n, 1) = '.' THEN 'com.app' || n WHEN n NOT LIKE '%.%' THEN 'com.app.' || n ELSE n END AS full_name,
-       CASE WHEN lower(s) IN ('http', 'https', 'market') THEN lower(s) WHEN lower(s) IN ('content', 'file', 'geo', 'mailto', 'sms', 'smsto', 'tel') THEN 'known' ELSE 'custom' END AS scheme,
-       CASE WHEN p LIKE 'android.permission.ACCESS_ADSERVICES%' THEN 'privacy_sandbox' WHEN p LIKE 'android.permission.%' OR p LIKE 'com.android.%' THEN 'standard' ELSE 'custom' END AS space
-FROM (SELECT p_partkey, ['.Main', 'Main', 'com.lib.Main'][p_partkey % 3 + 1] AS n, ['HTTP', 'market', 'tel', 'myapp'][p_partkey % 4 + 1] AS s,
+       CASE WHEN s IN ('http', 'https', 'market') THEN s WHEN s IN ('content', 'file', 'android-app') THEN 'known' ELSE 'custom' END AS scheme,
+       CASE WHEN p IN ('android.permission.ACCESS_ADSERVICES_TOPICS') THEN 'privacy_sandbox' WHEN p LIKE 'android.permission.%' THEN 'standard' ELSE 'custom' END AS space
+FROM (SELECT p_partkey, ['.Main', 'Main', 'com.lib.Main'][p_partkey % 3 + 1] AS n, ['HTTP', 'market', 'content', 'https'][p_partkey % 4 + 1] AS s,
       ['android.permission.CAMERA', 'android.permission.ACCESS_ADSERVICES_TOPICS', 'com.app.MINE'][p_partkey % 3 + 1] AS p FROM part)""")
 def component_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % len(xs) + 1).cast("int"))
     n, p = pick([".Main", "Main", "com.lib.Main"]), pick(["android.permission.CAMERA", "android.permission.ACCESS_ADSERVICES_TOPICS", "com.app.MINE"])
+    facts = permission_facts(p)
     return table(spark, sf_dir, "part").select(
-        "p_partkey", name_form(n).alias("form"), qualified_name(n, F.lit("com.app")).alias("full_name"), scheme_kind(pick(["HTTP", "market", "tel", "myapp"])).alias("scheme"), permission_space(p).alias("space")
+        "p_partkey", name_form(n).alias("form"), qualified_name(n, F.lit("com.app")).alias("full_name"), scheme_kind(pick(["HTTP", "market", "content", "https"])).alias("scheme"), F.when(facts["sandbox"], "privacy_sandbox").when(facts["standard"], "standard").otherwise("custom").alias("space")
     )
 
 

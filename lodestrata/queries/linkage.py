@@ -154,23 +154,26 @@ def taxonomy_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey AS sample_id, coalesce(n_name, 'nowhere') AS place, orders, events FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = c_nationkey
+SELECT c_custkey AS sample_id, coalesce(n_name, 'nowhere') AS place, orders, events FROM customer LEFT JOIN nation ON n_nationkey + 5 = c_nationkey
 JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) ON o_custkey = c_custkey JOIN (SELECT user_id, count(*) AS events FROM events GROUP BY 1) ON user_id = c_custkey""")
 def universal_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"), "c_nationkey")
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 20").withColumnRenamed("n_name", "place")
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 5).alias("n_nationkey"), F.col("n_name").alias("place"))
     apps = joins.dimension(c, "c_nationkey", n, "n_nationkey", {"place": "nowhere"}).drop("c_nationkey")
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.count("*").alias("orders"))
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("sample_id")).agg(F.count("*").alias("events"))
     return universal(apps, o, e)
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 100 <> 0)")
+@query("""
+SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey + CASE WHEN l_partkey % 50 = 0 THEN 1000000000 ELSE 0 END AS l_orderkey, l_linenumber FROM lineitem)
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
 def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.checks import missing_parents
 
-    parents = table(spark, sf_dir, "orders").where("o_orderkey % 100 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return missing_parents(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), parents, "l_orderkey")
+    parents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    moved = F.col("l_orderkey") + F.when(F.col("l_partkey") % 50 == 0, 1_000_000_000).otherwise(0)
+    return missing_parents(table(spark, sf_dir, "lineitem").select(moved.alias("l_orderkey"), "l_linenumber"), parents, "l_orderkey")
 
 
 @query("""
@@ -184,20 +187,20 @@ def semi_anti_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT coalesce(a, b) AS id, CASE WHEN a IS NULL THEN 'only_right' WHEN b IS NULL THEN 'only_left' ELSE 'both' END AS side
-FROM (SELECT DISTINCT l_partkey AS a FROM lineitem WHERE l_shipdate < TIMESTAMP '1994-01-01') FULL JOIN (SELECT p_partkey AS b FROM part WHERE p_size < 25) ON a = b""")
+FROM (SELECT DISTINCT l_partkey + 60 AS a FROM lineitem) FULL JOIN (SELECT p_partkey AS b FROM part) ON a = b""")
 def detector_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1994-01-01'").select(F.col("l_partkey").alias("id"))
-    return joins.compared(a, table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("id")), ["id"])
+    a = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 60).alias("id"))
+    return joins.compared(a, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), ["id"])
 
 
 @query("""
-WITH b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name, s_nationkey % 2 = 0 AS flag FROM supplier WHERE s_suppkey % 5 <> 0),
-o AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'checked ' || s_suppkey END AS name, s_suppkey % 6 = 0 AS flag FROM supplier WHERE s_suppkey % 2 = 0)
+WITH b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name, s_nationkey % 2 = 0 AS flag FROM supplier),
+o AS (SELECT s_suppkey * 2 AS id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'checked ' || s_suppkey END AS name, s_suppkey % 6 = 0 AS flag FROM supplier)
 SELECT coalesce(b.id, o.id) AS id, coalesce(nullif(o.name, ''), b.name) AS name, coalesce(o.flag, false) OR coalesce(b.flag, false) AS flag FROM b FULL JOIN o ON b.id = o.id""")
 def overlay_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    base = s.where(k % 5 != 0).select(k.alias("id"), F.when(k % 3 == 0, "").otherwise(F.col("s_name")).alias("name"), (F.col("s_nationkey") % 2 == 0).alias("flag"))
-    over = s.where(k % 2 == 0).select(k.alias("id"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("checked "), k)).alias("name"), (k % 6 == 0).alias("flag"))
+    base = s.select(k.alias("id"), F.when(k % 3 == 0, "").otherwise(F.col("s_name")).alias("name"), (F.col("s_nationkey") % 2 == 0).alias("flag"))
+    over = s.select((k * 2).alias("id"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("checked "), k)).alias("name"), (k % 6 == 0).alias("flag"))
     return joins.overlaid(base, over, "id", ["name"], ["flag"])
 
 

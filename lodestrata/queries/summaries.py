@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, merges
 from ..plans.cross import rolled_up
 from ..streaming.flows import stream_bursts, stream_flows
-from .base import PACKETS, packets, query, table
+from .base import PACKETS, packets, query, scratch, table
 
 _FLOW = ["sample_id", "session_id", "domain", "dst_ip", "dst_port", "protocol"]
 
@@ -47,7 +45,9 @@ WITH {PACKETS} SELECT sample_id, count(DISTINCT CASE WHEN domain <> '' THEN doma
 def conditional_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {"domains": F.lit(True), "udp_domains": F.col("protocol") == "UDP", "tls_domains": F.col("dst_port") == 443}
     summed = {"dns_bytes": F.col("dst_port") == 53, "nameless_bytes": F.col("domain") == ""}
-    return packets(spark, sf_dir).groupBy("sample_id").agg(*merges.distinct_where(named, "domain"), *merges.sum_where(summed, "size"))
+    p = packets(spark, sf_dir)
+    counts = merges.distinct_counts(p, ["sample_id"], named, "domain")
+    return counts.join(p.groupBy("sample_id").agg(*merges.sum_where(summed, "size")), "sample_id")
 
 
 @query("""
@@ -83,14 +83,14 @@ def fanout_avg_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand, count(DISTINCT CASE WHEN regexp_matches(lower(p_type), 'steel|tin') AND p_name <> '' THEN p_name END) AS metal, count(DISTINCT CASE WHEN regexp_matches(lower(p_type), 'promo') AND p_name <> '' THEN p_name END) AS promo FROM part GROUP BY 1""")
 def keyword_bucket_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = {"metal": F.lower("p_type").rlike("steel|tin"), "promo": F.lower("p_type").rlike("promo")}
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(*merges.distinct_where(buckets, "p_name"))
+    return merges.distinct_counts(table(spark, sf_dir, "part"), ["p_brand"], buckets, "p_name")
 
 
 @query("""
 WITH f AS (SELECT l_partkey % 500 AS sample_id, l_shipmode AS kind, l_suppkey AS file, l_linenumber % 3 AS rank, l_linenumber % 4 AS layer, l_orderkey * 10 + l_linenumber AS pos, l_returnflag AS subtype
   FROM (SELECT *, l_linestatus AS l_shipmode FROM lineitem)),
 d AS (SELECT sample_id, kind, json_group_object(k, v) AS x FROM (SELECT sample_id, kind, k, arg_max(v, pos) AS v FROM (SELECT sample_id, kind, pos, 's' || (pos % 3) AS k, CAST(pos AS VARCHAR) AS v FROM f) GROUP BY ALL ORDER BY k) GROUP BY ALL)
-SELECT f.sample_id, f.kind, count(*) AS occurrences, count(DISTINCT file) AS files, max(rank) AS rank, arg_min(file, layer * 10000000000 + pos) AS file, arg_min(pos, layer * 10000000000 + pos) AS snippet, arg_min(subtype, pos) AS subtype,
+SELECT f.sample_id, f.kind, count(*) AS occurrences, count(DISTINCT file) AS files, max(rank) AS rank, arg_min(file, layer * 10000000000 + pos) AS file, 'snippet of ' || arg_min(pos, layer * 10000000000 + pos) AS snippet, arg_min(subtype, pos) AS subtype,
   any_value(json_extract_string(x, '$.s0')) AS s0, any_value(json_extract_string(x, '$.s1')) AS s1, any_value(json_extract_string(x, '$.s2')) AS s2
 FROM f JOIN d ON d.sample_id = f.sample_id AND d.kind = f.kind GROUP BY ALL""")
 def findings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def findings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") % 500).alias("sample_id"), F.col("l_linestatus").alias("kind"), F.col("l_suppkey").alias("file"), (F.col("l_linenumber") % 3).alias("rank"), (F.col("l_linenumber") % 4).alias("layer"),
         pos.alias("pos"), F.col("l_returnflag").alias("subtype"), F.create_map(F.concat(F.lit("s"), pos % 3), pos.cast("string")).alias("details"),
     )
-    out = merges.merged_findings(rows.withColumn("snippet", F.col("pos")), ["sample_id", "kind"], "file", "rank", "layer", "pos", "details", "subtype", "snippet")
+    out = merges.merged_findings(rows.withColumn("snippet", F.concat(F.lit("snippet of "), "pos")), ["sample_id", "kind"], "file", "rank", "layer", "pos", "details", "subtype", "snippet")
     return out.select("*", *(F.col("details")[f"s{i}"].alias(f"s{i}") for i in range(3))).drop("details")
 
 
@@ -192,12 +192,12 @@ def integrity_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT count(*) FILTER (WHERE b IS NULL) AS lost, count(*) FILTER (WHERE a IS NULL) AS unknown, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND bs <> s) AS changed, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND bc <> c) AS recategorised
-FROM (SELECT p_partkey AS a, p_size AS s, p_type AS c FROM part WHERE p_partkey % 10 <> 0) FULL JOIN
-     (SELECT p_partkey AS b, CASE WHEN p_partkey % 50 = 1 THEN 0 ELSE p_size END AS bs, CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE p_type END AS bc FROM part WHERE p_partkey % 11 <> 0) ON a = b""")
+FROM (SELECT p_partkey AS a, p_size AS s, p_type AS c FROM part) FULL JOIN
+     (SELECT p_partkey + 3 AS b, CASE WHEN p_partkey % 50 = 1 THEN 0 ELSE p_size END AS bs, CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE p_type END AS bc FROM part) ON a = b""")
 def identity_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    before = p.where(k % 10 != 0).select("p_partkey", "p_size", "p_type")
-    after = p.where(k % 11 != 0).select("p_partkey", F.when(k % 50 == 1, 0).otherwise(F.col("p_size")).alias("p_size"), F.when(k % 7 == 0, "x").otherwise(F.col("p_type")).alias("p_type"))
+    before = p.select("p_partkey", "p_size", "p_type")
+    after = p.select((k + 3).alias("p_partkey"), F.when(k % 50 == 1, 0).otherwise(F.col("p_size")).alias("p_size"), F.when(k % 7 == 0, "x").otherwise(F.col("p_type")).alias("p_type"))
     return checks.identity_kept(before, after, "p_partkey", ["p_size"], "p_type")
 
 
@@ -234,12 +234,13 @@ def cube_region_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, transform) -> DataFrame:  # noqa: ANN001
-    """What a stream over the events has given once all are in; each batch of the stream writes the whole result so far."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream_{uuid.uuid4().hex[:8]}"
+    """What a stream over the events has given once all are in: the windows that the watermark has closed, each once."""
+    path = scratch(spark, "stream")
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    keep = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    transform(events).writeStream.outputMode("complete").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    out = transform(events)
+    sink = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
 
 def _plain_times(df: DataFrame, *columns: str) -> DataFrame:
@@ -247,7 +248,8 @@ def _plain_times(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query("""
-SELECT date_trunc('day', ts) AS window_start, user_id, event_type, count(*) AS packets, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL""")
+SELECT date_trunc('day', ts) AS window_start, user_id, event_type, count(*) AS packets, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL
+HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_flow_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _streamed(spark, sf_dir, lambda e: stream_flows(e.withColumn("size", F.round(F.col("value") * 100).cast("long")), ["user_id", "event_type"], "ts", "size", "1 day"))
     return _plain_times(out, "window_start", "first_seen", "last_seen")
@@ -256,6 +258,7 @@ def stream_flow_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS s FROM events),
 b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM s)
-SELECT user_id, count(*) AS events, min(ts) AS first_seen, max(ts) AS last_seen FROM b GROUP BY user_id, burst""")
+SELECT user_id, count(*) AS events, min(ts) AS first_seen, max(ts) AS last_seen FROM b GROUP BY user_id, burst
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(_streamed(spark, sf_dir, lambda e: stream_bursts(e, ["user_id"], "ts")), "first_seen", "last_seen")

@@ -11,9 +11,9 @@ from ..plans import vulnerabilities as plan
 from .base import query, table
 
 
-def _sdks(spark: SparkSession, sf_dir: str, cut: bool) -> DataFrame:
-    """Components of apps: a line item (if cut, one of every tenth order) ships a part; its version is size.line, missing or unreadable at times."""
-    l, p = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0" if cut else "true"), table(spark, sf_dir, "part")
+def _sdks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of apps: a line item ships a part; its version is size.line, missing or unreadable at times."""
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     version = F.when(F.col("p_partkey") % 11 == 0, "").when(F.col("p_partkey") % 13 == 0, "not-a-version").otherwise(F.concat_ws(".", F.col("p_size").cast("string"), F.col("l_linenumber").cast("string")))
     return l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat(F.lit("app"), F.col("l_orderkey").cast("string")).alias("sample_id"), F.concat(F.lit("pkg."), F.translate(F.lower("p_name"), " ", ".")).alias("sdk_identifier"),
@@ -21,37 +21,40 @@ def _sdks(spark: SparkSession, sf_dir: str, cut: bool) -> DataFrame:
     )
 
 
-def _cves(spark: SparkSession, sf_dir: str, cut: bool) -> DataFrame:
-    """A part's (if cut, every twentieth part's) last name word is a vulnerable product, from its size on and five versions up."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 20 = 1" if cut else "true")
+def _cves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry for each maker and last name word of parts: vulnerable from the sizes of all its parts on and two versions up."""
+    p = table(spark, sf_dir, "part")
     none = F.lit(None).cast("string")
-    span = F.struct(F.col("p_size").cast("string").alias("start_including"), none.alias("start_excluding"), none.alias("end_including"), (F.col("p_size") + 5).cast("string").alias("end_excluding"))
+    span = F.struct(F.col("p_size").cast("string").alias("start_including"), none.alias("start_excluding"), none.alias("end_including"), (F.col("p_size") + 2).cast("string").alias("end_excluding"))
     low = F.struct(none.alias("start_including"), F.lit("0").alias("start_excluding"), F.lit("1.3").alias("end_including"), none.alias("end_excluding"))
-    return p.select(
-        F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")).alias("cve_id"), F.lower("p_brand").alias("vendor"), F.element_at(F.split(F.lower("p_name"), " "), -1).alias("product"),
-        F.lit("HIGH").alias("severity"), (F.col("p_partkey") % 100 / 10).alias("score"), F.lit("2024-01-01").alias("published"),
-        F.when(F.col("p_partkey") % 40 == 1, F.array(span, low)).otherwise(F.array(span)).alias("version_ranges"),
-    )
+    product = F.element_at(F.split(F.lower("p_name"), " "), -1)
+    each = p.select(
+        F.concat(F.lit("CVE-"), F.substring("p_brand", 7, 1), F.lit("-"), product).alias("cve_id"), F.substring(F.lower("p_brand"), 1, 7).alias("vendor"), product.alias("product"), "p_partkey",
+        F.explode(F.when(F.col("p_partkey") % 40 == 1, F.array(span, low)).otherwise(F.array(span))).alias("span"),
+    )
+    # a part's size is one of fifty, so there are few distinct ranges of an entry
+    entry = each.groupBy("cve_id", "vendor", "product").agg(F.array_sort(F.collect_set("span")).alias("version_ranges"), (F.min("p_partkey") % 100 / 10).alias("score"))
+    return entry.select("cve_id", "vendor", "product", F.lit("HIGH").alias("severity"), "score", F.lit("2024-01-01").alias("published"), "version_ranges")
 
 
 _SQL = """s AS (
   SELECT 'app' || l_orderkey AS sample_id, 'pkg.' || replace(lower(p_name), ' ', '.') AS sdk_identifier, p_name AS sdk_name,
          CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN 'not-a-version' ELSE p_size || '.' || l_linenumber END AS sdk_version, p_size AS major, l_linenumber AS minor,
          p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AS ok
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0),
-c AS (SELECT 'CVE-' || p_partkey AS cve_id, lower(p_brand) AS vendor, string_split(lower(p_name), ' ')[-1] AS product, p_partkey % 100 / 10 AS score, p_size AS low, p_partkey % 40 = 1 AS two FROM part WHERE p_partkey % 20 = 1),
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS (SELECT 'CVE-' || substr(p_brand, 7, 1) || '-' || string_split(lower(p_name), ' ')[-1] AS cve_id, string_split(lower(p_name), ' ')[-1] AS product, p_size AS low, bool_or(p_partkey % 40 = 1) AS two FROM part GROUP BY ALL),
+e AS (SELECT 'CVE-' || substr(p_brand, 7, 1) || '-' || string_split(lower(p_name), ' ')[-1] AS cve_id, min(p_partkey) % 100 / 10 AS score FROM part GROUP BY 1),
 t AS (SELECT DISTINCT sdk_identifier, unnest(string_split(sdk_identifier, '.')) AS w FROM s),
-m AS (
-  SELECT DISTINCT sample_id, s.sdk_identifier, cve_id, score FROM s JOIN t ON t.sdk_identifier = s.sdk_identifier JOIN c ON c.product = w
-  WHERE ok AND ((major >= low AND major < low + 5) OR (two AND (major > 0 OR (major = 0 AND minor > 0)) AND (major < 1 OR (major = 1 AND minor <= 3)))))"""
-
-#: The same over all line items and all parts.
-_WHOLE_SQL = _SQL.replace(" WHERE l_orderkey % 10 = 0", "").replace(" WHERE p_partkey % 20 = 1", "")
+v AS (SELECT DISTINCT sdk_identifier, major, minor FROM s WHERE ok),
+h AS (
+  SELECT DISTINCT v.sdk_identifier, major, minor, cve_id FROM v JOIN t ON t.sdk_identifier = v.sdk_identifier JOIN c ON c.product = w
+  WHERE (major >= low AND major < low + 2) OR (two AND (major > 0 OR (major = 0 AND minor > 0)) AND (major < 1 OR (major = 1 AND minor <= 3)))),
+m AS (SELECT DISTINCT sample_id, s.sdk_identifier, h.cve_id, score FROM s JOIN h ON h.sdk_identifier = s.sdk_identifier AND h.major = s.major AND h.minor = s.minor JOIN e ON e.cve_id = h.cve_id WHERE ok)"""
 
 
-def _found(spark: SparkSession, sf_dir: str, cut: bool = True) -> tuple[DataFrame, DataFrame]:
-    sdks = plan.with_tokens(_sdks(spark, sf_dir, cut))
-    return sdks, plan.matches(sdks, _cves(spark, sf_dir, cut))
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sdks = plan.with_tokens(_sdks(spark, sf_dir))
+    return sdks, plan.matches(sdks, _cves(spark, sf_dir))
 
 
 @query(f"WITH {_SQL} SELECT sample_id, sdk_identifier, cve_id FROM m")
@@ -64,15 +67,17 @@ def cve_app_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.app_summary(_found(spark, sf_dir)[1])
 
 
-@query(f"""WITH {_SQL} SELECT s.sample_id, s.sdk_identifier, s.sdk_version, CASE WHEN sdk_version = '' THEN 'no_version' WHEN NOT ok THEN 'parse_error' WHEN h.sample_id IS NOT NULL THEN 'matched' ELSE 'no_nvd_entry' END AS outcome
-FROM s LEFT JOIN (SELECT DISTINCT sample_id, sdk_identifier FROM m) h ON h.sample_id = s.sample_id AND h.sdk_identifier = s.sdk_identifier""")
+_OUTCOME = """SELECT s.sample_id, s.sdk_identifier, s.sdk_version, CASE WHEN sdk_version = '' THEN 'no_version' WHEN NOT ok THEN 'parse_error' WHEN x.sample_id IS NOT NULL THEN 'matched' ELSE 'no_nvd_entry' END AS outcome
+FROM s LEFT JOIN (SELECT DISTINCT sample_id, sdk_identifier FROM m) x ON x.sample_id = s.sample_id AND x.sdk_identifier = s.sdk_identifier"""
+
+
+@query(f"WITH {_SQL} {_OUTCOME}")
 def cve_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sdks, found = _found(spark, sf_dir)
     return plan.outcomes(sdks, found).select("sample_id", "sdk_identifier", "sdk_version", "outcome")
 
 
-@query(f"""WITH {_SQL}, o AS (SELECT CASE WHEN sdk_version = '' THEN 'no_version' WHEN NOT ok THEN 'parse_error' WHEN h.sample_id IS NOT NULL THEN 'matched' ELSE 'no_nvd_entry' END AS outcome
-FROM s LEFT JOIN (SELECT DISTINCT sample_id, sdk_identifier FROM m) h ON h.sample_id = s.sample_id AND h.sdk_identifier = s.sdk_identifier)
+@query(f"""WITH {_SQL}, o AS ({_OUTCOME})
 SELECT count(*) AS rows, count(*) FILTER (WHERE outcome = 'matched') AS matched, count(*) FILTER (WHERE outcome = 'no_version') AS no_version, count(*) FILTER (WHERE outcome = 'parse_error') AS parse_error, count(*) FILTER (WHERE outcome = 'no_nvd_entry') AS no_nvd_entry FROM o""")
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     sdks, found = _found(spark, sf_dir)
@@ -80,30 +85,14 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.outcomes(sdks, found).agg(F.count("*").alias("rows"), *count_where({k: F.col("outcome") == k for k in kinds}))
 
 
-@query(f"WITH {_WHOLE_SQL} SELECT sample_id, sdk_identifier, cve_id FROM m")
-def whole_version_range_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, cut=False)[1].select("sample_id", "sdk_identifier", "cve_id")
-
-
-@query(f"WITH {_WHOLE_SQL} SELECT sample_id, count(*) AS matches, count(DISTINCT cve_id) AS cves, count(DISTINCT sdk_identifier) AS components, max(score) AS worst_score FROM m GROUP BY 1")
-def whole_cve_app_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.app_summary(_found(spark, sf_dir, cut=False)[1])
-
-
-@query(f"""WITH {_WHOLE_SQL} SELECT s.sample_id, s.sdk_identifier, s.sdk_version, CASE WHEN sdk_version = '' THEN 'no_version' WHEN NOT ok THEN 'parse_error' WHEN h.sample_id IS NOT NULL THEN 'matched' ELSE 'no_nvd_entry' END AS outcome
-FROM s LEFT JOIN (SELECT DISTINCT sample_id, sdk_identifier FROM m) h ON h.sample_id = s.sample_id AND h.sdk_identifier = s.sdk_identifier""")
-def whole_cve_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sdks, found = _found(spark, sf_dir, cut=False)
-    return plan.outcomes(sdks, found).select("sample_id", "sdk_identifier", "sdk_version", "outcome")
-
-
-@query(f"""WITH {_WHOLE_SQL}, o AS (SELECT CASE WHEN sdk_version = '' THEN 'no_version' WHEN NOT ok THEN 'parse_error' WHEN h.sample_id IS NOT NULL THEN 'matched' ELSE 'no_nvd_entry' END AS outcome
-FROM s LEFT JOIN (SELECT DISTINCT sample_id, sdk_identifier FROM m) h ON h.sample_id = s.sample_id AND h.sdk_identifier = s.sdk_identifier)
-SELECT count(*) AS rows, count(*) FILTER (WHERE outcome = 'matched') AS matched, count(*) FILTER (WHERE outcome = 'no_version') AS no_version, count(*) FILTER (WHERE outcome = 'parse_error') AS parse_error, count(*) FILTER (WHERE outcome = 'no_nvd_entry') AS no_nvd_entry FROM o""")
-def whole_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sdks, found = _found(spark, sf_dir, cut=False)
-    kinds = ["matched", "no_version", "parse_error", "no_nvd_entry"]
-    return plan.outcomes(sdks, found).agg(F.count("*").alias("rows"), *count_where({k: F.col("outcome") == k for k in kinds}))
+@query("""
+WITH c AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'androidx.core' WHEN 1 THEN 'com.x.AndroidX' WHEN 2 THEN 'com.android' END AS ident, CASE WHEN s_suppkey % 3 = 0 THEN 'AndroidX Core' ELSE s_name END AS name FROM supplier)
+SELECT s_suppkey FROM c WHERE NOT coalesce(starts_with(ident, 'androidx.'), false) AND NOT contains(lower(name), 'androidx')""")
+def excluded_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey") % 4
+    ident = F.when(k == 0, "androidx.core").when(k == 1, "com.x.AndroidX").when(k == 2, "com.android")
+    name = F.when(F.col("s_suppkey") % 3 == 0, "AndroidX Core").otherwise(F.col("s_name"))
+    return plan.without_family(table(spark, sf_dir, "supplier").select("s_suppkey", ident.alias("sdk_identifier"), name.alias("sdk_name")), "androidx").select("s_suppkey")
 
 
 @query("""

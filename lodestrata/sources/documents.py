@@ -80,11 +80,11 @@ _COMPONENT = (
     "`intent-filter`:array<struct<`_android:autoVerify`:string,action:array<struct<`_android:name`:string>>,"
     "category:array<struct<`_android:name`:string>>,data:array<struct<`_android:scheme`:string,`_android:host`:string>>>>>>"
 )
-_NAMED = "array<struct<`_android:name`:string,`_android:value`:string,`_android:resource`:string>>"
+_NAMED = "array<struct<`_android:name`:string,`_android:value`:string,`_android:resource`:string,`_android:protectionLevel`:string,`_android:authorities`:string>>"
 MANIFEST = (
     "_package string, `_android:versionName` string, `uses-sdk` struct<`_android:minSdkVersion`:string,`_android:targetSdkVersion`:string>, "
-    f"`uses-permission` {_NAMED}, `uses-permission-sdk-23` {_NAMED}, permission {_NAMED}, "
-    "queries array<struct<package:array<struct<`_android:name`:string>>,intent:array<struct<action:array<struct<`_android:name`:string>>>>>>, "
+    f"`uses-permission` {_NAMED}, `uses-permission-sdk-23` {_NAMED}, permission {_NAMED}, `permission-group` {_NAMED}, `permission-tree` {_NAMED}, "
+    f"queries array<struct<package:{_NAMED},provider:{_NAMED},intent:array<struct<action:array<struct<`_android:name`:string>>>>>>, "
     "application struct<`_android:allowBackup`:string,`_android:usesCleartextTraffic`:string,`_android:networkSecurityConfig`:string,"
     f"`_android:debuggable`:string,activity:{_COMPONENT},`activity-alias`:{_COMPONENT},service:{_COMPONENT},receiver:{_COMPONENT},"
     f"provider:{_COMPONENT},`meta-data`:{_NAMED},`uses-library`:{_NAMED}>"
@@ -95,9 +95,10 @@ KINDS = ["activity", "activity-alias", "service", "receiver", "provider"]
 def manifests(files: DataFrame) -> DataFrame:
     """(sample_id, sha256, readable, m): parsed manifests of files (sample_id, content) (S5); m is null where the XML is broken."""
     text = F.decode("content", "utf-8")
-    parsed = F.from_xml(text, MANIFEST, {"mode": "PERMISSIVE"})
-    good = text.rlike(r"(?s)<manifest\b.*</manifest>\s*$")
-    return files.select("sample_id", F.sha2("content", 256).alias("sha256"), good.alias("readable"), F.when(good, parsed).alias("m"))
+    parsed = F.from_xml(text, f"{MANIFEST}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = files.select("sample_id", F.sha2("content", 256).alias("sha256"), parsed.alias("m"), F.coalesce(text.rlike(r"<manifest\b"), F.lit(False)).alias("named"))
+    good = F.coalesce(F.col("named") & F.col("m").isNotNull() & F.col("m._broken").isNull(), F.lit(False))
+    return rows.select("sample_id", "sha256", good.alias("readable"), F.when(good, F.col("m")).alias("m"))
 
 
 def components(parsed: DataFrame) -> DataFrame:
@@ -124,14 +125,23 @@ def components(parsed: DataFrame) -> DataFrame:
 
 
 def permissions(parsed: DataFrame) -> DataFrame:
-    """(sample_id, record, name): requested and declared permissions (manifest_permissions)."""
-    kinds = {"uses-permission": "requested", "uses-permission-sdk-23": "requested_sdk_23", "permission": "declared"}
+    """(sample_id, record, name, level): requested and declared permissions, groups and trees (manifest_permissions)."""
+    kinds = {"uses-permission": "requested", "uses-permission-sdk-23": "requested_sdk_23", "permission": "declared", "permission-group": "declared_group", "permission-tree": "declared_tree"}
 
     def of_kind(k: str) -> Column:
         own = F.coalesce(F.col(f"m.`{k}`"), F.array().cast(_NAMED))
-        return F.transform(own, lambda p: F.struct(F.lit(kinds[k]).alias("record"), p["_android:name"].alias("name")))
+        return F.transform(own, lambda p: F.struct(F.lit(kinds[k]).alias("record"), p["_android:name"].alias("name"), p["_android:protectionLevel"].alias("level")))
 
-    return parsed.where("readable").select("sample_id", F.explode(F.concat(*map(of_kind, kinds))).alias("p")).select("sample_id", "p.record", "p.name")
+    return parsed.where("readable").select("sample_id", F.explode(F.concat(*map(of_kind, kinds))).alias("p")).select("sample_id", "p.record", "p.name", "p.level")
+
+
+def meta_data(parsed: DataFrame) -> DataFrame:
+    """(sample_id, name, value): meta-data of the application and of its components, resources standing for missing values."""
+    part = "array<struct<name:string,value:string>>"
+    pairs = lambda xs: F.transform(F.coalesce(xs, F.array()), lambda n: F.struct(n["_android:name"].alias("name"), F.coalesce(F.nullif(n["_android:value"], F.lit("")), n["_android:resource"]).alias("value"))).cast(part)
+    inner = lambda k: F.flatten(F.transform(F.coalesce(F.col(f"m.application.`{k}`"), F.array().cast(_COMPONENT)), lambda c: pairs(c["meta-data"])))
+    every = F.concat(pairs(F.col("m.application.`meta-data`")), *(inner(k) for k in KINDS))
+    return parsed.where("readable").select("sample_id", F.explode(every).alias("d")).select("sample_id", "d.name", "d.value")
 
 
 def evidence(parsed: DataFrame) -> DataFrame:
