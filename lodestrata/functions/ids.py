@@ -30,6 +30,21 @@ def uuid5(name: Column) -> Column:
     return F.concat(at(1, 8), F.lit("-"), at(9, 4), F.lit("-5"), at(14, 3), F.lit("-"), variant, at(18, 3), F.lit("-"), at(21, 12))
 
 
+def short_md5(text: Column) -> Column:
+    """The first 8 hex digits of a text's MD5 (M1)."""
+    return F.substring(F.md5(text.cast("binary")), 1, 8)
+
+
+def stamped(columns: dict[str, str]) -> list[Column]:
+    """Constants of a run, as columns."""
+    return [F.lit(v).alias(k) for k, v in columns.items()]
+
+
+def sorted_json(entries: Column) -> Column:
+    """A map as a JSON text with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
 def iso_time(epoch: Column) -> Column:
     """Epoch seconds as an ISO-8601 UTC text (K5, M10); the session's time zone is UTC."""
     return F.date_format(F.timestamp_micros((epoch * 1_000_000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -91,7 +91,7 @@ def search_tokens(*texts: Column) -> Column:
     """
     pieces = F.flatten(F.array(*(F.split(F.lower(F.coalesce(t, F.lit(""))), "[:./ ]+") for t in texts)))
     parts = F.concat(pieces, F.flatten(F.transform(pieces, lambda p: F.split(p, r"[-_\s]+"))))
-    real = F.filter(F.transform(parts, F.trim), lambda p: (p != "") & ~p.isin(*TOKEN_PREFIXES, *TOKEN_STOPWORDS))
+    real = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: (p != "") & ~p.isin(*TOKEN_PREFIXES, *TOKEN_STOPWORDS))
     swapped = F.concat(real, F.transform(real, lambda p: F.translate(p, "-", "_")), F.transform(real, lambda p: F.translate(p, "_", "-")))
     return F.array_sort(F.array_distinct(swapped))
 

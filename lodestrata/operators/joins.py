@@ -184,6 +184,16 @@ def only_in(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def common(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct keys that both tables have."""
+    return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def is_subset(part: Column, whole: Column) -> Column:
+    """Whether an array has no member that another lacks (U5); null if either is."""
+    return F.size(F.array_except(part, whole)) == 0
+
+
 def compared(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every key of two tables with `side`: only_left, only_right or both."""
     a = left.select(*keys).distinct().withColumn("_a", F.lit(True))

@@ -26,6 +26,20 @@ def privacy_apis(sources: Sequence[DataFrame]) -> DataFrame:
     return merged.withColumn("record_id", uuid5(F.concat(F.lit("privacy-api://"), F.concat_ws("/", *API_KEY))))
 
 
+def source_rows(found: DataFrame, framework: str, source: str, version: str, confidence: str, pos: int = 0) -> DataFrame:
+    """Rows (package_name, class_name, method_name, permission, level) of one source as API rules with where they come from; of several sources that of the least pos counts first."""
+    return found.select(
+        F.lit(framework).alias("framework"), "package_name", "class_name", "method_name", F.lit("method").alias("api_type"), "permission", F.array(F.lit(source)).alias("sources"),
+        F.array(F.lit(version)).alias("source_versions"), F.array(F.col("level")).alias("android_versions"), F.lit("unknown").alias("category"), F.col("level").alias("min_level"),
+        F.col("level").alias("max_level"), F.lit(confidence).alias("confidence"), F.lit(pos).alias("pos"),
+    )
+
+
+def enabled(artifacts: DataFrame, flag: str = "enabled") -> DataFrame:
+    """Artifacts whose flag is true, whatever its case (F16)."""
+    return artifacts.where(F.lower(F.trim(flag)) == "true")
+
+
 def categorised(apis: DataFrame, methods: DataFrame, classes: DataFrame, packages: DataFrame, keywords: DataFrame) -> DataFrame:
     """APIs with the category of the most specific rule that agrees."""
     name = F.concat_ws(".", "package_name", "class_name")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.android import effective_backup, effective_cleartext, effective_export, filter_flags, name_form, permission_facts, qualified_name, scheme_kind, tri_state
 from ..functions.ids import short_id
-from ..functions.strings import luhn, secret_tier
+from ..functions.strings import luhn, plausible_version, secret_tier
 from ..functions.values import PERMISSION_FAMILIES
 from ..operators.joins import best_contained, resolve_name
 from ..operators.matching import endpoints, personal_data_in_fields, secrets, string_constants
@@ -90,6 +90,20 @@ def secret_counts(rows: DataFrame) -> DataFrame:
     return real.groupBy("sample_id").agg(*count_where({f"secret_{t}_count": F.col("tier") == t for t in ("public_id", "sensitive_token", "possible_credential")}))
 
 
+def detected_rows(detected: DataFrame) -> DataFrame:
+    """Rows of a detector (sample_id, name, package, version_hint, source, evidence) as rows of the library table, with their ids.
+
+    A hint becomes the version if it looks like one; its confidence is high then, else none.
+    """
+    good = plausible_version(F.col("version_hint"))
+    version = F.when(good, F.col("version_hint")).otherwise("")
+    return detected.select(
+        "sample_id", short_id(F.col("sample_id"), F.col("name"), F.col("package"), version).alias("sdk_id"), F.col("name").alias("sdk_name"), F.col("package").alias("sdk_prefix"),
+        version.alias("sdk_version"), F.when(good, "high").otherwise("none").alias("sdk_version_confidence"), (F.col("source") == "manifest").alias("in_manifest"),
+        (F.col("source") == "smali").alias("in_code"), F.col("evidence").alias("evidence_value"), F.lit(1).alias("evidence_count"),
+    )
+
+
 def sdk_table(parsed: DataFrame, files: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
     """(sample_id, sdk_id, sdk_name, in_manifest, in_code, evidence_count, source): libraries that manifests or code show.
 

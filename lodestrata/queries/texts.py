@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.net import url_host
 from ..functions.strings import plausible_secret
-from ..functions.values import PII_PATTERNS, TEXT_TLDS
+from ..functions.values import CODE_WORDS, CONSTANT_STARTS, METHOD_STARTS, NAME_ENDS, NAME_STARTS, PII_PATTERNS, RESOURCE_STARTS, TEXT_TLDS
 from ..operators import joins, matching
 from ..sources.documents import attribute_values
 from .base import HOST_SQL, query, sql_values, table, values
 from .linkage import TRACKERS
 
-_MASTER = "(?i)" + "|".join(f"(?:{p})" for _, _, p, _ in PII_PATTERNS)
-_CLASSES = " ".join(f"WHEN regexp_full_match(v, '(?i)(?:{p})') THEN '{n}'" for n, _, p, _ in PII_PATTERNS).replace("\\/", "/")
+#: DuckDB knows no lookaheads; the numbers that they rule out are taken out of its matches.
+_PLAIN = [(n, p.replace("(?!(?:000|666|9))", "").replace("(?!00)", "").replace("(?!0000)", "")) for n, _, p, _ in PII_PATTERNS]
+_MASTER = "(?i)" + "|".join(f"(?:{p})" for _, p in _PLAIN)
+_CLASSES = " ".join(f"WHEN regexp_full_match(v, '(?i)(?:{p})') THEN '{n}'" for n, p in _PLAIN).replace("\\/", "/")
 _LUHN = """list_sum(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(v)[i] AS INT) WHEN CAST(reverse(v)[i] AS INT) > 4 THEN CAST(reverse(v)[i] AS INT) * 2 - 9 ELSE CAST(reverse(v)[i] AS INT) * 2 END)) % 10 = 0"""
 _PII = """m AS (SELECT {key}, unnest(regexp_extract_all(text, '{master}')) AS v FROM {t}), k AS (SELECT {key}, v, CASE {classes} END AS pattern_name FROM m),
-g AS (SELECT * FROM k WHERE CASE WHEN pattern_name IN ('Credit Card', 'IMEI') THEN {luhn} ELSE true END)"""
+g AS (SELECT * FROM k WHERE CASE WHEN pattern_name IN ('Credit Card', 'IMEI', 'ICCID') THEN {luhn} WHEN pattern_name = 'US SSN' THEN NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$') ELSE true END)"""
 
 
 def _pii(key: str, source: str) -> str:
@@ -30,9 +34,12 @@ def pii_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "m.pattern_name", "m.value").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_pii('conv_id, turn, role', 'conversations')} SELECT DISTINCT conv_id, turn, role AS location, pattern_name, v AS value FROM g")
+_SAID = "(SELECT conv_id, turn, role, text || ' u' || conv_id || '@mail.example.com' AS text FROM conversations)"
+
+
+@query(f"WITH {_pii('conv_id, turn, role', _SAID)} SELECT DISTINCT conv_id, turn, role AS location, pattern_name, v AS value FROM g")
 def conversation_fields_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.lit(" u"), F.col("conv_id").cast("string"), F.lit("@mail.example.com")))
     sides = c.select("conv_id", "turn", *(F.when(F.col("role") == r, F.col("text")).alias(r) for r in ("user", "assistant", "system")))
     return matching.personal_data_in_fields(sides, ["conv_id", "turn"], {r: r for r in ("user", "assistant", "system")}).drop("category")
 
@@ -89,15 +96,23 @@ def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.secrets(table(spark, sf_dir, "documents"), ["doc_id"], "text", rules)
 
 
-@query(r"""
-SELECT count(*) AS tokens, count(*) FILTER (WHERE length(v) >= 16 AND regexp_matches(v, '[0-9]') AND CAST(regexp_matches(v, '[a-z]') AS INT) + CAST(regexp_matches(v, '[A-Z]') AS INT) + 1 + CAST(regexp_matches(v, '[^A-Za-z0-9]') AS INT) >= 3) AS mixed
-FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{16,}')) AS v FROM documents)""")
+_STARTS = "|".join(re.escape(x) for x in [*NAME_STARTS, *RESOURCE_STARTS])
+
+@query(rf"""
+WITH t AS (SELECT unnest(regexp_extract_all(text || ' Zx9-' || substr(md5(text), 1, 14) || 'Q', '[A-Za-z0-9+/_=-]{{16,}}')) AS v FROM documents),
+s AS (SELECT v, regexp_matches(v, '[0-9]') AND CAST(regexp_matches(v, '[a-z]') AS INT) + CAST(regexp_matches(v, '[A-Z]') AS INT) + 1 + CAST(regexp_matches(v, '[^A-Za-z0-9]') AS INT) >= 3 AS mixed,
+  (SELECT -sum(n / t * log2(n / t)) FROM (SELECT count(*) AS n, length(v) AS t FROM (SELECT unnest(string_split(v, '')) AS c) GROUP BY c)) AS bits,
+  regexp_matches(lower(v), '^({_STARTS}|action\.|android\.permission)|res/|__|_.*_.*_|_$|({"|".join(NAME_ENDS)})$|abcdefghijklmnopqrstuvwxyz|0123456789|9876543210')
+  OR regexp_matches(upper(v), '^({"|".join(CONSTANT_STARTS)})|ACTION_|PERMISSION') OR regexp_matches(v, '^u[0-9a-fA-F]{{4}}|^[A-Z0-9_]+$|/.*/|^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$')
+  OR (regexp_matches(lower(v), '^({"|".join(METHOD_STARTS)})') AND regexp_matches(v, '[A-Z]') AND length(regexp_replace(v, '[^0-9]', '', 'g')) < 3) AS none FROM t)
+SELECT count(*) AS tokens, count(*) FILTER (WHERE mixed) AS mixed, count(*) FILTER (WHERE mixed AND bits >= 3.8 AND NOT none) AS secrets FROM s""")
 def secret_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
-    tokens = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{16,}"), F.lit(0))).alias("v"))
+    text = F.concat("text", F.lit(" Zx9-"), F.substring(F.md5(F.col("text").cast("binary")), 1, 14), F.lit("Q"))
+    tokens = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/_=-]{16,}"), F.lit(0))).alias("v"))
     classes = sum((v.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
     judged = tokens.select((v.rlike("[0-9]") & (classes >= 3)).alias("mixed"), plausible_secret(v).alias("secret"))
-    return judged.where("mixed or not secret").agg(F.count("*").alias("tokens"), F.count_if("mixed").alias("mixed"))
+    return judged.agg(F.count("*").alias("tokens"), F.count_if("mixed").alias("mixed"), F.count_if("secret").alias("secrets"))
 
 
 @query(rf"""
@@ -109,11 +124,12 @@ def endpoint_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-SELECT DISTINCT doc_id, lower(v) AS host FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^/@\w.-])((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{{2,}})\b', 1)) AS v FROM documents)
-WHERE string_split(lower(v), '.')[-1] IN ({", ".join(map(repr, TEXT_TLDS))}) AND NOT regexp_matches(lower(v), '^(android|androidx|com\.android|dalvik|java|javax|kotlin|kotlinx|org\.json|org\.xml|sun)\.')
-  AND len(list_filter(string_split(lower(v), '.')[:-2], lambda x: regexp_matches(x, '[a-z]'))) > 0""")
+SELECT page_id, host FROM (SELECT page_id, {HOST_SQL} AS host FROM pages) WHERE string_split(host, '.')[-1] IN ({", ".join(map(repr, TEXT_TLDS))}) AND NOT regexp_matches(host, '{"|".join(CODE_WORDS)}')
+  AND regexp_full_match(host, '[a-z0-9-]+(\.[a-z0-9-]+)+')""")
 def bare_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.endpoints(table(spark, sf_dir, "documents"), ["doc_id"], "text").where("kind = 'domain'").select("doc_id", "host")
+    """Hosts of pages as bare words of a text."""
+    text = F.concat(F.lit("see "), F.regexp_replace("url", "^[A-Za-z]+://", ""))
+    return matching.endpoints(table(spark, sf_dir, "pages").select("page_id", text.alias("text")), ["page_id"], "text").where("kind = 'domain'").select("page_id", "host")
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\shref\\s*=\\s*["'']([^"'']*)["'']', 1)) AS link FROM pages""")

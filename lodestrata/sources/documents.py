@@ -24,6 +24,11 @@ FEED = (
 
 def zipped_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
     """(file, member, text) of the members of every zip file under path; broken files and members are left out."""
+    return members(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path), suffix)
+
+
+def members(files: DataFrame, suffix: str = ".json") -> DataFrame:
+    """`zipped_members` of a table of zip files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -39,7 +44,6 @@ def zipped_members(spark: SparkSession, path: str, suffix: str = ".json") -> Dat
                         continue
                     yield pd.DataFrame({"file": [file], "member": [member], "text": [text]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, "file string, member string, text string")
 
 

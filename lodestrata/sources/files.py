@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.android import class_to_package
+from ..operators.merges import capped
 
 
 def file_kind(path: Column) -> Column:
@@ -40,6 +41,11 @@ def package_prefixes(files: DataFrame) -> DataFrame:
     return spread.select("sample_id", F.array_join(F.slice("names", F.lit(1), F.col("depth")), ".").alias("prefix"), "depth").distinct()
 
 
+def first_files(files: DataFrame, kind: str, n: int) -> DataFrame:
+    """The first n files of a kind of each sample, by path, for those who want a limit."""
+    return capped(files.where(F.col("kind") == kind), ["sample_id"], F.lit(True), ["path"], n)
+
+
 def main_packages(files: DataFrame) -> DataFrame:
     """The first app file of each folder (folder, name) that is no configuration split."""
     good = files.where(F.lower("name").rlike(r"\.apk$") & ~F.startswith("name", F.lit("config.")))

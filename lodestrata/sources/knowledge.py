@@ -11,7 +11,11 @@ from ..functions.strings import camel_words
 
 def permission_maps(spark: SparkSession, path: str) -> DataFrame:
     """Lines `package.Class.method(args)type  ::  permission, ...` of files in folders named by API level."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).select("value", "_metadata.file_path")
+    return permission_map_rows(spark.read.option("recursiveFileLookup", "true").text(path).select("value", "_metadata.file_path"))
+
+
+def permission_map_rows(rows: DataFrame) -> DataFrame:
+    """`permission_maps` of lines (value, file_path)."""
     cut = F.split("value", r"\s*::\s*")
     parts = signature_parts(F.trim(cut[0]))
     level = F.regexp_extract("file_path", r"/(?:api-?)?(\d+)/[^/]*$", 1).try_cast("int")
@@ -29,8 +33,13 @@ def permission_definitions(files: DataFrame) -> DataFrame:
 
 def permission_calls(spark: SparkSession, path: str, prefix: str = "android.permission.") -> DataFrame:
     """Lines `<package.Class: type method(args)> -> P1, P2`; a permission without a dot gets the prefix."""
+    return permission_call_rows(spark.read.text(path), prefix)
+
+
+def permission_call_rows(rows: DataFrame, prefix: str = "android.permission.") -> DataFrame:
+    """`permission_calls` of lines (value)."""
     line = r"^<([\w.$]+): [\w.$\[\]]+ ([\w$<>]+)\([^)]*\)>\s*->\s*(.+)$"
-    rows = spark.read.text(path).where(F.col("value").rlike(line))
+    rows = rows.where(F.col("value").rlike(line))
     grab = lambda i: F.regexp_extract("value", line, i)
     spread = rows.select(grab(1).alias("owner"), grab(2).alias("method_name"), F.explode(F.split(grab(3), r"\s*,\s*")).alias("p"))
     permission = F.when(F.contains("p", F.lit(".")), F.col("p")).otherwise(F.concat(F.lit(prefix), F.trim("p")))
@@ -56,8 +65,13 @@ def detector_patterns(files: DataFrame) -> DataFrame:
 
 def flow_signatures(spark: SparkSession, path: str) -> DataFrame:
     """(class_name, method_name, role) of lines `<Class: type method(args)> -> _SOURCE_`."""
+    return flow_signature_rows(spark.read.text(path))
+
+
+def flow_signature_rows(rows: DataFrame) -> DataFrame:
+    """`flow_signatures` of lines (value)."""
     line = r"^<([\w.$]+): [\w.$\[\]]+ ([\w$<>]+)\([^)]*\)>.*->\s*_(SOURCE|SINK|BOTH)_"
-    rows = spark.read.text(path).where(F.col("value").rlike(line))
+    rows = rows.where(F.col("value").rlike(line))
     grab = lambda i: F.regexp_extract("value", line, i)
     return rows.select(grab(1).alias("class_name"), grab(2).alias("method_name"), F.lower(grab(3)).alias("role")).distinct()
 
@@ -72,7 +86,11 @@ def tracker_signatures(files: DataFrame, text: str = "text", signature: str = "n
 
 def blocked_domains(spark: SparkSession, path: str) -> DataFrame:
     """(domain, version): whole-domain rules `||domain^` of a filter list; others are passed over."""
-    rows = spark.read.text(path, wholetext=True)
+    return blocked_domain_rows(spark.read.text(path, wholetext=True))
+
+
+def blocked_domain_rows(rows: DataFrame) -> DataFrame:
+    """`blocked_domains` of whole lists (value)."""
     version = F.coalesce(F.nullif(F.regexp_extract("value", r"(?m)^!\s*Version:\s*(\S+)", 1), F.lit("")), F.lit("unknown"))
     found = F.regexp_extract_all("value", F.lit(r"(?m)^\|\|([a-z0-9.-]+)\^(?:\$third-party)?\s*$"), F.lit(1))
     return rows.select(version.alias("version"), F.explode(found).alias("domain")).select("domain", "version").distinct()
@@ -90,7 +108,11 @@ def stamp_parts(stamp: Column) -> Column:
 
 def resolver_list(spark: SparkSession, path: str) -> DataFrame:
     """(resolver_name, protocol, address) of Markdown lists: a `## name` heading and the stamps below it."""
-    rows = spark.read.text(path, wholetext=True)
+    return resolver_rows(spark.read.text(path, wholetext=True))
+
+
+def resolver_rows(rows: DataFrame) -> DataFrame:
+    """`resolver_list` of whole lists (value)."""
     sections = rows.select(F.explode(F.split("value", r"(?m)^## ")).alias("s"))
     stamps = F.regexp_extract_all("s", F.lit(r"(?m)^(sdns://[A-Za-z0-9_-]+)"), F.lit(1))
     named = sections.select(F.trim(F.regexp_extract("s", r"^([^\r\n]*)", 1)).alias("resolver_name"), F.explode(stamps).alias("stamp"))

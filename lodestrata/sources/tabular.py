@@ -10,13 +10,15 @@ from pyspark.sql import types as T
 
 from ..functions.ids import region_of
 from ..operators.checks import rejected
-from ..schemas import schema_of
+from ..schemas import RESOLVERS, TRACKERS, schema_of
 
 
-def csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (), null_if_blank: Sequence[str] = ()) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (), null_if_blank: Sequence[str] = (), positioned: bool = False) -> DataFrame:
     """A CSV with a header, by name: columns that the schema lacks are left out, missing ones are null.
 
     Texts are trimmed; blanks stay blank but for null_if_blank. Raises ValueError if a required column is missing.
+    positioned: with `pos`, which orders rows by file and by place in it, whatever the partitions: files with quoted
+    line ends are not split, so the ids that Spark gives to the rows of one file rise with their place.
     """
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     if lacking := [c for c in required if c not in raw.columns]:
@@ -35,12 +37,13 @@ def csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (
             return text.try_cast(f.dataType).alias(f.name)
         return (F.nullif(text, F.lit("")) if f.name in null_if_blank else text).alias(f.name)
 
-    return raw.select(*map(column, schema_of(schema)))
+    pos = [F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")).alias("pos")] if positioned else []
+    return raw.select(*map(column, schema_of(schema)), *pos)
 
 
 def sample_index(spark: SparkSession, path: str, schema: str, regions: dict[str, list[str]]) -> DataFrame:
     """The sample index with `reject` for bad rows and the region of good ones (S3)."""
-    rows = csv(spark, path, schema, ["sample_id", "source_path"]).withColumn("pos", F.monotonically_increasing_id())
+    rows = csv(spark, path, schema, ["sample_id", "source_path"], positioned=True)
     rules = {
         "no_id": F.col("sample_id") == "",
         "bad_hash": (F.col("apk_sha256") != "") & ~F.col("apk_sha256").rlike("^[0-9a-fA-F]{64}$"),
@@ -52,12 +55,17 @@ def sample_index(spark: SparkSession, path: str, schema: str, regions: dict[str,
 
 def names(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are neither blank nor comments."""
-    return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> '' and not startswith(name, '#')")
+    return name_rows(spark.read.text(path))
+
+
+def name_rows(rows: DataFrame) -> DataFrame:
+    """`names` of lines (value)."""
+    return rows.select(F.trim("value").alias("name")).where("name <> '' and not startswith(name, '#')")
 
 
 def properties(text: Column) -> Column:
     """map of the `key=value` lines of a text, comments aside, the last of a key winning."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: F.contains(x, F.lit("=")) & ~x.rlike("^[#!]"))
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("=")) & ~x.rlike("^[#!]"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
@@ -84,6 +92,20 @@ def pattern_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pattern_name", "category", "regex", "source_reference", F.coalesce("source_dataset", F.lit("Custom")).alias("source_dataset"), F.coalesce("confidence", F.lit("MEDIUM")).alias("confidence"))
 
 
+def traffic_rules(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The rule tables of traffic below root, with their types: trackers, resolvers, patterns and places.
+
+    Resolvers keep their place in `pos`. Without the table of places, addresses cannot be placed: Spark's error for a missing path is raised.
+    """
+    places = "ip_from string, ip_to string, country_code string, continent string, asn string, organization string"
+    return {
+        "trackers": csv(spark, f"{root}/trackers.csv", TRACKERS, ["domain_suffix"]),
+        "resolvers": csv(spark, f"{root}/resolvers.csv", RESOLVERS, ["ip_address"], positioned=True),
+        "patterns": pattern_rules(spark, f"{root}/patterns.csv"),
+        "places": csv(spark, f"{root}/places.csv", places, ["ip_from", "ip_to"]),
+    }
+
+
 def verified(spark: SparkSession, path: str, sha256: str) -> DataFrame:
     """The content of a file, if its SHA-256 is the expected one; raises ValueError otherwise."""
     found = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
