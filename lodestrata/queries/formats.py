@@ -17,7 +17,7 @@ from ..operators import joins, matching, merges
 from ..plans import knowledge as builds
 from ..plans import manifests as plan
 from ..schemas import conform
-from ..sources import documents, files, knowledge, tabular
+from ..sources import captures, documents, files, knowledge, tabular
 from .base import PACKETS, packets, query, scratch, sql_values, table, values
 
 def _k() -> Column:
@@ -243,6 +243,30 @@ def device_capture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.device_captures(spark, path).select(F.col("FirstSeen").cast("long").alias("event_id"), F.col("Info").alias("host"), F.col("DstPort").alias("port"), F.col("BytesSent").alias("sent"), "is_dns")
 
 
+@query("""
+SELECT event_id, ['http', 'dns', 'tls'][event_id % 3 + 1] AS event_type, 'h' || user_id || '.example.com' AS domain, '10.0.0.' || (event_id % 250) AS dst_ip, CASE WHEN event_id % 3 = 0 THEN '/p' || event_id ELSE '' END AS url,
+  event_id % 3 = 1 AS udp FROM events""")
+def packet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of HTTP requests, DNS questions and TLS greetings, byte by byte."""
+    i, name = F.col("event_id"), F.concat(F.lit("h"), F.col("user_id").cast("string"), F.lit(".example.com"))
+    wide = lambda n, digits: F.lpad(F.hex(n), digits, "0")
+    label = lambda x: F.concat(wide(F.length(x), 2), F.hex(x))
+    size = lambda x: F.floor(F.length(x) / 2).cast("long")
+    http = F.hex(F.concat(F.lit("GET /p"), i.cast("string"), F.lit(" HTTP/1.1\r\nHost: "), name, F.lit(":80\r\n\r\n")))
+    dns = F.concat(F.lit("000701000001000000000000"), label(F.concat(F.lit("h"), F.col("user_id").cast("string"))), label(F.lit("example")), label(F.lit("com")), F.lit("0000010001"))
+    n = F.length(name)
+    extension = F.concat(F.lit("00170000"), F.lit("0000"), wide(n + 5, 4), wide(n + 3, 4), F.lit("00"), wide(n, 4), F.hex(name))
+    hello = F.concat(F.lit("0303" + "72" * 32 + "00" + "0002" + "1301" + "0100"), wide(size(extension), 4), extension)
+    tls = F.concat(F.lit("160301"), wide(size(hello) + 4, 4), F.lit("01"), wide(size(hello), 6), hello)
+    udp = i % 3 == 1
+    payload = F.when(udp, dns).when(i % 3 == 0, http).otherwise(tls)
+    part = F.when(udp, F.concat(F.lit("13880035"), wide(size(payload) + 8, 4), F.lit("0000"), payload)).otherwise(F.concat(F.lit("1388"), F.when(i % 3 == 0, "0050").otherwise("01BB"), F.lit("0" * 16 + "5018" + "0" * 12), payload))
+    frame = F.concat(F.lit("4500"), wide(size(part) + 20, 4), F.lit("0000000040"), F.when(udp, "11").otherwise("06"), F.lit("0000" + "0A000002"), F.lit("0A0000"), wide(i % 250, 2), part)
+    frames = table(spark, sf_dir, "events").select(F.lit("f").alias("file"), i.alias("number"), F.lit(1.0).alias("time"), F.lit(101).alias("link"), F.unhex(frame).alias("frame"))
+    found = captures.packets(frames)
+    return found.select(F.col("number").alias("event_id"), "event_type", "domain", "dst_ip", F.col("http_url").alias("url"), (F.col("protocol") == "UDP").alias("udp"))
+
+
 @query("SELECT page_id, url, 'h' || page_id AS host, 'GET ü ' || page_id AS request, octet_length(encode('GET ü ' || page_id)) AS request_size FROM pages")
 def proxy_export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of a proxy's XML export with encoded bodies."""

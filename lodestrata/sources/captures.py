@@ -1,16 +1,13 @@
-"""Packet captures as one row per packet.
+"""Captured packets as rows of fields (S9-S12), in column functions over the hexadecimal text of each frame.
 
-Files are read by Spark and decoded in Arrow batches, a file at a time: classic captures of either
-byte order and resolution, and the packet blocks of pcapng; raw IP and Ethernet; IPv4 with TCP or UDP.
+Whatever cuts capture files into frames gives the table (file, number, time, link, frame); one frame
+is one row, so files of any size are dealt to as many tasks as the table has partitions. IPv4 with
+TCP or UDP, raw or in Ethernet frames; what cannot be decoded above that stays blank.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.net import event_domain, event_type, is_quic
@@ -19,191 +16,137 @@ from ..schemas import EVENTS, schema_of
 ETHERNET, RAW = 1, (12, 14, 101, 228)
 
 
-def frames(data: bytes) -> Iterator[tuple[float, int, bytes]]:
-    """(time, link type, frame) of the packets of a capture; a broken tail ends it."""
-    head = data[:4]
-    if head == b"\n\r\r\n":
-        yield from _blocks(data)
-        return
-    order = {b"\xd4\xc3\xb2\xa1": "<", b"M<\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">", b"\xa1\xb2<M": ">"}.get(head)
-    if order is None or len(data) < 24:
-        return
-    unit = 1e9 if head in (b"M<\xb2\xa1", b"\xa1\xb2<M") else 1e6
-    link = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF
-    at = 24
-    while at + 16 <= len(data):
-        sec, part, size, _ = struct.unpack_from(order + "IIII", data, at)
-        at += 16
-        if at + size > len(data):
-            return
-        yield sec + part / unit, link, data[at : at + size]
-        at += size
-
-
-def _blocks(data: bytes) -> Iterator[tuple[float, int, bytes]]:
-    order, links, units, at = "<", [], [], 0
-    while at + 12 <= len(data):
-        if data[at : at + 4] == b"\n\r\r\n":
-            order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
-            links, units = [], []
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or at + size > len(data):
-            return
-        if kind == 1:
-            links.append(struct.unpack_from(order + "H", data, at + 8)[0])
-            units.append(_resolution(data[at + 16 : at + size - 4], order))
-        elif kind == 6 and size >= 32:
-            which, high, low, held, _ = struct.unpack_from(order + "IIIII", data, at + 8)
-            if which < len(links):
-                yield ((high << 32) | low) / units[which], links[which], data[at + 28 : at + 28 + held]
-        at += size
-
-
-def _resolution(options: bytes, order: str) -> float:
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack_from(order + "HH", options, at)
-        if code == 9 and size == 1:
-            power = options[at + 4]
-            return float(2 ** (power & 127) if power & 128 else 10**power)
-        if code == 0:
-            break
-        at += 4 + (size + 3) // 4 * 4
-    return 1e6
-
-
-def dns_message(raw: bytes) -> tuple[str, list[str]]:
-    """The first question's name and the addresses among the answers."""
-
-    def name(at: int, hops: int = 0) -> tuple[str, int]:
-        labels = []
-        while True:
-            size = raw[at]
-            if size == 0:
-                return ".".join(labels), at + 1
-            if size & 0xC0 == 0xC0:
-                if hops > 16:
-                    raise ValueError("a loop of pointers")
-                rest, _ = name((size & 0x3F) << 8 | raw[at + 1], hops + 1)
-                return ".".join([*labels, rest] if rest else labels), at + 2
-            labels.append(raw[at + 1 : at + 1 + size].decode("latin-1"))
-            at += 1 + size
-
-    questions, answers = struct.unpack_from(">HH", raw, 4)
-    at, asked, found = 12, "", []
-    for i in range(questions):
-        text, at = name(at)
-        asked, at = asked if i else text, at + 4
-    for _ in range(answers):
-        _, at = name(at)
-        kind, _, _, size = struct.unpack_from(">HHIH", raw, at)
-        value = raw[at + 10 : at + 10 + size]
-        if kind == 1 and size == 4:
-            found.append(".".join(map(str, value)))
-        elif kind == 28 and size == 16:
-            found.append(":".join(f"{x:x}" for x in struct.unpack(">8H", value)))
-        at += 10 + size
-    return asked, found
-
-
-def server_name(raw: bytes) -> str:
-    """The server name of a TLS ClientHello, or blank."""
-    if len(raw) < 43 or raw[0] != 22 or raw[5] != 1:
-        return ""
-    at = 43
-    at += 1 + raw[at]
-    at += 2 + struct.unpack_from(">H", raw, at)[0]
-    at += 1 + raw[at]
-    end = at + 2 + struct.unpack_from(">H", raw, at)[0]
-    at += 2
-    while at + 4 <= min(end, len(raw)):
-        kind, size = struct.unpack_from(">HH", raw, at)
-        if kind == 0 and size > 5:
-            held = struct.unpack_from(">H", raw, at + 7)[0]
-            return raw[at + 9 : at + 9 + held].decode("latin-1").lower()
-        at += 4 + size
-    return ""
-
-
-def http_request(raw: bytes) -> tuple[str, str, dict[str, str], str]:
-    """(host, path, headers, body) of an HTTP/1 request, blank for anything else."""
-    head, _, body = raw.partition(b"\r\n\r\n")
-    first, *lines = head.split(b"\r\n")
-    parts = first.split(b" ")
-    if len(parts) != 3 or not parts[2].startswith(b"HTTP/1."):
-        return "", "", {}, ""
-    headers = {}
-    for line in lines:
-        key, colon, value = line.partition(b":")
-        if colon:
-            headers[key.decode("latin-1").strip().lower()] = value.decode("latin-1").strip()
-    try:
-        text = body.decode()
-    except UnicodeDecodeError:
-        text = body.decode("latin-1")
-    host = headers.get("host", "").lower()
-    host = host[1:].partition("]")[0] if host.startswith("[") else host.partition(":")[0]
-    return host, parts[1].decode("latin-1"), headers, text
-
-
-def packet(link: int, frame: bytes) -> dict | None:
-    """The fields of an IPv4 TCP or UDP packet, None for others. What cannot be decoded above that stays blank."""
-    if link == ETHERNET:
-        if frame[12:14] != b"\x08\x00":
-            return None
-        frame = frame[14:]
-    elif link not in RAW:
-        return None
-    if len(frame) < 20 or frame[0] >> 4 != 4 or frame[9] not in (6, 17):
-        return None
-    size, total, protocol = (frame[0] & 15) * 4, struct.unpack_from(">H", frame, 2)[0], frame[9]
-    body = frame[size:total] if total else frame[size:]
-    if len(body) < 8:
-        return None
-    src, dst = struct.unpack_from(">HH", body)
-    payload = body[(body[12] >> 4) * 4 :] if protocol == 6 and len(body) > 12 else body[8:] if protocol == 17 else b""
-    row = {
-        "src_ip": ".".join(map(str, frame[12:16])), "dst_ip": ".".join(map(str, frame[16:20])), "src_port": src, "dst_port": dst,
-        "protocol": "TCP" if protocol == 6 else "UDP", "payload_size": len(payload), "dns_query": "", "dns_answers": [], "tls_sni": "",
-        "http_host": "", "http_url": "", "http_headers": {}, "http_body": "",
-    }
-    try:
-        if protocol == 17 and 53 in (src, dst):
-            row["dns_query"], row["dns_answers"] = dns_message(payload)
-        elif protocol == 6 and payload:
-            row["tls_sni"] = server_name(payload)
-            if not row["tls_sni"]:
-                row["http_host"], row["http_url"], row["http_headers"], row["http_body"] = http_request(payload)
-    except (IndexError, ValueError, struct.error):
-        pass
-    return row
-
-
-_RAW = (
-    "file string, number long, time double, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, payload_size long, "
-    "dns_query string, dns_answers array<string>, tls_sni string, http_host string, http_url string, http_headers map<string,string>, http_body string"
-)
-
-
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.strip().split(" ")[0] for c in _RAW.replace("map<string,string>", "map").split(",")]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = []
-            for number, (time, link, frame) in enumerate(frames(bytes(content))):
-                if row := packet(link, frame):
-                    rows.append(row | {"file": path, "number": number, "time": time})
-            yield pd.DataFrame(rows, columns=names)
-
-
-def packets(spark: SparkSession, path: str) -> DataFrame:
-    """One row per packet of every capture under path, with its type and name.
-
-    A file that is no capture gives no rows.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    raw = files.mapInPandas(_decode, _RAW)
+def _number(text: Column, at: Column, size: int) -> Column:
+    """The number of so many bytes at a place, null beyond the end."""
+    return F.conv(F.nullif(F.substr(text, at * 2 + 1, F.lit(2 * size)), F.lit("")), 16, 10).cast("int")
+
+
+def _bytes(text: Column, at: Column, size: Column) -> Column:
+    return F.substr(text, at * 2 + 1, size * 2)
+
+
+def _latin(text: Column) -> Column:
+    return F.decode(F.unhex(text), "ISO-8859-1")
+
+
+def _times(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+def _fitting(text: Column, at: int, least: int) -> Column:
+    """As many turns as a count in a message says, and no more than entries of so many bytes find room in it."""
+    return _times(F.least(_number(text, F.lit(at), 2), F.floor(F.length(text) / (2 * least)).cast("int")))
+
+
+def _dotted(text: Column, at: Column) -> Column:
+    return F.concat_ws(".", *(_number(text, at + i, 1).cast("string") for i in range(4)))
+
+
+def _after_name(text: Column, start: Column) -> Column:
+    """Where a name of a DNS message ends: after its last label, or after a pointer."""
+    state = lambda at, done: F.struct(at.alias("at"), done.alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        size = _number(text, s["at"], 1)
+        one = F.when(size >= 192, state(s["at"] + 2, F.lit(True))).when(size > 0, state(s["at"] + 1 + size, F.lit(False))).otherwise(state(s["at"] + 1, F.lit(True)))
+        return F.when(s["done"], s).otherwise(one)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(128)), state(start, F.lit(False)), step, lambda s: s["at"])
+
+
+def dns_name(text: Column) -> Column:
+    """The name of the first question of a DNS message, blank if it is broken."""
+    state = lambda at, name: F.struct(at.alias("at"), name.alias("name"))
+
+    def step(s: Column, _: Column) -> Column:
+        size = _number(text, s["at"], 1)
+        label = _latin(_bytes(text, s["at"] + 1, size))
+        return F.when(size.between(1, 63), state(s["at"] + 1 + size, F.concat(s["name"], F.when(s["name"] == "", "").otherwise("."), label))).otherwise(s)
+
+    whole = F.aggregate(F.sequence(F.lit(1), F.lit(128)), state(F.lit(12), F.lit("")), step)
+    return F.coalesce(F.when(_number(text, whole["at"], 1) == 0, whole["name"]), F.lit(""))
+
+
+def dns_addresses(text: Column) -> Column:
+    """The addresses among the answers of a DNS message."""
+    none = F.array().cast("array<string>")
+    state = lambda at, found: F.struct(at.alias("at"), found.alias("found"))
+    start = F.aggregate(_fitting(text, 4, 5), F.lit(12), lambda at, _: _after_name(text, at) + 4)
+
+    def step(s: Column, _: Column) -> Column:
+        at = _after_name(text, s["at"])
+        kind, size = _number(text, at, 2), _number(text, at + 8, 2)
+        group = lambda i: F.lower(F.coalesce(F.nullif(F.ltrim(F.substr(text, (at + 10 + 2 * i) * 2 + 1, F.lit(4)), F.lit("0")), F.lit("")), F.lit("0")))
+        found = F.when((kind == 1) & (size == 4), _dotted(text, at + 10)).when((kind == 28) & (size == 16), F.concat_ws(":", *(group(i) for i in range(8))))
+        more = F.when(found.isNotNull() & (F.length(text) >= (at + 10 + size) * 2), F.array_append(s["found"], found)).otherwise(s["found"])
+        return F.when(size.isNull(), s).otherwise(state(at + 10 + size, more))
+
+    return F.coalesce(F.aggregate(_fitting(text, 6, 12), state(start, none), step, lambda s: s["found"]), none)
+
+
+def server_name(text: Column) -> Column:
+    """The server name of a TLS ClientHello, blank for anything else."""
+    at = F.lit(43)
+    at = at + 1 + _number(text, at, 1)
+    at = at + 2 + _number(text, at, 2)
+    at = at + 1 + _number(text, at, 1) + 2
+    state = lambda at, name: F.struct(at.alias("at"), name.alias("name"))
+
+    def step(s: Column, _: Column) -> Column:
+        kind, size = _number(text, s["at"], 2), _number(text, s["at"] + 2, 2)
+        name = F.lower(_latin(_bytes(text, s["at"] + 9, _number(text, s["at"] + 7, 2))))
+        return F.when((s["name"] != "") | size.isNull(), s).when((kind == 0) & (size > 5), state(s["at"], name)).otherwise(state(s["at"] + 4 + size, F.lit("")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(128)), state(at, F.lit("")), step, lambda s: s["name"])
+    return F.coalesce(F.when(text.rlike("^16.{8}01"), found), F.lit(""))
+
+
+def http_request(text: Column) -> Column:
+    """struct(host, url, headers, body) of an HTTP/1 request, blank for anything else (S12); of repeated headers the last counts."""
+    plain = _latin(text)
+    first = F.regexp_extract(plain, r"^\S+ (\S+) HTTP/1\.[^\r\n]*(?:\r\n|$)", 1)
+    is_request = plain.rlike(r"^\S+ \S+ HTTP/1\.[^\r\n]*(?:\r\n|$)")
+    lines = F.split(F.substring_index(plain, "\r\n\r\n", 1), "\r\n")
+    pairs = F.transform(
+        F.filter(F.slice(lines, 2, 1000), lambda x: F.contains(x, F.lit(":"))),
+        lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")),
+    )
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    headers = F.map_from_entries(last)
+    end = F.instr(plain, "\r\n\r\n")
+    raw = F.when(end > 0, F.unhex(F.substr(text, (end + 3) * 2 + 1)))
+    body = F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, "ISO-8859-1"), F.lit(""))
+    host = F.lower(F.coalesce(F.try_element_at(headers, F.lit("host")), F.lit("")))
+    host = F.when(F.startswith(host, F.lit("[")), F.regexp_extract(host, r"^\[([^\]]*)", 1)).otherwise(F.substring_index(host, ":", 1))
+    blank = F.create_map().cast("map<string,string>")
+    pick = lambda c, other: F.coalesce(F.when(is_request, c), other)
+    return F.struct(pick(host, F.lit("")).alias("host"), pick(first, F.lit("")).alias("url"), pick(headers, blank).alias("headers"), pick(body, F.lit("")).alias("body"))
+
+
+def packets(frames: DataFrame) -> DataFrame:
+    """One row per IPv4 TCP or UDP packet of frames (file, number, time, link, frame), with its type and name."""
+    h = F.hex("frame")
+    ip = F.when((F.col("link") == ETHERNET) & (F.substring(h, 25, 4) == "0800"), F.substring(h, 29, 1 << 20)).when(F.col("link").isin(*RAW), h)
+    rows = frames.select("file", "number", "time", ip.alias("ip")).where(F.col("ip").rlike("^4.{17}(06|11)"))
+    head, total = _number(F.col("ip"), F.lit(0), 1) % 16 * 4, _number(F.col("ip"), F.lit(2), 2)
+    body = F.when(total > 0, _bytes(F.col("ip"), head, F.greatest(total - head, F.lit(0)))).otherwise(F.substr("ip", head * 2 + 1))
+    rows = rows.select("file", "number", "time", _dotted(F.col("ip"), F.lit(12)).alias("src_ip"), _dotted(F.col("ip"), F.lit(16)).alias("dst_ip"), (_number(F.col("ip"), F.lit(9), 1) == 6).alias("tcp"), body.alias("part"))
+    part = F.col("part")
+    skip = F.when(F.col("tcp"), F.floor(_number(part, F.lit(12), 1) / 16).cast("int") * 4).otherwise(8)
+    rows = rows.where(F.length("part") >= 16).select(
+        "file", "number", "time", "src_ip", "dst_ip", _number(part, F.lit(0), 2).alias("src_port"), _number(part, F.lit(2), 2).alias("dst_port"), "tcp",
+        F.coalesce(F.substr(part, skip * 2 + 1), F.lit("")).alias("payload"),
+    )
+    dns = ~F.col("tcp") & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))
+    data = F.col("payload")
+    rows = rows.withColumn("tls_sni", F.when(F.col("tcp"), server_name(data)).otherwise(""))
+    rows = rows.withColumn("http", http_request(F.when(F.col("tcp") & (F.col("tls_sni") == ""), data).otherwise("")))
+    rows = rows.select(
+        "file", "number", "time", "src_ip", "dst_ip", "src_port", "dst_port", F.when(F.col("tcp"), "TCP").otherwise("UDP").alias("protocol"), (F.length(data) / 2).cast("long").alias("payload_size"),
+        F.when(dns, dns_name(data)).otherwise("").alias("dns_query"), F.when(dns, dns_addresses(data)).otherwise(F.array().cast("array<string>")).alias("dns_answers"),
+        "tls_sni", F.col("http.host").alias("http_host"), F.col("http.url").alias("http_url"), F.col("http.headers").alias("http_headers"), F.col("http.body").alias("http_body"),
+    )
     ports = (F.col("src_port"), F.col("dst_port"))
-    out = raw.withColumn("domain", event_domain(F.col("tls_sni"), F.col("http_host"), F.col("dns_query")))
+    out = rows.withColumn("domain", event_domain(F.col("tls_sni"), F.col("http_host"), F.col("dns_query")))
     out = out.withColumn("event_type", event_type(F.col("protocol"), *ports, F.col("tls_sni"), F.col("http_host")))
     return out.select(*schema_of(EVENTS).fieldNames(), is_quic(F.col("protocol"), *ports).alias("is_quic"))

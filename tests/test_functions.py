@@ -142,3 +142,20 @@ def test_tokens(spark):
     got = one(spark, lambda c: strings.search_tokens(c, F.lit("Firebase-Core SDK")), "com.google.firebase:firebase-core")
     assert got == ["firebase", "firebase-core", "firebase_core"]
     assert one(spark, strings.search_tokens, None) == []
+
+
+def test_tokens_keep_their_digits(spark):
+    """The place of a piece is not taken for characters to cut off."""
+    from lodestrata.functions.strings import search_tokens
+
+    names = " ".join(f"lib{i}" for i in range(12))
+    row = spark.range(1).select(search_tokens(F.lit(names)).alias("t")).first()
+    assert set(row.t) == {f"lib{i}" for i in range(12)}
+
+
+def test_secret_tiers(spark):
+    from lodestrata.functions.strings import secret_tier
+
+    rows = [("x", "ca-app-pub-1~2"), ("x", "fb1234567890"), ("x", "a" * 32), ("x", "AKIA" + "A" * 16), ("my.api_key", "q" * 16), ("my.api_key", "q" * 15), ("x", "q" * 16), (None, None)]
+    got = spark.createDataFrame(rows, "n string, v string").select(secret_tier(F.col("n"), F.col("v"))["label"].alias("l")).collect()
+    assert [r.l for r in got] == ["admob_id", "facebook_app_id", "hex_token_32", "aws_access_key", "sensitive_meta_key", None, None, None]

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lodestrata.operators import checks, joins, matching, merges
@@ -146,3 +148,22 @@ def test_lookups_against_plain_loops(spark):
         held = [(n.prefixlen < 32, i) for n, _, i in nets if ipaddress.ip_address(x) in n]
         want[x] = min(held)[1] if held else None
     assert got == want
+
+
+def test_pieces_find_what_texts_contain(spark):
+    """Against plain loops: short rules, repeated ones, line ends, letters beyond ASCII; and beginnings."""
+    from lodestrata.operators import grams
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abé\n.x") for _ in range(rng.randrange(0, 40))) for _ in range(40)] + [None, "", "a.b", "abababab"]
+    rules = sorted({"".join(rng.choice("abé\n.x") for _ in range(rng.randrange(1, 9))) for _ in range(60)}) + ["", None]
+    t, r = spark.createDataFrame(list(enumerate(texts)), "i long, t string"), spark.createDataFrame(list(enumerate(rules)), "j long, r string")
+    want = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(rules) if x and y and y in x}
+    for size in (grams.SLICE, 7):
+        grams.SLICE, kept = size, grams.SLICE
+        got = [(x.i, x.j) for x in grams.containing(t, "t", r, "r").collect()]
+        grams.SLICE = kept
+        assert len(got) == len(set(got)) and set(got) == want
+    got = {(x.i, x.j) for x in grams.starting(t, "t", r, "r").collect()}
+    assert got == {(i, j) for i, x in enumerate(texts) for j, y in enumerate(rules) if x and y and x.startswith(y)}
+    assert grams.containing(t, "t", r.limit(0), "r").count() == 0

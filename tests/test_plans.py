@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from lodestrata.plans import cross, knowledge, manifests, traffic, vulnerabilities
 from lodestrata.sources import captures, documents
 from lodestrata.streaming.flows import stream_bursts, stream_flows
-from test_sources import MANIFEST, capture
+from test_sources import MANIFEST, frames
 
 
 def test_vulnerabilities(spark):
@@ -33,9 +33,8 @@ def rules(spark):
     )
 
 
-def test_traffic(spark, tmp_path):
-    (tmp_path / "a.pcap").write_bytes(capture())
-    events = captures.packets(spark, str(tmp_path)).withColumn("sample_id", F.lit("s")).withColumn("session_id", F.lit("x"))
+def test_traffic(spark):
+    events = captures.packets(frames(spark)).withColumn("sample_id", F.lit("s")).withColumn("session_id", F.lit("x"))
     dns = traffic.dns_records(events, rules(spark))
     assert sorted((r.query_name, r.response_count, r.query_type, r.resolver_ip, r.dns_provider, r.is_anti_analysis_probe) for r in dns.collect())[1:] == [("example.com", 0, "A", "1.1.1.1", "Cloudflare", True), ("example.com", 2, "AAAA", "1.1.1.1", "Cloudflare", True)]
     found = traffic.connections(events, rules(spark))
