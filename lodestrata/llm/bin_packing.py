@@ -168,22 +168,22 @@ def size_class(size: Column) -> Column:
     return F.when(size < CLASSES_PER_OCTAVE, size).otherwise((F.ceil(size / step) * step).cast("long"))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], bucket_by: list[str], rows: int, name: str) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], bucket_by: list[str], buckets: Column, name: str) -> DataFrame:
     """df with `rank`, gapless from 0 within keys, without one task for a key.
 
-    Rows go to hash buckets within each key; rows are numbered within buckets, and the sizes of the
-    buckets before are added. Rows are ordered by bucket, then by order.
+    Rows go to hash buckets within each key, as many as `buckets` says; rows are numbered within
+    buckets, and the sizes of the buckets before are added. Rows are ordered by bucket, then by
+    order. The table of bucket sizes has no rows for keys of one bucket, so it holds one row for
+    every ROWS_PER_RANK_BUCKET rows of df, and not one for each key.
     """
-    buckets = max(1, -(-rows // ROWS_PER_RANK_BUCKET))
-    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(*bucket_by), F.lit(buckets)))
+    dealt = df.withColumn("buckets", buckets).withColumn("bucket", F.pmod(F.xxhash64(*bucket_by), F.col("buckets")))
     inner = dealt.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(*order)) - 1)
     inner = materialise(inner, name)
-    sizes = inner.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
+    sizes = inner.where("buckets > 1").groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    starts = materialise(starts, f"{name}-starts")
-    joined = inner.join(starts, [*keys, "bucket"])
-    return joined.withColumn("rank", F.col("at") + F.col("before")).drop("at", "before", "bucket")
+    joined = inner.join(materialise(starts, f"{name}-starts"), [*keys, "bucket"], "left")
+    return joined.withColumn("rank", F.col("at") + F.coalesce("before", F.lit(0))).drop("at", "before", "bucket", "buckets")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
@@ -207,21 +207,20 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text: s
     )
     total = rows.count()
     groups = rows.groupBy("grp").agg(F.sum("size").alias("total")).select("grp", size_class(F.col("total")).alias("class"))
-    groups = ranked(groups, ["class"], ["grp"], ["grp"], total, "groups")
-    groups = materialise(groups.select("grp", "class", "rank"), "ranks")
+    groups = materialise(groups, "groups")
     histogram = [(r[0], r[1]) for r in groups.groupBy("class").agg(F.count("*")).collect()]
-    runs = [r for r in pack_evenly(histogram, shards) if r[2]]
-    spark = docs.sparkSession
-    schema = "class long, firsts array<long>, bins array<int>"
-    by_class: dict[int, list[tuple[int, int]]] = {}
-    for size, first, _, at in runs:
-        by_class.setdefault(size, []).append((first, at))
-    table = [(c, [f for f, _ in sorted(x)], [b for _, b in sorted(x)]) for c, x in by_class.items()]
-    placed = groups.join(F.broadcast(spark.createDataFrame(table, schema)), "class")
+    by_class: dict[int, list[tuple[int, int]]] = {c: [] for c, _ in histogram}
+    for size, first, n, at in pack_evenly(histogram, shards):
+        if n:
+            by_class[size].append((first, at))
+    table = [(c, [f for f, _ in sorted(by_class[c])], [b for _, b in sorted(by_class[c])], -(-n // ROWS_PER_RANK_BUCKET)) for c, n in histogram]
+    # a row for each class, of which there are CLASSES_PER_OCTAVE for each doubling of the size at most, whatever the input
+    classes = F.broadcast(docs.sparkSession.createDataFrame(table, "class long, firsts array<long>, bins array<int>, parts long"))
+    placed = ranked(groups.join(classes, "class"), ["class"], ["grp"], ["grp"], F.col("parts"), "ranks")
     at = F.size(F.filter("firsts", lambda f: f <= F.col("rank"))) - 1
     placed = materialise(placed.select("grp", F.get("bins", at).alias("shard")), "placed")
     sharded = rows.join(placed, "grp")
-    out = ranked(sharded, ["shard"], ["id", "grp"], ["id", "grp"], -(-total // shards), "sharded")
+    out = ranked(sharded, ["shard"], ["id", "grp"], ["id", "grp"], F.lit(max(1, -(-total // (shards * ROWS_PER_RANK_BUCKET)))), "sharded")
     return out.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", F.col("rank").alias("slot")
     )

@@ -28,6 +28,8 @@ BUCKETS, DIM, GRAMS = 1 << 14, 16, (2, 3, 4)
 SAMPLE_ROWS, LANGUAGE_ROWS = 2000, 500
 #: Texts in no language that are made for each labelled one, on average.
 STRANGE = 0.5
+#: Mixtures of texts of two languages, in which each counts a half, that are made for each labelled one.
+MIXED = 0.25
 EPOCHS, RATE, HELD_BACK = 6, 0.05, 0.25
 #: Share of the correctly named held-back texts that the rejection score may turn away, and share of the strange ones that it shall.
 REJECTED, CAUGHT = 0.002, 0.99
@@ -61,7 +63,7 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 
 @dataclass
 class Model:
-    """languages; a row of logits for each bucket, one for no language after those of the languages, and a last row of zeros; the layer's offsets; 1 / temperature; the least score to accept."""
+    """languages; a row of logits for each bucket, one for no language after those of the languages, and a last row of zeros; the layer's offsets; 1 / temperature; the least probability of all languages together to accept."""
 
     languages: list[str]
     table: np.ndarray
@@ -121,8 +123,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["lang", "mark", "strange", "buckets", "weights"])
 
 
-def _descend(rows: list[tuple[int, np.ndarray, np.ndarray]], outlets: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings and layer by stochastic gradient descent over (outlet, buckets, weights); returned as logits for each bucket."""
+def _mixed(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """rows (outlet, buckets, weights) with shares of outlets for outlets, and mixtures of two languages besides."""
+    one = np.eye(languages + 1)
+    out = [(one[t], at, share) for t, at, share in rows]
+    real = [r for r in rows if r[0] < languages]
+    for _ in range(int(MIXED * len(real))):
+        (s, a, x), (t, b, y) = (real[i] for i in rng.integers(0, len(real), 2))
+        if s != t:
+            at, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+            out.append(((one[s] + one[t]) / 2, at, np.bincount(where, np.concatenate([x, y]) / 2)))
+    return out
+
+
+def _descend(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], outlets: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings and layer by stochastic gradient descent over (shares of outlets, buckets, weights); returned as logits for each bucket."""
     embeddings = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     layer, offsets = np.zeros((DIM, outlets)), np.zeros(outlets)
     steps, done = EPOCHS * len(rows), 0
@@ -132,7 +147,7 @@ def _descend(rows: list[tuple[int, np.ndarray, np.ndarray]], outlets: int, rng:
             rate, done = RATE * (1 - done / steps), done + 1
             vector = share @ embeddings[at]
             error = _softmax(vector @ layer + offsets)
-            error[truth] -= 1
+            error -= truth
             back = layer @ error
             layer -= rate * 20 * np.outer(vector, error)
             offsets -= rate * 0.1 * error
@@ -178,7 +193,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     rng = np.random.default_rng(7)
     mixed = [data[i] for i in rng.permutation(len(data))]
     held = mixed[: int(len(mixed) * HELD_BACK)]
-    table, offsets = _descend(mixed[len(held) :], len(languages) + 1, rng)
+    table, offsets = _descend(_mixed(mixed[len(held) :], len(languages), rng), len(languages) + 1, rng)
     model = Model(languages, np.vstack([table, np.zeros(len(languages) + 1)]), offsets)
     if held:
         logits = np.stack([share @ table[at] + offsets for _, at, share in held])
@@ -198,21 +213,23 @@ def _calibrate(model: Model, logits: np.ndarray, truth: np.ndarray) -> None:
     model.sharpness = float(min(losses, key=losses.get))
     scored = _softmax(logits * model.sharpness)[:, :-1]
     real = truth < len(model.languages)
-    right, strange = scored[real & (scored.argmax(1) == truth)].max(1), scored[~real].max(1)
+    right, strange = scored[real & (scored.argmax(1) == truth)].sum(1), scored[~real].sum(1)
     if not len(right):
         return
-    # between what strange texts reach and what texts of the languages fall to, on the scale of logits
+    # between what strange texts reach and what texts of the languages fall to, on the scale of logits, and nearer to the
+    # strange ones, as short texts and rare words have little to show
     low, high = np.quantile(strange, CAUGHT) if len(strange) else 0.0, np.quantile(right, REJECTED)
     logit = lambda p: np.log(max(p, 1e-9) / max(1 - p, 1e-9))
-    model.accept = float(high if low >= high else 1 / (1 + np.exp(-(logit(low) + logit(high)) / 2)))
+    model.accept = float(high if low >= high else 1 / (1 + np.exp(-(3 * logit(low) + logit(high)) / 4)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, accepted) of every whole text.
 
     lang_pred is a language of the model, or `und` with score 0 if the text is null or has no letter
-    or the model knows no language. accepted says whether the score reaches the model's rejection
-    score; `und` is never accepted. Rows that repeat an id are judged each; null ids are returned;
+    or the model knows no language. score is the calibrated probability of lang_pred. accepted says
+    whether the probability of all languages together reaches the model's rejection score, so that a
+    text in two languages is no stranger than one in one; `und` is never accepted. Rows that repeat an id are judged each; null ids are returned;
     an empty table gives no rows; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
@@ -223,11 +240,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
             known = batch.column(2).to_numpy(zero_copy_only=False) & bool(model.languages)
             if model.languages:
                 scores = model.scores(batch.column(1))
-                best, top = scores.argmax(1), scores.max(1)
+                best, top, whole = scores.argmax(1), scores.max(1), scores.sum(1)
             else:
-                best, top = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
+                best, top, whole = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             best, top = np.where(known, best, len(model.languages)), np.where(known, top, 0.0)
-            columns = [batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(top), pa.array(known & (top >= model.accept))]
+            columns = [batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(top), pa.array(known & (whole >= model.accept))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "accepted"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
@@ -244,8 +261,8 @@ def keep_accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, BATCH_BYTES, text):
             texts, known = batch.column(text), batch.column(letters).to_numpy(zero_copy_only=False)
-            top = model.scores(texts).max(1) if model.languages else np.full(batch.num_rows, -1.0)
-            yield batch.drop_columns([letters]).filter(pa.array(known & (top >= model.accept)))
+            whole = model.scores(texts).sum(1) if model.languages else np.full(batch.num_rows, -1.0)
+            yield batch.drop_columns([letters]).filter(pa.array(known & (whole >= model.accept)))
 
     found = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letters)
     return docs.select("*", found).mapInArrow(run, docs.schema)

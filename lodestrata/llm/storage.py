@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. Only where it is unset, as in tests, one of our own is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
         _OWN[:] = _OWN or ["file://" + tempfile.mkdtemp(prefix="lodestrata-")]
         at = _OWN[0]
     path = spark._jvm.org.apache.hadoop.fs.Path(at)  # other readers do not know the cluster's default store

@@ -279,6 +279,52 @@ def test_shards(spark):
     assert bin_packing.shard_by_bytes(documents(spark, []), shards=10).count() == 0
 
 
+def plain_shards(sizes, shards):
+    """{group: shard} by item-by-item best fit, at the capacity that the packing of classes settles on."""
+    runs = [r for r in bin_packing.pack_evenly(sorted({s: list(sizes.values()).count(s) for s in sizes.values()}.items()), shards) if r[2]]
+    loads = [0] * shards
+    for s, _, n, b in runs:
+        loads[b] += s * n
+    alone = max(sizes.values()) * shards > sum(sizes.values())
+    return runs, loads, alone
+
+
+def test_shards_against_plain_packing(spark):
+    """The query's shards hold what item-by-item best fit puts together, group by group and size by size."""
+    rng = random.Random(14)
+    rows = [(i, f"{i % 70:03d}" + "y" * rng.randrange(0, 90)) for i in range(300)] + [(1000 + i, "twice " * 5) for i in range(9)]
+    got = bin_packing.shard_by_bytes(documents(spark, rows), shards=6).collect()
+    sizes, shard_of = {}, {}
+    for r, text in ((r, dict(rows)[r.doc_id]) for r in got):
+        sizes[text] = sizes.get(text, 0) + r.size
+        shard_of.setdefault(text, set()).add(r.shard)
+    assert all(len(x) == 1 for x in shard_of.values())
+    held = {}
+    for text, at in shard_of.items():
+        held.setdefault(min(at), []).append(sizes[text])
+    low = -(-sum(sizes.values()) // 6)
+    capacity = next(c for c in range(low, 2 * low) if len(plain_best_fit(list(sizes.values()), c)[1]) <= 6)
+    placed, _ = plain_best_fit(list(sizes.values()), capacity)
+    want = {}
+    for s, b in placed:
+        want.setdefault(b, []).append(s)
+    # a search by halves may settle on a slightly larger capacity where fewer bins do not follow from more room
+    assert max(map(sum, held.values())) <= max(map(sum, want.values())) * 1.01
+    runs, loads, _ = plain_shards(sizes, 6)
+    assert sorted(sum(v) for v in held.values()) == sorted(x for x in loads if x)
+    assert {b: sorted(v) for b, v in held.items()} == {b: sorted(s for s, _, n, at in runs if at == b for _ in range(n)) for b in {r[3] for r in runs}}
+
+
+def test_ranks_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(bin_packing, "ROWS_PER_RANK_BUCKET", 7)
+    rows = [(i, "z" * (i % 3)) for i in range(200)] + [(i, f"own {i}") for i in range(200, 300)]
+    got = bin_packing.shard_by_bytes(documents(spark, rows), shards=4).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 300 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_reputations(spark):
     pages = [(i, f"http://h{i % 3}.bad.example/x/{i}") for i in range(60)] + [(100 + i, f"https://good{i % 2}.fine.example/") for i in range(60)]
     pages += [(200, "http://new.bad.example/y"), (201, None), (202, "no scheme"), (203, "HTTP://WWW.Example.COM/en/x?q#f"), (204, "http://a.net/es/1"), (205, "http://a.net"), (206, "http://b.example.com/en/"), (207, "http://é.COM/"), (207, "http://é.COM/")]

@@ -175,6 +175,41 @@ def test_languages(spark):
     assert language_id.predict(df.limit(0), model).count() == 0 and language_id.keep_accepted(df, nothing).count() == 0
 
 
+def test_strange_texts_are_rejected(spark):
+    """Gibberish and other scripts go; texts of the languages, of two of them, repeated ones and very long ones stay."""
+    df = languages(spark)
+    model = language_id.fit(df)
+    rng = random.Random(5)
+    strange = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(200)) for _ in range(15)]
+    strange += ["Это предложение на другом языке", "漢字かな交じり文の例文です", "zxq wvk qjz xvz kqw zzx qvk"]
+    real = [r.text for r in df.where("lang is not null and length(text) > 100").limit(12).collect()]
+    mixed = [a + " " + b for a, b in zip(real[:6], real[6:], strict=True)]
+    texts = strange + real + mixed + [real[0]] * 5 + [real[1] + " " + real[1] * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.accepted for r in language_id.predict(rows, model).collect()}
+    assert not any(got[i] for i in range(len(strange)))
+    assert all(got[i] for i in range(len(strange), len(texts)))
+
+
+def test_sample_does_not_depend_on_order_or_copies(spark):
+    df = languages(spark, 120)
+    twice = df.unionByName(df).repartition(5)
+    one, two = (language_id.fit(x) for x in (df, twice))
+    assert one.languages == two.languages and np.array_equal(one.table, two.table) and one.accept == two.accept
+    same_key = df.withColumn("doc_id", F.lit(1).cast("long"))
+    assert np.array_equal(language_id.fit(same_key).table, language_id.fit(same_key.repartition(7)).table)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_held_out_documents(spark):
+    """The query's held-out third of the test table: nearly all of its languages are named."""
+    from lodestrata.llm.queries import op5_language_id
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = op5_language_id(spark, SF).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(held) > 300 and sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage in turn, on a fixture with copies, shared lines and test items."""
     import sentencepiece
