@@ -8,6 +8,8 @@ or by `release`.
 from __future__ import annotations
 
 import atexit
+import gc
+import itertools
 import re
 import tempfile
 import uuid
@@ -15,6 +17,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Written tables after which the driver is cleaned: Spark drops shuffle files and broadcasts only when their plans are collected as garbage.
+CLEAN_EVERY = 12
+_WRITTEN = itertools.count(1)
 _ROOTS: dict[str, SparkSession] = {}
 _OWN: list[str] = []
 
@@ -69,9 +74,20 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         tasks = max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
         df = df.coalesce(tasks) if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
     df.write.parquet(path)
+    if next(_WRITTEN) % CLEAN_EVERY == 0:
+        clean(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Lets go of plans that nothing refers to any more, and with them of their shuffle files and broadcasts.
+
+    A run of many small jobs makes garbage faster than the driver's collector sees a need to give memory back.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Ids that are broadcast to take rows out of a table (8 MB); beyond it, they are shuffled.
 BROADCAST_IDS = 1_000_000
 
