@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, grid_order_join, language_id, license_scan, line_dedup, minhash_join, seed_decontamination, sentencepiece_codec, token_store, url_reputation
+from . import (
+    bin_packing, grid_order_join, language_id, license_scan, line_dedup, minhash_join, periodic_runs, rule_ensemble, seed_decontamination, sentencepiece_codec, token_store, url_reputation,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +81,48 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, by_word=True)
 
 
+def op11_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the third of the ids whose crc32 leaves the remainder 1 are held out of the fit."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    counted = rule_ensemble.statistics(_table(spark, sf_dir, "documents"))
+    model = rule_ensemble.fit(counted, _table(spark, sf_dir, "labels").where(fold != 1))
+    return rule_ensemble.score(counted, model).withColumn("held_out", F.coalesce(fold == 1, F.lit(False)))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which one text of ten, by the crc32 of its id, repeats a stretch from some word on to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    cycle = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    rest = F.slice(F.flatten(F.array_repeat(cycle, times)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    cycled = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), rest), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), cycled).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(with_cycles(_table(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grid_order_join": op1_grid_order_join,
     "op2_seed_decontamination": op2_seed_decontamination,
@@ -89,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bin_packing": op8_bin_packing,
     "op9_minhash_join": op9_minhash_join,
     "op10_token_store": op10_token_store,
+    "op11_rule_ensemble": op11_rule_ensemble,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 LINES_SQL = r"""
@@ -190,6 +238,38 @@ SELECT s.page_id, s.host, path, f.rule,
 FROM s JOIN h2 USING (host) LEFT JOIN f ON f.page_id = s.page_id AND f.k = 1
 """
 
+#: Periods with a point of the grid at which the first and last of the words come again are tried at every word; a cyclic redundancy check is
+#: taken bit by bit.
+RUNS_SQL = r"""
+WITH k AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))) AS crc
+  FROM documents),
+h AS (SELECT doc_id, ws, len(ws) AS n, xor(crc, 4294967295) AS h, xor(crc, 4294967295) // 10 AS g FROM k),
+s AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM h),
+t AS (SELECT doc_id, n, i, ws[CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1] AS word
+      FROM (SELECT *, unnest(range(n)) AS i FROM s)),
+e AS MATERIALIZED (SELECT doc_id, n, i, dense_rank() OVER (ORDER BY word) AS w, word FROM t),
+d AS (SELECT DISTINCT doc_id, n FROM e WHERE n >= 6),
+q AS (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS q FROM d),
+g AS (SELECT doc_id, q, unnest(range(0, n - 2 * q + 1, 2 * q)) AS g FROM q),
+f AS (SELECT DISTINCT g.doc_id, q FROM g
+      JOIN e a ON a.doc_id = g.doc_id AND a.i = g.g JOIN e b ON b.doc_id = g.doc_id AND b.i = g.g + q AND b.w = a.w
+      JOIN e c ON c.doc_id = g.doc_id AND c.i = g.g + q - 1 JOIN e z ON z.doc_id = g.doc_id AND z.i = g.g + 2 * q - 1 AND z.w = c.w),
+m AS (SELECT f.doc_id, q, a.i, a.i - row_number() OVER (PARTITION BY f.doc_id, q ORDER BY a.i) AS island
+      FROM f JOIN e a ON a.doc_id = f.doc_id JOIN e b ON b.doc_id = f.doc_id AND b.i = a.i + q AND b.w = a.w),
+r AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM m GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY ALL),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+      arg_max({'start': start, 'length': length, 'period': period}, {'l': length, 's': -start, 'p': -period}) AS top FROM u GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM e
+      WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = e.doc_id AND e.i >= u.start + u.period AND e.i < u.start + u.length) GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.period AS period, 1000 * top.length // top.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM s LEFT JOIN o ON o.doc_id = s.doc_id LEFT JOIN c ON c.doc_id = s.doc_id
+"""
+
 
 def _license_sql() -> str:
     """Every window of every template's length is compared exactly, without bands."""
@@ -213,4 +293,4 @@ SELECT doc_id, license, n_shingles, max(n_matched) AS n_matched FROM c WHERE 100
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_url_reputation": RULES_SQL, "op4_license_scan": _license_sql(), "op2_seed_decontamination": SEEDS_SQL, "op1_grid_order_join": VECTORS_SQL, "op6_line_dedup": LINES_SQL, "op9_minhash_join": NEAR_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_reputation": RULES_SQL, "op4_license_scan": _license_sql(), "op2_seed_decontamination": SEEDS_SQL, "op1_grid_order_join": VECTORS_SQL, "op6_line_dedup": LINES_SQL, "op9_minhash_join": NEAR_SQL, "op13_periodic_runs": RUNS_SQL}
