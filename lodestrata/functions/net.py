@@ -2,37 +2,93 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from ipaddress import ip_network
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bound import bound
 from .values import CODE_WORDS, DOH_NAMES, KNOWN_ADDRESSES, PROBE_NAMES, RESOLVERS, SECOND_LEVEL_SUFFIXES, SYSTEM_PREFIXES, TEXT_TLDS, USUAL_PORTS
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
-# Address blocks that are not public.
-PRIVATE_BLOCKS = ["0.0.0.0/32", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4"]
+# Address blocks that are not public, and those within them that are.
+PRIVATE_BLOCKS = [
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+    "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10", "ff00::/8",
+]
+PUBLIC_WITHIN = ["192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+
+#: What stands before the eight digits of an IPv4 address in a key.
+_MAPPED = "0" * 20 + "ffff"
 
 
 def ip_number(ip: Column) -> Column:
     """An IPv4 address as a number, null for anything else (M7)."""
-    octets = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("long"))
-    value = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    return F.when(ip.rlike(IPV4), value)
+    octet = lambda o, i: F.get(o, F.lit(i)).try_cast("long") * 256 ** (3 - i)
+    return F.when(ip.rlike(IPV4), bound(F.split(ip, r"\."), lambda o: octet(o, 0) + octet(o, 1) + octet(o, 2) + octet(o, 3)))
+
+
+def _dotted_hex(ip: Column) -> Column:
+    octet = lambda o, i: F.lpad(F.hex(F.get(o, F.lit(i)).try_cast("int")), 2, "0")
+    return bound(F.split(ip, r"\."), lambda o: F.lower(F.concat(*(octet(o, i) for i in range(4)))))
+
+
+def ip_key(ip: Column) -> Column:
+    """An address as 32 hexadecimal digits that order as addresses do, null for anything else (M7).
+
+    IPv4 addresses are those of ::ffff:0:0/96, with which they share their keys; a zone behind `%` is left out.
+    """
+    none = F.array().cast("array<string>")
+    groups = lambda side: F.when(side == "", none).otherwise(F.split(side, ":"))
+    padded = lambda g: F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")
+
+    def joined(sides: Column) -> Column:
+        left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+        both = F.struct(left.alias("left"), right.alias("right"), F.size(sides).alias("n"))
 
+        def whole(s: Column) -> Column:
+            missing = 8 - F.size(s["left"]) - F.size(s["right"])
+            good = F.when(s["n"] == 1, missing == 0).otherwise((s["n"] == 2) & (missing >= 1)) & F.forall(F.concat(s["left"], s["right"]), lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+            return F.when(good, F.concat(padded(s["left"]), F.repeat(F.lit("0000"), missing), padded(s["right"])))
 
-def block_bounds(block: Column) -> tuple[Column, Column]:
-    """First and last number of an address or a CIDR block; null if it is neither."""
-    base, bits = F.substring_index(block, "/", 1), F.when(F.contains(block, F.lit("/")), F.substring_index(block, "/", -1)).otherwise("32")
-    size = F.pow(F.lit(2), 32 - bits.try_cast("int")).cast("long")
-    low = F.floor(ip_number(base) / size).cast("long") * size
-    return low, low + size - 1
+        return bound(both, whole)
 
+    def six(text: Column) -> Column:
+        last = F.regexp_extract(text, r"([0-9.]+)$", 1)  # an address may end in an IPv4 one
+        dotted = F.when(last.rlike(IPV4), bound(_dotted_hex(last), lambda h: F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4))))
+        return bound(F.when(F.contains(text, F.lit(".")), dotted).otherwise(text), lambda t: joined(F.split(t, "::", -1)))
 
-def _bounds(block: str) -> tuple[int, int]:
-    base, bits = block.split("/")
-    low = sum(int(o) << s for o, s in zip(base.split("."), (24, 16, 8, 0), strict=True))
-    return low, low + (1 << 32 - int(bits)) - 1
+    return F.when(ip.rlike(IPV4), F.concat(F.lit(_MAPPED), _dotted_hex(ip))).when(F.contains(ip, F.lit(":")), six(F.lower(F.substring_index(ip, "%", 1))))
+
+
+def masked(key: Column, bits: Column, ones: bool = False) -> Column:
+    """A key whose digits behind the first bits are those of the lowest (ones: the highest) address of the block."""
+    whole, rest = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    step = F.call_function("shiftright", F.lit(16), rest)
+    digit = F.conv(F.substr(key, whole + 1, F.lit(1)), 16, 10).cast("int")
+    digit = F.lower(F.hex(F.floor(digit / step) * step + (step - 1 if ones else 0)))
+    short = F.concat(F.substr(key, F.lit(1), whole), digit, F.repeat(F.lit("f" if ones else "0"), 31 - whole))
+    return F.when(bits >= 128, key).otherwise(short)
+
+
+def block_key(block: Column) -> Column:
+    """struct(low, bits): the lowest key of an address or a CIDR block, and the bits of its keys that are fixed; null if it is neither."""
+    base = F.substring_index(block, "/", 1)
+    most = F.when(F.contains(base, F.lit(":")), 128).otherwise(32)
+    bits = F.when(F.contains(block, F.lit("/")), F.substring_index(block, "/", -1).try_cast("int")).otherwise(most)
+    bits = F.when(bits.between(0, most), bits + 128 - most)
+    return bound(F.struct(ip_key(base).alias("key"), bits.alias("bits")), lambda s: F.when(s["key"].isNotNull() & s["bits"].isNotNull(), F.struct(masked(s["key"], s["bits"]).alias("low"), s["bits"].alias("bits"))))
+
+
+def _bounds(block: str) -> tuple[str, str]:
+    """First and last key of a block."""
+    net = ip_network(block)
+    start = (0xFFFF << 32) if net.version == 4 else 0
+    return f"{start + int(net.network_address):032x}", f"{start + int(net.broadcast_address):032x}"
 
 
 def is_ip(text: Column) -> Column:
@@ -42,11 +98,13 @@ def is_ip(text: Column) -> Column:
 
 def is_private(ip: Column) -> Column:
     """Null, empty, malformed and non-public addresses are private."""
-    n = ip_number(ip)
-    out = n.isNull() & ~F.coalesce(F.contains(ip, F.lit(":")), F.lit(False))
-    for low, high in map(_bounds, PRIVATE_BLOCKS):
-        out = out | F.coalesce((n >= low) & (n <= high), F.lit(False))
-    return out | F.coalesce(F.lower(ip).rlike("^(::1?|fe[89ab].*|f[cdf].*)$"), F.lit(False))
+    return bound(ip_key(ip), private_key)
+
+
+def private_key(key: Column) -> Column:
+    """Whether the key of an address is null or one of a block that is not public."""
+    within = lambda blocks: reduce(or_, (key.between(*_bounds(b)) for b in blocks))
+    return key.isNull() | (within(PRIVATE_BLOCKS) & ~within(PUBLIC_WITHIN))
 
 
 def is_name_or_below(name: Column, names: list[str]) -> Column:

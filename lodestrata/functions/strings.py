@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bound import bound
 from .values import (
     BUILD_NAMES,
     CONSTANT_STARTS,
@@ -31,19 +32,33 @@ def luhn(text: Column) -> Column:
     return F.coalesce((digits(text) != "") & F.call_function("luhn_check", digits(text)), F.lit(False))
 
 
+#: Distinct characters up to which each is counted by itself.
+FEW_CHARACTERS = 256
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for null and empty texts (M2).
 
-    The sorted characters are gone over once; a run that ends adds its share.
+    Each character is counted by what its removal takes from the text. A text of very many different
+    ones is sorted instead, and its runs are gone over once.
     """
-    chars = F.array_sort(F.split(text, ""))
-    n = F.size(chars).cast("double")
-    bits = lambda run: F.when(run > 0, run / n * F.log2(run / n)).otherwise(0.0)
-    state = lambda sum_, last, run: F.struct(sum_.alias("sum"), last.alias("last"), run.alias("run"))
-    start = state(F.lit(0.0), F.lit(""), F.lit(0.0))
-    step = lambda a, c: F.when(a["last"] == c, state(a["sum"], a["last"], a["run"] + 1)).otherwise(state(a["sum"] - bits(a["run"]), c, F.lit(1.0)))
-    total = F.aggregate(chars, start, step, lambda a: a["sum"] - bits(a["run"]))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(total)
+    bits = lambda k, n: k / n * F.log2(k / n)
+
+    def by_character(t: Column, n: Column, chars: Column) -> Column:
+        return F.aggregate(chars, F.lit(0.0), lambda a, c: a - bits((n - F.char_length(F.replace(t, c, F.lit("")))).cast("double"), n))
+
+    def by_runs(t: Column, n: Column) -> Column:
+        run = lambda k: F.when(k > 0, bits(k, n)).otherwise(0.0)
+        state = lambda sum_, last, k: F.struct(sum_.alias("sum"), last.alias("last"), k.alias("run"))
+        step = lambda a, c: F.when(a["last"] == c, state(a["sum"], a["last"], a["run"] + 1)).otherwise(state(a["sum"] - run(a["run"]), c, F.lit(1.0)))
+        return F.aggregate(F.array_sort(F.split(t, "")), state(F.lit(0.0), F.lit(""), F.lit(0.0)), step, lambda a: a["sum"] - run(a["run"]))
+
+    def of(s: Column) -> Column:
+        t, n, chars = s["t"], s["n"], s["chars"]
+        return F.when(F.size(chars) <= FEW_CHARACTERS, by_character(t, n, chars)).otherwise(by_runs(t, n))
+
+    facts = lambda t: F.struct(t.alias("t"), F.char_length(t).cast("double").alias("n"), F.array_distinct(F.split(t, "")).alias("chars"))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(bound(text, lambda t: bound(facts(t), of)))
 
 
 def is_e164(text: Column) -> Column:

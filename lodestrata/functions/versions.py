@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bound import bound
+
 _VERSION = (
     r"^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?"
     r"(?:-(\d+)|[-_.]?(post|rev|r)[-_.]?(\d*))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
@@ -51,6 +53,51 @@ def version_key(text: Column) -> Column:
     return F.when(low.rlike(_VERSION), F.get(F.transform(F.array(fields), key), F.lit(0)))
 
 
+def sort_key(text: Column) -> Column:
+    """The key of a version as a text whose bytes order as versions do; null if the text is no version (M6).
+
+    Numbers stand behind the number of their digits; lists end in a mark that comes before any of
+    their members; no key is the beginning of another.
+    """
+    size = lambda d: F.lpad(F.length(d).cast("string"), 2, "0")
+    number = lambda n: bound(n.cast("string"), lambda d: F.concat(size(d), d))
+
+    def encoded(k: Column) -> Column:
+        release = F.concat(F.array_join(F.transform(k["release"], number), ""), F.lit("00"))
+        post = F.when(k["post"] < 0, "00").otherwise(number(k["post"]))
+        dev = F.when(k["dev"] == _LAST, "99").otherwise(number(k["dev"]))
+        label = lambda x: F.when(x["n"] < 0, F.concat(F.lit("1"), x["s"], F.lit("!"))).otherwise(F.concat(F.lit("2"), number(x["n"]), x["s"], F.lit("!")))
+        local = F.concat(F.array_join(F.transform(k["local"], label), ""), F.lit("0"))
+        return F.concat(number(k["epoch"]), release, (k["stage"] + 1).cast("string"), number(k["pre"]), post, dev, local)
+
+    return bound(version_key(text), lambda k: F.when(k.isNotNull(), encoded(k)))
+
+
+#: Comes after every key, and behind a key before all others that come after it.
+_AFTER = "~"
+
+
+def key_intervals(ranges: Column) -> Column:
+    """array<struct(low, high)> of the ranges that have a bound and are readable: a version lies in one if low <= its sort_key < high."""
+
+    def interval(r: Column) -> Column:
+        keys = F.struct(*(sort_key(r[b]).alias(b) for b in BOUNDS), F.lit(True).alias("there"))
+        given = F.coalesce(*(r[b] for b in BOUNDS)).isNotNull()
+
+        def of(k: Column) -> Column:
+            good = given
+            for b in BOUNDS:
+                good = good & (r[b].isNull() | k[b].isNotNull())
+            after = lambda b: F.concat(k[b], F.lit(_AFTER))
+            low = F.greatest(F.coalesce(k["start_including"], F.lit("")), F.coalesce(after("start_excluding"), F.lit("")))
+            high = F.least(F.coalesce(after("end_including"), F.lit(_AFTER)), F.coalesce(k["end_excluding"], F.lit(_AFTER)))
+            return F.when(good, F.struct(low.alias("low"), high.alias("high")))
+
+        return bound(keys, of)
+
+    return F.array_distinct(F.array_compact(F.transform(ranges, interval)))
+
+
 def has_bound(ranges: Column) -> Column:
     """Whether any range has any bound."""
     return F.exists(ranges, lambda r: F.coalesce(*(r[b] for b in BOUNDS)).isNotNull())

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merges import joined_by
+
 
 def missing_parents(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows of child whose key is not in parent."""
@@ -54,7 +56,14 @@ def identity_kept(before: DataFrame, after: DataFrame, key: str, fields: Sequenc
 
 
 def rejected(df: DataFrame, rules: dict[str, Column], keys: Sequence[str], pos: str) -> DataFrame:
-    """df with `reject`: the first broken rule, `duplicate` for all but the first row of a key, null for good rows (S3)."""
+    """df with `reject`: the first broken rule, `duplicate` for all but the first row of a key, null for good rows (S3).
+
+    pos tells rows apart. The first places of the keys of good rows are summed up and joined, so
+    rows that break a rule, however many have the same blank key, never meet in one task.
+    """
     reason = F.coalesce(*(F.when(c, n) for n, c in rules.items()))
-    n = F.row_number().over(Window.partitionBy(*keys, reason.isNull()).orderBy(pos))
-    return df.withColumn("reject", F.coalesce(reason, F.when(n > 1, "duplicate")))
+    marked = df.withColumn("_reason", reason)
+    first = marked.where("_reason is null").groupBy(*keys).agg(F.min(pos).alias("_first"))
+    out = joined_by(marked, first, keys)
+    again = F.col("_reason").isNull() & (F.col(pos) > F.col("_first"))
+    return out.select(*df.columns, F.coalesce("_reason", F.when(again, "duplicate")).alias("reject"))

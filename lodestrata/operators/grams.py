@@ -1,51 +1,139 @@
-"""Containment and prefix joins as equi-joins, so that no value meets every rule."""
+"""Containment and prefix joins as equi-joins, so that no value meets every rule.
 
-from __future__ import annotations
+A few patterns are literals of one expression. Of many, each is known by an anchor: some bytes of it,
+as a number. A text's bytes are gone over once for each length of anchor: the number at every place
+is held against a Bloom filter, those that pass against the anchors, and only these hits meet rules
+in a join. So work follows the bytes, and memory the hits.
+"""
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-#: Characters of the piece by which a rule is found in a text; shorter rules have a length of their own.
-GRAM = 5
-#: Pieces that one expression holds, and whose rules are broadcast at once.
-SLICE = 10_000
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def _grams(text: str, n: int):  # noqa: ANN202
-    """The distinct n-character pieces of a text, in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+#: Patterns up to which each is looked for as a literal.
+LITERALS = 200
+#: Bytes of an anchor; a pattern has the longest that fits.
+SIZES = (7, 4, 2, 1)
+#: Anchors that a task holds at once (eight bytes each), and bits of its Bloom filter as a power of two.
+SLICE, BLOOM_BITS = 1 << 20, 20
+#: Bytes of text that a task goes over at once.
+PIECE = 1 << 22
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def containing(values: DataFrame, value: str, rules: DataFrame, pattern: str) -> DataFrame:
     """values with the columns of each rule whose pattern the value contains, one row for each pair.
 
-    Each rule is known by one piece of its pattern, that which the fewest rules have. A value's
-    pieces are held against the set of these pieces, and only those that are in it meet rules,
-    SLICE of them at a time; the whole pattern is then looked for. Empty patterns and null values
-    match nothing. Names of the two tables must differ.
+    Empty patterns and null values match nothing. Names of the two tables must differ. Beyond SLICE
+    anchors, values are read again for each slice.
     """
     known = rules.where(F.length(pattern) > 0)
-    size = F.least(F.length("_p"), F.lit(GRAM))
-    pieces = known.select(F.col(pattern).alias("_p")).distinct().withColumn("_n", size)
-    pieces = pieces.withColumn("_gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("_p") - size + 1), lambda i: F.substring("_p", i, size))))
-    rare = pieces.withColumn("_often", F.count("*").over(Window.partitionBy("_gram")))
-    keyed = rare.groupBy("_p").agg(F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"))
-    keyed = known.join(keyed, known[pattern] == keyed["_p"]).drop("_p")
-    wanted = sorted(r[0] for r in keyed.select("_gram").distinct().collect())
-    out = values.join(known.limit(0), F.lit(False)) if not wanted else None
-    for start in range(0, len(wanted), SLICE):
-        own = wanted[start : start + SLICE]
-        by_size = {n: [g for g in own if len(g) == n] for n in range(1, GRAM + 1)}
-        met = F.concat(*(F.filter(_grams(value, n), _one_of(gs)) for n, gs in by_size.items() if gs))
-        spread = values.where(F.col(value).isNotNull()).withColumn("_gram", F.explode(met))
-        mine = F.broadcast(keyed.where((F.col("_gram") >= own[0]) & (F.col("_gram") <= own[-1])))
-        found = spread.join(mine, "_gram").where(F.contains(F.col(value), F.col(pattern))).drop("_gram")
+    few = [r[0] for r in known.select(pattern).distinct().limit(LITERALS + 1).collect()]
+    if len(few) <= LITERALS:
+        each = [F.when(F.contains(F.col(value), F.lit(p)), F.lit(p)) for p in sorted(few)]
+        met = F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
+        return values.where(F.col(value).isNotNull()).withColumn("_met", F.explode(met)).join(known, F.col("_met") == F.col(pattern)).drop("_met")
+    keyed = _anchored(known, pattern)
+    anchors = keyed.select("_anchor").distinct()
+    out = None
+    for low, high in _slices(anchors):
+        mine = (F.col("_anchor") >= low) & (F.col("_anchor") <= high)
+        held = np.sort(anchors.where(mine).toPandas()["_anchor"].to_numpy(np.int64))
+        hits = values.where(F.col(value).isNotNull()).select("*", F.col(value).alias("_searched"))
+        hits = hits.mapInArrow(_hits(held), _with(values, "_anchor long"))
+        found = hits.join(keyed.where(mine), "_anchor").where(F.contains(F.col(value), F.col(pattern))).drop("_anchor")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _one_of(texts: list[str]):  # noqa: ANN202
-    return lambda x: x.isin(texts)
+def _with(df: DataFrame, more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), more])
+
+
+def _anchored(known: DataFrame, pattern: str) -> DataFrame:
+    """known with _anchor: of all anchors of a pattern the one that the fewest patterns have."""
+    raw = F.col("_p").cast("binary")
+    n = F.octet_length("_p")
+    size = F.coalesce(*(F.when(n >= k, k) for k in SIZES))
+    at = lambda i: F.conv(F.hex(F.substring(raw, i, F.col("_n"))), 16, 10).cast("long")
+    pieces = known.select(F.col(pattern).alias("_p")).distinct().withColumn("_n", size)
+    pieces = pieces.select("_p", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - F.col("_n") + 1), lambda i: at(i) + F.shiftleft(F.col("_n").cast("long"), 56)))).alias("_anchor"))
+    often = pieces.groupBy("_anchor").agg(F.count("*").alias("_often"))
+    rare = pieces.join(often, "_anchor").groupBy("_p").agg(F.min_by("_anchor", F.struct("_often", "_anchor")).alias("_anchor"))
+    return known.join(rare, known[pattern] == rare["_p"]).drop("_p")
+
+
+def _slices(anchors: DataFrame) -> list[tuple[int, int]]:
+    """Intervals of at most about SLICE anchors each."""
+    n = anchors.count()
+    parts = -(-n // SLICE)
+    if parts <= 1:
+        return [(0, (1 << 63) - 1)]
+    cuts = anchors.stat.approxQuantile("_anchor", [i / parts for i in range(1, parts)], 0.1 / parts)
+    edges = [0, *sorted({int(c) for c in cuts}), (1 << 63) - 1]
+    return [(a, b if b == edges[-1] else b - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _numbers(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size of anchor, the number that the bytes from every place on make."""
+    one = raw.astype(np.uint64)
+    two = one[:-1] << np.uint64(8) | one[1:]
+    four = two[:-2] << np.uint64(16) | two[2:]
+    yield 1, one
+    yield 2, two
+    yield 4, four
+    yield 7, four[:-3] << np.uint64(24) | four[3:] & np.uint64(0xFFFFFF)
+
+
+def _hits(anchors: np.ndarray):  # noqa: ANN202
+    """The distinct (row, anchor) of batches whose last column is the text, without that column."""
+    of = {n: anchors[anchors >> 56 == n].astype(np.uint64) & np.uint64((1 << 56) - 1) for n in SIZES}
+    slot = lambda x: (x * _MIX >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+    bloom = {}
+    for n, own in of.items():
+        bloom[n] = np.zeros(1 << BLOOM_BITS, bool)
+        bloom[n][slot(own)] = True
+
+    def found(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for n, numbers in _numbers(raw) if len(raw) >= SIZES[0] else ((n, x) for n, x in _numbers(np.append(raw, np.zeros(8, np.uint8)))):
+            own = of[n]
+            if not len(own):
+                continue
+            at = np.flatnonzero(bloom[n][slot(numbers)])
+            k = np.minimum(np.searchsorted(own, numbers[at]), len(own) - 1)
+            at = at[own[k] == numbers[at]]
+            row = np.searchsorted(starts, at, "right") - 1
+            inside = at + n <= ends[row]
+            yield row[inside], numbers[at[inside]].astype(np.int64) + (n << 56)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _pieces(batch):
+                texts = part.column(part.num_columns - 1).cast(pa.large_binary())
+                offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+                raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+                bounds = offsets - offsets[0]
+                rows, codes = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64)), *found(raw, bounds[:-1], bounds[1:]), strict=True))
+                pairs = np.unique(np.column_stack([rows, codes]), axis=0)
+                out = part.take(pa.array(pairs[:, 0]))
+                yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(pairs[:, 1])], [*out.schema.names[:-1], "_anchor"])
+
+    return run
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about PIECE bytes of text, and one row at least."""
+    sizes = np.cumsum([0, *(len(x.as_buffer()) for x in batch.column(batch.num_columns - 1))])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + PIECE, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def starting(values: DataFrame, value: str, rules: DataFrame, prefix: str) -> DataFrame:

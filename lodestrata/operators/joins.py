@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.net import block_bounds, clean_name, ip_number, is_private
+from ..functions.bound import bound
+from ..functions.net import block_key, clean_name, ip_key, masked, private_key
 from ..functions.versions import in_any_range
+from ..tables import written
 from .grams import containing, starting
-
-#: Addresses and ranges meet within blocks of this many addresses.
-RANGE_BLOCK = 1 << 16
+from .ranges import narrowest
 
 #: Patterns that one expression holds at most.
 MOST_PATTERNS = 10_000
@@ -100,34 +100,39 @@ def best_contained(df: DataFrame, column: str, rules: DataFrame, pattern: str, p
 
 
 def cidr_lookup(df: DataFrame, column: str, rules: DataFrame, block: str, pos: str) -> DataFrame:
-    """df with the rule of an address: the exact one, else the first CIDR block that holds it."""
-    low, high = block_bounds(F.col(block))
-    known = rules.withColumn("_low", low).withColumn("_high", high).where("_low is not null")
-    return _in_ranges(df, column, known, [(F.col("_low") != F.col("_high")).cast("int"), F.col(pos)])
+    """df with the rule of an IPv4 or IPv6 address: the exact one, else the first CIDR block that holds it.
 
+    Addresses and blocks are joined by the fixed bits of the blocks, once for each number of bits that rules have.
+    """
+    known = written(rules.withColumn("_block", block_key(F.col(block))).select("*", F.col("_block.bits").alias("_bits"), F.col("_block.low").alias("_low")).drop("_block"), "blocks").where("_bits is not null")
+    bits = sorted(r[0] for r in known.select("_bits").distinct().collect())  # 129 at most
+    probes = _address_keys(df, column).where("_key is not null")
+    probes = probes.withColumn("_bits", F.explode(F.array(*map(F.lit, bits)).cast("array<int>"))).withColumn("_low", masked(F.col("_key"), F.col("_bits")))
+    best = _best(probes.join(known, ["_bits", "_low"]), ["_probe"], [(F.col("_bits") < 128).cast("int"), F.col(pos)])
+    return _bring_back(df, column, best.drop("_key", "_low", "_bits"))
 
-def range_lookup(df: DataFrame, column: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
-    """df with the range (addresses low to high) that holds a public address; the narrowest of several."""
-    known = ranges.withColumn("_low", ip_number(F.col(low))).withColumn("_high", ip_number(F.col(high))).where("_low <= _high")
-    public = df.withColumn("_public", F.when(~is_private(F.col(column)), F.col(column)))
-    return _in_ranges(public, "_public", known, [F.col("_high") - F.col("_low"), F.col("_low")]).drop("_public")
 
+def _address_keys(df: DataFrame, column: str) -> DataFrame:
+    """(_probe, _key) of the distinct addresses, written, as what asks for a key would otherwise work it out anew."""
+    return written(df.select(F.col(column).alias("_probe")).distinct().withColumn("_key", ip_key(F.col("_probe"))), "addresses")
 
-def _in_ranges(df: DataFrame, column: str, known: DataFrame, order: list[Column]) -> DataFrame:
-    """Addresses and ranges are joined by the block that they share, then compared.
 
-    A range of more than RANGE_BLOCK blocks is joined by whole 2 ** 24 blocks of its own instead.
+def range_lookup(df: DataFrame, column: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
+    """df with the range (IPv4 or IPv6 addresses low to high) that holds a public address; the narrowest of several.
+
+    Of ranges with the same bounds, the first by their other columns counts.
     """
-    probes = df.select(F.col(column).alias("_probe")).distinct().withColumn("_n", ip_number(F.col("_probe"))).where("_n is not null")
-    wide = (F.col("_high") - F.col("_low")) >= RANGE_BLOCK * 256
-    size = F.when(wide, RANGE_BLOCK * 256).otherwise(RANGE_BLOCK)
-    spread = known.withColumn("_size", size.cast("long"))
-    spread = spread.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_low") / F.col("_size")), F.floor(F.col("_high") / F.col("_size")))))
-    sizes = F.array(F.lit(RANGE_BLOCK).cast("long"), F.lit(RANGE_BLOCK * 256).cast("long"))
-    probes = probes.withColumn("_size", F.explode(sizes)).withColumn("_block", F.floor(F.col("_n") / F.col("_size")))
-    found = probes.join(spread, ["_size", "_block"]).where("_n between _low and _high")
-    best = _best(found, ["_probe"], order)
-    return _bring_back(df, column, best.drop("_n", "_low", "_high", "_size", "_block"))
+    known = ranges.withColumn("_low", ip_key(F.col(low))).withColumn("_high", ip_key(F.col(high))).where("_low <= _high")
+    known = known.groupBy("_low", "_high").agg(F.min(F.struct(*ranges.columns)).alias("_range"))
+    probes = written(_address_keys(df, column).where(~bound(F.col("_key"), private_key)), "public")
+    known = written(known, "ranges")
+    held = narrowest(probes.select("_key"), known.select("_low", "_high"))
+    found = probes.join(held, "_key").join(known, ["_low", "_high"]).select("_probe", "_range.*")
+    return _bring_back(df, column, found)
+
+
+#: Rows of one token that a task handles, at least; and tokens of more rows, at most, as they are broadcast.
+HOT_TOKEN, MOST_HOT = 100_000, 10_000
 
 
 def token_candidates(
@@ -135,11 +140,36 @@ def token_candidates(
 ) -> DataFrame:
     """Pairs of items and product rows that share a token, once for each item and keys.
 
-    residual: a further condition, which thins the pairs out before they are made distinct.
+    residual: a further condition, which thins the pairs out before they are made distinct. Tokens
+    are counted on both sides, so items are best given as a written table. The items of a token that
+    very many have are dealt into parts, and so are its products; each part of the one side meets
+    each of the other by itself, and a task has no more than HOT_TOKEN rows of a token on a side.
     """
     spread = items.withColumn("_token", F.explode(tokens))
-    on = spread["_token"] == products[product]
-    return spread.join(products, on if residual is None else on & residual).drop("_token").dropDuplicates([item, *keys])
+    listed = products.withColumn("_product", F.col(product))
+    hot = _hot_tokens(spread, listed)
+    left, right = _dealt(spread, "_token", hot, "_i", "_m", "_j", "_k"), _dealt(listed, "_product", hot, "_pj", "_k", "_pi", "_m")
+    on = (F.col("_token") == F.col("_product")) & (F.col("_i") == F.col("_pi")) & (F.col("_j") == F.col("_pj"))
+    met = left.join(right, on if residual is None else on & residual)
+    return met.drop("_token", "_product", "_i", "_j", "_pi", "_pj").dropDuplicates([item, *keys])
+
+
+def _hot_tokens(spread: DataFrame, listed: DataFrame) -> DataFrame:
+    """(_hot, _m, _k): tokens of many rows, with the parts of their items and products; MOST_HOT of a side at most."""
+    a, b = spread.groupBy("_token").agg(F.count("*").alias("_a")), listed.groupBy("_product").agg(F.count("*").alias("_b"))
+    totals = [df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0] for df, c in ((a, "_a"), (b, "_b"))]
+    parts = lambda c, total: F.ceil(F.col(c) / max(HOT_TOKEN, total / MOST_HOT)).cast("int")
+    both = a.join(b, F.col("_token") == F.col("_product")).select(F.col("_token").alias("_hot"), parts("_a", totals[0]).alias("_m"), parts("_b", totals[1]).alias("_k"))
+    return F.broadcast(both.where("_m > 1 or _k > 1"))
+
+
+def _dealt(df: DataFrame, token: str, hot: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+    """df with own, the part of each row among those of its token, once for each part (other) of the other side."""
+    known = df.join(hot, df[token] == hot["_hot"], "left")
+    n = F.coalesce(n_own, F.lit(1))
+    place = F.when(n > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), n)).otherwise(0).cast("int")
+    meets = F.sequence(F.lit(0), F.coalesce(n_other, F.lit(1)) - 1)
+    return known.withColumn(own, place).withColumn(other, F.explode(meets)).drop("_hot", "_m", "_k")
 
 
 def expanded_aliases(items: DataFrame, column: str, tokens: str, aliases: DataFrame) -> DataFrame:

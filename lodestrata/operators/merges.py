@@ -98,11 +98,11 @@ def merged_findings(df: DataFrame, keys: Sequence[str], file: str, rank: str, la
         best.alias("_best"),
         F.min_by(subtype, pos).alias("subtype"),
     )
-    out = _with(out, merged, keys).withColumn("details", F.coalesce("details", F.create_map().cast("map<string,string>")))
+    out = joined_by(out, merged, keys).withColumn("details", F.coalesce("details", F.create_map().cast("map<string,string>")))
     return out.select(*keys, "occurrences", "files", "rank", "_best.file", F.substring("_best.snippet", 1, SNIPPET).alias("snippet"), "subtype", "details")
 
 
-def _with(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def joined_by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """left with the other columns of right, which has a row for a key at most; null keys are equal."""
     named = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
     same = F.lit(True)
@@ -137,7 +137,7 @@ def united(df: DataFrame, keys: Sequence[str], sets: Sequence[str], category: st
     )
     for s in sets:  # members are made distinct before they are gathered, so a row holds a set and never all lists
         members = df.select(*keys, F.explode(s).alias("_m")).where("_m is not null").distinct()
-        out = _with(out, members.groupBy(*keys).agg(F.array_sort(F.collect_list("_m")).alias(s)), keys)
+        out = joined_by(out, members.groupBy(*keys).agg(F.array_sort(F.collect_list("_m")).alias(s)), keys)
         out = out.withColumn(s, F.coalesce(s, F.array().cast(df.schema[s].dataType)))
     n = F.size(sets[0])
     return out.select(*keys, *sets, category, low, high).withColumn("confidence", F.when(n >= 3, "VERY_HIGH").when(n == 2, "HIGH").otherwise("MEDIUM"))
@@ -190,7 +190,7 @@ def profile(df: DataFrame, group: Sequence[str], columns: Sequence[str], keys: S
         blank = blank | (F.coalesce(F.col(k).cast("string"), F.lit("")) == "")
     rows = df.groupBy(*group).agg(F.count("*").alias("rows"), *(F.count_distinct(c).alias(f"distinct_{c}") for c in columns), F.count_if(blank).alias("blank_keys"))
     again = df.groupBy(*group, *keys).agg(F.count("*").alias("_n")).groupBy(*group).agg(F.count_if(F.col("_n") > 1).alias("repeated_keys"))
-    return _with(rows, again, group)
+    return joined_by(rows, again, group)
 
 
 def joined_set(column: str, separator: str = ";") -> Column:
@@ -203,6 +203,11 @@ def frequent(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(n)
 
 
+def longest(df: DataFrame, text: str, ties: Sequence[str], n: int) -> DataFrame:
+    """The n rows of the longest texts, then by the text and ties."""
+    return df.orderBy(F.desc(F.length(text)), text, *ties).limit(n)
+
+
 def percent(part: Column, whole: Column) -> Column:
     """One decimal, 0 of nothing."""
     return F.coalesce(F.round(F.try_divide(100 * part, whole).cast("decimal(18,6)"), 1), F.lit(0)).cast("decimal(18,1)")
@@ -213,25 +218,34 @@ def exploded_counts(df: DataFrame, column: str, separator: str) -> DataFrame:
     return df.select(F.explode(F.split(column, separator)).alias("member")).where("member <> ''").groupBy("member").agg(F.count("*").alias("n"))
 
 
-def numbered(df: DataFrame, group: str, order: Sequence[str], name: str = "rule_id") -> DataFrame:
-    """df with `group_n` counting from 1 within each group."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn(name, F.concat_ws("_", F.lower(group), n.cast("string")))
-
-
 def capped(df: DataFrame, group: Sequence[str], first: Column, order: Sequence[str], n: int) -> DataFrame:
     """At most n rows of each group, those for which first is true before the others (T4)."""
     place = F.row_number().over(Window.partitionBy(*group).orderBy(F.when(first, 0).otherwise(1), *order))
     return df.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
 
 
-def bursts(df: DataFrame, keys: Sequence[str], time: str, gap_seconds: float) -> DataFrame:
-    """Runs of events of a key that follow each other within a gap: (keys, burst, events, first_seen, last_seen)."""
-    w = Window.partitionBy(*keys).orderBy(time)
+def bursts(df: DataFrame, keys: Sequence[str], time: str, gap_seconds: float, slice_seconds: float = 86_400) -> DataFrame:
+    """Runs of events of a key that follow each other within a gap: (keys, burst, events, first_seen, last_seen).
+
+    Each slice of a key's time is cut into runs by itself. The first and last times of the slices
+    then tell which of them go on from one to the next, and by how much their runs are numbered
+    higher, so that no task sees more than a slice, or one row for each slice of a key. Events
+    without a time are left out.
+    """
     seconds = F.col(time).cast("timestamp").cast("double")
-    starts = F.when(seconds - F.lag(seconds).over(w) <= gap_seconds, 0).otherwise(1)
-    runs = df.withColumn("_s", starts).withColumn("burst", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "burst").agg(F.count("*").alias("events"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen"))
+    rows = df.where(F.col(time).isNotNull()).withColumn("_t", seconds).withColumn("_slice", F.floor(seconds / slice_seconds))
+    own = Window.partitionBy(*keys, "_slice").orderBy("_t")
+    apart = F.when(F.col("_t") - F.lag("_t").over(own) > gap_seconds, 1).otherwise(0)
+    runs = rows.withColumn("_s", apart).withColumn("_run", F.sum("_s").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*keys, "_slice", "_run").agg(
+        F.count("*").alias("events"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.min("_t").alias("_from"), F.max("_t").alias("_to")
+    )
+    slices = runs.groupBy(*keys, "_slice").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.max("_run").alias("_breaks"))
+    order = Window.partitionBy(*keys).orderBy("_slice")
+    new = F.when(F.col("_from") - F.lag("_to").over(order) <= gap_seconds, 0).otherwise(1) + F.coalesce(F.lag("_breaks").over(order), F.lit(0))
+    slices = slices.withColumn("_new", new).select(*keys, "_slice", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_before"))
+    out = joined_by(runs, slices, [*keys, "_slice"]).withColumn("burst", F.col("_run") + F.col("_before"))
+    return out.groupBy(*keys, "burst").agg(F.sum("events").alias("events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def nulls_as_empty(*columns: str) -> list[Column]:

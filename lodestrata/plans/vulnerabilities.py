@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import search_tokens
-from ..functions.versions import has_bound, key_in_any, keyed_ranges, version_key
+from ..functions.versions import key_intervals, sort_key, version_key
 from ..operators.joins import expanded_aliases, token_candidates
 from ..operators.merges import first_seen
+from ..tables import written
 
 # Tokens that products of an identifier prefix are also listed under.
 ALIASES = {
@@ -44,13 +45,13 @@ def with_tokens(sdks: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> Dat
 def matches(sdks: DataFrame, cves: DataFrame) -> DataFrame:
     """(sample_id, sdk_identifier, sdk_name, sdk_version, cve_id, vendor, product, severity, score, published): one row for each
     sample, identifier and entry (J9, J10, A40). Of several products, the first by name counts."""
-    keys = sdks.select("sdk_version").distinct().withColumn("version_key", version_key(F.col("sdk_version"))).where("version_key is not null")
+    keys = sdks.select("sdk_version").distinct().withColumn("version_key", sort_key(F.col("sdk_version"))).where("version_key is not null")
     spread = sdks.join(keys, "sdk_version").withColumn("token", F.explode("tokens"))
-    bounded = cves.where(F.col("product").isNotNull() & has_bound(F.col("version_ranges"))).withColumn("ranges", keyed_ranges(F.col("version_ranges")))
-    # ranges are tried once for each product and version, however many apps have them
-    tried = spread.select(F.struct("token", "sdk_version").alias("asked"), "token", "version_key").distinct()
-    fits = key_in_any(F.col("version_key"), F.col("ranges"))
-    held = token_candidates(tried.withColumn("tokens", F.array("token")), "asked", "tokens", bounded, "product", ["cve_id", "vendor", "product"], fits)
+    listed = cves.where(F.col("product").isNotNull()).withColumn("range", F.explode(key_intervals(F.col("version_ranges")))).drop("version_ranges")
+    # intervals are tried once for each product and version, however many apps have them
+    tried = written(spread.select("token", "sdk_version", "version_key").distinct(), "versions").withColumn("asked", F.struct("token", "sdk_version"))
+    fits = (F.col("version_key") >= F.col("range.low")) & (F.col("version_key") < F.col("range.high"))
+    held = token_candidates(tried.withColumn("tokens", F.array("token")), "asked", "tokens", listed, "product", ["cve_id", "vendor", "product"], fits)
     held = held.select("asked.sdk_version", "token", "cve_id", "vendor", "product", "severity", "score", "published")
     hit = spread.drop("version_key").join(held, ["token", "sdk_version"])
     first = first_seen(hit, ["sample_id", "sdk_identifier", "cve_id"], ["product", "vendor", "sdk_name", "sdk_version"])

@@ -6,14 +6,13 @@ from their keys by the same integer arithmetic in Spark and in SQL.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import scratch  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,32 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query writes and reads again, below the cluster's spark.checkpoint.dir; it goes when the process ends.
-
-    Where that is unset, as in tests, it is below a temporary folder of this machine, which a cluster's machines do not share.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a shared folder")
-        root = "file://" + tempfile.gettempdir()
-    path = f"{root}/lodestrata-queries/{name}-{uuid.uuid4().hex[:12]}"
-    _SCRATCH.append((spark, path))
-    return path
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _SCRATCH:
-        if spark.sparkContext._jsc is not None:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -81,7 +54,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, i = F.col("user_id"), F.col("event_id")
     ip = (
         F.when(u % 5 == 0, F.lit("8.8.8.8")).when(u % 5 == 1, F.concat(F.lit("10.1.2."), i % 250))
-        .when(u % 5 == 2, F.concat(F.lit("203.0.113."), i % 200)).when(u % 5 == 3, F.concat(F.lit("192.168.2."), i % 100)).otherwise("1.1.1.1")
+        .when(u % 5 == 2, F.concat(F.lit("23.5.113."), i % 200)).when(u % 5 == 3, F.concat(F.lit("192.168.2."), i % 100)).otherwise("1.1.1.1")
     )
     pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n + 1).cast("int"))
     return e.select(
@@ -94,7 +67,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 PACKETS = f"""packets AS (
   SELECT 'app' || (user_id % 20) AS sample_id, event_type AS session_id, event_id, user_id, ts, k,
          ({HOSTS})[(event_id + user_id) % 6 + 1] AS domain,
-         CASE user_id % 5 WHEN 0 THEN '8.8.8.8' WHEN 1 THEN '10.1.2.' || (event_id % 250) WHEN 2 THEN '203.0.113.' || (event_id % 200)
+         CASE user_id % 5 WHEN 0 THEN '8.8.8.8' WHEN 1 THEN '10.1.2.' || (event_id % 250) WHEN 2 THEN '23.5.113.' || (event_id % 200)
               WHEN 3 THEN '192.168.2.' || (event_id % 100) ELSE '1.1.1.1' END AS dst_ip,
          ({PORTS})[k % 6 + 1] AS dst_port, CASE WHEN event_id % 4 = 0 THEN 'UDP' ELSE 'TCP' END AS protocol,
          CAST(round(value * 100) AS BIGINT) AS size

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..functions.bound import bound
 from ..functions import android, feeds, ids, net, strings
 from ..functions.values import DANGEROUS_PERMISSIONS, KNOWN_ADDRESSES, REGIONS
 from ..operators import joins, matching, merges
 from ..plans import knowledge as builds
 from ..plans import manifests as plan
 from ..schemas import conform
+from ..tables import written
 from ..sources import captures, documents, files, knowledge, tabular
 from .base import PACKETS, packets, query, scratch, sql_values, table, values
 
@@ -256,13 +258,15 @@ def packet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     dns = F.concat(F.lit("000701000001000000000000"), label(F.concat(F.lit("h"), F.col("user_id").cast("string"))), label(F.lit("example")), label(F.lit("com")), F.lit("0000010001"))
     n = F.length(name)
     extension = F.concat(F.lit("00170000"), F.lit("0000"), wide(n + 5, 4), wide(n + 3, 4), F.lit("00"), wide(n, 4), F.hex(name))
-    hello = F.concat(F.lit("0303" + "72" * 32 + "00" + "0002" + "1301" + "0100"), wide(size(extension), 4), extension)
-    tls = F.concat(F.lit("160301"), wide(size(hello) + 4, 4), F.lit("01"), wide(size(hello), 6), hello)
+    hello = bound(extension, lambda x: F.concat(F.lit("0303" + "72" * 32 + "00" + "0002" + "1301" + "0100"), wide(size(x), 4), x))
+    tls = bound(hello, lambda x: F.concat(F.lit("160301"), wide(size(x) + 4, 4), F.lit("01"), wide(size(x), 6), x))
     udp = i % 3 == 1
-    payload = F.when(udp, dns).when(i % 3 == 0, http).otherwise(tls)
+    built = F.when(udp, dns).when(i % 3 == 0, http).otherwise(tls)
+    events = written(table(spark, sf_dir, "events").select("event_id", built.alias("payload")), "built")  # later sizes would otherwise write it out again
+    payload = F.col("payload")
     part = F.when(udp, F.concat(F.lit("13880035"), wide(size(payload) + 8, 4), F.lit("0000"), payload)).otherwise(F.concat(F.lit("1388"), F.when(i % 3 == 0, "0050").otherwise("01BB"), F.lit("0" * 16 + "5018" + "0" * 12), payload))
     frame = F.concat(F.lit("4500"), wide(size(part) + 20, 4), F.lit("0000000040"), F.when(udp, "11").otherwise("06"), F.lit("0000" + "0A000002"), F.lit("0A0000"), wide(i % 250, 2), part)
-    frames = table(spark, sf_dir, "events").select(F.lit("f").alias("file"), i.alias("number"), F.lit(1.0).alias("time"), F.lit(101).alias("link"), F.unhex(frame).alias("frame"))
+    frames = events.select(F.lit("f").alias("file"), i.alias("number"), F.lit(1.0).alias("time"), F.lit(101).alias("link"), F.unhex(frame).alias("frame"))
     found = captures.packets(frames)
     return found.select(F.col("number").alias("event_id"), "event_type", "domain", "dst_ip", F.col("http_url").alias("url"), (F.col("protocol") == "UDP").alias("udp"))
 
@@ -392,7 +396,7 @@ def checked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     traced = spark.read.schema("run string, rows map<string,long>").json(f"{root}/trace").select("run", F.explode("rows").alias("name", "rows"))
     out = traced.select("name", "rows", "run", F.lit("trace").alias("source"))
     for n in frames:
-        again = spark.read.parquet(f"{root}/t/{n}").agg(F.count("*").alias("rows"))
+        again = sinks.current(spark, f"{root}/t", n).agg(F.count("*").alias("rows"))
         out = out.unionByName(again.select(F.lit(n).alias("name"), "rows", *ids.stamped({"run": "run-1"}), F.lit("table").alias("source")))
     stats = spark.read.json(f"{root}/k/stats")
     return out.unionByName(stats.select(F.lit("rules").alias("name"), F.col("n").alias("rows"), F.col("source_sha256").alias("run"), F.lit("stats").alias("source")))
@@ -441,7 +445,7 @@ def exact_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendors by exact name, else themselves."""
     rules = values(spark, "vendor string, canonical string", [("Supplier#000000001", "One"), ("Supplier#000000002", "Two")])
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    named = s.join(F.broadcast(rules), F.col("s_name") == F.col("vendor"), "left")
+    named = joins.dimension(s, "s_name", rules, "vendor", {"canonical": None})
     return named.select("s_suppkey", F.coalesce("canonical", "s_name").alias("vendor"))
 
 
@@ -666,4 +670,4 @@ def score_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name FROM part ORDER BY length(p_name) DESC, p_name, p_partkey LIMIT 20")
 def longest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report of the longest names, ties in order."""
-    return _parts(spark, sf_dir).select("p_partkey", "p_name").orderBy(F.desc(F.length("p_name")), "p_name", "p_partkey").limit(20)
+    return merges.longest(_parts(spark, sf_dir).select("p_partkey", "p_name"), "p_name", ["p_partkey"], 20)

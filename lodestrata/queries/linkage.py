@@ -91,7 +91,7 @@ def contains_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.best_contained(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", values(spark, "pattern string, pos int", CONTAINED), "pattern", "pos")
 
 
-BLOCKS = [("203.0.113.0/24", "Net", 1), ("203.0.113.7", "Host", 2), ("203.0.113.0/28", "Part", 3), ("8.8.8.8", "Google", 4), ("192.168.0.0/16", "Home", 5)]
+BLOCKS = [("23.5.113.0/24", "Net", 1), ("23.5.113.7", "Host", 2), ("23.5.113.0/28", "Part", 3), ("8.8.8.8", "Google", 4), ("192.168.0.0/16", "Home", 5)]
 _IP = "list_reduce(list_transform(string_split({}, '.'), lambda x: CAST(x AS BIGINT)), lambda a, x: a * 256 + x)"
 
 
@@ -105,7 +105,7 @@ def cidr_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.cidr_lookup(packets(spark, sf_dir).select("event_id", "dst_ip"), "dst_ip", values(spark, "block string, owner string, pos int", BLOCKS), "block", "pos")
 
 
-PLACES = [("8.8.8.0", "8.8.8.255", "US", "15169"), ("1.0.0.0", "1.255.255.255", "AU", "13335"), ("1.1.1.0", "1.1.1.127", "XX", "13335"), ("203.0.113.0", "203.0.113.99", "JP", "64500"), ("10.0.0.0", "10.255.255.255", "ZZ", "0")]
+PLACES = [("8.8.8.0", "8.8.8.255", "US", "15169"), ("1.0.0.0", "1.255.255.255", "AU", "13335"), ("1.1.1.0", "1.1.1.127", "XX", "13335"), ("23.5.113.0", "23.5.113.99", "JP", "64500"), ("10.0.0.0", "10.255.255.255", "ZZ", "0")]
 
 
 @query(f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, merges
+from ..operators import checks, merges, ranks
 from ..plans.cross import rolled_up
 from ..streaming.flows import stream_bursts, stream_flows
 from .base import PACKETS, packets, query, scratch, table
@@ -203,7 +203,7 @@ def identity_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, lower(p_brand) || '_' || row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS rule_id FROM part")
 def rule_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merges.numbered(table(spark, sf_dir, "part"), "p_brand", ["p_name", "p_partkey"]).select("p_partkey", "rule_id")
+    return ranks.numbered(table(spark, sf_dir, "part"), "p_brand", ["p_name", "p_partkey"]).select("p_partkey", "rule_id")
 
 
 @query("SELECT p_brand, p_partkey, p_size, before FROM (SELECT *, lag(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS before FROM part) WHERE p_size < before")

@@ -2,7 +2,8 @@
 
 Whatever cuts capture files into frames gives the table (file, number, time, link, frame); one frame
 is one row, so files of any size are dealt to as many tasks as the table has partitions. IPv4 with
-TCP or UDP, raw or in Ethernet frames; what cannot be decoded above that stays blank.
+TCP or UDP, raw or in Ethernet frames; what cannot be decoded above that stays blank. The packets are
+written as a table, and plans take that: no filter or join above it reaches into the decoding.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bound import bound
 from ..functions.net import event_domain, event_type, is_quic
 from ..schemas import EVENTS, schema_of
+from ..tables import written
 
 ETHERNET, RAW = 1, (12, 14, 101, 228)
 
@@ -47,9 +50,8 @@ def _after_name(text: Column, start: Column) -> Column:
     state = lambda at, done: F.struct(at.alias("at"), done.alias("done"))
 
     def step(s: Column, _: Column) -> Column:
-        size = _number(text, s["at"], 1)
-        one = F.when(size >= 192, state(s["at"] + 2, F.lit(True))).when(size > 0, state(s["at"] + 1 + size, F.lit(False))).otherwise(state(s["at"] + 1, F.lit(True)))
-        return F.when(s["done"], s).otherwise(one)
+        one = lambda size: F.when(size >= 192, state(s["at"] + 2, F.lit(True))).when(size > 0, state(s["at"] + 1 + size, F.lit(False))).otherwise(state(s["at"] + 1, F.lit(True)))
+        return F.when(s["done"], s).otherwise(bound(_number(text, s["at"], 1), one))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(128)), state(start, F.lit(False)), step, lambda s: s["at"])
 
@@ -59,12 +61,11 @@ def dns_name(text: Column) -> Column:
     state = lambda at, name: F.struct(at.alias("at"), name.alias("name"))
 
     def step(s: Column, _: Column) -> Column:
-        size = _number(text, s["at"], 1)
-        label = _latin(_bytes(text, s["at"] + 1, size))
-        return F.when(size.between(1, 63), state(s["at"] + 1 + size, F.concat(s["name"], F.when(s["name"] == "", "").otherwise("."), label))).otherwise(s)
+        label = lambda size: _latin(_bytes(text, s["at"] + 1, size))
+        longer = lambda size: state(s["at"] + 1 + size, F.concat(s["name"], F.when(s["name"] == "", "").otherwise("."), label(size)))
+        return bound(_number(text, s["at"], 1), lambda size: F.when(size.between(1, 63), longer(size)).otherwise(s))
 
-    whole = F.aggregate(F.sequence(F.lit(1), F.lit(128)), state(F.lit(12), F.lit("")), step)
-    return F.coalesce(F.when(_number(text, whole["at"], 1) == 0, whole["name"]), F.lit(""))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(128)), state(F.lit(12), F.lit("")), step, lambda s: F.coalesce(F.when(_number(text, s["at"], 1) == 0, s["name"]), F.lit("")))
 
 
 def dns_addresses(text: Column) -> Column:
@@ -73,23 +74,22 @@ def dns_addresses(text: Column) -> Column:
     state = lambda at, found: F.struct(at.alias("at"), found.alias("found"))
     start = F.aggregate(_fitting(text, 4, 5), F.lit(12), lambda at, _: _after_name(text, at) + 4)
 
-    def step(s: Column, _: Column) -> Column:
-        at = _after_name(text, s["at"])
+    def answer(s: Column, at: Column) -> Column:
         kind, size = _number(text, at, 2), _number(text, at + 8, 2)
         group = lambda i: F.lower(F.coalesce(F.nullif(F.ltrim(F.substr(text, (at + 10 + 2 * i) * 2 + 1, F.lit(4)), F.lit("0")), F.lit("")), F.lit("0")))
         found = F.when((kind == 1) & (size == 4), _dotted(text, at + 10)).when((kind == 28) & (size == 16), F.concat_ws(":", *(group(i) for i in range(8))))
         more = F.when(found.isNotNull() & (F.length(text) >= (at + 10 + size) * 2), F.array_append(s["found"], found)).otherwise(s["found"])
         return F.when(size.isNull(), s).otherwise(state(at + 10 + size, more))
 
+    step = lambda s, _: bound(_after_name(text, s["at"]), lambda at: answer(s, at))
     return F.coalesce(F.aggregate(_fitting(text, 6, 12), state(start, none), step, lambda s: s["found"]), none)
 
 
 def server_name(text: Column) -> Column:
     """The server name of a TLS ClientHello, blank for anything else."""
-    at = F.lit(43)
-    at = at + 1 + _number(text, at, 1)
-    at = at + 2 + _number(text, at, 2)
-    at = at + 1 + _number(text, at, 1) + 2
+    # the session id, the cipher suites and the compression methods each begin with their size
+    skip = lambda at, size: at + size + _number(text, at, size)
+    at = F.aggregate(F.array(*map(F.lit, (1, 2, 1))), F.lit(43), skip) + 2
     state = lambda at, name: F.struct(at.alias("at"), name.alias("name"))
 
     def step(s: Column, _: Column) -> Column:
@@ -103,7 +103,10 @@ def server_name(text: Column) -> Column:
 
 def http_request(text: Column) -> Column:
     """struct(host, url, headers, body) of an HTTP/1 request, blank for anything else (S12); of repeated headers the last counts."""
-    plain = _latin(text)
+    return bound(F.struct(text.alias("text"), _latin(text).alias("plain")), lambda s: _request(s["text"], s["plain"]))
+
+
+def _request(text: Column, plain: Column) -> Column:
     first = F.regexp_extract(plain, r"^\S+ (\S+) HTTP/1\.[^\r\n]*(?:\r\n|$)", 1)
     is_request = plain.rlike(r"^\S+ \S+ HTTP/1\.[^\r\n]*(?:\r\n|$)")
     lines = F.split(F.substring_index(plain, "\r\n\r\n", 1), "\r\n")
@@ -111,16 +114,19 @@ def http_request(text: Column) -> Column:
         F.filter(F.slice(lines, 2, 1000), lambda x: F.contains(x, F.lit(":"))),
         lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")),
     )
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    headers = F.map_from_entries(last)
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
+    named = bound(pairs, lambda ps: F.map_from_entries(last(ps)))
     end = F.instr(plain, "\r\n\r\n")
     raw = F.when(end > 0, F.unhex(F.substr(text, (end + 3) * 2 + 1)))
-    body = F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, "ISO-8859-1"), F.lit(""))
-    host = F.lower(F.coalesce(F.try_element_at(headers, F.lit("host")), F.lit("")))
-    host = F.when(F.startswith(host, F.lit("[")), F.regexp_extract(host, r"^\[([^\]]*)", 1)).otherwise(F.substring_index(host, ":", 1))
-    blank = F.create_map().cast("map<string,string>")
-    pick = lambda c, other: F.coalesce(F.when(is_request, c), other)
-    return F.struct(pick(host, F.lit("")).alias("host"), pick(first, F.lit("")).alias("url"), pick(headers, blank).alias("headers"), pick(body, F.lit("")).alias("body"))
+    body = bound(raw, lambda r: F.coalesce(F.try_validate_utf8(r.cast("string")), F.decode(r, "ISO-8859-1"), F.lit("")))
+
+    def whole(headers: Column) -> Column:
+        host = F.lower(F.coalesce(F.try_element_at(headers, F.lit("host")), F.lit("")))
+        host = F.when(F.startswith(host, F.lit("[")), F.regexp_extract(host, r"^\[([^\]]*)", 1)).otherwise(F.substring_index(host, ":", 1))
+        return F.struct(host.alias("host"), first.alias("url"), headers.alias("headers"), body.alias("body"))
+
+    none = F.struct(F.lit("").alias("host"), F.lit("").alias("url"), F.create_map().cast("map<string,string>").alias("headers"), F.lit("").alias("body"))
+    return F.when(F.coalesce(is_request, F.lit(False)), bound(named, whole)).otherwise(none)
 
 
 def packets(frames: DataFrame) -> DataFrame:
@@ -137,16 +143,19 @@ def packets(frames: DataFrame) -> DataFrame:
         "file", "number", "time", "src_ip", "dst_ip", _number(part, F.lit(0), 2).alias("src_port"), _number(part, F.lit(2), 2).alias("dst_port"), "tcp",
         F.coalesce(F.substr(part, skip * 2 + 1), F.lit("")).alias("payload"),
     )
+    rows = written(rows, "payloads")
     dns = ~F.col("tcp") & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))
     data = F.col("payload")
-    rows = rows.withColumn("tls_sni", F.when(F.col("tcp"), server_name(data)).otherwise(""))
-    rows = rows.withColumn("http", http_request(F.when(F.col("tcp") & (F.col("tls_sni") == ""), data).otherwise("")))
-    rows = rows.select(
+    found = rows.select(
+        "file", "number", "time", "src_ip", "dst_ip", "src_port", "dst_port", "tcp", "payload", F.when(dns, bound(data, dns_name)).otherwise("").alias("dns_query"),
+        F.when(dns, bound(data, dns_addresses)).otherwise(F.array().cast("array<string>")).alias("dns_answers"), F.when(F.col("tcp"), bound(data, server_name)).otherwise("").alias("tls_sni"),
+    )
+    found = written(found, "names").withColumn("http", http_request(F.when(F.col("tcp") & (F.col("tls_sni") == ""), data).otherwise("")))
+    rows = found.select(
         "file", "number", "time", "src_ip", "dst_ip", "src_port", "dst_port", F.when(F.col("tcp"), "TCP").otherwise("UDP").alias("protocol"), (F.length(data) / 2).cast("long").alias("payload_size"),
-        F.when(dns, dns_name(data)).otherwise("").alias("dns_query"), F.when(dns, dns_addresses(data)).otherwise(F.array().cast("array<string>")).alias("dns_answers"),
-        "tls_sni", F.col("http.host").alias("http_host"), F.col("http.url").alias("http_url"), F.col("http.headers").alias("http_headers"), F.col("http.body").alias("http_body"),
+        "dns_query", "dns_answers", "tls_sni", F.col("http.host").alias("http_host"), F.col("http.url").alias("http_url"), F.col("http.headers").alias("http_headers"), F.col("http.body").alias("http_body"),
     )
     ports = (F.col("src_port"), F.col("dst_port"))
     out = rows.withColumn("domain", event_domain(F.col("tls_sni"), F.col("http_host"), F.col("dns_query")))
     out = out.withColumn("event_type", event_type(F.col("protocol"), *ports, F.col("tls_sni"), F.col("http_host")))
-    return out.select(*schema_of(EVENTS).fieldNames(), is_quic(F.col("protocol"), *ports).alias("is_quic"))
+    return written(out.select(*schema_of(EVENTS).fieldNames(), is_quic(F.col("protocol"), *ports).alias("is_quic")), "packets")

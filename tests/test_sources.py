@@ -194,9 +194,10 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/c", header=True, escape='"').collect()] == [(None, "[]", "true", "{}"), ("b", "[1,2]", None, '{"k":1}')]
     with pytest.raises(ValueError, match="check failed: parents"):
         sinks.tables({"t": df}, str(tmp_path / "t"), {"parents": lambda f: f["t"].where("id is null")})
-    assert not (tmp_path / "t").exists()
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, str(tmp_path / "t"), "t")
     sinks.tables({"t": df}, str(tmp_path / "t"), {})
-    assert spark.read.parquet(f"{tmp_path}/t/t").count() == 2
+    assert sinks.current(spark, str(tmp_path / "t"), "t").count() == 2
     sinks.trace({"run": "1"}, {"t": df}, f"{tmp_path}/trace")
     assert spark.read.json(f"{tmp_path}/trace").first().rows.t == 2
     sinks.knowledge(df, f"{tmp_path}/k", ["id"], df.agg(F.count("*").alias("n")), "ab")
