@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import ROWS_PER_TASK, materialise, passing
 
 
 def _toward_minimum(edges: DataFrame, larger_only: bool, rows: int) -> DataFrame:
     """Each neighbour of u is linked with the least of u and its neighbours.
 
-    The minima are written first: the join then reads two plain exchanges, and Spark can split the
-    one that holds a node with very many neighbours.
+    The minima of many links are written first: the join then reads two plain exchanges, and Spark
+    can split the one that holds a node with very many neighbours.
     """
-    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least", rows)
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = least if rows <= ROWS_PER_TASK else materialise(least, "least", rows)
     joined = edges.join(least, "u")
     if larger_only:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -37,7 +38,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if seen == state or seen[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state, rows = seen, 2 * seen[0]
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialise(_toward_minimum(both, larger_only=True, rows=rows).where("u <> v").distinct(), "large", rows)
-        small = _toward_minimum(large, larger_only=False, rows=rows).where("u <> v")
-        edges = materialise(small.distinct(), "small", rows)
+        with passing(links.sparkSession):
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = materialise(_toward_minimum(both, larger_only=True, rows=rows).where("u <> v").distinct(), "large", rows)
+            small = _toward_minimum(large, larger_only=False, rows=rows).where("u <> v")
+            edges = materialise(small.distinct(), "small", rows, keep=True)

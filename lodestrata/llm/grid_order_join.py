@@ -26,8 +26,8 @@ from .storage import bounded_batches, materialise
 BLOCK, BLOCK_BYTES, AXES, PARTS, TILE = 2048, 1 << 20, 8, 8, 8
 #: The axes are those of this many vectors; any axes give the same links, and others only skip less.
 AXES_SAMPLE = 4096
-#: Pairs nearer to the threshold than this are computed again one by one, in the plainest order.
-CLOSE = 1e-9
+#: Pairs nearer to the threshold than this are computed again, each by itself in the plainest order, so many at a time.
+CLOSE, NEAR_ROWS = 1e-9, 4096
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -129,9 +129,11 @@ def _compared(d: int, threshold: float):
     def linked(one: dict, other: dict) -> np.ndarray:
         cosine = one["unit"] @ other["unit"].T
         out = cosine >= threshold
-        for x, y in zip(*np.nonzero(np.abs(cosine - threshold) < CLOSE), strict=True):
+        xs, ys = np.nonzero(np.abs(cosine - threshold) < CLOSE)
+        for at in range(0, len(xs), NEAR_ROWS):
+            x, y = xs[at : at + NEAR_ROWS], ys[at : at + NEAR_ROWS]
             p, q = one["vectors"][x], other["vectors"][y]
-            out[x, y] = (p * q).sum() / np.sqrt((p * p).sum() * (q * q).sum()) >= threshold
+            out[x, y] = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1)) >= threshold
         if one is other:
             np.fill_diagonal(out, False)
         return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import BROADCAST_IDS, bounded_batches, materialise, without_ids
+from .storage import BROADCAST_IDS, bounded_batches, materialise, passing, without_ids
 from .words import by_bytes, shingle_sets, signatures
 
 #: Coordinates of a signature, and those that must agree. A pair of similarity 0.75 agrees in fewer with probability 3e-7.
@@ -186,6 +186,23 @@ def _remaining(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent: in
     return dealt.mapInArrow(_across_blocks(percent), "a long, b long")
 
 
+def _grouped(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(set_key, component) of all sets."""
+    prefixes = _prefixes(reps)
+    leaders = prefixes.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    most = prefixes.count()  # of all tables of ids from here on
+    leaders = materialise(leaders.select("key", "lead"), "leaders", most)
+    stars = prefixes.join(leaders, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    stars = materialise(stars, "stars", most)
+    sets = _full_sets(prefixes, docs, words, most)
+    links = materialise(_confirmed(stars, sets, percent), "links")
+    labels = materialise(_labelled(sets.select("id"), links), "labels", most)
+    links = links.unionByName(materialise(_remaining(stars, sets, labels, percent, 2 * most), "links"))
+    labels = _labelled(sets.select("id"), links)
+    groups = reps.select("set_key", "id").join(labels.withColumnRenamed("id", "rep"), F.col("id") == F.col("rep"), "left")
+    return materialise(groups.select("set_key", F.coalesce("component", "id").alias("component")), "groups", keep=True)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.75
 ) -> DataFrame:
@@ -207,20 +224,8 @@ def near_duplicates(
     linked = signs.where("id is not null and set_key is not null")
     reps = linked.groupBy("set_key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("coords").alias("coords"))
     reps = materialise(reps, "reps")
-    prefixes = _prefixes(reps)
-    leaders = prefixes.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    most = prefixes.count()  # of all tables of ids from here on
-    leaders = materialise(leaders.select("key", "lead"), "leaders", most)
-    stars = prefixes.join(leaders, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    stars = materialise(stars, "stars", most)
-    named = docs.where("id is not null")
-    sets = _full_sets(prefixes, named, words, most)
-    links = materialise(_confirmed(stars, sets, percent), "links")
-    labels = materialise(_labelled(sets.select("id"), links), "labels", most)
-    links = links.unionByName(materialise(_remaining(stars, sets, labels, percent, 2 * most), "links"))
-    labels = _labelled(sets.select("id"), links)
-    groups = reps.select("set_key", "id").join(labels.withColumnRenamed("id", "rep"), F.col("id") == F.col("rep"), "left")
-    groups = materialise(groups.select("set_key", F.coalesce("component", "id").alias("component")), "groups")
+    with passing(docs.sparkSession):
+        groups = _grouped(reps, docs.where("id is not null"), words, percent)
     keyed = signs.select("id", "n", F.coalesce("set_key", F.unhex(F.lit("00"))).alias("set_key"))
     out = keyed.join(groups, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

@@ -1,26 +1,25 @@
 """Where intermediate tables are written: the folder that the cluster names in spark.checkpoint.dir.
 
 An intermediate table is Parquet in that folder, so it survives lost executors and cuts the lineage
-as a checkpoint does, at a fraction of the bytes. Tables are removed when the Python process ends,
-or by `release`.
+as a checkpoint does, at a fraction of the bytes. Tables are removed at the end of the scope
+(`passing`) that they are made in, when the Python process ends, or by `release`.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
-import itertools
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Written tables after which the driver is cleaned: Spark drops shuffle files and broadcasts only when their plans are collected as garbage.
-CLEAN_EVERY = 12
-_WRITTEN = itertools.count(1)
 _ROOTS: dict[str, SparkSession] = {}
+#: Paths of the tables that are made in each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
 _OWN: list[str] = []
 
 
@@ -62,30 +61,40 @@ def new_path(spark: SparkSession, name: str) -> str:
 ROWS_PER_TASK = 100_000
 
 
-def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again with the same columns and types.
 
     rows: no fewer than df has, where that is known; a small table is then written by fewer tasks
-    than the session has shuffle partitions, which spares the driver their bookkeeping.
+    than the session has shuffle partitions, which spares the driver their bookkeeping. keep: the
+    table outlives the scope that it is made in, and goes with the one around it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _SCOPES:
+        (_SCOPES[-1] if not keep else _SCOPES[-2] if len(_SCOPES) > 1 else []).append(path)
     if rows is not None:
         tasks = max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
         df = df.coalesce(tasks) if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
     df.write.parquet(path)
-    if next(_WRITTEN) % CLEAN_EVERY == 0:
-        clean(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Lets go of plans that nothing refers to any more, and with them of their shuffle files and broadcasts.
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """A scope: tables that are made within, but for kept ones, are removed at its end."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _delete(spark, path)
 
-    A run of many small jobs makes garbage faster than the driver's collector sees a need to give memory back.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Ids that are broadcast to take rows out of a table (8 MB); beyond it, they are shuffled.
@@ -104,8 +113,7 @@ def release(spark: SparkSession) -> None:
     """Deletes every intermediate table that this process has written."""
     for root in [r for r, s in _ROOTS.items() if s is spark]:
         del _ROOTS[root]
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, root)
 
 
 @atexit.register
