@@ -78,7 +78,7 @@ _AFTER = "~"
 
 
 def key_intervals(ranges: Column) -> Column:
-    """array<struct(low, high)> of the ranges that have a bound and are readable: a version lies in one if low <= its sort_key < high."""
+    """array<struct(low, high)> of the ranges that have a bound and are readable, in order and apart: a version lies in one at most, if low <= its sort_key < high."""
 
     def interval(r: Column) -> Column:
         keys = F.struct(*(sort_key(r[b]).alias(b) for b in BOUNDS), F.lit(True).alias("there"))
@@ -95,7 +95,15 @@ def key_intervals(ranges: Column) -> Column:
 
         return bound(keys, of)
 
-    return F.array_distinct(F.array_compact(F.transform(ranges, interval)))
+    found = F.filter(F.transform(ranges, interval), lambda x: x.isNotNull() & (x["low"] < x["high"]))
+    none = F.array().cast("array<struct<low:string,high:string>>")
+
+    def joined(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["low"].alias("low"), F.greatest(last["high"], x["high"]).alias("high"))
+        return F.when((F.size(done) > 0) & (x["low"] <= last["high"]), F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(F.array_append(done, x))
+
+    return F.aggregate(F.array_sort(found), none, joined)
 
 
 def has_bound(ranges: Column) -> Column:

@@ -12,9 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 #: Patterns up to which each is looked for as a literal.
 LITERALS = 200
 #: Bytes of an anchor; a pattern has the longest that fits.
@@ -38,14 +41,13 @@ def containing(values: DataFrame, value: str, rules: DataFrame, pattern: str) ->
         each = [F.when(F.contains(F.col(value), F.lit(p)), F.lit(p)) for p in sorted(few)]
         met = F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
         return values.where(F.col(value).isNotNull()).withColumn("_met", F.explode(met)).join(known, F.col("_met") == F.col(pattern)).drop("_met")
-    keyed = _anchored(known, pattern)
+    keyed = written(_anchored(known, pattern), "anchors")
     anchors = keyed.select("_anchor").distinct()
     out = None
     for low, high in _slices(anchors):
         mine = (F.col("_anchor") >= low) & (F.col("_anchor") <= high)
         held = np.sort(anchors.where(mine).toPandas()["_anchor"].to_numpy(np.int64))
-        hits = values.where(F.col(value).isNotNull()).select("*", F.col(value).alias("_searched"))
-        hits = hits.mapInArrow(_hits(held), _with(values, "_anchor long"))
+        hits = values.where(F.col(value).isNotNull()).mapInArrow(_hits(held, values.columns.index(value)), _with(values, "_anchor long"))
         found = hits.join(keyed.where(mine), "_anchor").where(F.contains(F.col(value), F.col(pattern))).drop("_anchor")
         out = found if out is None else out.unionByName(found)
     return out
@@ -90,8 +92,8 @@ def _numbers(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield 7, four[:-3] << np.uint64(24) | four[3:] & np.uint64(0xFFFFFF)
 
 
-def _hits(anchors: np.ndarray):  # noqa: ANN202
-    """The distinct (row, anchor) of batches whose last column is the text, without that column."""
+def _hits(anchors: np.ndarray, text: int):  # noqa: ANN202
+    """The distinct (row, anchor) of batches whose column of that number is the text."""
     of = {n: anchors[anchors >> 56 == n].astype(np.uint64) & np.uint64((1 << 56) - 1) for n in SIZES}
     slot = lambda x: (x * _MIX >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
     bloom = {}
@@ -113,22 +115,22 @@ def _hits(anchors: np.ndarray):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _pieces(batch):
-                texts = part.column(part.num_columns - 1).cast(pa.large_binary())
+            for part in _pieces(batch, text):
+                texts = part.column(text).cast(pa.large_binary())
                 offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
                 raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
                 bounds = offsets - offsets[0]
                 rows, codes = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64)), *found(raw, bounds[:-1], bounds[1:]), strict=True))
                 pairs = np.unique(np.column_stack([rows, codes]), axis=0)
                 out = part.take(pa.array(pairs[:, 0]))
-                yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(pairs[:, 1])], [*out.schema.names[:-1], "_anchor"])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(pairs[:, 1])], [*out.schema.names, "_anchor"])
 
     return run
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in pieces of about PIECE bytes of text, and one row at least."""
-    sizes = np.cumsum([0, *(len(x.as_buffer()) for x in batch.column(batch.num_columns - 1))])
+    sizes = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + PIECE, "right")) - 1)

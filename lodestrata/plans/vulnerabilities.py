@@ -45,9 +45,10 @@ def with_tokens(sdks: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> Dat
 def matches(sdks: DataFrame, cves: DataFrame) -> DataFrame:
     """(sample_id, sdk_identifier, sdk_name, sdk_version, cve_id, vendor, product, severity, score, published): one row for each
     sample, identifier and entry (J9, J10, A40). Of several products, the first by name counts."""
-    keys = sdks.select("sdk_version").distinct().withColumn("version_key", sort_key(F.col("sdk_version"))).where("version_key is not null")
+    keys = written(sdks.select("sdk_version").distinct().withColumn("version_key", sort_key(F.col("sdk_version"))), "keys").where("version_key is not null")
     spread = sdks.join(keys, "sdk_version").withColumn("token", F.explode("tokens"))
-    listed = cves.where(F.col("product").isNotNull()).withColumn("range", F.explode(key_intervals(F.col("version_ranges")))).drop("version_ranges")
+    bounded = written(cves.where(F.col("product").isNotNull()).withColumn("intervals", key_intervals(F.col("version_ranges"))).drop("version_ranges"), "intervals")
+    listed = bounded.withColumn("range", F.explode("intervals")).drop("intervals")
     # intervals are tried once for each product and version, however many apps have them
     tried = written(spread.select("token", "sdk_version", "version_key").distinct(), "versions").withColumn("asked", F.struct("token", "sdk_version"))
     fits = (F.col("version_key") >= F.col("range.low")) & (F.col("version_key") < F.col("range.high"))

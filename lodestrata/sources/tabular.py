@@ -13,14 +13,16 @@ from ..operators.checks import rejected
 from ..schemas import RESOLVERS, TRACKERS, schema_of
 
 
-def csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (), null_if_blank: Sequence[str] = (), positioned: bool = False) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (), null_if_blank: Sequence[str] = (), positioned: bool = False, quoted_lines: bool = True) -> DataFrame:
     """A CSV with a header, by name: columns that the schema lacks are left out, missing ones are null.
 
     Texts are trimmed; blanks stay blank but for null_if_blank. Raises ValueError if a required column is missing.
     positioned: with `pos`, which orders rows by file and by place in it, whatever the partitions: files with quoted
     line ends are not split, so the ids that Spark gives to the rows of one file rise with their place.
+    quoted_lines: values may hold line ends, so a file is read by one task; without them (and without positions) large
+    files are split.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, multiLine=quoted_lines or positioned, escape='"')
     if lacking := [c for c in required if c not in raw.columns]:
         raise ValueError(f"{path} lacks {', '.join(lacking)}")
 
