@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.net import url_host
 from ..functions.strings import plausible_secret
-from ..functions.values import CODE_WORDS, CONSTANT_STARTS, METHOD_STARTS, NAME_ENDS, NAME_STARTS, PII_PATTERNS, RESOURCE_STARTS, TEXT_TLDS
+from ..functions.values import (
+    BUILD_NAMES, CODE_WORDS, CONSTANT_STARTS, METHOD_STARTS, NAME_ENDS, NAME_STARTS, NO_SECRETS, PII_PATTERNS, RESOURCE_STARTS, RUNS_OF_SIGNS, TEXT_TLDS, WEBSOCKET_GUID,
+)
 from ..operators import joins, matching
 from ..sources.documents import attribute_values
 from .base import HOST_SQL, query, sql_values, table, values
@@ -115,6 +117,43 @@ def secret_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.agg(F.count("*").alias("tokens"), F.count_if("mixed").alias("mixed"), F.count_if("secret").alias("secrets"))
 
 
+#: Beginnings and ends of tokens, of which the rules know most, and the plain sets that the rules look up.
+_HEADS = ["", "x", *NAME_STARTS, *RESOURCE_STARTS, *METHOD_STARTS, *CONSTANT_STARTS, "@", "R.", "res/", "Zq", "-----BEGIN ", "action.", "my_ACTION_", "a.b."]
+_TAILS = ["", "Z", *NAME_ENDS, "_", "__k", "_a_b_c", "/d/e", ";", "+Q", *RUNS_OF_SIGNS]
+
+
+def _secret_sql(v: str) -> str:
+    """Whether a token may be a secret for what it looks like, by the rules one after another."""
+    starts = lambda c, xs: " OR ".join(f"starts_with({c}, '{x}')" for x in xs)
+    low, up = f"lower({v})", f"upper({v})"
+    return f"""NOT ({v} = '' OR {low} IN {tuple(NO_SECRETS)} OR {up} IN {tuple(BUILD_NAMES)} OR {up} = '{WEBSOCKET_GUID}' OR regexp_matches({v}, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$')
+  OR contains({low}, '{RUNS_OF_SIGNS[0]}') OR contains({v}, '{RUNS_OF_SIGNS[1]}') OR contains({v}, '{RUNS_OF_SIGNS[2]}') OR contains({v}, '-----BEGIN ') OR regexp_matches({up}, 'BEGIN (CERTIFICATE|PUBLIC KEY|RSA PRIVATE KEY)')
+  OR {starts(up, CONSTANT_STARTS)} OR contains({up}, 'ACTION_') OR contains({up}, 'PERMISSION') OR contains({low}, 'android.intent') OR {starts(low, ["action.", "android.permission"])}
+  OR {starts(v, ["R.", "@"])} OR contains({low}, 'res/') OR {starts(low, NAME_STARTS + RESOURCE_STARTS)} OR regexp_matches({v}, '^u[0-9a-fA-F]{{4}}')
+  OR contains({v}, '__') OR length({v}) - length(replace({v}, '_', '')) >= 3 OR regexp_matches({low}, '({"|".join(NAME_ENDS)})$') OR ends_with({v}, '_')
+  OR (({starts(low, METHOD_STARTS)}) AND regexp_matches({v}, '[A-Z]') AND length(regexp_replace({v}, '[^0-9]', '', 'g')) < 3))"""
+
+
+def _mixed_sql(v: str) -> str:
+    """Whether a token is mixed enough to be one for that alone, but for its entropy, in bits."""
+    kinds = " + ".join(f"CAST(regexp_matches({v}, '{p}') AS INT)" for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return f"""regexp_matches({v}, '[0-9]') AND {kinds} >= 3 AND NOT regexp_matches({v}, '^[A-Z0-9_]+$') AND length({v}) - length(replace({v}, '.', '')) <= 1 AND length({v}) - length(replace({v}, '/', '')) <= 1 AND NOT regexp_matches({v}, '[;$]')"""
+
+
+@query(f"""
+WITH t AS (SELECT o_orderkey, ({_HEADS})[o_orderkey % {len(_HEADS)} + 1] || substr(md5('s' || o_custkey), 1, 6 + o_orderkey % 5) || upper(substr(md5('u' || o_custkey), 1, o_orderkey % 4)) || ({_TAILS})[o_orderkey // {len(_HEADS)} % {len(_TAILS)} + 1] AS v FROM orders),
+e AS (SELECT o_orderkey, -sum(n / t * log2(n / t)) AS bits FROM (SELECT o_orderkey, c, count(*) AS n, any_value(t) AS t FROM (SELECT o_orderkey, length(v) AS t, unnest(string_split(v, '')) AS c FROM t) GROUP BY o_orderkey, c) GROUP BY o_orderkey)
+SELECT o_orderkey, v, {_secret_sql('v')} AS plausible, {_secret_sql('v')} AND {_mixed_sql('v')} AND bits >= 3.8 AS strong FROM t JOIN e USING (o_orderkey)""")
+def secret_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of many shapes, a beginning, a body and an end for each order, judged with and without the rule of mixed characters (F8)."""
+    k = F.col("o_orderkey")
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n + 1).cast("int"))
+    body = lambda mark, n: F.substr(F.md5(F.concat(F.lit(mark), "o_custkey").cast("binary")), F.lit(1), n.cast("int"))
+    v = F.concat(pick(_HEADS, k % len(_HEADS)), body("s", 6 + k % 5), F.upper(body("u", k % 4)), pick(_TAILS, F.floor(k / len(_HEADS)) % len(_TAILS)))
+    tokens = table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"))
+    return tokens.select("o_orderkey", "v", plausible_secret(F.col("v"), False).alias("plausible"), plausible_secret(F.col("v")).alias("strong"))
+
+
 @query(rf"""
 WITH u AS (SELECT page_id, regexp_replace(lower(regexp_extract(unnest(regexp_extract_all(url || ' ' || coalesce(html, ''), '(?i)\b(?:https?|wss?|ftp)://[^\s"''<>\\)\]]+')), '^[A-Za-z]+://(?:[^/?#@]*@)?\[?([^/?#:\]]+)', 1)), '', '') AS host FROM pages)
 SELECT DISTINCT page_id, 'url' AS kind, host, 'high' AS confidence FROM u WHERE host <> ''""")
