@@ -15,12 +15,14 @@ def _folders(df: DataFrame, path: str) -> tuple:
 
 
 def kept(df: DataFrame, path: str, version: str, schema: str) -> DataFrame:
-    """(input_hash, *schema) of all results of a tool's version that are kept at path, each key once."""
+    """(input_hash, *schema) of the results of a tool's version that are kept at path by now, each key once."""
     at, fs = _folders(df, path)
     whole = f"input_hash string, tool_version string, {schema}"
-    if not fs.exists(at):
+    # named one by one, as Spark takes two readings of one folder for the same even if it has grown between them
+    there = sorted(x.getPath().toString() for x in fs.listStatus(at)) if fs.exists(at) else []
+    if not there:
         return df.sparkSession.createDataFrame([], whole).drop("tool_version")
-    found = df.sparkSession.read.schema(whole).option("recursiveFileLookup", "true").parquet(path)
+    found = df.sparkSession.read.schema(whole).parquet(*there)
     return found.where(F.col("tool_version") == version).drop("tool_version").dropDuplicates(["input_hash"])
 
 

@@ -45,6 +45,9 @@ def contains_keywords(text: Column, keywords: Sequence[str]) -> Column:
     return F.coalesce(text.rlike("(?i)" + "|".join(re.escape(k) for k in keywords)), F.lit(False))
 
 
+_EDGE = re.compile(r"^\\b(?=\\\+)")
+
+
 def personal_data(text: Column, patterns: Sequence[tuple[str, str, str, str | None]] = PII_PATTERNS, hints: str = PII_HINTS) -> Column:
     """array<struct(pattern_name, category, value)> of the personal data in a text.
 
@@ -59,7 +62,8 @@ def personal_data(text: Column, patterns: Sequence[tuple[str, str, str, str | No
         for name, category, pattern, check in reversed(patterns):
             found = F.struct(F.lit(name).alias("pattern_name"), F.lit(category).alias("category"), value.alias("value"))
             good = F.when(VALIDATORS[check](value), found) if check else found
-            out = F.when(value.rlike(f"(?i)^(?:{pattern})$"), good).otherwise(out)
+            # where a match begins with a sign, the word's end that has to be before it is not part of it
+            out = F.when(value.rlike(f"(?i)^(?:{re.sub(_EDGE, '', pattern)})$"), good).otherwise(out)
         return out
 
     # a text without any of these holds none of the patterns, and most texts are none the slower for them

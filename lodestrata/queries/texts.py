@@ -20,7 +20,7 @@ from .linkage import TRACKERS
 #: DuckDB knows no lookaheads; the numbers that they rule out are taken out of its matches.
 _PLAIN = [(n, p.replace("(?!(?:000|666|9))", "").replace("(?!00)", "").replace("(?!0000)", "")) for n, _, p, _ in PII_PATTERNS]
 _MASTER = "(?i)" + "|".join(f"(?:{p})" for _, p in _PLAIN)
-_CLASSES = " ".join(f"WHEN regexp_full_match(v, '(?i)(?:{p})') THEN '{n}'" for n, p in _PLAIN).replace("\\/", "/")
+_CLASSES = " ".join(f"WHEN regexp_full_match(v, '(?i)(?:{p.removeprefix(chr(92) + 'b') if p.startswith(chr(92) + 'b' + chr(92) + '+') else p})') THEN '{n}'" for n, p in _PLAIN).replace("\\/", "/")
 _LUHN = """list_sum(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(v)[i] AS INT) WHEN CAST(reverse(v)[i] AS INT) > 4 THEN CAST(reverse(v)[i] AS INT) * 2 - 9 ELSE CAST(reverse(v)[i] AS INT) * 2 END)) % 10 = 0"""
 _PII = """m AS (SELECT {key}, unnest(regexp_extract_all(text, '{master}')) AS v FROM {t}), k AS (SELECT {key}, v, CASE {classes} END AS pattern_name FROM m),
 g AS (SELECT * FROM k WHERE CASE WHEN pattern_name IN ('Credit Card', 'IMEI', 'ICCID') THEN {luhn} WHEN pattern_name = 'US SSN' THEN NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$') ELSE true END)"""
