@@ -223,6 +223,53 @@ def test_licenses(spark):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
+def test_licenses_are_those_of_banding_every_window(spark):
+    rng = random.Random(7)
+    pool = [w for n in ("mit", "isc", "bsd-2-clause", "zlib-text") for w in license_scan.TEMPLATES[n].split()]
+    rows = []
+    for i in range(60):
+        own = license_scan.TEMPLATES[rng.choice(["mit", "isc", "gpl", "zlib-text", "mit-line", "apache-2.0"])].split()
+        share = rng.choice([0, 0.01, 0.03, 0.1])  # of words that are replaced
+        own = [rng.choice(pool) if rng.random() < share else w for w in own]
+        around = [[rng.choice(pool) for _ in range(rng.randrange(30))] for _ in range(2)]
+        rows.append((i, " ".join(around[0] + own + around[1])))
+    docs, names = documents(spark, rows), ["mit", "isc", "gpl", "zlib-text", "mit-line", "apache-2.0"]
+    known = license_scan.templates(spark, {n: license_scan.TEMPLATES[n] for n in names})
+    got = {tuple(r) for r in license_scan.scan(docs, known).collect()}
+
+    prepared = license_scan.prepared(known)
+    texts = license_scan.texts_of(docs, "doc_id", "text")
+    lens = [r.len for r in prepared.select("len").distinct().collect()]
+    everywhere = texts.where("size(h) >= 5").selectExpr("doc", "h", "explode(sequence(0, size(h) - 5)) p")
+    everywhere = everywhere.selectExpr("doc", "h", "p", "explode(array({})) len".format(",".join(map(str, lens))))
+    dense = license_scan._retrieved(license_scan._windows(everywhere), prepared)
+    best = {}
+    for doc, name, n, m in dense.collect():
+        best[doc, name, n] = max(m, best.get((doc, name, n), 0))
+    assert got == {(*k, m) for k, m in best.items()} and len(got) > 30
+
+    exact = set()  # by shingles of all windows, without bands
+    for i, text in rows:
+        h = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+        for n in names:
+            g = [w for w in re.split("[^a-z0-9]+", license_scan.TEMPLATES[n].lower()) if w]
+            t = {tuple(g[k : k + 5]) for k in range(len(g) - 4)}
+            stride = max(1, (len(g) - 4) // 8)
+            for w in range(len(h) // stride + 1):
+                lo, hi = max(0, (w - 1) * stride), min(len(h), (w + 1) * stride + len(g))
+                if 100 * len(t & {tuple(h[k : k + 5]) for k in range(lo, hi - 4)}) >= 75 * len(t):
+                    exact.add((i, n))
+    assert {k[:2] for k in got} == exact
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no license files")
+def test_whole_license_files(spark):
+    known = license_scan.read_templates(spark, "/usr/share/common-licenses").where("license in ('BSD', 'CC0-1.0', 'LGPL-3')")
+    rows = [(i, "it is " * 9 + r.text.replace("\n", "\n// ") + " so it is" * 9) for i, r in enumerate(known.orderBy("license").collect())]
+    got = {(r.doc_id, r.license) for r in license_scan.scan(documents(spark, rows), known).collect()}
+    assert got == {(0, "BSD"), (1, "CC0-1.0"), (2, "LGPL-3")}
+
+
 def plain_best_fit(sizes, capacity):
     """Item by item."""
     bins, placed = [], []
