@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.versions import in_any_range, version_key
 from ..operators.merges import count_where, first_seen
 from ..plans import vulnerabilities as plan
+from ..tables import written
 from .base import query, table
 
 
@@ -52,19 +53,22 @@ h AS (
 m AS (SELECT DISTINCT sample_id, s.sdk_identifier, h.cve_id, score FROM s JOIN h ON h.sdk_identifier = s.sdk_identifier AND h.major = s.major AND h.minor = s.minor JOIN e ON e.cve_id = h.cve_id WHERE ok)"""
 
 
-def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sdks = plan.with_tokens(_sdks(spark, sf_dir))
-    return sdks, plan.matches(sdks, _cves(spark, sf_dir))
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.matches(written(_sdks(spark, sf_dir), "sdks"), _cves(spark, sf_dir))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.judged(written(_sdks(spark, sf_dir), "sdks"), _cves(spark, sf_dir))
 
 
 @query(f"WITH {_SQL} SELECT sample_id, sdk_identifier, cve_id FROM m")
 def version_range_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir)[1].select("sample_id", "sdk_identifier", "cve_id")
+    return _found(spark, sf_dir).select("sample_id", "sdk_identifier", "cve_id")
 
 
 @query(f"WITH {_SQL} SELECT sample_id, count(*) AS matches, count(DISTINCT cve_id) AS cves, count(DISTINCT sdk_identifier) AS components, max(score) AS worst_score FROM m GROUP BY 1")
 def cve_app_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.app_summary(_found(spark, sf_dir)[1])
+    return plan.app_summary(_found(spark, sf_dir))
 
 
 _OUTCOME = """SELECT s.sample_id, s.sdk_identifier, s.sdk_version, CASE WHEN sdk_version = '' THEN 'no_version' WHEN NOT ok THEN 'parse_error' WHEN x.sample_id IS NOT NULL THEN 'matched' ELSE 'no_nvd_entry' END AS outcome
@@ -73,16 +77,14 @@ FROM s LEFT JOIN (SELECT DISTINCT sample_id, sdk_identifier FROM m) x ON x.sampl
 
 @query(f"WITH {_SQL} {_OUTCOME}")
 def cve_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sdks, found = _found(spark, sf_dir)
-    return plan.outcomes(sdks, found).select("sample_id", "sdk_identifier", "sdk_version", "outcome")
+    return _judged(spark, sf_dir).select("sample_id", "sdk_identifier", "sdk_version", "outcome")
 
 
 @query(f"""WITH {_SQL}, o AS ({_OUTCOME})
 SELECT count(*) AS rows, count(*) FILTER (WHERE outcome = 'matched') AS matched, count(*) FILTER (WHERE outcome = 'no_version') AS no_version, count(*) FILTER (WHERE outcome = 'parse_error') AS parse_error, count(*) FILTER (WHERE outcome = 'no_nvd_entry') AS no_nvd_entry FROM o""")
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sdks, found = _found(spark, sf_dir)
     kinds = ["matched", "no_version", "parse_error", "no_nvd_entry"]
-    return plan.outcomes(sdks, found).agg(F.count("*").alias("rows"), *count_where({k: F.col("outcome") == k for k in kinds}))
+    return _judged(spark, sf_dir).agg(F.count("*").alias("rows"), *count_where({k: F.col("outcome") == k for k in kinds}))
 
 
 @query("""
