@@ -8,6 +8,7 @@ distinct probe values are joined and the results brought back. Ties are broken b
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,18 +141,39 @@ def token_candidates(
 ) -> DataFrame:
     """Pairs of items and product rows that share a token, once for each item and keys.
 
-    residual: a further condition, which thins the pairs out before they are made distinct. Tokens
-    are counted on both sides, so items are best given as a written table. The items of a token that
+    residual: a further condition, which thins the pairs out. Tokens are counted on both sides, and
+    so are items and keys, so items are best given as a written table. The items of a token that
     very many have are dealt into parts, and so are its products; each part of the one side meets
     each of the other by itself, and a task has no more than HOT_TOKEN rows of a token on a side.
+    An item and a product that are each in one row meet once at most; only the pairs of the others
+    are made distinct, so that not all pairs are shuffled.
     """
-    spread = items.withColumn("_token", F.explode(tokens))
-    listed = products.withColumn("_product", F.col(product))
-    hot = _hot_tokens(spread, listed)
-    left, right = _dealt(spread, "_token", hot, "_i", "_m", "_j", "_k"), _dealt(listed, "_product", hot, "_pj", "_k", "_pi", "_m")
-    on = (F.col("_token") == F.col("_product")) & (F.col("_i") == F.col("_pi")) & (F.col("_j") == F.col("_pj"))
-    met = left.join(right, on if residual is None else on & residual)
-    return met.drop("_token", "_product", "_i", "_j", "_pi", "_pj").dropDuplicates([item, *keys])
+    items = items.withColumn("_token", F.array_distinct(tokens))
+    many, again = _repeated(items, [item]), _repeated(products, keys)
+    hot = _hot_tokens(items.withColumn("_token", F.explode("_token")), products.withColumn("_product", F.col(product)))
+
+    def met(some: DataFrame, listed: DataFrame) -> DataFrame:
+        left, right = _dealt(some.withColumn("_token", F.explode("_token")), "_token", hot, "_i", "_m", "_j", "_k"), _dealt(listed.withColumn("_product", F.col(product)), "_product", hot, "_pj", "_k", "_pi", "_m")
+        on = (F.col("_token") == F.col("_product")) & (F.col("_i") == F.col("_pi")) & (F.col("_j") == F.col("_pj"))
+        return left.join(right, on if residual is None else on & residual).drop("_token", "_product", "_i", "_j", "_pi", "_pj")
+
+    single = _among(items, many, [item], "left_anti") if many else items
+    out = met(single, _among(products, again, keys, "left_anti") if again else products)
+    rest = [met(_among(items, many, [item], "left_semi"), products)] if many else []
+    rest += [met(single, _among(products, again, keys, "left_semi"))] if again else []
+    return out.unionByName(reduce(DataFrame.unionByName, rest).dropDuplicates([item, *keys])) if rest else out
+
+
+def _repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The keys of more than one row, written; None if there are none."""
+    found = written(df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys), "repeated")
+    return None if found.isEmpty() else found
+
+
+def _among(df: DataFrame, found: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """The rows whose keys are (left_semi) or are not (left_anti) among the found ones; nulls are equal."""
+    named = found.select(*(F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)))
+    return df.join(named, reduce(Column.__and__, (df[k].eqNullSafe(named[f"_f{i}"]) for i, k in enumerate(keys))), how)
 
 
 def _hot_tokens(spread: DataFrame, listed: DataFrame) -> DataFrame:

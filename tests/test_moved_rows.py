@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestrata.operators import joins
 from lodestrata.plans import vulnerabilities
 
 
@@ -52,3 +53,19 @@ def test_outcomes_without_pairs(spark):
     pair = spark.createDataFrame([("a", "org.rod", "rod", "50"), ("a", "org.rod", "rod", "1.5"), ("b", "org.rod", "rod", "50")], sdks.schema)
     one = cves.limit(1).select(F.lit("C").alias("cve_id"), "vendor", F.lit("rod").alias("product"), "severity", "score", "published", F.expr("array(named_struct('start_including', '1', 'start_excluding', cast(null as string), 'end_including', cast(null as string), 'end_excluding', '2'))").alias("version_ranges"))
     assert sorted((r.sample_id, r.sdk_version, r.outcome) for r in vulnerabilities.judged(pair, one).collect()) == [("a", "1.5", "matched"), ("a", "50", "matched"), ("b", "50", "no_nvd_entry")]
+
+
+def test_candidates_of_single_rows_are_not_moved(spark):
+    items = spark.createDataFrame([(i, ["a", "b", "a"] if i % 2 else ["the"]) for i in range(40)], "item int, tokens array<string>")
+    products = spark.createDataFrame([(j, "the" if j % 2 else "ab"[j % 4 // 2]) for j in range(20)], "j int, product string")
+    want = sorted((i, j) for i in range(40) for j in range(20) if (i % 2 == 1) == (j % 2 == 0))
+    found = joins.token_candidates(items, "item", "tokens", products, "product", ["j"])
+    assert sorted((r.item, r.j) for r in found.collect()) == want
+    # the pairs of distinct items and keys meet no aggregate
+    assert "Aggregate" not in plan_of(found).split("Join")[0]
+    # other rows of an item, of no item and of a key
+    more = items.unionByName(spark.createDataFrame([(3, ["the", "b"]), (None, ["a"]), (None, ["the"])], items.schema))
+    also = products.unionByName(spark.createDataFrame([(0, "the"), (1, "b"), (1, "the"), (None, "a"), (None, "a")], products.schema))
+    got = joins.token_candidates(more, "item", "tokens", also, "product", ["j"]).collect()
+    pairs = {(a.item, b.j) for a in more.collect() for b in also.collect() if b["product"] in a.tokens}
+    assert len(got) == len(pairs) and {(r.item, r.j) for r in got} == pairs
