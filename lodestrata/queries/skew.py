@@ -10,6 +10,7 @@ from ..functions.net import url_host
 from ..functions.versions import sort_key
 from ..operators import cache, joins, matching, merges, names, ranks
 from ..plans import traffic
+from ..tables import dealt
 from .base import HOST_SQL, PACKETS, packets, query, scratch, sql_values, table, values
 
 # --- addresses ---
@@ -172,7 +173,7 @@ def personal_data_in_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     hex_ = lambda mark: F.translate(F.md5(F.concat(F.lit(mark), "p_partkey").cast("binary")), "0123456789", "abcdefabcd")
     cut = lambda h, by, *sizes: F.concat_ws(by, *(F.substring(h, 1 + sum(sizes[:i]), n) for i, n in enumerate(sizes)))
     texts = F.array(*(F.concat(F.lit("seen "), c, F.lit(" there")) for c in (cut(hex_("m"), ":", *[2] * 6), F.substring(hex_("a"), 1, 16), cut(hex_("u"), "-", 8, 4, 4, 4, 12))))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(texts).alias("text"))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.explode(texts).alias("text"))
     return rows.select("p_partkey", F.explode(matching.personal_data(F.col("text"))).alias("m")).select("p_partkey", "m.pattern_name", "m.value")
 
 

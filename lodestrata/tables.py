@@ -38,6 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df in tasks of about so many rows each, for costly work on rows of few bytes.
+
+    Spark deals out a file by its bytes, so a million short rows would else be one task. The rows are
+    counted, so df is best a table as it is read.
+    """
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _MADE:
