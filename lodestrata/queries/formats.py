@@ -18,7 +18,7 @@ from ..operators import joins, matching, merges
 from ..plans import knowledge as builds
 from ..plans import manifests as plan
 from ..schemas import conform
-from ..tables import written
+from ..tables import dealt, written
 from ..sources import captures, documents, files, knowledge, tabular
 from .base import PACKETS, packets, query, scratch, sql_values, table, values
 
@@ -135,7 +135,7 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     secret = F.when(_k() % 4 == 0, F.lpad(_k().cast("string"), 12, "1")).when(_k() % 4 == 1, F.concat(F.lit("AIza"), F.lpad(_k().cast("string"), 35, "x"))).when(_k() % 4 == 2, F.rpad(_k().cast("string"), 20, "~")).otherwise("short")
     whole = _text(_MANIFEST, k=_k(), target=F.lit(28) + _k() % 6, p=_pick(_PERMISSIONS), backup=_pick(["true", "false"]), scheme=_pick(_SCHEMES), secret=secret)
     body = F.when(_k() % 20 == 0, F.substring(whole, 1, 400)).otherwise(whole)
-    return documents.manifests(_parts(spark, sf_dir).select(F.concat(F.lit("s"), _k().cast("string")).alias("sample_id"), body.cast("binary").alias("content")))
+    return documents.manifests(dealt(_parts(spark, sf_dir).select("p_partkey")).select(F.concat(F.lit("s"), _k().cast("string")).alias("sample_id"), body.cast("binary").alias("content")))
 
 
 _GOOD = "SELECT 's' || p_partkey AS sample_id, p_partkey AS k, 28 + p_partkey % 6 AS target FROM part WHERE p_partkey % 20 <> 0"

@@ -100,7 +100,8 @@ def manifests(files: DataFrame) -> DataFrame:
     """(sample_id, sha256, readable, m): parsed manifests of files (sample_id, content) (S5); m is null where the XML is broken."""
     text = F.decode("content", "utf-8")
     parsed = F.from_xml(text, f"{MANIFEST}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    rows = files.select("sample_id", F.sha2("content", 256).alias("sha256"), parsed.alias("m"), F.coalesce(text.rlike(r"<manifest\b"), F.lit(False)).alias("named"))
+    # as a generator, so that no filter on what was parsed is pushed below it and parses once more
+    rows = files.select("sample_id", F.sha2("content", 256).alias("sha256"), F.coalesce(text.rlike(r"<manifest\b"), F.lit(False)).alias("named"), F.explode(F.array(parsed)).alias("m"))
     good = F.coalesce(F.col("named") & F.col("m").isNotNull() & F.col("m._broken").isNull(), F.lit(False))
     return rows.select("sample_id", "sha256", good.alias("readable"), F.when(good, F.col("m")).alias("m"))
 
@@ -149,17 +150,15 @@ def meta_data(parsed: DataFrame) -> DataFrame:
 
 
 def evidence(parsed: DataFrame) -> DataFrame:
-    """(sample_id, source, value): names in a manifest that may show an embedded component."""
-    own = components(parsed)
-    named = own.select("sample_id", F.lit("component").alias("source"), F.col("name").alias("value"))
-    authority = own.select("sample_id", F.lit("authority").alias("source"), F.explode(F.split("authorities", ";")).alias("value"))
-    each = lambda field, source, part: parsed.where("readable").select(
-        "sample_id", F.lit(source).alias("source"), F.explode(F.coalesce(F.col(f"m.application.`{field}`"), F.array().cast(_NAMED))).alias("n")
-    ).select("sample_id", "source", F.col(f"n.`_android:{part}`").alias("value"))
-    parts = [authority, each("uses-library", "library", "name"), *(each("meta-data", f"meta_{p}", p) for p in ("name", "value", "resource"))]
-    out = named
-    for p in parts:
-        out = out.unionByName(p)
+    """(sample_id, source, value): names in a manifest that may show an embedded component (X10, S33); each manifest is gone through once."""
+    of_kind = lambda k, value: F.transform(F.coalesce(F.col(f"m.application.`{k}`"), F.array().cast(_COMPONENT)), value)
+    each = lambda field, part: F.transform(F.coalesce(F.col(f"m.application.`{field}`"), F.array().cast(_NAMED)), lambda n: n[f"_android:{part}"])
+    names = F.concat(*(of_kind(k, lambda c: c["_android:name"]) for k in KINDS))
+    authorities = F.flatten(F.concat(*(of_kind(k, lambda c: F.coalesce(F.split(c["_android:authorities"], ";"), F.array().cast("array<string>"))) for k in KINDS)))
+    found = {"component": names, "authority": authorities, "library": each("uses-library", "name"), **{f"meta_{p}": each("meta-data", p) for p in ("name", "value", "resource")}}
+    tagged = lambda source, xs: F.transform(xs, lambda v: F.struct(F.lit(source).alias("source"), v.alias("value")))
+    every = F.concat(*(tagged(source, xs) for source, xs in found.items()))
+    out = parsed.where("readable").select("sample_id", F.explode(every).alias("e")).select("sample_id", "e.source", "e.value")
     return out.where("value is not null and value <> ''")
 
 

@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestrata import tables
 from lodestrata.operators import joins
 from lodestrata.plans import vulnerabilities
+from lodestrata.sources import documents
 
 
 def plan_of(df):
@@ -69,3 +71,20 @@ def test_candidates_of_single_rows_are_not_moved(spark):
     got = joins.token_candidates(more, "item", "tokens", also, "product", ["j"]).collect()
     pairs = {(a.item, b.j) for a in more.collect() for b in also.collect() if b["product"] in a.tokens}
     assert len(got) == len(pairs) and {(r.item, r.j) for r in got} == pairs
+
+
+def test_short_rows_are_dealt_out(spark, tmp_path):
+    spark.range(35).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert table.rdd.getNumPartitions() == 1
+    many = tables.dealt(table, 10)
+    assert many.rdd.getNumPartitions() == 4 and sorted(r.id for r in many.collect()) == list(range(35))
+    assert tables.dealt(table, 100) is table
+
+
+def test_evidence_parses_once(spark):
+    xml = b'<manifest xmlns:android="u" package="p"><application><provider android:name="P" android:authorities="a;b"/><uses-library android:name="L"/><meta-data android:name="k" android:value="v"/></application></manifest>'
+    files = spark.createDataFrame([("s", bytearray(xml)), ("t", bytearray(xml[:60]))], "sample_id string, content binary")
+    found = documents.evidence(documents.manifests(files))
+    assert sorted((r.sample_id, r.source, r.value) for r in found.collect()) == [("s", "authority", "a"), ("s", "authority", "b"), ("s", "component", "P"), ("s", "library", "L"), ("s", "meta_name", "k"), ("s", "meta_value", "v")]
+    assert plan_of(found).count("from_xml(") == 1
