@@ -297,9 +297,15 @@ def not_done(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+#: Files of apps that a task takes on.
+TASK_FILES = 250_000
+
+
 def preferred_splits(files: DataFrame, preferences: DataFrame) -> DataFrame:
-    """Files (app, abi, name) without an ABI, and of each app those of the first preferred ABI (abi, rank) that it has."""
-    ranked = files.where("abi is not null").join(preferences, "abi")
-    first = ranked.groupBy("app").agg(F.min("rank").alias("rank"))
-    chosen = ranked.join(first, ["app", "rank"]).select(*files.columns)
+    """Files (app, abi, name) without an ABI, and of each app those of the first preferred ABI (abi, rank) that it has.
+
+    Files are counted and dealt out by app in as many tasks as they need, and meet there.
+    """
+    ranked = files.where("abi is not null and app is not null").join(preferences, "abi").repartition(-(-files.count() // TASK_FILES) or 1, "app")
+    chosen = ranked.withColumn("_first", F.min("rank").over(Window.partitionBy("app"))).where("rank = _first").select(*files.columns)
     return files.where("abi is null").unionByName(chosen)

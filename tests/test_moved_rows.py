@@ -88,3 +88,14 @@ def test_evidence_parses_once(spark):
     found = documents.evidence(documents.manifests(files))
     assert sorted((r.sample_id, r.source, r.value) for r in found.collect()) == [("s", "authority", "a"), ("s", "authority", "b"), ("s", "component", "P"), ("s", "library", "L"), ("s", "meta_name", "k"), ("s", "meta_value", "v")]
     assert plan_of(found).count("from_xml(") == 1
+
+
+def test_splits_grow_in_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_FILES", 10)
+    rows = [(i % 9, n, abi) for i in range(60) for n, abi in [(i, ["x86", "arm64", "armv7", None, "mips"][i % 5])]] + [(None, 99, "arm64")]
+    files = spark.createDataFrame(rows, "app int, name int, abi string")
+    ranks = {"arm64": 1, "armv7": 2}
+    best = {a: min(ranks[x] for b, _, x in rows if b == a and x in ranks) for a in range(9)}
+    chosen = joins.preferred_splits(files, spark.createDataFrame(list(ranks.items()), "abi string, rank int"))
+    assert sorted(map(repr, (tuple(r) for r in chosen.collect()))) == sorted(repr(r) for r in rows if r[2] is None or r[0] is not None and ranks.get(r[2]) == best[r[0]])
+    assert "Exchange hashpartitioning(app" in plan_of(chosen) and ", 7), REPARTITION_BY_NUM" in plan_of(chosen)
