@@ -33,8 +33,8 @@ def ip_number(ip: Column) -> Column:
 
 
 def _dotted_hex(ip: Column) -> Column:
-    octet = lambda o, i: F.lpad(F.hex(F.get(o, F.lit(i)).try_cast("int")), 2, "0")
-    return bound(F.split(ip, r"\."), lambda o: F.lower(F.concat(*(octet(o, i) for i in range(4)))))
+    octet = lambda i: F.substring_index(F.substring_index(ip, ".", i), ".", -1).try_cast("long") * 256 ** (4 - i)
+    return F.lpad(F.lower(F.hex(octet(1) + octet(2) + octet(3) + octet(4))), 8, "0")
 
 
 def ip_key(ip: Column) -> Column:

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bound import bound
 from ..functions.net import block_key, clean_name, ip_key, masked, private_key
 from ..functions.versions import in_any_range
 from ..tables import written
@@ -123,13 +122,12 @@ def range_lookup(df: DataFrame, column: str, ranges: DataFrame, low: str, high:
 
     Of ranges with the same bounds, the first by their other columns counts.
     """
-    known = ranges.withColumn("_low", ip_key(F.col(low))).withColumn("_high", ip_key(F.col(high))).where("_low <= _high")
-    known = known.groupBy("_low", "_high").agg(F.min(F.struct(*ranges.columns)).alias("_range"))
-    probes = written(_address_keys(df, column).where(~bound(F.col("_key"), private_key)), "public")
-    known = written(known, "ranges")
-    held = narrowest(probes.select("_key"), known.select("_low", "_high"))
-    found = probes.join(held, "_key").join(known, ["_low", "_high"]).select("_probe", "_range.*")
-    return _bring_back(df, column, found)
+    known = ranges.select(ip_key(F.col(low)).alias("_low"), ip_key(F.col(high)).alias("_high"), F.struct(*ranges.columns).alias("_range"))
+    # conditions on keys come after writing, as they would else work keys out once more
+    known = written(known.groupBy("_low", "_high").agg(F.min("_range").alias("_range")), "ranges").where("_low <= _high")
+    probes = _address_keys(df, column).where(~private_key(F.col("_key")))
+    found = narrowest(probes, known).select("_probe", "_range.*")
+    return df.join(found, df[column] == found["_probe"], "left").drop("_probe")
 
 
 #: Rows of one token that a task handles, at least; and tokens of more rows, at most, as they are broadcast.

@@ -9,11 +9,14 @@ values of all parts are all that the driver sees.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..tables import written
 
@@ -22,20 +25,23 @@ PART_ROWS = 200_000
 
 
 def narrowest(probes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(_key, _low, _high) of each distinct key and the narrowest of the ranges (_low, _high) that hold it, of equals the first.
+    """(_probe, _range) of each row (_probe, _key) whose key a range (_low, _high, _range) holds: the narrowest, of equals the first.
 
-    Keys and bounds are hexadecimal numbers of one length. Keys that no range holds are left out.
+    Keys and bounds are hexadecimal numbers of one length, and bounds are in order. What is known of a
+    range, _range, goes through the merge with it, so that nothing is joined afterwards. Both tables
+    are gone through several times, so they are best given as written ones.
     """
-    begun = ranges.distinct().select(F.col("_low").alias("at"), F.lit(0).alias("kind"), "_low", "_high")
-    asked = probes.distinct().select(F.col("_key").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("_low"), F.lit(None).cast("string").alias("_high"))
-    both = begun.unionByName(asked)
+    known = ranges.schema["_range"].dataType
+    begun = ranges.select(F.col("_low").alias("at"), F.lit(0).alias("kind"), "_low", "_high", "_range", F.lit(None).cast("string").alias("_probe"))
+    none = [F.lit(None).cast("string").alias("_low"), F.lit(None).cast("string").alias("_high"), F.lit(None).cast(known).alias("_range")]
+    both = begun.unionByName(probes.select(F.col("_key").alias("at"), F.lit(1).alias("kind"), *none, "_probe"))
     parts = max(1, -(-both.count() // PART_ROWS))
     dealt = written(both.repartitionByRange(parts, "at").select(F.spark_partition_id().alias("part"), "*"), "dealt")
     firsts = [(r.part, r.first) for r in dealt.groupBy("part").agg(F.min("at").alias("first")).orderBy("part").collect()]
     if len(firsts) > 1:
         dealt = dealt.unionByName(_carried(dealt, firsts))
     ordered = dealt.repartition(len(firsts) or 1, "part").sortWithinPartitions("part", "at", "kind")
-    return ordered.mapInArrow(_sweep, "_key string, _low string, _high string")
+    return ordered.mapInArrow(_sweep, T.StructType([T.StructField("_probe", T.StringType()), T.StructField("_range", known)]))
 
 
 def _carried(dealt: DataFrame, firsts: list[tuple[int, str]]) -> DataFrame:
@@ -45,22 +51,37 @@ def _carried(dealt: DataFrame, firsts: list[tuple[int, str]]) -> DataFrame:
     far = dealt.where("kind = 0").join(next_, "part").where(F.col("_high") >= F.col("next"))
     every = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(f).alias("first")) for p, f in firsts))
     reached = F.filter(every, lambda x: (x["part"] > F.col("part")) & (x["first"] <= F.col("_high")))
-    return far.select(F.explode(reached).alias("to"), "kind", "_low", "_high").select("to.part", F.col("to.first").alias("at"), "kind", "_low", "_high")
+    more = ["kind", "_low", "_high", "_range", "_probe"]
+    return far.select(F.explode(reached).alias("to"), *more).select("to.part", F.col("to.first").alias("at"), *more)
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, open_ = None, []
+    part, open_, pool = None, [], None
     for batch in batches:
-        found: list[tuple[str, str, str]] = []
-        for own, at, kind, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if own != part:
-                part, open_ = own, []
-            if kind == 0:
-                heapq.heappush(open_, (int(high, 16) - int(low, 16), low, high))
-                continue
-            while open_ and open_[0][2] < at:
-                heapq.heappop(open_)
-            if open_:
-                found.append((at, *open_[0][1:]))
-        columns = [pa.array([r[i] for r in found], pa.string()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(columns, ["_key", "_low", "_high"])
+        # of the ranges before this batch, those that are open are kept, in the heap's order
+        own, still = batch.column("_range"), pa.array([i for *_, i in open_], pa.int64())
+        pool, open_ = own if pool is None else pa.concat_arrays([pool.take(still), own]), [(*x[:-1], i) for i, x in enumerate(open_)]
+        kinds, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "part"))
+        at, low, high = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("at", "_low", "_high"))
+        changed = np.append(parts[:1] != part, parts[1:] != parts[:-1])
+        chosen, start = np.full(len(kinds), -1), 0
+        for row in [*np.flatnonzero((kinds == 0) | changed).tolist(), len(kinds)]:
+            while start < row:  # the keys since the last range began: the narrowest that is open holds those up to its end
+                while open_ and open_[0][2] < at[start]:
+                    heapq.heappop(open_)
+                if not open_:
+                    break
+                end = bisect_right(at, open_[0][2], start, row)
+                chosen[start:end] = open_[0][3]
+                start = end
+            if row == len(kinds):
+                break
+            start = row
+            if changed[row]:
+                open_ = []
+            if kinds[row] == 0:
+                heapq.heappush(open_, (int(high[row], 16) - int(low[row], 16), low[row], high[row], len(still) + row))
+                start = row + 1
+        part = parts[-1] if len(parts) else part
+        held = np.flatnonzero(chosen >= 0)
+        yield pa.RecordBatch.from_arrays([batch.column("_probe").take(pa.array(held)), pool.take(pa.array(chosen[held]))], ["_probe", "_range"])

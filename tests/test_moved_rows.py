@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestrata import tables
-from lodestrata.operators import joins
+from lodestrata.operators import joins, ranges
 from lodestrata.plans import vulnerabilities
 from lodestrata.sources import documents
 
@@ -99,3 +99,23 @@ def test_splits_grow_in_number_of_tasks(spark, monkeypatch):
     chosen = joins.preferred_splits(files, spark.createDataFrame(list(ranks.items()), "abi string, rank int"))
     assert sorted(map(repr, (tuple(r) for r in chosen.collect()))) == sorted(repr(r) for r in rows if r[2] is None or r[0] is not None and ranks.get(r[2]) == best[r[0]])
     assert "Exchange hashpartitioning(app" in plan_of(chosen) and ", 7), REPARTITION_BY_NUM" in plan_of(chosen)
+
+
+def test_ranges_go_through_the_merge_with_their_columns(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "PART_ROWS", 60)
+    rng = random.Random(5)
+    dotted = lambda n: f"23.5.{n // 256}.{n % 256}"
+    spans = [(low, low + rng.choice([0, 3, 40, 400, 3000]), i) for i, low in enumerate(rng.randrange(4000) for _ in range(150))]
+    probes = [rng.randrange(8000) for _ in range(400)]
+    table = spark.createDataFrame([(dotted(low), dotted(high), [i, None]) for low, high, i in spans], "lo string, hi string, ids array<int>")
+    df = spark.createDataFrame([(dotted(p),) for p in probes] + [("10.0.0.1",), (None,)], "ip string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # ranges stay open from batch to batch
+    try:
+        found = joins.range_lookup(df, "ip", table, "lo", "hi")
+        got = sorted(map(repr, ((r.ip, r.lo, r.hi) for r in found.collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best = lambda p: min(((high - low, low, dotted(low), dotted(high)) for low, high, _ in spans if low <= p <= high), default=(None,) * 4)[2:]
+    assert got == sorted(map(repr, [(dotted(p), *best(p)) for p in probes] + [("10.0.0.1", None, None), (None, None, None)]))
+    # what the merge found is joined to the rows and to nothing else
+    assert plan_of(found).split("== Initial Plan ==")[-1].split("MapInArrow")[0].count("Join") == 1
