@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +23,8 @@ LITERALS = 200
 SIZES = (7, 4, 2, 1)
 #: Anchors that a task holds at once (eight bytes each), and bits of its Bloom filter as a power of two.
 SLICE, BLOOM_BITS = 1 << 20, 20
-#: Bytes of text that a task goes over at once.
-PIECE = 1 << 22
+#: Bytes of text that a task goes over at once, however long a text is.
+PIECE = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,7 +46,8 @@ def containing(values: DataFrame, value: str, rules: DataFrame, pattern: str) ->
     for low, high in _slices(anchors):
         mine = (F.col("_anchor") >= low) & (F.col("_anchor") <= high)
         held = np.sort(anchors.where(mine).toPandas()["_anchor"].to_numpy(np.int64))
-        hits = values.where(F.col(value).isNotNull()).mapInArrow(_hits(held, values.columns.index(value)), _with(values, "_anchor long"))
+        hits = values.where(F.col(value).isNotNull()).mapInArrow(_hits(held, values.columns.index(value)), _with(values, "_anchors array<long>"))
+        hits = hits.withColumn("_anchor", F.explode("_anchors")).drop("_anchors")
         found = hits.join(keyed.where(mine), "_anchor").where(F.contains(F.col(value), F.col(pattern))).drop("_anchor")
         out = found if out is None else out.unionByName(found)
     return out
@@ -84,16 +84,19 @@ def _slices(anchors: DataFrame) -> list[tuple[int, int]]:
 def _numbers(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each size of anchor, the number that the bytes from every place on make."""
     one = raw.astype(np.uint64)
-    two = one[:-1] << np.uint64(8) | one[1:]
-    four = two[:-2] << np.uint64(16) | two[2:]
     yield 1, one
+    two = one[:-1] << np.uint64(8) | one[1:]
     yield 2, two
+    four = two[:-2] << np.uint64(16) | two[2:]
     yield 4, four
     yield 7, four[:-3] << np.uint64(24) | four[3:] & np.uint64(0xFFFFFF)
 
 
 def _hits(anchors: np.ndarray, text: int):  # noqa: ANN202
-    """The distinct (row, anchor) of batches whose column of that number is the text."""
+    """The rows of batches, whose column of that number is the text, that hold anchors, with those (`_anchors`).
+
+    A row comes once, whatever the number of its anchors, so that a task never holds copies of long texts.
+    """
     of = {n: anchors[anchors >> 56 == n].astype(np.uint64) & np.uint64((1 << 56) - 1) for n in SIZES}
     slot = lambda x: (x * _MIX >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
     bloom = {}
@@ -101,43 +104,41 @@ def _hits(anchors: np.ndarray, text: int):  # noqa: ANN202
         bloom[n] = np.zeros(1 << BLOOM_BITS, bool)
         bloom[n][slot(own)] = True
 
-    def found(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for n, numbers in _numbers(raw) if len(raw) >= SIZES[0] else ((n, x) for n, x in _numbers(np.append(raw, np.zeros(8, np.uint8)))):
+    def found(raw: np.ndarray, ends: np.ndarray, start: int) -> Iterator[np.ndarray]:
+        """Pairs of a row and an anchor that begins less than PIECE bytes after the start."""
+        piece = raw[start : start + PIECE + SIZES[0] - 1]
+        padded = piece if len(piece) >= SIZES[0] else np.append(piece, np.zeros(SIZES[0], np.uint8))
+        for n, numbers in _numbers(padded):
             own = of[n]
             if not len(own):
                 continue
+            numbers = numbers[:PIECE]
             at = np.flatnonzero(bloom[n][slot(numbers)])
             k = np.minimum(np.searchsorted(own, numbers[at]), len(own) - 1)
             at = at[own[k] == numbers[at]]
-            row = np.searchsorted(starts, at, "right") - 1
-            inside = at + n <= ends[row]
-            yield row[inside], numbers[at[inside]].astype(np.int64) + (n << 56)
+            row = np.searchsorted(ends, at + start, "right")
+            inside = row < len(ends)  # not behind the last text
+            at, row = at[inside], row[inside]
+            inside = at + start + n <= ends[row]
+            pairs = np.column_stack([row[inside], numbers[at[inside]].astype(np.int64) + (n << 56)])
+            yield np.unique(pairs, axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _pieces(batch, text):
-                texts = part.column(text).cast(pa.large_binary())
-                offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-                raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-                bounds = offsets - offsets[0]
-                rows, codes = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64)), *found(raw, bounds[:-1], bounds[1:]), strict=True))
-                pairs = np.unique(np.column_stack([rows, codes]), axis=0)
-                out = part.take(pa.array(pairs[:, 0]))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(pairs[:, 1])], [*out.schema.names, "_anchor"])
+            texts = batch.column(text).cast(pa.large_binary())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            ends = offsets[1:] - offsets[0]
+            met = [pairs for start in range(0, len(raw), PIECE) for pairs in found(raw, ends, start)]
+            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *met]), axis=0)
+            rows, first = np.unique(pairs[:, 0], return_index=True)
+            anchors = pa.ListArray.from_arrays(pa.array(np.append(first, len(pairs)), pa.int32()), pa.array(pairs[:, 1], pa.int64()))
+            out = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*out.columns, anchors], [*out.schema.names, "_anchors"])
 
     return run
 
 
-def _pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in pieces of about PIECE bytes of text, and one row at least."""
-    sizes = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))))
-    start = 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + PIECE, "right")) - 1)
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def starting(values: DataFrame, value: str, rules: DataFrame, prefix: str) -> DataFrame:
     """values with the columns of each rule whose prefix the value begins with, one row for each pair.
 

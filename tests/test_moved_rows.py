@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestrata import tables
-from lodestrata.operators import joins, ranges
+from lodestrata.operators import grams, joins, ranges
 from lodestrata.plans import vulnerabilities
 from lodestrata.sources import documents
 
@@ -119,3 +121,19 @@ def test_ranges_go_through_the_merge_with_their_columns(spark, monkeypatch):
     assert got == sorted(map(repr, [(dotted(p), *best(p)) for p in probes] + [("10.0.0.1", None, None), (None, None, None)]))
     # what the merge found is joined to the rows and to nothing else
     assert plan_of(found).split("== Initial Plan ==")[-1].split("MapInArrow")[0].count("Join") == 1
+
+
+def test_keywords_of_a_long_text_do_not_copy_it(monkeypatch):
+    monkeypatch.setattr(grams, "PIECE", 64, raising=False)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcd") for _ in range(n)) for n in (1, 2, 3, 4, 5, 7, 9) for _ in range(12)]
+    texts = ["", "".join(rng.choice("abcdx") for _ in range(3000)), "a", "", "bc", "".join(rng.choice("abcdx") for _ in range(500)), "zzz", ""]
+    size = lambda w: next(n for n in grams.SIZES if n <= len(w))
+    anchors = {(size(w) << 56) + int.from_bytes(w[: size(w)].encode()): w[: size(w)] for w in words}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["k", "t"])
+    for part in (batch, batch.slice(1, 6)):  # one begins within its buffers
+        out = list(grams._hits(np.array(sorted(anchors)), 1)(iter([part])))
+        rows = [r for b in out for r in b.to_pylist()]
+        assert len({r["k"] for r in rows}) == len(rows)  # each text once
+        got = {(r["k"], anchors[a]) for r in rows for a in r["_anchors"]}
+        assert got == {(k, p) for k, t in zip(part["k"].to_pylist(), part["t"].to_pylist()) for p in anchors.values() if p in t}
