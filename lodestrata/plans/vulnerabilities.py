@@ -64,7 +64,8 @@ def _components(sdks: DataFrame) -> tuple[DataFrame, list[str]]:
     """(kind, *key, tokens) of the distinct components of sdks, numbered and written, and the key: their tokens, if given, are part of it."""
     given = "tokens" in sdks.columns
     by = [*_OWN, "tokens"] if given else _OWN
-    each = sdks.select(*by).distinct()
+    # written, as the steps of the tokens would each go through all rows of sdks again
+    each = written(sdks.select(*by).distinct(), "components")
     return written((each if given else with_tokens(each)).withColumn("kind", F.monotonically_increasing_id()), "kinds"), by
 
 

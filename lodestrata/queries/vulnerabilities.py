@@ -12,14 +12,24 @@ from ..tables import written
 from .base import query, table
 
 
+#: Parts that each task may hold whole; more are shuffled, so that they never pass through the driver.
+MOST_PARTS = 2_000_000
+
+
 def _sdks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of apps: a line item ships a part; its version is size.line, missing or unreadable at times."""
+    """Components of apps: a line item ships a part; its version is size.line, missing or unreadable at times.
+
+    What a part alone decides is worked out once for each part, not for each line item.
+    """
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    version = F.when(F.col("p_partkey") % 11 == 0, "").when(F.col("p_partkey") % 13 == 0, "not-a-version").otherwise(F.concat_ws(".", F.col("p_size").cast("string"), F.col("l_linenumber").cast("string")))
-    return l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat(F.lit("app"), F.col("l_orderkey").cast("string")).alias("sample_id"), F.concat(F.lit("pkg."), F.translate(F.lower("p_name"), " ", ".")).alias("sdk_identifier"),
-        F.col("p_name").alias("sdk_name"), version.alias("sdk_version"),
-    )
+    fixed = F.when(F.col("p_partkey") % 11 == 0, "").when(F.col("p_partkey") % 13 == 0, "not-a-version")
+    identifier = F.concat(F.lit("pkg."), F.translate(F.lower("p_name"), " ", "."))
+    parts = p.select("p_partkey", identifier.alias("sdk_identifier"), F.col("p_name").alias("sdk_name"), fixed.alias("_fixed"), F.col("p_size").cast("string").alias("_size"))
+    parts = F.broadcast(parts) if p.count() <= MOST_PARTS else parts.hint("shuffle_hash")
+    version = F.coalesce("_fixed", F.concat_ws(".", "_size", F.col("l_linenumber").cast("string")))
+    return l.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat(F.lit("app"), F.col("l_orderkey").cast("string")).alias("sample_id"), "sdk_identifier", "sdk_name", version.alias("sdk_version")
+    )
 
 
 def _cves(spark: SparkSession, sf_dir: str) -> DataFrame:

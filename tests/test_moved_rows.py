@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestrata import tables
 from lodestrata.operators import grams, joins, ranges
 from lodestrata.plans import vulnerabilities
+from lodestrata.queries import vulnerabilities as queries
 from lodestrata.sources import documents
 
 
@@ -137,3 +138,34 @@ def test_keywords_of_a_long_text_do_not_copy_it(monkeypatch):
         assert len({r["k"] for r in rows}) == len(rows)  # each text once
         got = {(r["k"], anchors[a]) for r in rows for a in r["_anchors"]}
         assert got == {(k, p) for k, t in zip(part["k"].to_pylist(), part["t"].to_pylist()) for p in anchors.values() if p in t}
+
+
+def test_components_are_found_in_one_pass(spark):
+    sdks, cves = components_and_entries(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    kinds, _ = vulnerabilities._components(sdks.mapInArrow(counted, sdks.schema))
+    assert seen.value == sdks.count()
+    own = ["sdk_identifier", "sdk_name", "sdk_version"]
+    assert sorted(map(repr, kinds.select(*own).collect())) == sorted(map(repr, sdks.select(*own).distinct().collect()))
+
+
+def test_parts_are_spelled_once(spark, tmp_path, monkeypatch):
+    parts = [(i, f"Red bolt {i % 3}", i % 5 if i % 6 else None) for i in range(30)]
+    items = [(i // 3, i % 32 if i % 9 else None, i % 3) for i in range(90)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    of = {k: (name, size) for k, name, size in parts}
+    version = lambda k, n: "" if k % 11 == 0 else "not-a-version" if k % 13 == 0 else ".".join(str(x) for x in (of[k][1], n) if x is not None)
+    want = sorted((f"app{o}", "pkg." + of[k][0].lower().replace(" ", "."), of[k][0], version(k, n)) for o, k, n in items if k in of)
+    for most, join in ((2_000_000, "BroadcastHashJoin"), (29, "ShuffledHashJoin")):
+        monkeypatch.setattr(queries, "MOST_PARTS", most, raising=False)
+        sdks = queries._sdks(spark, str(tmp_path))
+        text = plan_of(sdks)
+        assert join in text and "translate(" not in text.split(join)[0] and "translate(" in text.split(join)[1]
+        assert sorted(map(tuple, sdks.collect())) == want
