@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bound import bound
 from ..functions.strings import search_tokens
 from ..functions.versions import key_intervals, sort_key, version_key
 from ..operators.joins import expanded_aliases, token_candidates
@@ -70,8 +71,8 @@ def _components(sdks: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def _entries(kinds: DataFrame, cves: DataFrame) -> DataFrame:
-    """(place, kind, sdk_identifier, sdk_name, sdk_version, cve_id, vendor, product, severity, score, published): the entries of each
-    component, each once, by the first product by name; places go by product, vendor, name and version. Written."""
+    """(place, entry, kind, sdk_identifier, sdk_name, sdk_version, cve_id, vendor, product, severity, score, published): the entries of each
+    component, each once, by the first product by name; places go by product, vendor, name and version, and `entry` numbers cve_id. Written."""
     keys = written(kinds.select("sdk_version").distinct().withColumn("version_key", sort_key(F.col("sdk_version"))), "keys").where("version_key is not null")
     spread = kinds.join(keys, "sdk_version").withColumn("token", F.explode("tokens"))
     bounded = written(cves.where(F.col("product").isNotNull()).withColumn("intervals", key_intervals(F.col("version_ranges"))).drop("version_ranges"), "intervals")
@@ -84,7 +85,8 @@ def _entries(kinds: DataFrame, cves: DataFrame) -> DataFrame:
     first = first_seen(spread.select("kind", *_OWN, "token").join(held, ["token", "sdk_version"]), ["kind", "cve_id"], ["product", "vendor"])
     # a sorted table numbers its rows in order
     placed = first.orderBy("product", "vendor", "sdk_name", "sdk_version", "kind", "cve_id").withColumn("place", F.monotonically_increasing_id())
-    return written(placed.select("place", "kind", *_OWN, "cve_id", "vendor", "product", "severity", "score", "published"), "entries")
+    number = F.min("place").over(Window.partitionBy("cve_id")).alias("entry")
+    return written(placed.select("place", number, "kind", *_OWN, "cve_id", "vendor", "product", "severity", "score", "published"), "entries")
 
 
 def matches(sdks: DataFrame, cves: DataFrame) -> DataFrame:
@@ -92,22 +94,33 @@ def matches(sdks: DataFrame, cves: DataFrame) -> DataFrame:
     sample, identifier and entry (J9, J10, A40). Of several products, the first by name counts.
 
     sdks are gone through twice, so they are best given as a written table; they need no `tokens`,
-    which are worked out for each distinct component then. Only (sample_id, number of the component)
-    is shuffled: entries meet the rows of a sample where they are, so that no pair is moved.
+    which are worked out for each distinct component then. Only (sample_id, numbers of the component and
+    its identifier) is shuffled: entries meet the rows of a sample where they are, so that no pair is moved.
+    Rows are grouped and not pairs; the entries of components are compared only where a sample has an
+    identifier in several forms, and there a component keeps those that it is the first to have.
     """
     kinds, by = _components(sdks)
     held = _entries(kinds, cves)
-    hit = held.select("kind").distinct()
-    listed = kinds.join(_held(hit, held), "kind", "left_semi")
-    rows = _same(sdks, written(listed.select("kind", *by), "listed"), by).select("sample_id", "kind")
+    lists = held.groupBy("kind").agg(F.min("sdk_identifier").alias("_of"), F.collect_list(F.struct("entry", "place")).alias("entries"))
+    number = F.min("kind").over(Window.partitionBy("_of")).alias("of")
+    lists = written(lists.select("kind", number, "entries"), "lists")
+    listed = kinds.join(_held(lists.select("kind", "of"), lists), "kind")
+    rows = _same(sdks, written(listed.select("kind", "of", *by), "listed"), by).select("sample_id", "of", "kind")
     # each row meets several entries, so that the size of the rows says little about the work
-    rows = rows.repartition(-(-sdks.count() // TASK_ROWS) or 1, "sample_id")
-    met = rows.join(_held(held.select("kind", "sdk_identifier", "cve_id", "place"), held), "kind")
-    best = met.groupBy("sample_id", "sdk_identifier", "cve_id").agg(F.min("place").alias("place"))
-    found = best.join(_held(held.drop("kind", "sdk_identifier", "cve_id"), held), "place")
+    rows = rows.repartition(-(-sdks.count() // TASK_ROWS) or 1, "sample_id").distinct()
+    forms = rows.join(_held(lists.select("kind", "entries"), held), "kind").groupBy("sample_id", "of").agg(F.collect_list(F.struct("kind", "entries")).alias("forms"))
+    kept = F.when(F.size("forms") > 1, _first_places(F.col("forms.entries")))
+    met = forms.select("sample_id", F.explode("forms.kind").alias("kind"), kept.alias("kept")).join(_held(held, held), "kind")
+    found = met.where(F.col("kept").isNull() | F.array_contains("kept", F.col("place")))
     return found.select("sample_id", "sdk_identifier", "sdk_name", "sdk_version", "cve_id", "vendor", "product", "severity", "score", "published")
 
 
+def _first_places(lists: Column) -> Column:
+    """The first place of each entry in lists of (entry, place)."""
+    first = lambda x: lambda e, i: (i == 0) | (e["entry"] != F.get(x, i - 1)["entry"])
+    return bound(F.array_sort(F.flatten(lists)), lambda x: F.filter(x, first(x))["place"])
+
+
 def judged(sdks: DataFrame, cves: DataFrame) -> DataFrame:
     """`outcomes` of sdks and of what `matches` finds for them, without the pairs.
 

@@ -48,6 +48,26 @@ def test_vulnerable_components_are_moved_once(spark, monkeypatch):
     assert got == {s: (len(x), len({r.cve_id for r in x}), len({r.sdk_identifier for r in x}), max(r.score for r in x)) for s, x in want.items()}
 
 
+def test_pairs_are_not_grouped(spark):
+    sdks, cves = components_and_entries(spark)
+    found = vulnerabilities.matches(sdks, cves)
+    assert not [x for x in plan_of(found).splitlines() if "Aggregate" in x and "cve_id" in x]
+    kinds, own = vulnerabilities._components(sdks)
+    entries, want, forms = vulnerabilities._entries(kinds, cves).collect(), {}, {}
+    order = lambda e: tuple(e[c] or "" for c in ("product", "vendor", "sdk_name", "sdk_version"))
+    for s in sdks.collect():
+        for e in entries:
+            if [s[c] for c in own] == [e[c] for c in own]:
+                key = (s.sample_id, e.sdk_identifier, e.cve_id)
+                want[key] = min(want.get(key, e), e, key=order)
+                forms.setdefault(key[:2], set()).add(e.kind)
+    # one, two and more forms of an identifier in a sample, and samples without a name
+    assert {1, 2, 3} <= {len(x) for x in forms.values()} and any(s is None for s, _, _ in want)
+    got = {(r.sample_id, r.sdk_identifier, r.cve_id): r for r in found.collect()}
+    assert {k: tuple(r)[2:] for k, r in got.items()} == {k: tuple(e[c] for c in found.columns[2:]) for k, e in want.items()}
+    assert found.count() == len(want)
+
+
 def test_outcomes_without_pairs(spark):
     sdks, cves = components_and_entries(spark)
     got = sorted(map(repr, vulnerabilities.judged(sdks, cves).collect()))
