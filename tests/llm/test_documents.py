@@ -200,6 +200,27 @@ def test_decontamination_misses_no_overlap(spark):
         assert len(want) == 600 and got == {k: b for k, b in want.items() if k[1] >= least}
 
 
+def test_items_of_equal_words_are_laid_over_texts_once(spark, monkeypatch):
+    """Their seeds are broadcast and met once, and each item still has its rows; items of several texts and null items too."""
+    texts = [" ".join(f"i{k}w{j}" for j in range(24)) for k in range(3)]
+    items = [(100 * k + c, t.upper() if c % 2 else t.replace(" ", " \n")) for k, t in enumerate(texts) for c in range(40)] + [(7, texts[2]), (None, texts[0]), (None, texts[1])]
+    rows = [(1, "a b " + texts[0]), (1, texts[1] + " c"), (2, "d " + " ".join(texts[1].split()[:22])), (3, "e"), (None, texts[2])]
+    want = {}
+    for d, t in rows:
+        for i, x in items:
+            if b := brute_overlap(t, x):
+                want[d, i] = max(b, want.get((d, i), 0))
+    bench, seen, verified = spark.createDataFrame(items, "item_id long, text string"), [], seed_decontamination._verified
+    monkeypatch.setattr(seed_decontamination, "_verified", lambda hits: seen.append(hits) or verified(hits))
+    for size, slices in ((1000, 1), (60, 2)):  # the seeds of the three texts are 117, of all the items 4,797
+        monkeypatch.setattr(seed_decontamination, "BROADCAST_SEEDS", size)
+        seen.clear()
+        got = [(r.doc_id, r.item_id, r.n_equal) for r in seed_decontamination.overlaps(documents(spark, rows), bench).collect()]
+        assert len(got) == len(want) and {(d, i): n for d, i, n in got} == want
+        assert len(seen) == slices and sum(hits.count() for hits in seen) < 200
+        assert {r.doc_id for r in seed_decontamination.without_overlaps(documents(spark, rows), bench).collect()} == {3}
+
+
 @pytest.mark.parametrize("n", range(5, 21))
 def test_masks_hold_a_seed_for_every_choice_of_differing_words(n):
     masks = seed_decontamination.MASKS[(5, 11) if n < 12 else (12, None)]
