@@ -132,31 +132,43 @@ def range_lookup(df: DataFrame, column: str, ranges: DataFrame, low: str, high:
 
 #: Rows of one token that a task handles, at least; and tokens of more rows, at most, as they are broadcast.
 HOT_TOKEN, MOST_HOT = 100_000, 10_000
+#: Pairs that a task makes, at least; tasks of so many pairs, at most; and tokens that are broadcast to leave out rows of all others.
+TASK_PAIRS, MOST_TASKS, KNOWN_TOKENS = 10_000_000, 2_000, 200_000
 
 
 def token_candidates(
-    items: DataFrame, item: str, tokens: str, products: DataFrame, product: str, keys: Sequence[str], residual: Column | None = None
-) -> DataFrame:
+    items: DataFrame, item: str, tokens: str, products: DataFrame, product: str, keys: Sequence[str], residual: Column | None = None,
+    equal: Sequence[tuple[Column, Column]] = (),
+) -> DataFrame:
     """Pairs of items and product rows that share a token, once for each item and keys.
 
-    residual: a further condition, which thins the pairs out. Tokens are counted on both sides, and
-    so are items and keys, so items are best given as a written table. The items of a token that
-    very many have are dealt into parts, and so are its products; each part of the one side meets
-    each of the other by itself, and a task has no more than HOT_TOKEN rows of a token on a side.
-    An item and a product that are each in one row meet once at most; only the pairs of the others
-    are made distinct, so that not all pairs are shuffled.
+    equal: columns of items and of products that have to be equal as well; pairs that differ in
+    them are never made. residual: any further condition, asked of each pair. Tokens are counted on
+    both sides, and so are items and keys, so items are best given as a written table. The items of
+    a token that very many have, or of which very many pairs are made, are dealt into parts, and so
+    are its products; each part of the one side meets each of the other by itself, and a task has no
+    more than HOT_TOKEN rows of a token on a side and makes about TASK_PAIRS pairs of it; where
+    there are more than MOST_TASKS times that, these grow instead. An item and a product that are
+    each in one row meet once at most; only the pairs of the others are made distinct, so that not
+    all pairs are shuffled.
     """
-    items = items.withColumn("_token", F.array_distinct(tokens))
+    on = ["_token", *(f"_e{n}" for n in range(len(equal)))]
+    items = items.withColumns({"_token": F.array_distinct(tokens)} | {f"_e{n}": a for n, (a, _) in enumerate(equal)})
+    products = products.withColumns({"_token": F.col(product)} | {f"_e{n}": b for n, (_, b) in enumerate(equal)})
     many, again = _repeated(items, [item]), _repeated(products, keys)
-    hot = _hot_tokens(items.withColumn("_token", F.explode("_token")), products.withColumn("_product", F.col(product)))
+    known, how, tasks = _token_parts(items.withColumn("_token", F.explode("_token")), products, on)
 
-    def met(some: DataFrame, listed: DataFrame) -> DataFrame:
-        left, right = _dealt(some.withColumn("_token", F.explode("_token")), "_token", hot, "_i", "_m", "_j", "_k"), _dealt(listed.withColumn("_product", F.col(product)), "_product", hot, "_pj", "_k", "_pi", "_m")
-        on = (F.col("_token") == F.col("_product")) & (F.col("_i") == F.col("_pi")) & (F.col("_j") == F.col("_pj"))
-        return left.join(right, on if residual is None else on & residual).drop("_token", "_product", "_i", "_j", "_pi", "_pj")
+    def met(some: DataFrame, listed: DataFrame, tasks: int = 0) -> DataFrame:
+        left, right = _dealt(some.withColumn("_token", F.explode("_token")), on, known, how, "_i", "_m", "_j", "_k"), _dealt(listed, on, known, how, "_j", "_k", "_i", "_m")
+        if tasks:  # by bytes, Spark would make a few tasks of them
+            left, right = (df.repartition(tasks, *on, "_i", "_j") for df in (left, right))
+        right = right.select(*(F.col(c).alias(f"_p{c}") if c in (*on, "_i", "_j") else F.col(c) for c in right.columns))
+        same = reduce(Column.__and__, (F.col(c) == F.col(f"_p{c}") for c in (*on, "_i", "_j")))
+        right = right.hint("merge") if tasks else right
+        return left.join(right, same if residual is None else same & residual).drop(*(f"{p}{c}" for p in ("", "_p") for c in (*on, "_i", "_j")))
 
     single = _among(items, many, [item], "left_anti") if many else items
-    out = met(single, _among(products, again, keys, "left_anti") if again else products)
+    out = met(single, _among(products, again, keys, "left_anti") if again else products, tasks)
     rest = [met(_among(items, many, [item], "left_semi"), products)] if many else []
     rest += [met(single, _among(products, again, keys, "left_semi"))] if again else []
     return out.unionByName(reduce(DataFrame.unionByName, rest).dropDuplicates([item, *keys])) if rest else out
@@ -174,22 +186,33 @@ def _among(df: DataFrame, found: DataFrame, keys: Sequence[str], how: str) -> Da
     return df.join(named, reduce(Column.__and__, (df[k].eqNullSafe(named[f"_f{i}"]) for i, k in enumerate(keys))), how)
 
 
-def _hot_tokens(spread: DataFrame, listed: DataFrame) -> DataFrame:
-    """(_hot, _m, _k): tokens of many rows, with the parts of their items and products; MOST_HOT of a side at most."""
-    a, b = spread.groupBy("_token").agg(F.count("*").alias("_a")), listed.groupBy("_product").agg(F.count("*").alias("_b"))
-    totals = [df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0] for df, c in ((a, "_a"), (b, "_b"))]
-    parts = lambda c, total: F.ceil(F.col(c) / max(HOT_TOKEN, total / MOST_HOT)).cast("int")
-    both = a.join(b, F.col("_token") == F.col("_product")).select(F.col("_token").alias("_hot"), parts("_a", totals[0]).alias("_m"), parts("_b", totals[1]).alias("_k"))
-    return F.broadcast(both.where("_m > 1 or _k > 1"))
+def _token_parts(spread: DataFrame, listed: DataFrame, on: Sequence[str]) -> tuple[DataFrame, str, int]:
+    """(on, _m, _k): the parts of the items and products of tokens; how to join them; and the tasks for all pairs, 0 for Spark to choose.
 
-
-def _dealt(df: DataFrame, token: str, hot: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+    All tokens that both sides have, for an inner join, or of too many those of several parts, for
+    a left join. Of these, MOST_HOT have many rows of a side and MOST_TASKS many pairs, at most.
+    """
+    a, b = spread.groupBy(*on).agg(F.count("*").alias("_a")), listed.groupBy(*on).agg(F.count("*").alias("_b"))
+    both = written(a.join(b, list(on)), "tokens")
+    pairs = F.col("_a").cast("double") * F.col("_b")
+    n, n_a, n_b, n_pairs = (x or 0 for x in both.agg(F.count("*"), F.sum("_a"), F.sum("_b"), F.sum(pairs)).first())
+    least = lambda c, total: F.ceil(F.col(c) / max(HOT_TOKEN, total / MOST_HOT))
+    each = max(TASK_PAIRS, n_pairs / MOST_TASKS)
+    of_pairs = F.ceil(pairs / each)
+    # the larger side in more parts, as each row is there once for each part of the other side
+    m = F.greatest(least("_a", n_a), F.least(of_pairs, F.ceil(F.sqrt(of_pairs * F.col("_a") / F.col("_b")))))
+    parts = both.withColumn("_m", m.cast("int")).withColumn("_k", F.greatest(least("_b", n_b), F.ceil(of_pairs / F.col("_m"))).cast("int")).drop("_a", "_b")
+    tasks = max(int(n_pairs // each) + 1, -(-(n_a + n_b) // (10 * HOT_TOKEN))) if n_pairs > TASK_PAIRS else 0
+    return (F.broadcast(parts), "inner", tasks) if n <= KNOWN_TOKENS else (F.broadcast(parts.where("_m > 1 or _k > 1")), "left", tasks)
+
+
+def _dealt(df: DataFrame, on: Sequence[str], known: DataFrame, how: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
     """df with own, the part of each row among those of its token, once for each part (other) of the other side."""
-    known = df.join(hot, df[token] == hot["_hot"], "left")
+    df = df.join(known, list(on), how)
     n = F.coalesce(n_own, F.lit(1))
     place = F.when(n > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), n)).otherwise(0).cast("int")
     meets = F.sequence(F.lit(0), F.coalesce(n_other, F.lit(1)) - 1)
-    return known.withColumn(own, place).withColumn(other, F.explode(meets)).drop("_hot", "_m", "_k")
+    return df.withColumn(own, place).withColumn(other, F.explode(meets)).drop("_m", "_k")
 
 
 def expanded_aliases(items: DataFrame, column: str, tokens: str, aliases: DataFrame) -> DataFrame:

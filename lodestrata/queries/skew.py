@@ -143,7 +143,8 @@ def hot_token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("item"), "l_suppkey", F.array(token).alias("tokens"))
     product = F.when(F.col("s_suppkey") % 4 == 0, "the").otherwise(F.concat(F.lit("part"), F.col("s_suppkey") * 7))
     products = table(spark, sf_dir, "supplier").select("s_suppkey", product.alias("product"))
-    found = joins.token_candidates(items, "item", "tokens", products, "product", ["s_suppkey"], (F.col("l_suppkey") + F.col("s_suppkey")) % 10 == 0)
+    whole = F.pmod(-F.col("l_suppkey"), F.lit(10)), F.pmod("s_suppkey", F.lit(10))  # equal where the sum of the two is divisible
+    found = joins.token_candidates(items, "item", "tokens", products, "product", ["s_suppkey"], equal=[whole])
     return found.select("item.*", "s_suppkey")
 
 

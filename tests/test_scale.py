@@ -235,3 +235,22 @@ def test_hot_tokens(spark, monkeypatch):
     got = joins.token_candidates(spark.createDataFrame(items, "item int, tokens array<string>"), "item", "tokens", spark.createDataFrame(products, "j int, product string"), "product", ["j"], (F.col("item") + F.col("j")) % 2 == 0)
     assert sorted((r.item, r.j) for r in got.collect()) == sorted({(i, j) for i, ts in items for j, p in products if p in ts and (i + j) % 2 == 0})
     assert got.columns == ["item", "tokens", "j", "product"]
+
+
+def test_hot_tokens_of_many_pairs(spark, monkeypatch):
+    """Only pairs whose further columns are equal are made, in tasks of so many pairs, though both sides are few rows; repeated and null ones too."""
+    monkeypatch.setattr(joins, "TASK_PAIRS", 500)
+    items = [(i % 390 if i % 50 else None, i % 7 if i % 11 else None, ["the", None, f"w{i % 20}"][: 1 + i % 3]) for i in range(400)]
+    products = [(j % 85, j % 5 if j % 13 else None, "the" if j % 3 else f"w{j % 20}") for j in range(90)]
+    want = {(i, j) for i, x, ts in items for j, y, p in products if p in ts and x is not None and y is not None and (x + y) % 3 == 0}
+    left, right = spark.createDataFrame(items, "item int, x int, tokens array<string>"), spark.createDataFrame(products, "j int, y int, product string")
+    equal = (F.pmod(-F.col("x"), F.lit(3)), F.pmod("y", F.lit(3)))
+    for most in (joins.KNOWN_TOKENS, 3):
+        monkeypatch.setattr(joins, "KNOWN_TOKENS", most)
+        got = joins.token_candidates(left, "item", "tokens", right, "product", ["j"], equal=[equal])
+        rows = [(r.item, r.j) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want and got.columns == ["item", "x", "tokens", "j", "y", "product"]
+        tasks = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert len(tasks) > 6 and max(t["count"] for t in tasks) < len(want) / 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
